@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import broadcast
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,3 +19,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, marked for broadcast where it has at most so many rows.
+
+    The rows are counted, so ``df`` should be checkpointed; a larger table keeps the planner's
+    shuffled join, whose skewed partitions the adaptive planner can split.
+    """
+    return broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
