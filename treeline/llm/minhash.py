@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnp
 from .graph import connected_components
-from .shared import checkpointed
+from .shared import broadcast_if_small, checkpointed
 
 _U = np.uint64
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -32,6 +32,9 @@ BANDS, ROWS = 28, 6
 #: A pair goes to exact verification when its signatures agree in this share of registers, about
 #: five standard deviations below the threshold.
 ESTIMATE_MARGIN = 0.15
+#: A bucket with more than so many open pairs a row is compared in blocks of so many rows.
+_DENSE, _BLOCK = 4, 512
+_BROADCAST_IDS = 500_000
 _PIECE_BYTES, _PIECE_ROWS = 2 << 20, 4096
 
 
@@ -157,18 +160,80 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _mixed_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
+    """The members (bucket, id, component, blocks) of buckets that lie in several components.
+
+    ``blocks`` is 0 where the pairs across components are few for the bucket's rows.
+    """
+    placed = members.select("id", "bucket").join(component, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    across = (F.col("n") * F.col("n") - F.col("inside")) / 2
+    mixed = sizes.where(across > 0).select("bucket", F.when(across > _DENSE * F.col("n"), F.ceil(F.col("n") / _BLOCK)).otherwise(0).alias("blocks"))
+    return checkpointed(placed.join(mixed, "bucket"))
+
+
+def _joining(ids: np.ndarray, components: np.ndarray, texts: pa.Array, k: int, least: float) -> list[tuple[int, int, float]]:
+    """One link (a, b, similarity) for each two components that a pair of these rows joins."""
+    sets, n = _sets(texts, k), len(ids)
+    element, at = np.unique(np.concatenate([x[0] for x in sets]), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(x[0]) for x in sets])
+    count = np.concatenate([x[1] for x in sets]).astype(np.float32)
+    shared = np.bincount(at, minlength=len(element)) > 1
+    column = np.cumsum(shared) - 1
+    row, count, at = row[shared[at]], count[shared[at]], column[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    row, count, at = row[order], count[order], at[order]
+    both, mass = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        here = slice(*np.searchsorted(at, [low, low + 4096]))
+        weights = np.zeros((n, 4096), np.float32)
+        weights[row[here], at[here] - low] = count[here]
+        present = (weights > 0).astype(np.float32)
+        both += present @ present.T
+        mass += weights @ present.T
+    size = np.array([x[1].sum() for x in sets], np.float64)
+    plain = size == np.array([len(x[0]) for x in sets])
+    score = both / np.maximum(size[:, None] + size[None, :] - both, 1)
+    # J_P is at most the share of either document's weight that lies on shared shingles
+    bound = np.minimum(mass / size[:, None], (mass / size[:, None]).T)
+    easy = plain[:, None] & plain[None, :]
+    apart = (components[:, None] != components[None, :]) & (ids[:, None] < ids[None, :])
+    out: dict[tuple[int, int], tuple[int, int, float]] = {}
+    for x, y in np.argwhere(apart & np.where(easy, score >= least - 1e-6, bound >= least - 1e-6)):
+        joined = (min(components[x], components[y]), max(components[x], components[y]))
+        if joined not in out and (exact := probability_jaccard(sets[x], sets[y])) >= least - 1e-12:
+            out[joined] = (int(ids[x]), int(ids[y]), exact)
+    return list(out.values())
+
+
+def _block_links(placed: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (a, b, similarity) across components in dense buckets, block against block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _joining(*(table.column(c).to_numpy() for c in ("id", "component")), table.column("text"), k, least)
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rows = placed.select("id", "component", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("id", "component", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, kept, n_links): one row per row of ``docs`` (doc_id, text).
+    """(doc_id, class_id, kept): one row per row of ``docs`` (doc_id, text).
 
-    ``class_id`` is the smallest doc_id that links of similarity >= ``similarity`` reach, ``kept``
-    marks that document, and ``n_links`` counts the verified links of the row's distinct
-    word sequence.
+    ``class_id`` is the smallest doc_id that links of similarity >= ``similarity`` reach, and ``kept``
+    marks that document.
 
     1. Signatures and keys of whole word sequences, one pass; copies with equal words share one node.
     2. Per band bucket, every node is verified against the smallest one, and the links are
        contracted to components. Groups of any size cost links in proportion to their size.
-    3. Every pair of a bucket that still lies in two components is verified, so no link between
-       classes is lost and none is looked for inside a class.
+    3. Every pair of a bucket that still lies in two components is verified: one by one where a
+       bucket has few such pairs for its rows, else block against block, with one matrix product
+       for all pairs of two blocks, which gives one link for each two components it joins. So no
+       two classes that a link joins stay apart, and no links are looked for inside a class.
 
     Texts of one to four words are one shingle. A null text is empty; texts without words
     are copies only of the same text. Rows with a null doc_id get a null class and are not kept.
@@ -180,36 +245,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
     places = nodes.select("id", F.explode("bands").alias("bucket"))
     buckets = places.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     members = checkpointed(places.join(buckets.select("bucket", "pivot"), "bucket").distinct())
-    candidates = members.select("id").distinct()
-    # the text of a candidate; equal word sequences have one, the smallest id's
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(candidates, "id", "left_semi")
-    texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    documents = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        named = documents.join(broadcast_if_small(checkpointed(ids.distinct()), _BROADCAST_IDS), "id", "left_semi")
+        return named.groupBy("id").agg(F.first("text").alias("text"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        close = _alike(pairs, nodes.select("id", "sketch").join(candidates, "id", "left_semi"), similarity - ESTIMATE_MARGIN)
-        return _verified(close, texts, k, similarity)
+        close = checkpointed(_alike(pairs, nodes.select("id", "sketch"), similarity - ESTIMATE_MARGIN))
+        return _verified(close, texts_of(close.select(F.explode(F.array("a", "b")).alias("id"))), k, similarity)
 
     tried = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     found = checkpointed(links(tried))
-    component = connected_components(found)
-    placed = members.select("id", "bucket").join(component, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    placed = checkpointed(placed.join(mixed.select("bucket"), "bucket"))
-    left, right = (placed.select("bucket", F.col("id").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab")
-    across = left.join(right, "bucket").where("a < b AND in_a <> in_b").select("a", "b").distinct()
-    across = across.join(tried, ["a", "b"], "left_anti")
-    found = checkpointed(found.unionAll(links(across)))
-    component = connected_components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    node = nodes.select("key_a", "key_b", "id").join(component, "id", "left").join(degree, "id", "left")
-    node = node.select("key_a", "key_b", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = _mixed_buckets(members, connected_components(found))
+    few, many = placed.where("blocks = 0"), placed.where("blocks > 0")
+    left, right = (few.select("bucket", F.col("id").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab")
+    pairs = left.join(right, "bucket").where("a < b AND in_a <> in_b").select("a", "b").distinct()
+    found = found.unionAll(links(pairs.join(tried, ["a", "b"], "left_anti")))
+    if many.take(1):
+        found = found.unionAll(_block_links(many, texts_of(many.select("id")), k, similarity))
+    component = connected_components(found.select("a", "b"))
+    node = nodes.select("key_a", "key_b", "id").join(component, "id", "left")
+    node = node.select("key_a", "key_b", F.coalesce("component", "id").alias("class_id"))
     rows_out = signed.select("doc_id", "key_a", "key_b").join(node, ["key_a", "key_b"], "left")
     known = F.col("doc_id").isNotNull()
     return rows_out.select(
         "doc_id",
         F.when(known, F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"),
-        F.when(known, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
 
 
