@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import bpe, line_dedup, mixing, prefix_tokens
 from .minhash import near_duplicates
 
 
@@ -18,17 +18,25 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op9_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "size", "source_size", "target", "taken")
     return mixing.mixed(table(spark, sf_dir, "documents")).select(*columns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op8_line_dedup, op10_source_mix)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_prefix_token_counts, op8_line_dedup, op9_recursive_bpe, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
