@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, prefix_tokens, quality
+from . import bpe, licenses, line_dedup, mixing, prefix_tokens, quality
 from .minhash import near_duplicates
 
 
@@ -22,6 +22,10 @@ def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op4_prefix_token_counts, op8_line_dedup, op9_recursive_bpe, op10_source_mix)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op3_license_scan, op4_prefix_token_counts, op8_line_dedup, op9_recursive_bpe, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
