@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kdtree, licenses, line_dedup, mixing, prefix_tokens, quality
+from . import bpe, kdtree, licenses, line_dedup, mixing, nn_descent, prefix_tokens, quality
 from .minhash import near_duplicates
 
 
@@ -30,6 +30,10 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -48,8 +52,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op3_license_scan, op4_prefix_token_counts, op7_kdtree_top_k, op8_line_dedup, op9_recursive_bpe, op10_source_mix)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op3_license_scan, op4_prefix_token_counts, op6_nn_descent_links, op7_kdtree_top_k, op8_line_dedup, op9_recursive_bpe, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_kdtree_top_k": kdtree.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op6_nn_descent_links": nn_descent.ORACLE_SQL, "op7_kdtree_top_k": kdtree.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
