@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kdtree, licenses, line_dedup, mixing, nn_descent, prefix_tokens, quality
+from . import bpe, kdtree, licenses, line_dedup, mixing, nn_descent, pii, prefix_tokens, quality
 from .minhash import near_duplicates
 
 
@@ -30,6 +30,10 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key="an example key, to be replaced by a secret one")
+
+
 def op6_nn_descent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,8 +55,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op3_license_scan, op4_prefix_token_counts, op6_nn_descent_links, op7_kdtree_top_k, op8_line_dedup, op9_recursive_bpe, op10_source_mix)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op3_license_scan, op4_prefix_token_counts, op5_feistel_pseudonyms, op6_nn_descent_links, op7_kdtree_top_k, op8_line_dedup, op9_recursive_bpe, op10_source_mix, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
