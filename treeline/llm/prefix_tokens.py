@@ -10,7 +10,9 @@ the bytes, and no piece is ever encoded again for another cut.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from .pretokens import pretokens
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Pieces whose counts a worker remembers at once, and the longest that it remembers.
-_REMEMBERED, _LONGEST = 400_000, 64
+_REMEMBERED, _LONGEST = 800_000, 64
 
 
 def _byte_of() -> dict[str, int]:
@@ -42,44 +44,60 @@ class PrefixTokens:
         byte_of = _byte_of()
         raw = lambda piece: bytes(byte_of[c] for c in piece)
         self.token = {raw(piece): number for piece, number in spec["model"]["vocab"].items()}
-        self.bytes_of = {number: piece for piece, number in self.token.items()}
         pairs = (x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"])
-        self.rank = {(self.token[a], self.token[b]): (rank, self.token[a + b]) for rank, (a, b) in enumerate((raw(x), raw(y)) for x, y in pairs)}
+        #: rank of the merge of two tokens, and of each token the rank and the parts of its own merge
+        self.rank: dict[int, int] = {}
+        self.made, self.left, self.right = ([-1] * (max(self.token.values()) + 1) for _ in range(3))
+        for rank, (x, y) in enumerate(pairs):
+            x, y = raw(x), raw(y)
+            left, right, joined = self.token[x], self.token[y], self.token[x + y]
+            self.rank[left << 20 | right] = rank
+            self.made[joined], self.left[joined], self.right[joined] = rank, left, right
         self.longest = max(map(len, self.token))
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.agreed: dict[int, bool] = {}
         self.counts = _Counts(self)
 
-    def _merged(self, piece: bytes) -> list[int]:
-        tokens = [self.token[bytes([b])] for b in piece]
-        while len(tokens) > 1:
-            best = min(((self.rank[p], i) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in self.rank), default=None)
-            if best is None:
-                break
-            (_, joined), i = best
-            tokens[i : i + 2] = [joined]
-        return tokens
-
     def _agree(self, left: int, right: int) -> bool:
-        key = left << 20 | right
-        known = self.agreed.get(key)
-        if known is None:
-            if len(self.agreed) > 2_000_000:
-                self.agreed.clear()
-            known = self.agreed[key] = self._merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return known
+        """Whether two tokens stay apart when their bytes are merged together.
+
+        Undoes the merges next to the border, latest first; the tokens agree unless, at some
+        moment, the two parts at the border would have been merged before one of them was
+        merged with what is behind it. Of equal ranks the left pair is merged first.
+        """
+        rank, made, before = self.rank, self.made, 1 << 30
+        while True:
+            if rank.get(left << 20 | right, 1 << 30) < before:
+                return False
+            if made[left] > made[right]:
+                before, left = made[left], self.right[left]
+            elif made[right] >= 0:
+                before, right = made[right] + 1, self.left[right]
+            else:
+                return True
 
     def table(self, piece: bytes) -> list[int]:
         """The number of tokens of every prefix of one piece, from 0 bytes to all."""
-        token, agree = self.token, self._agree
-        count, last = [0] * (len(piece) + 1), [-1] * (len(piece) + 1)
+        token, agreed, agree, longest = self.token.get, self.agreed, self._agree, self.longest
+        count, last = [0], [-1]
+        if len(agreed) > 1_000_000:
+            agreed.clear()
         for stop in range(1, len(piece) + 1):
-            for start in range(max(0, stop - self.longest), stop):
-                number = token.get(piece[start:stop])
-                if number is not None and (start == 0 or agree(last[start], number)):
-                    count[stop], last[stop] = count[start] + 1, number
-                    break
+            for start in range(stop - longest if stop > longest else 0, stop):
+                number = token(piece[start:stop])
+                if number is None:
+                    continue
+                if start:
+                    pair = last[start] << 20 | number
+                    good = agreed.get(pair)
+                    if good is None:
+                        good = agreed[pair] = agree(last[start], number)
+                    if not good:
+                        continue
+                count.append(count[start] + 1)
+                last.append(number)
+                break
             else:
                 raise ValueError("the vocabulary lacks single bytes")
         return count
@@ -97,32 +115,36 @@ class PrefixTokens:
         yield text[at:], False
 
     def count(self, text: str) -> int:
-        counts = self.counts
-        if self.special is None or not self.special.search(text):
-            return sum(map(counts.__getitem__, pretokens(text)))
-        return sum(1 if whole else sum(map(counts.__getitem__, pretokens(part))) for part, whole in self.segments(text))
+        return self.measured(text, 0)[0]
 
-    def cut(self, text: str, budget: int) -> int:
-        """Bytes of the longest stable prefix with at most ``budget`` tokens.
+    def measured(self, text: str, budget: int) -> tuple[int, int]:
+        """(tokens of the text, bytes of its longest stable prefix with at most ``budget`` tokens).
 
         A prefix is stable where it ends between two pieces, or after a letter or digit of a
         piece of such: its pieces are then the text's own, cut there.
         """
-        used = size = 0
+        used, size, cut = 0, 0, None
         for part, whole in self.segments(text):
-            for piece in [part] if whole else pretokens(part):
-                tokens = 1 if whole else self.counts[piece]
-                if used + tokens > budget:
-                    if whole or not piece[-1].isalnum():
-                        return size
-                    left, table = budget - used, self.table(piece.encode())
-                    for end in range(len(piece) - 1, int(piece[0] == " "), -1):
-                        stop = len(piece[:end].encode())
-                        if table[stop] <= left:
-                            return size + stop
-                    return size
-                used, size = used + tokens, size + len(piece.encode())
-        return size
+            pieces = [part] if whole else pretokens(part)
+            tokens = [1] if whole else list(map(self.counts.__getitem__, pieces))
+            if cut is None and used + sum(tokens) > budget:
+                sums = list(accumulate(tokens, initial=used))
+                fit = bisect_right(sums, budget) - 1
+                cut = size + len("".join(pieces[:fit]).encode()) + (0 if whole else self._inside(pieces[fit], budget - sums[fit]))
+            used += sum(tokens)
+            size += len(part.encode()) if cut is None else 0
+        return used, size if cut is None else cut
+
+    def cut(self, text: str, budget: int) -> int:
+        return self.measured(text, budget)[1]
+
+    def _inside(self, piece: str, left: int) -> int:
+        """Bytes of the longest stable proper prefix of a piece with at most ``left`` tokens."""
+        if not left or not piece[-1].isalnum() or piece[0] == "'":
+            return 0
+        table, shortest = self.table(piece.encode()), int(piece[0] == " ")
+        stops = (len(piece[:end].encode()) for end in range(len(piece) - 1, shortest, -1))
+        return next((stop for stop in stops if table[stop] <= left), 0)
 
 
 class _Counts(dict):
@@ -135,8 +157,9 @@ class _Counts(dict):
     def __missing__(self, piece: str) -> int:
         number = self.tokens.table(piece.encode())[-1]
         if len(piece) <= _LONGEST:
-            if len(self) >= _REMEMBERED:
-                self.clear()
+            if len(self) >= _REMEMBERED:  # frequent pieces came early
+                for old in list(self)[_REMEMBERED // 2 :]:
+                    del self[old]
             self[piece] = number
         return number
 
@@ -168,8 +191,8 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
             size, count, cut = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for i, value in enumerate(batch.column("text")):
                 if text := value.as_py():
-                    size[i], count[i] = len(text.encode()), tokens.count(text)
-                    cut[i] = size[i] if count[i] <= limit else tokens.cut(text, limit)
+                    size[i] = len(text.encode())
+                    count[i], cut[i] = tokens.measured(text, limit)
             columns = [batch.column("doc_id"), pa.array(size), pa.array(count), pa.array(count > limit), pa.array(cut)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"])
 
