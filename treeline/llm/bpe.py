@@ -24,7 +24,7 @@ from .pretokens import pretokens
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows of a recursion, distinct pieces a worker remembers, bytes of text looked at together.
-_QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 400_000, 250_000, 64, 4 << 20
+_QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 400_000, 800_000, 64, 4 << 20
 
 _DONE = "SELECT word, list(tok ORDER BY pos) AS ids, string_agg(shown, '' ORDER BY pos) AS shown FROM state JOIN vocabulary ON tok = id GROUP BY word ORDER BY word"
 _ENCODE = f"""
@@ -106,9 +106,11 @@ class RecursiveBpe:
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text; ids as little-endian 32-bit integers."""
         split = [pretokens(text) for text in texts]
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        new = list({piece for pieces in split for piece in pieces if piece not in self.known})
+        if len(self.known) > _REMEMBERED:  # frequent pieces came early
+            for old in list(self.known)[_REMEMBERED // 2 :]:
+                del self.known[old]
+        # by length, so that the pieces of one query are done after about as many steps
+        new = sorted({piece for pieces in split for piece in pieces if piece not in self.known}, key=len)
         fresh = dict(zip(new, self.encode_pieces([x.encode() for x in new]), strict=True))
         self.known |= fresh
         for pieces in split:
