@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import document_queries, scalar_queries, stream_queries, tree_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
