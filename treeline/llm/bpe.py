@@ -2,9 +2,10 @@
 
 Every distinct piece of text is a set of token-position rows. One step of the recursion joins each token
 and its successor to the merge table and contracts the piece's leftmost pair of least rank;
-pieces without such a pair are done. Where no later merge of the new token can have a lower
-rank, all non-overlapping pairs of that rank are contracted at once from the left, which
-is the same sequence of contractions. Decoding is an ordered aggregation of the tokens' bytes.
+pieces without such a pair are done. In long pieces, where no later merge of the new token
+can have a lower rank, all non-overlapping pairs of that rank are contracted at once from the
+left, which is the same sequence of contractions. Decoding is an ordered aggregation of the
+tokens' bytes.
 """
 
 from __future__ import annotations
@@ -25,9 +26,24 @@ from .pretokens import pretokens
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows of a recursion, distinct pieces a worker remembers, bytes of text looked at together.
 _QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 400_000, 800_000, 64, 4 << 20
+#: Pieces from this length on take the query that contracts several pairs in a step.
+_LONG = 256
 
 _DONE = "SELECT word, list(tok ORDER BY pos) AS ids, string_agg(shown, '' ORDER BY pos) AS shown FROM state JOIN vocabulary ON tok = id GROUP BY word ORDER BY word"
 _ENCODE = f"""
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+  SELECT word, pos, tok FROM pieces
+  UNION
+  (WITH live AS (
+     SELECT word, pos, tok, lead(tok) OVER along AS right_tok, lead(pos) OVER along AS right_pos, lead(word) OVER along AS right_word
+     FROM recurring.state WHERE tok >= 0 AND word IN (SELECT word FROM state) WINDOW along AS (ORDER BY (word::BIGINT << 32) | pos)),
+   least AS (SELECT word, min((made::BIGINT << 32) | (pos << 16) | right_pos) AS best
+     FROM live JOIN merges ON pair = (tok::BIGINT << 32) | right_tok WHERE right_word = word GROUP BY word)
+   SELECT word, ((best >> 16) & 65535)::INTEGER, (best >> 32)::INTEGER FROM least
+   UNION ALL SELECT word, (best & 65535)::INTEGER, -1 FROM least))
+{_DONE}
+"""
+_ENCODE_LONG = f"""
 WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
   SELECT word, pos, tok FROM pieces
   UNION
@@ -90,7 +106,8 @@ class RecursiveBpe:
                 part = pieces[start:i]
                 if part:
                     raw = np.frombuffer(b"".join(part), np.uint8)
-                    out += self._asked(_ENCODE, "pieces", self._rows(self.single[raw], np.array([len(x) for x in part])))
+                    query = _ENCODE if max(map(len, part)) < _LONG else _ENCODE_LONG
+                    out += self._asked(query, "pieces", self._rows(self.single[raw], np.array([len(x) for x in part])))
                 start, size = i, 0
             size += len(piece)
         return out
@@ -115,7 +132,7 @@ class RecursiveBpe:
         self.known |= fresh
         for pieces in split:
             found = [self.known[piece] for piece in pieces]
-            yield b"".join(x[0] for x in found), b"".join(x[1] for x in found)
+            yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
         for piece in fresh:
             if len(piece) > _LONGEST:
                 del self.known[piece]
