@@ -194,10 +194,10 @@ def restore_plan(t: Tables) -> DataFrame:
     return M.restore_plan(t.versions())
 
 
-@query(given("maps") + "SELECT id AS map_id, owner_id AS user_id, 'update-mindmap' AS action, title AS detail_title, CAST(id AS VARCHAR) AS detail_id FROM maps")
+@query(given("maps") + "SELECT id AS map_id, owner_id AS user_id, 'save-version' AS action, title AS detail_title, CAST(id AS VARCHAR) AS detail_id FROM maps")
 def audit_append(t: Tables) -> DataFrame:
     rows = t.maps().select(F.col("id").alias("map_id"), F.col("owner_id").alias("user_id"), "title")
-    logged = M.audited(rows.select("map_id", "user_id", "title"), "update-mindmap", title=F.col("title"), id=F.col("map_id"))
+    logged = M.audited(rows.select("map_id", "user_id", "title"), "save-version", title=F.col("title"), id=F.col("map_id"))
     return logged.select("map_id", "user_id", "action", F.col("detail")["title"].alias("detail_title"), F.col("detail")["id"].alias("detail_id"))
 
 
