@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import pretokens
+from .shared import worker_cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows of a recursion, distinct pieces a worker remembers, bytes of text looked at together.
-_QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 400_000, 800_000, 64, 4 << 20
+_QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 200_000, 500_000, 64, 3 << 20
 #: Pieces from this length on take the query that contracts several pairs in a step.
 _LONG = 256
 
@@ -78,8 +79,11 @@ class RecursiveBpe:
         merges = pa.table({"pair": left << 32 | right, "made": pa.array(joined, pa.int32()), "alone": soonest[joined] < joined})
         vocabulary = pa.table({"id": pa.array(list(rank.values()), pa.int32()), "shown": [t.hex() for t in rank]})
         self.single = np.array([rank[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
+        self.packed = "<u2" if len(soonest) <= 1 << 16 else "<u4"
+        #: ids of pieces, packed; and what they decode to, where that is not the piece itself
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -121,36 +125,43 @@ class RecursiveBpe:
         return [next(found)[1] if n else b"" for n in counts]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each text; ids as little-endian 32-bit integers."""
+        """(ids, decoded bytes) of each text; ids as little-endian 32-bit integers.
+
+        The ids of every new piece are decoded, by the ordered aggregation, when they are made.
+        """
         split = [pretokens(text) for text in texts]
         if len(self.known) > _REMEMBERED:  # frequent pieces came early
             for old in list(self.known)[_REMEMBERED // 2 :]:
                 del self.known[old]
+                self.odd.pop(old, None)
         # by length, so that the pieces of one query are done after about as many steps
         new = sorted({piece for pieces in split for piece in pieces if piece not in self.known}, key=len)
-        fresh = dict(zip(new, self.encode_pieces([x.encode() for x in new]), strict=True))
-        self.known |= fresh
+        for piece, (ids, decoded) in zip(new, self.encode_pieces([x.encode() for x in new]), strict=True):
+            self.known[piece] = np.frombuffer(ids, "<u4").astype(self.packed).tobytes()
+            if decoded != piece.encode():
+                self.odd[piece] = decoded
         for pieces in split:
-            found = [self.known[piece] for piece in pieces]
-            yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
-        for piece in fresh:
+            packed = b"".join([self.known[piece] for piece in pieces])
+            decoded = b"".join([self.odd.get(x) or x.encode() for x in pieces]) if self.odd else "".join(pieces).encode()
+            yield np.frombuffer(packed, self.packed).astype("<u4").tobytes(), decoded
+        for piece in new:
             if len(piece) > _LONGEST:
                 del self.known[piece]
-
-
-_loaded: dict[str, RecursiveBpe] = {}
+                self.odd.pop(piece, None)
 
 
 def recursive_bpe(path: str) -> RecursiveBpe:
     """The vocabulary at a path, loaded into an in-memory DuckDB once a process."""
-    if path not in _loaded:
-        _loaded[path] = RecursiveBpe(path)
-    return _loaded[path]
+    loaded = worker_cache("bpe")
+    if path not in loaded:
+        loaded[path] = RecursiveBpe(path)
+    return loaded[path]
 
 
-def _grouped(texts: list[str]) -> Iterator[list[str]]:
+def _grouped(texts: pa.Array) -> Iterator[list[str]]:
     part, size = [], 0
-    for text in texts:
+    for value in texts:
+        text = value.as_py() or ""
         if part and size + len(text) > _PIECE_BYTES:
             yield part
             part, size = [], 0
@@ -182,7 +193,7 @@ def _pass(docs: DataFrame, path: str | None, schema: str) -> DataFrame:
         bpe = recursive_bpe(path)
         for batch in batches:
             done = 0
-            for texts in _grouped([x or "" for x in batch.column("text").to_pylist()]):
+            for texts in _grouped(batch.column("text")):
                 ids_of = batch.column("doc_id").slice(done, len(texts))
                 done += len(texts)
                 rows = list(bpe.encode(texts))

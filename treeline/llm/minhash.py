@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnp
 from .graph import connected_components
-from .shared import broadcast_if_small, checkpointed
+from .shared import broadcast_if_small, checkpointed, worker_cache
 
 _U = np.uint64
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -35,7 +35,7 @@ ESTIMATE_MARGIN = 0.15
 #: A bucket with more than so many open pairs a row is compared in blocks of so many rows.
 _DENSE, _BLOCK = 4, 512
 _BROADCAST_IDS = 500_000
-_PIECE_BYTES, _PIECE_ROWS = 2 << 20, 4096
+_PIECE_BYTES, _PIECE_ROWS = 1 << 20, 4096
 
 
 def prob_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -85,6 +85,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, bands: int = BANDS, rows
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("minhash")
         for batch in batches:
             for start, stop, key_a, key_b, band, sketch, worded in _signed(batch.column("text"), k, bands, rows):
                 lists = pa.ListArray.from_arrays(

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import pretokens
+from .shared import worker_cache
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Pieces whose counts a worker remembers at once, and the longest that it remembers.
@@ -164,14 +165,12 @@ class _Counts(dict):
         return number
 
 
-_loaded: dict[str, PrefixTokens] = {}
-
-
 def prefix_tokens(path: str) -> PrefixTokens:
     """The vocabulary at a path, read once a process."""
-    if path not in _loaded:
-        _loaded[path] = PrefixTokens(path)
-    return _loaded[path]
+    loaded = worker_cache("prefix_tokens")
+    if path not in loaded:
+        loaded[path] = PrefixTokens(path)
+    return loaded[path]
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .shared import checkpointed
+from .shared import checkpointed, worker_cache
 
 _U = np.uint64
 #: The fit's bounded sample of labelled rows, latent dimensions, voters, and power of their weights.
 SAMPLE, DIMENSIONS, VOTERS, SHARPNESS = 4_000, 48, 25, 8.0
 BUCKETS, _EXTRA, _BLOCK = 1024, 2, 256
-_PIECE_BYTES = 2 << 20
+_PIECE_BYTES = 1 << 20
 REPEATS_WEIGHT = 0.7
 
 
@@ -132,6 +132,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         voters = model.value
         for batch in batches:
             if batch.num_rows:
@@ -148,6 +149,7 @@ def without_rejected(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         voters = model.value
         for batch in batches:
             if batch.num_rows:

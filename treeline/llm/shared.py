@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
 
+_caches: dict[str, dict] = {}
+_running: list[str] = []
+
+
+def worker_cache(operator: str) -> dict:
+    """What an operator keeps in a Python worker between tasks, and only until another one runs there.
+
+    Workers are reused by later stages; without this, each operator's memory would stay.
+    """
+    if _running != [operator]:
+        _running[:] = [operator]
+        for name, cache in _caches.items():
+            if name != operator:
+                cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+    return _caches.setdefault(operator, {})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where none is set, as in local tests."""
     context = spark.sparkContext
