@@ -9,6 +9,7 @@ of them are blocked matrix products. The nearest vote with their labels, weighte
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,16 @@ def terms(texts: pa.Array) -> Iterator[np.ndarray]:
         yield np.hstack([vectors, extra]).astype(np.float32)
 
 
+def _leading(gram: np.ndarray, dimensions: int) -> np.ndarray:
+    """The leading eigenvectors of a symmetric matrix, by seeded subspace iteration."""
+    size = min(dimensions + 16, len(gram))
+    basis = np.random.default_rng(1).standard_normal((len(gram), size))
+    for _ in range(15):
+        basis, _ = np.linalg.qr(gram @ basis)
+    values, turned = np.linalg.eigh(basis.T @ gram @ basis)
+    return basis @ turned[:, np.argsort(-values)[:dimensions]]
+
+
 class Voters:
     """The fitted model: term weights, latent axes, and the labelled vectors."""
 
@@ -71,8 +82,7 @@ class Voters:
         self.weights = np.clip(1.2 - entropy, 0.05, None).astype(np.float32)
         self.weights[BUCKETS:] = 1
         weighted = (vectors * self.weights).astype(np.float64)
-        values, axes = np.linalg.eigh(weighted.T @ weighted)
-        self.axes = axes[:, np.argsort(-values)[:dimensions]].astype(np.float32)
+        self.axes = _leading(weighted.T @ weighted, dimensions).astype(np.float32)
         self.nearby = self.latent(vectors)
 
     def latent(self, vectors: np.ndarray) -> np.ndarray:
@@ -112,9 +122,16 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: b
                 vectors = [x.astype("<f4").tobytes() for x in np.vstack(blocks)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(vectors, pa.binary())], names=["doc_id", "quality", "vector"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, vector binary").toPandas().sort_values(["doc_id", "vector"])
-    vectors = np.frombuffer(b"".join(rows["vector"]), "<f4").reshape(len(rows), BUCKETS + _EXTRA)
-    return Voters(vectors, rows["quality"].to_numpy())
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["vector"], r["quality"]) for batch in batches for r in batch.to_pylist())
+        vectors = np.frombuffer(b"".join(r[1] for r in rows), "<f4").reshape(len(rows), BUCKETS + _EXTRA)
+        model = pickle.dumps(Voters(vectors, np.array([r[2] for r in rows], np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    # one task for the bounded sample, where numerical libraries keep to one thread
+    vectors = chosen.mapInArrow(run, "doc_id long, quality int, vector binary").repartition(1)
+    found = vectors.mapInArrow(fit, "model binary").first()
+    return pickle.loads(found.model) if found else Voters(np.zeros((0, BUCKETS + _EXTRA), np.float32), np.zeros(0))
 
 
 def _held_out():
