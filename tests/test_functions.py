@@ -111,3 +111,45 @@ def test_tables_are_views(spark):
     tables = Tables(spark, "/root/testdata/sf0.001")
     assert tables.nodes().count() == 1 + 5 + 25 + 150
     assert tables.collaborators().groupBy("map_id", "user_id").count().where("count > 1").count() == 0
+
+
+def test_saves_are_idempotent_and_resume(spark, tmp_path):
+    schema, log = "doc_id long, clock long, value string", str(tmp_path / "log")
+    spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], schema).write.parquet(log)
+    stream = lambda: spark.readStream.schema(schema).parquet(log)
+    E.saved(stream(), str(tmp_path / "history"), str(tmp_path / "check"))
+    E.saved(stream(), str(tmp_path / "history"), str(tmp_path / "check"))
+    spark.createDataFrame([(2, 5, "d")], schema).write.mode("append").parquet(log)
+    E.saved(stream(), str(tmp_path / "history"), str(tmp_path / "check"))
+    history = spark.read.parquet(str(tmp_path / "history"))
+    assert history.count() == 3
+    assert {tuple(r) for r in E.current_state(history).collect()} == {(1, 2, "b"), (2, 5, "d")}
+
+
+def test_uploads_and_bodies(spark, tmp_path):
+    from treeline.sources import files
+
+    (tmp_path / "up").mkdir()
+    for name, size in (("a.png", 10), ("b.JPG", 20), ("c.txt", 10), ("big.png", 200)):
+        (tmp_path / "up" / name).write_bytes(b"x" * size)
+    found = files.uploads(spark, str(tmp_path / "up"), most_bytes=100).collect()
+    assert {(r.path.rpartition("/")[2], r.mime, len(r.content)) for r in found} == {("a.png", "image/png", 10), ("b.JPG", "image/jpeg", 20)}
+    (tmp_path / "bodies.json").write_text('{"title":"t"}\nnot json\n{"title":"' + "y" * 500 + '"}\n')
+    rows = files.bodies(spark, str(tmp_path / "bodies.json"), "title string", most_bytes=100).collect()
+    assert [r.title for r in rows] == ["t", None]
+    assert files.kept(spark.range(3).toDF("id"), "three").count() == spark.sql("SELECT * FROM three").count() == 3
+
+
+@pytest.mark.parametrize("version,state", [(2, "x"), (1, ""), (1, None), (None, "x")])
+def test_wrong_envelopes_raise_or_fail_the_test(spark, version, state):
+    df = spark.createDataFrame([(version, state)], "v int, s string").select(F.struct(F.col("v").alias("schemaVersion"), F.col("s").alias("encodedState")).alias("e"))
+    assert df.select(S.valid_envelope(F.col("e"))).first()[0] is False
+    with pytest.raises(Exception, match="Unsupported schema version|Missing encoded state"):
+        df.select(S.checked_envelope(F.col("e"))).collect()
+
+
+def test_backup_only_of_maps_with_a_snapshot(spark):
+    maps = spark.createDataFrame([(1, 7, bytearray(b"abc")), (2, 7, None), (3, 8, bytearray(b"z"))], "id long, owner_id long, snapshot binary")
+    versions = spark.createDataFrame([], "map_id long, user_id long, type string, size long")
+    left, backups = M.removed_maps(maps, versions, F.col("id") < 3)
+    assert [r.id for r in left.collect()] == [3] and [tuple(r) for r in backups.collect()] == [(1, 7, "delete-backup", 3)]

@@ -119,3 +119,26 @@ def control_point(x1: Column, y1: Column, x2: Column, y2: Column, offset: float)
     """The midpoint of a line moved at a right angle to it."""
     angle = F.atan2(y2 - y1, x2 - x1)
     return (x1 + x2) / 2 - offset * F.sin(angle), (y1 + y2) / 2 + offset * F.cos(angle)
+
+
+def checked_envelope(snapshot: Column) -> Column:
+    """The envelope's state; a wrong version or a missing state ends the query with an error."""
+    return (
+        F.when(snapshot["schemaVersion"].isNull() | (snapshot["schemaVersion"] != 1), F.raise_error(F.lit("Unsupported schema version")))
+        .when(snapshot["encodedState"].isNull() | (snapshot["encodedState"] == ""), F.raise_error(F.lit("Missing encoded state")))
+        .otherwise(snapshot["encodedState"])
+    )
+
+
+def side_of(x: Column, root_x: Column) -> Column:
+    return F.when(x < root_x, "left").otherwise("right")
+
+
+def suggestions(text: Column) -> Column:
+    """The texts of a JSON answer's suggestions, fences allowed; null where there is no list."""
+    return F.from_json(without_fences(text), "suggestions array<struct<text:string>>")["suggestions"]["text"]
+
+
+def path_id(path: Column) -> Column:
+    """A stable id for a place in a tree."""
+    return F.substring(F.sha2(path, 256), 1, 16)

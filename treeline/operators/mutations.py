@@ -77,3 +77,25 @@ def store(df: DataFrame, path: str, *by: str) -> None:
     """Appends, or with ``by`` replaces just the partitions that ``df`` has."""
     writer = df.write.mode("overwrite" if by else "append").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def upserted(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``rows`` in the place of those with the same keys, new ones added."""
+    return df.join(rows.select(keys).distinct(), keys, "left_anti").unionByName(rows)
+
+
+def spliced(edges: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """An ordered relation (ord) with rows replaced at their own places; others keep theirs."""
+    places = edges.select(key, "ord")
+    return edges.join(rows.select(key), key, "left_anti").unionByName(rows.drop("ord").join(places, key).select(edges.columns))
+
+
+def loaded(documents: DataFrame, snapshots: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents with their stored state; one without a snapshot starts empty."""
+    return documents.join(snapshots, key, "left").withColumn("state", F.coalesce("state", F.lit("")))
+
+
+def manual_version(states: DataFrame, label: Column) -> DataFrame:
+    """Version rows saved by hand, with the label or a default."""
+    default = F.concat(F.lit("Manual save "), F.col("doc_id").cast("string"))
+    return states.select("doc_id", F.lit("manual").alias("type"), F.when(label.isNull() | (label == ""), default).otherwise(label).alias("label"), payload_size(F.col("encoded")).alias("size"))

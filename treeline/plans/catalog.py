@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_queries, scalar_queries, stream_queries, tree_queries  # noqa: F401
+from . import document_queries, editor_queries, scalar_queries, stream_queries, tree_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

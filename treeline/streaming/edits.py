@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.mutations import store
 from ..operators.relational import last_writes, quiet_groups
 from ..session import settled
 
@@ -62,3 +63,23 @@ def merged_state(stream: DataFrame) -> DataFrame:
 def last_seen(stream: DataFrame, key: str, time: str) -> DataFrame:
     """(key, last_updated): a running maximum per client, in complete mode."""
     return stream.groupBy(key).agg(F.max(time).alias("last_updated"))
+
+
+def saved(stream: DataFrame, history: str, checkpoint: str) -> None:
+    """Appends each micro-batch's last write per document (doc_id, clock, value) to a history.
+
+    A batch owns a partition that it overwrites, so a batch that runs again after a failure
+    leaves the history as it was. The current state is ``current_state`` of the history.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("doc_id").agg(F.max("clock").alias("clock"), F.max_by("value", "clock").alias("value"))
+        store(last.withColumn("batch", F.lit(number)), history, "batch")
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def current_state(history: DataFrame) -> DataFrame:
+    """(doc_id, clock, value): the newest version of each document."""
+    return history.groupBy("doc_id").agg(F.max("clock").alias("clock"), F.max_by("value", "clock").alias("value"))
