@@ -290,3 +290,20 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     ordered = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     place = F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(ordered))
     return left.withColumn("__place", place).where("__place = 1").select(docs.columns)
+
+
+#: All pairs over ``documents``, for small tables.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) < {SHINGLE_WORDS} THEN list_filter([array_to_string(ws, ' ')], lambda x: x <> '')
+  ELSE list_transform(range(1, len(ws) - {SHINGLE_WORDS - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE_WORDS - 1}], ' ')) END) AS g FROM w),
+c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL), z AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY 1),
+m AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.n) AS p, sum(y.n) AS q FROM c x JOIN c y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM m JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE p >= {SIMILARITY} * x.n - 1e-9 AND q >= {SIMILARITY} * y.n - 1e-9),
+u AS (SELECT a, b, g, sum(n) FILTER (doc_id = a) AS x, sum(n) FILTER (doc_id = b) AS y FROM near JOIN c ON c.doc_id = a OR c.doc_id = b GROUP BY ALL),
+v AS (SELECT i.a, i.b, i.g, 1 / sum(greatest(coalesce(k.x, 0) / i.x, coalesce(k.y, 0) / i.y)) AS part FROM u i JOIN u k ON k.a = i.a AND k.b = i.b WHERE i.x > 0 AND i.y > 0 GROUP BY ALL),
+l AS (SELECT a, b FROM v GROUP BY ALL HAVING sum(part) >= {SIMILARITY} - 1e-9 UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.t = y.t AND x.doc_id < y.doc_id),
+way AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT way.b, r.top FROM r JOIN way ON way.a = r.id)
+SELECT id AS doc_id, min(top) AS class_id, id = min(top) AS kept FROM r GROUP BY id
+"""

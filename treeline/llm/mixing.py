@@ -137,3 +137,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return rows.select(docs.columns)
+
+
+#: The same over ``documents``, with every seat's quotient written out, for small tables.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+f AS (SELECT *, CAST([{', '.join(map(str, WEIGHTS))}][(place - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, source_size * {MOST_TIMES}::DOUBLE AS cap FROM s),
+o AS (SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+t AS (SELECT source, source_size, place, least(cap, weight * (SELECT arg_min(level, (cap / weight, place)) FROM o WHERE cap / weight >= level)) AS target FROM o),
+seat AS (SELECT place, unnest(range(1, CAST(source_size * {MOST_TIMES} AS BIGINT) + 1)) AS j, target FROM t WHERE target > 0),
+won AS (SELECT place, count(*) AS quota FROM (SELECT place FROM seat QUALIFY row_number() OVER (ORDER BY target / (2 * j - 1) DESC, place, j) <= (SELECT round(sum(target)) FROM t)) GROUP BY place),
+p AS (SELECT d.*, t.source_size, t.target, t.place, CAST('0x' || substr(mark, 1, 8) AS BIGINT) % CAST(greatest(ceil(t.source_size / {SHARD_WORDS}.0), 1) AS BIGINT) AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+h AS (SELECT place, shard, CAST(sum(size) AS BIGINT) AS words FROM p GROUP BY ALL),
+hseat AS (SELECT place, shard, words, unnest(range(1, CAST(words * {MOST_TIMES} AS BIGINT) + 1)) AS j FROM h WHERE words > 0),
+hwon AS (SELECT place, shard, count(*) AS quota FROM (SELECT x.place, x.shard, row_number() OVER (PARTITION BY x.place ORDER BY words / (2 * j - 1) DESC, x.shard, j) AS nth, quota FROM hseat x JOIN won USING (place)) WHERE nth <= quota GROUP BY ALL),
+q AS (SELECT p.*, coalesce(hwon.quota, 0) AS quota, words, sum(size) OVER (PARTITION BY p.place, p.shard ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+  FROM p JOIN h ON h.place = p.place AND h.shard = p.shard LEFT JOIN hwon ON hwon.place = p.place AND hwon.shard = p.shard)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN words = 0 THEN 0 ELSE quota // words * size + greatest(0, least(size, quota % words - before)) END AS BIGINT) AS taken FROM q
+"""
