@@ -98,3 +98,11 @@ def test_digests_on_the_table_and_edges(spark, tik):
     assert bpe.digests(no_docs(spark)).count() == 0
     row = bpe.encoded(edge_docs(spark).where("doc_id = 9")).first()
     assert row.ids == tik.encode_ordinary("hi") and bytes(row.decoded) == b"hi"
+
+
+def test_workers_keep_one_operators_cache():
+    from treeline.llm.shared import worker_cache
+
+    worker_cache("one")["x"] = 1
+    assert worker_cache("one") == {"x": 1}
+    assert worker_cache("two") == {} and worker_cache("one") == {}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,14 @@ def worker_cache(operator: str) -> dict:
     return _caches.setdefault(operator, {})
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, where that path exists for them."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where none is set, as in local tests."""
     context = spark.sparkContext
