@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import handles, payload_size
+from .relational import latest_each
 
 
 def updated(df: DataFrame, condition: Column, **values) -> DataFrame:
@@ -45,8 +46,12 @@ def restore_plan(versions: DataFrame) -> DataFrame:
     The live state is backed up first where it differs, then the chosen version becomes current and is
     recorded as a restore.
     """
-    ranked = versions.groupBy("map_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "id", "size"))), 1, 2).alias("v")).where("size(v) = 2")
-    live, chosen = F.col("v")[0], F.col("v")[1]
+    rows = versions.select("id", "map_id", "created_at", "size")
+    newest = latest_each(rows, "map_id")
+    before = latest_each(rows.join(newest.select("id"), "id", "left_anti"), "map_id")
+    pair = lambda df, name: df.select("map_id", F.struct("id", "size").alias(name))
+    ranked = pair(newest, "live").join(pair(before, "chosen"), "map_id")
+    live, chosen = F.col("live"), F.col("chosen")
     row = lambda step, kind, x: F.struct(F.lit(step).cast("long").alias("step"), F.lit(kind).alias("type"), x["id"].alias("version_id"), x["size"].alias("size"))
     steps = F.array(F.when(~live["size"].eqNullSafe(chosen["size"]), row(1, "auto", live)), row(2, "current", chosen), row(3, "restore", chosen))
     return ranked.select("map_id", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("map_id", "s.*")
