@@ -34,6 +34,8 @@ BANDS, ROWS = 28, 6
 ESTIMATE_MARGIN = 0.15
 #: A bucket with more than so many open pairs a row is compared in blocks of so many rows.
 _DENSE, _BLOCK = 4, 512
+#: Pairs of one node that are verified in one place, about.
+_PART = 128
 _BROADCAST_IDS = 500_000
 _PIECE_BYTES, _PIECE_ROWS = 1 << 20, 4096
 
@@ -156,8 +158,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
                 good = pa.array(np.asarray(score) >= least - 1e-12)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), score], names=["a", "b", "similarity"]).filter(good)
 
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    # a node with many pairs is dealt out in parts, its own text to each of them
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PART).cast("int").alias("parts")).where("parts > 1")
+    many = broadcast_if_small(checkpointed(many), _BROADCAST_IDS)
+    parts = F.coalesce("parts", F.lit(1))
+    both = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    own = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(many, "a", "left")
+    own = own.select("a", "text_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = both.join(own, ["a", "part"])
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
