@@ -19,14 +19,13 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .pretokens import pretokens
-from .shared import worker_cache
+from .shared import id_and_text, worker_cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows of a recursion, distinct pieces a worker remembers, bytes of text looked at together.
-_QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 200_000, 500_000, 64, 3 << 20
+_QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 60_000, 500_000, 64, 3 << 19
 #: Pieces from this length on take the query that contracts several pairs in a step.
 _LONG = 256
 
@@ -205,5 +204,5 @@ def _pass(docs: DataFrame, path: str | None, schema: str) -> DataFrame:
                     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays([ids_of, *columns], names=["doc_id", *names])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = id_and_text(docs)
     return narrow.mapInArrow(run, schema)

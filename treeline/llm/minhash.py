@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnp
 from .graph import connected_components
-from .shared import broadcast_if_small, checkpointed, worker_cache
+from .shared import broadcast_if_small, checkpointed, id_and_text, worker_cache
 
 _U = np.uint64
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, bands: int = BANDS, rows
                 )
 
     assert m < 1 << 16
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = id_and_text(docs)
     return narrow.mapInArrow(run, "doc_id long, key_a long, key_b long, bands array<long>, sketch binary")
 
 
@@ -292,6 +292,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     All columns stay. Rows with a null doc_id stay; of rows that repeat a doc_id, one stays.
     """
     dropped = near_duplicates(docs, **options).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    dropped = broadcast_if_small(checkpointed(dropped), _BROADCAST_IDS)
     left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.take(1):

@@ -18,7 +18,8 @@ WEIGHTS, SHARE, MOST_TIMES, SEED = (3, 1, 2), 1.5, 2, 20240601
 #: Words in a shard, about: the unit that one window partition orders.
 SHARD_WORDS = 1 << 20
 _WORD = r"[^\x20\x09-\x0D]+"
-_BROADCAST_SOURCES = 10_000
+#: Tables of at most so many rows may be broadcast.
+_BROADCAST_SOURCES, _BROADCAST_ROWS = 10_000, 500_000
 
 
 def apportion(units: DataFrame, group: str, seats: str, votes: str, cap: str, order: str, out: str) -> DataFrame:
@@ -118,15 +119,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document taken 1.4 times is a row with its text and a row with the first 40 % of its
     words, spacing kept; ``n_chars``, where there is one, is counted anew in cut rows.
     """
-    plan = mixed(docs, **options).where("taken > 0")
-    ranked = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size")
-    plan = plan.withColumn("__nth", F.row_number().over(ranked)).select(F.col("doc_id").alias("__id"), "__nth", "size", "taken")
-    plan = plan.withColumnsRenamed({"size": "__size", "taken": "__taken"})
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
-    left = docs.withColumn("__n", size).where("__n > 0")
-    ranked = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "__n")
-    left = left.withColumn("__place", F.row_number().over(ranked))
-    joined = left.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__place") == F.col("__nth")))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    everything = checkpointed(mixed(docs, **options).select(key.alias("__key"), "source", F.col("size").alias("__size"), F.col("taken").alias("__taken")))
+    left, plan = docs.withColumn("__key", key), everything
+    matched = F.lit(True)
+    if everything.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        # rows that share an id are told apart by their order; the join stays on the id alone
+        size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
+        same = Window.partitionBy("__key").orderBy(F.col("source").asc_nulls_last(), "__size")
+        left = left.withColumn("__size", size).withColumn("__place", F.row_number().over(same)).drop("__size")
+        plan = plan.withColumn("__nth", F.row_number().over(same))
+        matched = (F.col("__place") >= F.col("__nth")) & (F.col("__place") <= F.col("__nth"))
+    plan = broadcast_if_small(plan.where("__taken > 0").drop("source").withColumnRenamed("__key", "__id"), _BROADCAST_ROWS)
+    joined = left.join(plan, (F.col("__key") == F.col("__id")) & matched)
     whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
     rest = (F.col("__taken") % F.col("__size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))

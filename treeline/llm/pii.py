@@ -18,7 +18,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .shared import id_and_text
 
 _ROUNDS = 10
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
@@ -233,5 +234,5 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
                 kinds.append(",".join(f"{k}:{n}" for k, n in sorted(found.items())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(numbers), pa.array(kinds, pa.string())], names=["doc_id", "text", "n_found", "kinds"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = id_and_text(docs)
     return narrow.mapInArrow(run, "doc_id long, text string, n_found long, kinds string")

@@ -19,10 +19,9 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .pretokens import pretokens
-from .shared import worker_cache
+from .shared import id_and_text, worker_cache
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Pieces whose counts a worker remembers at once, and the longest that it remembers.
@@ -195,5 +194,5 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
             columns = [batch.column("doc_id"), pa.array(size), pa.array(count), pa.array(count > limit), pa.array(cut)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = id_and_text(docs)
     return narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .shared import checkpointed, worker_cache
+from .shared import checkpointed, id_and_text, small_batches, worker_cache
 
 _U = np.uint64
 #: The fit's bounded sample of labelled rows, latent dimensions, voters, and power of their weights.
@@ -112,7 +112,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: b
         known = known.where(~_held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = id_and_text(docs)
     chosen = texts.join(F.broadcast(known), "doc_id").where("length(text) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +156,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                 scores = np.concatenate([voters.scores(x) for x in terms(batch.column("text"))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = id_and_text(docs)
     scored = texts.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those that score below 0.5; all columns stay, one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import functions as F
 
 
 _caches: dict[str, dict] = {}
@@ -43,6 +43,23 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held on both sides.
+_BATCH_ROWS = 1_000
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents for a pass in Python, in small batches."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch, where they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= _BATCH_ROWS:
+        spark.conf.set(name, str(_BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where none is set, as in local tests."""
     context = spark.sparkContext
@@ -63,4 +80,4 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     The rows are counted, so ``df`` should be checkpointed; a larger table keeps the planner's
     shuffled join, whose skewed partitions the adaptive planner can split.
     """
-    return broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
