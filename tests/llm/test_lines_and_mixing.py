@@ -87,6 +87,21 @@ def test_mix_meets_its_targets(spark, seed):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_blocks_of_many_words(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["w"] * rnd.randrange(1, 900)), f"s{rnd.choice([0, 0, 0, 1, 2, 3])}") for i in range(300)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=20_000).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    block = min(r.source_size for r in got) // 64
+    assert block > 100
+    for source, want in target.items():
+        assert abs(taken[source] - want) <= block * 6
+
+
 def model_seats(votes, seats, caps):
     won = [0] * len(votes)
     for _ in range(seats):

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small, checkpointed
 
 WEIGHTS, SHARE, MOST_TIMES, SEED = (3, 1, 2), 1.5, 2, 20240601
+#: Blocks that the smallest source has at least, where it has as many words; most words of a block.
+LEAST_BLOCKS, MOST_BLOCK = 64, 256
 #: Words in a shard, about: the unit that one window partition orders.
 SHARD_WORDS = 1 << 20
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -73,13 +75,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return sources.select("source", "source_size", target.alias("target"), "place")
 
 
-def mixed(docs: DataFrame, block_words: int = 1, shard_words: int = SHARD_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES) -> DataFrame:
+def mixed(docs: DataFrame, block_words: int | None = None, shard_words: int = SHARD_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per row of ``docs``.
 
     ``taken`` is the number of the document's words in the mix: its whole text so many
     times, then its first words once more. No document gives more than ``most_times`` its
-    size. Blocks of one word let even a source of a few words come within half a word
-    of its target a shard; larger blocks cut fewer documents.
+    size. A source comes within half a block of its target, and a block less a shard where it
+    takes all it may. Unless given, a block has 1/64 of the words of the smallest source that has
+    any, at least 1 and at most 256, so that small sources meet their targets too.
 
     A null or blank text has size 0 and gives nothing; a null source is a source, last in order; a
     null doc_id counts as a document. Rows that repeat are documents of their own. The result
@@ -90,24 +93,27 @@ def mixed(docs: DataFrame, block_words: int = 1, shard_words: int = SHARD_WORDS,
     rows = checkpointed(rows.select("doc_id", "source", size.alias("size")))
     sources = source_targets(rows, weights, share, most_times)
     everyone = Window.partitionBy("one")
-    sources = sources.withColumn("one", F.lit(1)).withColumns({
-        "blocks": F.round(F.sum("target").over(everyone) / block_words).cast("long"),
-        "cap": F.floor(F.col("source_size") * most_times / block_words),
+    sources = sources.withColumn("one", F.lit(1))
+    smallest = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everyone)
+    block = F.lit(block_words) if block_words else F.coalesce(F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.floor(smallest / LEAST_BLOCKS))), F.lit(1))
+    sources = sources.withColumn("block", block.cast("long")).withColumns({
+        "blocks": F.round(F.sum("target").over(everyone) / F.col("block")).cast("long"),
+        "cap": F.floor(F.col("source_size") * most_times / F.col("block")),
     })
     sources = apportion(sources, "one", "blocks", "target", "cap", "place", "source_blocks")
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
-    sources = checkpointed(sources.select("source", "source_size", "target", "place", "source_blocks", shards.alias("n_shards")))
+    sources = checkpointed(sources.select("source", "source_size", "target", "place", "source_blocks", "block", shards.alias("n_shards")))
     by = broadcast_if_small(sources, _BROADCAST_SOURCES).withColumnRenamed("source", "__source")
     dealt = rows.join(by, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     dealt = dealt.withColumn("mark", mark)
     dealt = dealt.withColumn("shard", F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
-    quotas = dealt.groupBy("place", "shard", "source_blocks").agg(F.sum("size").cast("long").alias("words"))
-    quotas = quotas.withColumn("cap", F.floor(F.col("words") * most_times / block_words))
+    quotas = dealt.groupBy("place", "shard", "source_blocks", "block").agg(F.sum("size").cast("long").alias("words"))
+    quotas = quotas.withColumn("cap", F.floor(F.col("words") * most_times / F.col("block")))
     quotas = apportion(quotas, "place", "source_blocks", "words", "cap", "shard", "quota").select("place", "shard", "words", "quota")
     dealt = dealt.join(quotas, ["place", "shard"])
     stream = Window.partitionBy("place", "shard").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = dealt.withColumns({"before": F.sum("size").over(stream) - F.col("size"), "q": F.col("quota") * block_words})
+    dealt = dealt.withColumns({"before": F.sum("size").over(stream) - F.col("size"), "q": F.col("quota") * F.col("block")})
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("q") % F.col("words") - F.col("before")))
     taken = F.when(F.col("words") > 0, F.floor(F.col("q") / F.col("words")) * F.col("size") + part).otherwise(0)
     return dealt.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
@@ -152,13 +158,14 @@ f AS (SELECT *, CAST([{', '.join(map(str, WEIGHTS))}][(place - 1) % {len(WEIGHTS
 o AS (SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 t AS (SELECT source, source_size, place, least(cap, weight * (SELECT arg_min(level, (cap / weight, place)) FROM o WHERE cap / weight >= level)) AS target FROM o),
-seat AS (SELECT place, unnest(range(1, CAST(source_size * {MOST_TIMES} AS BIGINT) + 1)) AS j, target FROM t WHERE target > 0),
-won AS (SELECT place, count(*) AS quota FROM (SELECT place FROM seat QUALIFY row_number() OVER (ORDER BY target / (2 * j - 1) DESC, place, j) <= (SELECT round(sum(target)) FROM t)) GROUP BY place),
+k AS (SELECT CAST(coalesce(greatest(1, least({MOST_BLOCK}, floor(min(source_size) FILTER (source_size > 0) / {LEAST_BLOCKS}))), 1) AS BIGINT) AS block FROM s),
+seat AS (SELECT place, unnest(range(1, CAST(floor(source_size * {MOST_TIMES} / (SELECT block FROM k)) AS BIGINT) + 1)) AS j, target FROM t WHERE target > 0),
+won AS (SELECT place, count(*) AS quota FROM (SELECT place FROM seat QUALIFY row_number() OVER (ORDER BY target / (2 * j - 1) DESC, place, j) <= (SELECT round(sum(target) / (SELECT block FROM k)) FROM t)) GROUP BY place),
 p AS (SELECT d.*, t.source_size, t.target, t.place, CAST('0x' || substr(mark, 1, 8) AS BIGINT) % CAST(greatest(ceil(t.source_size / {SHARD_WORDS}.0), 1) AS BIGINT) AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 h AS (SELECT place, shard, CAST(sum(size) AS BIGINT) AS words FROM p GROUP BY ALL),
-hseat AS (SELECT place, shard, words, unnest(range(1, CAST(words * {MOST_TIMES} AS BIGINT) + 1)) AS j FROM h WHERE words > 0),
+hseat AS (SELECT place, shard, words, unnest(range(1, CAST(floor(words * {MOST_TIMES} / (SELECT block FROM k)) AS BIGINT) + 1)) AS j FROM h WHERE words > 0),
 hwon AS (SELECT place, shard, count(*) AS quota FROM (SELECT x.place, x.shard, row_number() OVER (PARTITION BY x.place ORDER BY words / (2 * j - 1) DESC, x.shard, j) AS nth, quota FROM hseat x JOIN won USING (place)) WHERE nth <= quota GROUP BY ALL),
-q AS (SELECT p.*, coalesce(hwon.quota, 0) AS quota, words, sum(size) OVER (PARTITION BY p.place, p.shard ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+q AS (SELECT p.*, coalesce(hwon.quota, 0) * (SELECT block FROM k) AS quota, words, sum(size) OVER (PARTITION BY p.place, p.shard ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
   FROM p JOIN h ON h.place = p.place AND h.shard = p.shard LEFT JOIN hwon ON hwon.place = p.place AND hwon.shard = p.shard)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN words = 0 THEN 0 ELSE quota // words * size + greatest(0, least(size, quota % words - before)) END AS BIGINT) AS taken FROM q
 """
