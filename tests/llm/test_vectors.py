@@ -63,6 +63,31 @@ def test_crowd_larger_than_lists_and_blocks(spark):
     assert [got[r[0]] for r in rows] == want.tolist()
 
 
+def crowds(groups=2, each=100, dims=64, cosine=0.985):
+    """Groups of near copies, cosine about 0.99, with few links from a group to the next."""
+    rnd = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base, side = np.linalg.qr(rnd.standard_normal((dims, 2)))[0].T
+    turn = math.acos(cosine)
+    return unit(np.concatenate([math.cos(g * turn) * base + math.sin(g * turn) * side + unit(rnd.standard_normal((each, dims))) * 0.1 for g in range(groups)]))
+
+
+def test_links_between_saturated_lists(spark):
+    x = crowds()
+    linked = x @ x.T >= 0.98
+    assert linked[:100, :100].all() and 0 < linked[:100, 100:].sum() < 1000
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    found = {r.vec_id: r for r in nn_descent.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [found[i].n_links for i in range(200)] == (linked.sum(axis=1) - 1).tolist()
+    assert {r.component_id for r in found.values()} == {0}
+    # the comparison of saturated components alone: lists that hold only their own group
+    nodes = spark.createDataFrame([(i, 0, 64, v.tolist()) for i, v in enumerate(x)], "id long, label int, width int, vector array<double>")
+    graph = spark.createDataFrame([(i, i // 100 * 100 + (i + k) % 100, 0.99) for i in range(200) for k in range(1, 9)], "a long, b long, cosine double")
+    component = spark.createDataFrame([(i, i // 100 * 100) for i in range(200)], "id long, component long")
+    edges = nn_descent._between(graph, component, nodes, 0.98, 8).collect()
+    assert edges and all(linked[e.a, e.b] and e.a < 100 <= e.b for e in edges)
+
+
 def test_links_and_search_equal_sql(spark):
     con = connection(DATA)
     vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")

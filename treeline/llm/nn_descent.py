@@ -2,7 +2,9 @@
 
 Every vector keeps a short list of neighbours, started from its neighbours in several orders by
 random-hyperplane codes. A round joins each vector's neighbours, both ways, with each other, and
-keeps the closest; links that reach the threshold form components. The lists of
+keeps the closest; links that reach the threshold form components. Components with saturated
+lists, whose entries all reach the threshold, are compared with each other exactly, as far as their
+centres and radii let them link. The lists of
 linked vectors are then enlarged to their whole component, in blocks, so that groups far larger
 than a list lose no link; copies of one vector are one node with a weight. A
 sample of vectors compared with all others of their label audits the recall; while it is too
@@ -27,6 +29,8 @@ SIMILARITY, LIST, ROUNDS, MOST_ROUNDS, RECALL = 0.98, 8, 2, 8, 0.98
 #: Orders by hyperplane codes, bits of a code, neighbours taken on each side in an order.
 ORDERS, BITS, NEAR = 10, 48, 3
 AUDITED, _BLOCK = 256, 512
+#: Rows of one broadcast at most.
+_CHUNK = 8192
 _EDGE = "a long, b long, cosine double"
 
 
@@ -100,8 +104,8 @@ def _closest(edges: DataFrame, size: int) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
 
-def _joined(graph: DataFrame, nodes: DataFrame, size: int, turn: int) -> DataFrame:
-    """Edges between the neighbours of each node: out of its list, and as many that list it."""
+def _joined(graph: DataFrame, nodes: DataFrame, size: int, turn: int, similarity: float) -> DataFrame:
+    """Edges between the neighbours of each node, out of its list and as many that list it: the best four and all links."""
     back = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(turn)), "a"))
     listed = graph.withColumn("back", back).where(F.col("back") <= size).select(F.col("b").alias("pivot"), F.col("a").alias("id"))
     around = graph.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionAll(listed)
@@ -120,14 +124,96 @@ def _joined(graph: DataFrame, nodes: DataFrame, size: int, turn: int) -> DataFra
                     x = _unit(matrix(table.column("vector").slice(start, stop - start)))
                     cosine = x @ x.T
                     np.fill_diagonal(cosine, -2)
+                    taken = cosine >= similarity
                     best = np.argsort(-cosine, axis=1, kind="stable")[:, : min(4, len(own) - 1)]
-                    found.append((np.repeat(own, best.shape[1]), own[best].reshape(-1), np.take_along_axis(cosine, best, axis=1).reshape(-1)))
+                    np.put_along_axis(taken, best, True, axis=1)
+                    np.fill_diagonal(taken, False)
+                    a, b = np.nonzero(taken)
+                    found.append((own[a], own[b], cosine[a, b]))
             if found:
                 yield _edges(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
     return rows.select("pivot", "id", "vector").mapInArrow(run, _EDGE)
 
 
+def _merged(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after further edges (a, b) between nodes."""
+    return checkpointed(connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(edges)))
+
+
+def _between(graph: DataFrame, component: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame | None:
+    """Links (a, b) between components with saturated lists, one at least of any two that have some; None without two such.
+
+    A list full of links drops those behind them, so nothing else would find a link between two
+    crowds. Components are dealt out in pieces of about a block; by the triangle
+    inequality of angles only pieces whose centres lie within their radii and the threshold can link.
+    """
+    lists = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
+    full = lists.where((F.col("n") >= size) & (F.col("least") >= similarity)).select(F.col("a").alias("id"))
+    crowds = checkpointed(full.join(component, "id").select("component").distinct())
+    if crowds.count() < 2:
+        return None
+    members = component.join(crowds, "component")
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
+    members = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    members = checkpointed(members.join(nodes.select("id", "label", "width", "vector"), "id").drop("blocks"))
+
+    def middle(table: pa.Table) -> pa.Table:
+        x = _unit(matrix(table.column("vector")))
+        centre = x.sum(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        first = table.select(["component", "own", "label", "width"]).slice(0, 1)
+        return first.append_column("radius", pa.array([radius])).append_column("centre", pa.array([centre.tolist()], pa.list_(pa.float64())))
+
+    pieces = members.groupBy("component", "own").applyInArrow(middle, "component long, own long, label int, width int, radius double, centre array<double>")
+    pieces = checkpointed(pieces)
+    reach = float(np.arccos(np.clip(similarity, -1, 1))) + 1e-6
+    chunks = -(-pieces.count() // _CHUNK)
+    near = None
+    for chunk in range(chunks):
+        part = pieces.where(F.pmod(F.xxhash64("component", "own"), F.lit(chunks)) == chunk).toArrow()
+        asked = nodes.sparkSession.sparkContext.broadcast(part)
+
+        def close(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            for table in _sliced(batches):
+                for mine, theirs in _same_kind(table, asked.value):
+                    angle = np.arccos(np.clip(matrix(mine.column("centre")) @ matrix(theirs.column("centre")).T, -1, 1))
+                    radii = mine.column("radius").to_numpy()[:, None] + theirs.column("radius").to_numpy()[None, :]
+                    before = mine.column("component").to_numpy()[:, None] < theirs.column("component").to_numpy()[None, :]
+                    i, j = np.nonzero((angle <= radii + reach) & before)
+                    yield pa.RecordBatch.from_arrays([x.take(pa.array(k)).combine_chunks() for x, k in ((mine.column("component"), i), (mine.column("own"), i), (theirs.column("component"), j), (theirs.column("own"), j))], names=["c1", "o1", "c2", "o2"])
+
+        found = checkpointed(pieces.mapInArrow(close, "c1 long, o1 long, c2 long, o2 long"))
+        near = found if near is None else near.unionAll(found)
+    sides = [near.select("*", F.col(f"c{side}").alias("component"), F.col(f"o{side}").alias("own")) for side in (1, 2)]
+    rows = sides[0].unionAll(sides[1]).join(members.select("id", "component", "own", "vector"), ["component", "own"])
+
+    def linked(table: pa.Table) -> pa.Table:
+        first = table.column("component").to_numpy() == table.column("c1").to_numpy()
+        one, two = table.filter(pa.array(first)), table.filter(pa.array(~first))
+        at = np.argwhere(_unit(matrix(one.column("vector"))) @ _unit(matrix(two.column("vector"))).T >= similarity)[:1]
+        return pa.table({"a": one.column("id").take(pa.array(at[:, 0])), "b": two.column("id").take(pa.array(at[:, 1]))})
+
+    return rows.groupBy("c1", "o1", "c2", "o2").applyInArrow(linked, "a long, b long")
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of at most a block."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _BLOCK):
+            yield pa.Table.from_batches([batch.slice(start, _BLOCK)])
+
+
+def _same_kind(one: pa.Table, two: pa.Table) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The rows of both tables, by equal label and width."""
+    kinds = [np.stack([t.column("label").to_numpy(), t.column("width").to_numpy()], axis=1) for t in (one, two)]
+    for kind in np.unique(kinds[0], axis=0):
+        mine, theirs = ((k == kind).all(axis=1) for k in kinds)
+        if theirs.any():
+            yield one.filter(pa.array(mine)), two.filter(pa.array(theirs))
+
+
 def _inside(component: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(id, links): each component's nodes compared with all of it, block against block."""
     sizes = component.groupBy("component").agg(F.count("*").alias("n"))
@@ -202,10 +288,13 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY
     nodes = checkpointed(nodes.select("id", "label", "node", "weight", "vector", F.size("vector").alias("width")))
     graph = checkpointed(_closest(_started(nodes, ORDERS, BITS, NEAR, 1), size))
     for turn in range(1, MOST_ROUNDS + 1):
-        graph = checkpointed(_closest(graph.unionAll(_joined(graph, nodes, size, turn)), size))
+        graph = checkpointed(_closest(graph.unionAll(_joined(graph, nodes, size, turn, similarity)), size))
         if turn < ROUNDS:
             continue
         component = checkpointed(connected_components(graph.where(F.col("cosine") >= similarity).select("a", "b")))
+        between = _between(graph, component, nodes, similarity, size)
+        if between is not None:
+            component = _merged(component, between)
         linked, apart = _missed(nodes, component, similarity, AUDITED)
         if apart <= (1 - recall) * linked:
             break
