@@ -88,6 +88,22 @@ def test_links_between_saturated_lists(spark):
     assert edges and all(linked[e.a, e.b] and e.a < 100 <= e.b for e in edges)
 
 
+def test_lost_pairs_are_found_beside_a_crowd(spark, monkeypatch):
+    """Pairs that the orders miss, next to a group whose links outnumber them."""
+    rnd = np.random.default_rng(4)
+    crowd = rnd.standard_normal(16) + rnd.standard_normal((400, 16)) * 0.02
+    alone = rnd.standard_normal((100, 16))
+    x = np.concatenate([crowd, alone, alone + rnd.standard_normal((100, 16)) * 0.01])
+    # orders that see only the crowd
+    started = nn_descent._started
+    monkeypatch.setattr(nn_descent, "_started", lambda nodes, *rest: started(nodes.where("id < 400"), *rest))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    found = {r.vec_id: r for r in nn_descent.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [found[i].n_links for i in range(600)] == ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist()
+    assert [found[i].component_id for i in range(500, 600)] == list(range(400, 500))
+
+
 def test_links_and_search_equal_sql(spark):
     con = connection(DATA)
     vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")

@@ -6,9 +6,10 @@ keeps the closest; links that reach the threshold form components. Components wi
 lists, whose entries all reach the threshold, are compared with each other exactly, as far as their
 centres and radii let them link. The lists of
 linked vectors are then enlarged to their whole component, in blocks, so that groups far larger
-than a list lose no link; copies of one vector are one node with a weight. A
-sample of vectors compared with all others of their label audits the recall; while it is too
-low, further rounds follow.
+than a list lose no link; copies of one vector are one node with a weight. Sampled vectors
+compared with all others of their label audit the recall, by linked vectors; while it is too low,
+further rounds follow. Where links are too rare to judge by, and after the last round, all vectors
+are compared.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,29 +244,47 @@ def _inside(component: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
     return compared.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _missed(nodes: DataFrame, component: DataFrame, similarity: float, audited: int) -> tuple[int, int]:
-    """Links of a bounded sample of nodes with all of their label, and how many of them cross components."""
-    placed = nodes.join(component, "id", "left").select("id", "label", "vector", F.coalesce("component", "id").alias("component"))
-    sample = placed.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(audited).toPandas()
-    if not len(sample):
-        return 0, 0
-    asked = nodes.sparkSession.sparkContext.broadcast(sample)
+def _audit(nodes: DataFrame, component: DataFrame, similarity: float, size: int, recall: float, whole: bool) -> tuple[bool, DataFrame]:
+    """Whether the recall holds, and the missed links (a, b) between components that were seen.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = asked.value
-        for batch in batches:
-            for q in queries.itertuples(index=False):
-                keep = (batch.column("label").to_numpy(zero_copy_only=False) == q.label) & (pc.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False) == len(q.vector))
-                keep &= batch.column("id").to_numpy() != q.id
-                part = batch.filter(pa.array(keep))
-                if part.num_rows:
-                    linked = _unit(matrix(part.column("vector"))) @ _unit(np.array([q.vector]))[0] >= similarity
-                    apart = linked & (part.column("component").to_numpy() != q.component)
-                    if linked.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([int(linked.sum())]), pa.array([int(apart.sum())])], names=["linked", "apart"])
+    Sampled nodes are compared with all of their label, in passes of bounded size, until enough of them have links
+    and belong to small groups. The linked nodes count, not their links, and small groups apart from
+    large ones: a node is missed if one of its links crosses components. Where links are too rare, or
+    ``whole``, the passes go on to the last node; then the links seen are all there are.
+    """
+    placed = checkpointed(nodes.join(component, "id", "left").select("id", "label", "width", "vector", F.coalesce("component", "id").alias("component")))
+    total = placed.count()
+    order = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(max(1, total)))
+    linked, apart, crossing = [0, 0], [0, 0], None
+    start, stop = 0, AUDITED
+    while start < total:
+        part = placed.where((order >= start) & (order < stop)).toArrow()
+        asked = nodes.sparkSession.sparkContext.broadcast(part)
 
-    row = placed.mapInArrow(run, "linked long, apart long").agg(F.sum("linked"), F.sum("apart")).first()
-    return row[0] or 0, row[1] or 0
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            for table in _sliced(batches):
+                for mine, theirs in _same_kind(table, asked.value):
+                    own, ids = (t.column("id").to_numpy() for t in (mine, theirs))
+                    near = _unit(matrix(mine.column("vector"))) @ _unit(matrix(theirs.column("vector"))).T >= similarity
+                    near &= own[:, None] != ids[None, :]
+                    cross = near & (mine.column("component").to_numpy()[:, None] != theirs.column("component").to_numpy()[None, :])
+                    at = np.flatnonzero(near.any(axis=0))
+                    others = [own[cross[:, j]].tolist() for j in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(near[:, at].sum(axis=0)), pa.array(others, pa.list_(pa.int64()))], names=["id", "links", "others"])
+
+        seen = checkpointed(placed.mapInArrow(run, "id long, links long, others array<long>"))
+        found = seen.select(F.col("id").alias("a"), F.explode("others").alias("b"))
+        crossing = found if crossing is None else crossing.unionAll(found)
+        each = seen.groupBy("id").agg(F.sum("links").alias("links"), F.sum(F.size("others")).alias("apart"))
+        for large, n, missed in each.groupBy(F.col("links") > size).agg(F.count("*"), F.count(F.when(F.col("apart") > 0, 1))).collect():
+            linked[large] += n
+            apart[large] += missed
+        if not whole and linked[0] >= AUDITED:
+            break
+        start, stop = stop, stop + _CHUNK
+    if crossing is None or start >= total:
+        return True, crossing if crossing is not None else component.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return all(m <= (1 - recall) * n for n, m in zip(linked, apart, strict=True)), crossing
 
 
 def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, size: int = LIST, recall: float = RECALL) -> DataFrame:
@@ -295,8 +313,10 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY
         between = _between(graph, component, nodes, similarity, size)
         if between is not None:
             component = _merged(component, between)
-        linked, apart = _missed(nodes, component, similarity, AUDITED)
-        if apart <= (1 - recall) * linked:
+        # the last round leaves nothing to chance
+        enough, crossing = _audit(nodes, component, similarity, size, recall, turn == MOST_ROUNDS)
+        component = _merged(component, crossing)
+        if enough:
             break
         graph = checkpointed(_closest(graph.unionAll(_started(nodes, ORDERS, BITS, NEAR, 1 + turn)), size))
     links = _inside(component, nodes, similarity)
