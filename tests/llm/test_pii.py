@@ -34,6 +34,36 @@ def test_kinds_format_and_return(text, kinds):
         assert (value in made) == (not kinds) or "iban" in kinds  # a false check number stays
 
 
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("pay 4111 1111 1111 1111 12/27 now", "4111 1111 1111 1111", "card"),
+        ("4111111111111111 123", "4111111111111111", "card"),
+        ("order 77 4111 1111 1111 1111.", "4111 1111 1111 1111", "card"),
+        ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034", "iban"),
+        ("to AT61 1904 3002 3457 3201 EUR", "AT61 1904 3002 3457 3201", "iban"),
+    ],
+)
+def test_values_inside_failed_matches(text, value, kind):
+    made, found = NAMES.replaced(text)
+    assert value not in made and dict(found) == {kind: 1}
+    head, tail = text.split(value)
+    assert made.startswith(head) and made.endswith(tail) and len(made) == len(text)
+    assert BACK.replaced(made)[0] == text
+
+
+def test_values_inside_failed_matches_return():
+    rnd = random.Random(3)
+    for _ in range(200):
+        body = [4, *(rnd.randrange(10) for _ in range(14))]
+        card = "".join(map(str, next([*body, d] for d in range(10) if pii.luhn([*body, d]))))
+        spaced = " ".join(card[k : k + 4] for k in range(0, 16, 4))
+        for text in (f"pay {spaced} 12/27 now", f"{card} 123", f"order 77 {spaced}.", f"{spaced} 7"):
+            made = NAMES.replaced(text)[0]
+            assert card not in made and spaced not in made
+            assert BACK.replaced(made)[0] == text
+
+
 def test_permutations_are_bijections():
     feistel = pii.Feistel(b"key")
     for radices in ([10, 10, 10], [7], [26, 10, 2], [3, 5, 7, 2]):

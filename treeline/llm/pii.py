@@ -4,7 +4,8 @@ Validated values (payment cards by Luhn, IBANs by mod 97, social security number
 addresses, calendar dates, e-mail addresses, credentials) are permuted under a key within
 their own format: digits stay digits, letters letters, separators and case stay, check
 digits hold again. Equal values get equal pseudonyms in every document, and the holder of the
-key can undo them.
+key can undo them. Only a value that shares characters with a match that fails its check may get another
+pseudonym there: one with which that match fails still.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,16 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+class Hit(NamedTuple):
+    """A value's place, where the failed matches that reach it begin, and where its longest match ends."""
+
+    kind: str
+    start: int
+    stop: int
+    tried: int
+    longest: int
+
+
 class Pseudonyms:
     """Replaces the values of one key; ``back`` restores them."""
 
@@ -196,20 +208,55 @@ class Pseudonyms:
         if not _LIKELY.search(text):
             return text, found
 
-        def new(match: re.Match) -> str:
-            kind = next(k for k in FORMS if match.group(k) is not None)
-            value = match.group("value") if kind == "secret" else match.group()
-            known = self.known.get((kind, value), "")
-            if known == "":
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                known = self.known[kind, value] = getattr(self, kind)(value)
-            if known is None:
-                return match.group()
+        out, done = [], 0
+        while hit := self._first(text, done):
+            kind, start, stop, tried, longest = hit
+            value = text[start:stop]
+            made = self._made(kind, value)
+            if tried < start or stop < longest:
+                # a place that fails now must not pass with the pseudonym in it, or ``back`` would take that one
+                low, high = max(0, tried - 1), stop + 60
+                place = lambda x: (self._first(text[low:start] + x + text[stop:high], tried - low) or ())[:3]
+                same = (kind, start - low, stop - low)
+                if place(value) == same:
+                    while made is not None and place(made) != same:
+                        made = self._made(kind, made)
+            out += [text[done:start], value if made is None else made]
             found[kind] += 1
-            return match.group()[: len(match.group()) - len(value)] + known
-
-        return _ANY.sub(new, text), found
+            done = stop
+        return "".join([*out, text[done:]]), found
+
+    def _made(self, kind: str, value: str) -> str | None:
+        known = self.known.get((kind, value), "")
+        if known == "":
+            if len(self.known) > 100_000:
+                self.known.clear()
+            known = self.known[kind, value] = getattr(self, kind)(value)
+        return known
+
+    def _first(self, text: str, at: int) -> Hit | None:
+        """The first valid value from a place on; a match that fails is searched for shorter and later ones."""
+        tried = failed = at
+        while match := _ANY.search(text, at):
+            if match.start() >= failed:
+                tried = match.start()
+            kind = next(k for k in FORMS if match.group(k) is not None)
+            span = match.span("value") if kind == "secret" else match.span()
+            for start, stop in _windows(kind, *span, text):
+                if self._made(kind, text[start:stop]) is not None:
+                    return Hit(kind, start, stop, min(tried, start) if tried < match.start() else start, span[1])
+            failed, at = max(failed, match.end()), match.start() + 1
+        return None
+
+
+def _windows(kind: str, start: int, stop: int, text: str) -> Iterator[tuple[int, int]]:
+    """The places to try from the start of a match: all of it, then, for cards and IBANs, up to its group borders, longest first."""
+    yield start, stop
+    if kind in ("card", "iban"):
+        form = re.compile(FORMS[kind])
+        for end in range(stop - 1, start, -1):
+            if text[end] in " -" and form.fullmatch(text, start, end):
+                yield start, end
 
 
 def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
