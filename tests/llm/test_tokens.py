@@ -79,6 +79,46 @@ def test_recursion_equals_the_library(tik):
         assert decoded == text.encode()
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize("alphabet", ["acgt", LETTERS, ["the", "international", "xq", "zz", "aaaa", "ation"], "漢字日本語文書", "=-"])
+@pytest.mark.parametrize("size", [255, 257, 1_000, 20_000])
+def test_long_pieces_equal_the_library(tik, alphabet, size):
+    rnd = random.Random(size)
+    text = "".join(rnd.choice(alphabet) for _ in range(size))
+    encoder = bpe.recursive_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ((ids, decoded),) = encoder.encode([text])
+    assert ids == np.array(tik.encode_ordinary(text), "<u4").tobytes() and decoded == text.encode()
+
+
+def test_pieces_of_a_million_letters(tik):
+    rnd = random.Random(3)
+    encoder = bpe.recursive_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = ["a" * 1_000_000, "b" + "a" * 1_000_000, "x " + "ab" * 100_000 + "a" * 77_777 + "bc" * 9_999, "".join(rnd.choice(LETTERS) for _ in range(200_000))]
+    for text, (ids, decoded) in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.array(tik.encode_ordinary(text), "<u4").tobytes() and decoded == text.encode()
+
+
+def test_work_grows_with_the_length_of_a_piece():
+    encoder, asked, rnd = bpe.recursive_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), [], random.Random(4)
+    plain = encoder.encode_pieces
+
+    def counted(pieces):
+        asked.append(sum(map(len, pieces)))
+        return plain(pieces)
+
+    encoder.encode_pieces = counted
+    try:
+        for size in (20_000, 80_000):
+            encoder.encode_long([bytes(rnd.choice(b"acgt") for _ in range(size))])
+            asked.append(-1)
+    finally:
+        del encoder.encode_pieces
+    first, second = (sum(x) for x in (asked[: asked.index(-1)], asked[asked.index(-1) + 1 : -1]))
+    assert second < 5 * first and second < 10 * 80_000
+
+
 def test_decoding_any_ids(tik):
     encoder = bpe.recursive_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rnd = random.Random(1)

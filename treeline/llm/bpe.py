@@ -2,10 +2,15 @@
 
 Every distinct piece of text is a set of token-position rows. One step of the recursion joins each token
 and its successor to the merge table and contracts the piece's leftmost pair of least rank;
-pieces without such a pair are done. In long pieces, where no later merge of the new token
-can have a lower rank, all non-overlapping pairs of that rank are contracted at once from the
-left, which is the same sequence of contractions. Decoding is an ordered aggregation of the
-tokens' bytes.
+pieces without such a pair are done.
+
+Long pieces are cut into chunks that are encoded like pieces. Tokens in a row are the encoding of their bytes exactly
+when every two neighbours are the encoding of theirs: up to the first contraction across a border, what happens
+inside two neighbours is what happens to them alone. So only the borders between chunks are looked at, and
+where one does not hold, the bytes around it are encoded again, until all hold. Work and
+memory grow with a piece's length, not with its square.
+
+Decoding is an ordered aggregation of the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -26,10 +31,14 @@ from .shared import id_and_text, worker_cache
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows of a recursion, distinct pieces a worker remembers, bytes of text looked at together.
 _QUERY_BYTES, _REMEMBERED, _LONGEST, _PIECE_BYTES = 60_000, 500_000, 64, 3 << 19
-#: Pieces from this length on take the query that contracts several pairs in a step.
-_LONG = 256
+#: Pieces from this length on are cut into chunks; a longer stretch around a border takes the query that
+#: contracts several pairs in a step.
+_LONG, _CHUNK = 256, 64
+#: Tokens before and bytes after a border that are encoded again at first; most bytes while borders move on.
+_BACK, _AHEAD, _FAR = 4, 64, 4096
 
-_DONE = "SELECT word, list(tok ORDER BY pos) AS ids, string_agg(shown, '' ORDER BY pos) AS shown FROM state JOIN vocabulary ON tok = id GROUP BY word ORDER BY word"
+_DONE = "SELECT list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY word ORDER BY word"
+_DECODE = "SELECT string_agg(shown, '' ORDER BY pos) AS shown FROM given JOIN vocabulary ON tok = id GROUP BY word ORDER BY word"
 _ENCODE = f"""
 WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
   SELECT word, pos, tok FROM pieces
@@ -79,30 +88,34 @@ class RecursiveBpe:
         vocabulary = pa.table({"id": pa.array(list(rank.values()), pa.int32()), "shown": [t.hex() for t in rank]})
         self.single = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         self.packed = "<u2" if len(soonest) <= 1 << 16 else "<u4"
-        #: ids of pieces, packed; and what they decode to, where that is not the piece itself
+        #: ids of pieces, packed; and whether two tokens stay apart next to each other
         self.known: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.apart: dict[tuple[int, int], bool] = {}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
+        numbers = sorted(rank.values())
+        #: the bytes of every token, by its id
+        self.token: list[bytes] = [b""] * len(soonest)
+        for number, raw in zip(numbers, self.decode([[x] for x in numbers]), strict=True):
+            self.token[number] = raw
+        self.width = np.array([len(x) for x in self.token])
 
-    def _asked(self, query: str, name: str, table: pa.Table) -> list[tuple[bytes, bytes]]:
+    def _asked(self, query: str, name: str, table: pa.Table) -> pa.Table:
         self.con.register(name, table)
         out = self.con.sql(query).to_arrow_table().combine_chunks()
         self.con.unregister(name)
-        lists = out.column("ids").combine_chunks()
-        flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
-        return [(flat[a:b], bytes.fromhex(x)) for a, b, x in zip(at[:-1], at[1:], out.column("shown").to_pylist(), strict=True)]
+        return out
 
     def _rows(self, values: np.ndarray, counts: np.ndarray) -> pa.Table:
         word = np.repeat(np.arange(len(counts)), counts)
         pos = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
         return pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(values, pa.int32())})
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, their decoded bytes) of non-empty pieces."""
+    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of non-empty pieces, each contracted as a whole."""
         out, start, size = [], 0, 0
         for i, piece in enumerate([*pieces, b""]):
             if i == len(pieces) or size and size + len(piece) > _QUERY_BYTES:
@@ -110,43 +123,133 @@ class RecursiveBpe:
                 if part:
                     raw = np.frombuffer(b"".join(part), np.uint8)
                     query = _ENCODE if max(map(len, part)) < _LONG else _ENCODE_LONG
-                    out += self._asked(query, "pieces", self._rows(self.single[raw], np.array([len(x) for x in part])))
+                    rows = self._rows(self.single[raw], np.array([len(x) for x in part]))
+                    lists = self._asked(query, "pieces", rows).column("ids").combine_chunks()
+                    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                    out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 start, size = i, 0
             size += len(piece)
         return out
 
+    def _stay_apart(self, pairs: set[tuple[int, int]]) -> None:
+        """Learns of pairs of tokens whether their bytes are encoded as just these two."""
+        new = sorted(pairs - self.apart.keys(), key=lambda p: len(self.token[p[0]]) + len(self.token[p[1]]))
+        if len(self.apart) > _REMEMBERED:
+            self.apart.clear()
+            new = list(pairs)
+        for pair, ids in zip(new, self.encode_pieces([self.token[a] + self.token[b] for a, b in new]), strict=True):
+            self.apart[pair] = len(ids) == 2 and (int(ids[0]), int(ids[1])) == pair
+
+    def encode_long(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of long pieces: chunks first, then the borders that do not hold."""
+        found: dict[bytes, np.ndarray] = {}
+
+        def learn(parts: set[bytes]) -> None:
+            new = sorted(parts - found.keys(), key=len)
+            found.update(zip(new, self.encode_pieces(new), strict=True))
+
+        learn({x[i : i + _CHUNK] for x in pieces for i in range(0, len(x), _CHUNK)})
+        sequences = [_Sequence([found[x[i : i + _CHUNK]] for i in range(0, len(x), _CHUNK)]) for x in pieces]
+        work = sequences
+        while work:
+            self._stay_apart({pair for s in work for pair in s.pairs()})
+            for s in work:
+                s.judge(self.apart)
+            work = [s for s in work if len(s.borders)]
+            for s in work:
+                s.plan(self.token, self.width)
+            learn({part for s in work for _, _, part in s.windows})
+            for s in work:
+                s.replace(found)
+        return [s.ids for s in sequences]
+
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of ids."""
         counts = np.array([len(x) for x in sequences], np.int64)
         values = np.array([t for x in sequences for t in x], np.int64)
-        rows = self._rows(values, counts)
-        found = iter(self._asked(_DONE.replace("state", "given"), "given", rows)) if len(values) else iter(())
-        return [next(found)[1] if n else b"" for n in counts]
+        shown = self._asked(_DECODE, "given", self._rows(values, counts)).column("shown").to_pylist() if len(values) else []
+        found = map(bytes.fromhex, shown)
+        return [next(found) if n else b"" for n in counts]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text; ids as little-endian 32-bit integers.
 
-        The ids of every new piece are decoded, by the ordered aggregation, when they are made.
+        The bytes are looked up from the text's own ids, in what ``decode`` gives for every token.
         """
         split = [pretokens(text) for text in texts]
         if len(self.known) > _REMEMBERED:  # frequent pieces came early
             for old in list(self.known)[_REMEMBERED // 2 :]:
                 del self.known[old]
-                self.odd.pop(old, None)
         # by length, so that the pieces of one query are done after about as many steps
         new = sorted({piece for pieces in split for piece in pieces if piece not in self.known}, key=len)
-        for piece, (ids, decoded) in zip(new, self.encode_pieces([x.encode() for x in new]), strict=True):
-            self.known[piece] = np.frombuffer(ids, "<u4").astype(self.packed).tobytes()
-            if decoded != piece.encode():
-                self.odd[piece] = decoded
+        raw = [x.encode() for x in new]
+        short = [x for x in raw if len(x) < _LONG]
+        ids_of = dict(zip(short, self.encode_pieces(short), strict=True))
+        rest = [x for x in raw if len(x) >= _LONG]
+        ids_of.update(zip(rest, self.encode_long(rest), strict=True))
+        for piece, x in zip(new, raw, strict=True):
+            self.known[piece] = ids_of[x].astype(self.packed).tobytes()
+        token = self.token.__getitem__
         for pieces in split:
-            packed = b"".join([self.known[piece] for piece in pieces])
-            decoded = b"".join([self.odd.get(x) or x.encode() for x in pieces]) if self.odd else "".join(pieces).encode()
-            yield np.frombuffer(packed, self.packed).astype("<u4").tobytes(), decoded
+            ids = np.frombuffer(b"".join([self.known[piece] for piece in pieces]), self.packed)
+            yield ids.astype("<u4").tobytes(), b"".join(map(token, ids.tolist()))
         for piece in new:
             if len(piece) > _LONGEST:
                 del self.known[piece]
-                self.odd.pop(piece, None)
+
+
+class _Sequence:
+    """Tokens of one long piece, and its borders that are not known to hold."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.ids = np.concatenate(parts)
+        #: border i lies between tokens i - 1 and i
+        self.borders = np.cumsum([len(x) for x in parts])[:-1]
+        self.back, self.ahead, self.first, self.turn = _BACK, _AHEAD, -1, 0
+        self.windows: list[tuple[int, int, bytes]] = []
+
+    def pairs(self) -> set[tuple[int, int]]:
+        return set(zip(self.ids[self.borders - 1].tolist(), self.ids[self.borders].tolist(), strict=True))
+
+    def judge(self, apart: dict[tuple[int, int], bool]) -> None:
+        """Keeps the borders that do not hold."""
+        pairs = zip(self.ids[self.borders - 1].tolist(), self.ids[self.borders].tolist(), strict=True)
+        self.borders = self.borders[np.fromiter((not apart[pair] for pair in pairs), bool, len(self.borders))]
+
+    def plan(self, token: list[bytes], width: np.ndarray) -> None:
+        """The windows (first token, last token + 1, bytes) around borders, left to right, apart from each other.
+
+        Each round either brings the first border further or gives windows more room, in the end all of the piece.
+        """
+        sizes = np.concatenate([[0], np.cumsum(width[self.ids])])
+        first, self.turn = int(sizes[self.borders[0]]), self.turn + 1
+        if first <= self.first:
+            self.back, self.ahead = 2 * self.back, 2 * self.ahead
+        elif self.turn % 16 == 0:  # a border that runs along a repetition
+            self.ahead = max(self.ahead, min(2 * self.ahead, _FAR))
+        self.first, self.windows, free = max(first, self.first), [], 0
+        stops = np.searchsorted(sizes, sizes[self.borders] + self.ahead)
+        for border, stop in zip(self.borders.tolist(), stops.tolist(), strict=True):
+            start, stop = max(0, border - self.back), min(max(stop, border + self.back), len(self.ids))
+            if start >= free:
+                self.windows.append((start, stop, b"".join([token[i] for i in self.ids[start:stop].tolist()])))
+                free = stop + 1
+
+    def replace(self, found: dict[bytes, np.ndarray]) -> None:
+        """Puts the windows' own encodings in place; their edges are borders again."""
+        parts, borders, done, size = [], [], 0, 0
+        for start, stop, part in [*self.windows, (len(self.ids), len(self.ids), b"")]:
+            low, high = np.searchsorted(self.borders, [done + 1, start])
+            borders += (self.borders[low:high] + (size - done)).tolist()
+            parts.append(self.ids[done:start])
+            size += start - done
+            if part:
+                parts.append(found[part])
+                borders += [size, size + len(found[part])]
+                size += len(found[part])
+            done = stop
+        self.ids = np.concatenate(parts)
+        self.borders = np.array(sorted({x for x in borders if 0 < x < len(self.ids)}), np.int64)
 
 
 def recursive_bpe(path: str) -> RecursiveBpe:
@@ -175,7 +278,9 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     One row per row of ``docs`` (doc_id, text); a null text is empty and gives no ids. A
     null doc_id stays null, repeated rows are encoded alike, other columns are ignored and
-    no rows give no rows. The pass has no shuffle; a lost task is simply run again.
+    no rows give no rows. The pass has no shuffle; a lost task is simply run again. Texts are
+    whole, whatever their length, and so are single pieces without a blank: those take memory and, but
+    for such as repeat themselves at length, time in proportion to their length.
     """
     return _pass(docs, path, "doc_id long, ids array<int>, decoded binary")
 
