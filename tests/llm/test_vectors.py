@@ -104,10 +104,63 @@ def test_lost_pairs_are_found_beside_a_crowd(spark, monkeypatch):
     assert [found[i].component_id for i in range(500, 600)] == list(range(400, 500))
 
 
+def linked_rows(spark, x):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    return {r.vec_id: r for r in nn_descent.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+
+
+def test_links_on_one_row_in_a_thousand(spark):
+    """Too few linked vectors for a sample to see: the probes judge."""
+    rnd = np.random.default_rng(6)
+    x = rnd.standard_normal((9_000, 48))
+    x = np.concatenate([x, x[:5] + 0.01 * rnd.standard_normal((5, 48))])
+    found = linked_rows(spark, x)
+    assert {i: r.n_links for i, r in found.items() if r.n_links} == dict.fromkeys([*range(5), *range(9_000, 9_005)], 1)
+    assert [found[9_000 + i].component_id for i in range(5)] == list(range(5))
+    assert all(0.98 <= r.recall <= 1 for r in found.values())
+
+
+def test_probes_tell_a_descent_that_finds_nothing(spark, monkeypatch):
+    """Without starting edges no probe is found, so all vectors are compared."""
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((300, 16))
+    x = np.concatenate([x, x[:3] + 0.001])
+    monkeypatch.setattr(nn_descent, "MOST_AUDITED", 1)
+    started = nn_descent._started
+    monkeypatch.setattr(nn_descent, "_started", lambda nodes, *rest: started(nodes.limit(0), *rest))
+    found = linked_rows(spark, x)
+    assert {i for i, r in found.items() if r.n_links} == {0, 1, 2, 300, 301, 302}
+    assert [found[300 + i].component_id for i in range(3)] == [0, 1, 2] and found[0].recall == 1
+
+
+def test_a_crowd_of_cliques(spark):
+    """Cliques as large as a list, each linked with the next: no list has room for the link onwards."""
+    base, rnd = np.eye(40)[:1], np.random.default_rng(7)
+    turn, x = math.acos(0.9805), []
+    for g in range(6):
+        centre = math.cos(g * turn) * base[0] + math.sin(g * turn) * np.eye(40)[1]
+        x += [centre + 0.0005 * rnd.standard_normal(40) for _ in range(nn_descent.GROWN + 1)]
+    x = np.array(x)
+    found = linked_rows(spark, x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [found[i].n_links for i in range(len(x))] == ((unit @ unit.T >= 0.98).sum(axis=1) - 1).tolist()
+    assert {r.component_id for r in found.values()} == {0}
+
+
+def test_components_with_hot_centres(spark):
+    from treeline.llm.graph import connected_components
+
+    edges = [(1, i) for i in range(2, 400)] + [(500, i) for i in range(501, 800)] + [(399, 799), (900, 901), (902, 901), (7, 7), (None, 3)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {(i, 1) for i in [*range(1, 400), *range(500, 800)]} | {(900, 900), (901, 900), (902, 900)}
+    for hot in (20, 1_000_000):
+        assert {tuple(r) for r in connected_components(frame, hot=hot).collect()} == want
+
+
 def test_links_and_search_equal_sql(spark):
     con = connection(DATA)
     vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    assert_same(nn_descent.embedding_near_duplicates(vectors), con, nn_descent.ORACLE_SQL)
+    assert_same(nn_descent.embedding_near_duplicates(vectors).drop("recall"), con, nn_descent.ORACLE_SQL)
     assert_same(kdtree.top_k(vectors), con, kdtree.ORACLE_SQL)
 
 

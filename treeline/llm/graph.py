@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 from .shared import checkpointed
 
 
+#: Links of one node that a single task may read. Above it, the node's least neighbour is broadcast to them.
+HOT = 1_000_000
+
+
+def _met(edges: DataFrame, least: DataFrame, n: int, hot: int) -> DataFrame:
+    """``edges`` with the ``m`` of ``least`` (a, m, links) of their first node.
+
+    Of n links, at most n / ``hot`` nodes have more than ``hot``: only those are broadcast.
+    """
+    if n <= hot:
+        return edges.join(least.drop("links"), "a")
+    least = checkpointed(least)
+    centres = F.broadcast(least.where(F.col("links") > hot).drop("links"))
+    rest = edges.join(centres.select("a"), "a", "left_anti").join(least.drop("links"), "a")
+    return rest.unionAll(edges.join(centres, "a").select(rest.columns))
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, hot: int = HOT) -> DataFrame:
     """(id, component) of every node of ``edges`` (a, b): the smallest id it can reach.
 
     Alternates large-star and small-star contractions, which end in a logarithmic number of
     rounds with one star per component. A round is two min-aggregations, combined map-side,
-    and two joins on the node, whose hot centres the adaptive planner can split; only a count and
-    a fingerprint of the edges reach the driver. Self-links and null ends are ignored,
+    and two joins on the node; links of a node with more than ``hot`` are joined where they lie, not in
+    one task. Only a count and a fingerprint of the edges reach the driver. Self-links and null ends are ignored,
     repeated links count once, and no links give no rows.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct()
@@ -29,11 +46,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).select("a", F.least("a", "m").alias("m"), "links")
+        large = _met(both.where("b > a"), least, 2 * state[0], hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        if 2 * state[0] > hot:
+            large = checkpointed(large)
         # every link of ``large`` points from a larger to a smaller id
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
+        small = _met(large, least, 2 * state[0], hot)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _fingerprint(edges)

@@ -2,18 +2,23 @@
 
 Every vector keeps a short list of neighbours, started from its neighbours in several orders by
 random-hyperplane codes. A round joins each vector's neighbours, both ways, with each other, and
-keeps the closest; links that reach the threshold form components. Components with saturated
+keeps the closest; a list full of links is enlarged. Rounds go on until few links are new. Links that reach
+the threshold form components. Components with saturated
 lists, whose entries all reach the threshold, are compared with each other exactly, as far as their
 centres and radii let them link. The lists of
 linked vectors are then enlarged to their whole component, in blocks, so that groups far larger
-than a list lose no link; copies of one vector are one node with a weight. Sampled vectors
-compared with all others of their label audit the recall, by linked vectors; while it is too low,
-further rounds follow. Where links are too rare to judge by, and after the last round, all vectors
-are compared.
+than a list lose no link; copies of one vector are one node with a weight.
+
+Two audits measure the recall, by linked vectors. Sampled vectors are compared with all others of their label;
+the sample is bounded, whatever the table. Where links are rare it may hold none, so probes go along from the
+start: twins of sampled vectors just above the threshold, which nothing but the descent can find and which are
+never part of a result. While either recall is too low, further orders and rounds follow; if it stays below
+the least one accepted, all vectors are compared.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +30,33 @@ from .graph import connected_components
 from .shared import checkpointed
 from .vectors import matrix, usable
 
-SIMILARITY, LIST, ROUNDS, MOST_ROUNDS, RECALL = 0.98, 8, 2, 8, 0.98
+SIMILARITY, LIST, RECALL = 0.98, 8, 0.98
+#: Entries of a list that is full of links; rounds at least and at most before all vectors are compared, unless the
+#: recall is the least accepted; share of new links from which on another round follows.
+GROWN, ROUNDS, MOST_ROUNDS, LEAST_RECALL, NEW = 16, 2, 8, 0.9, 0.01
 #: Orders by hyperplane codes, bits of a code, neighbours taken on each side in an order.
 ORDERS, BITS, NEAR = 10, 48, 3
-AUDITED, _BLOCK = 256, 512
+#: Vectors that the audit starts with and linked ones that it wants, those that it compares at most, and probes.
+AUDITED, MOST_AUDITED, PROBES = 256, 8448, 256
+_BLOCK = 512
 #: Rows of one broadcast at most.
 _CHUNK = 8192
 _EDGE = "a long, b long, cosine double"
+_log = logging.getLogger(__name__)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Cosines of unit rows; those at the threshold do not depend on how rows are blocked."""
+    cosine = x @ y.T
+    i, j = np.nonzero(np.abs(cosine - similarity) < 1e-9)
+    cosine[i, j] = (x[i] * y[j]).sum(axis=1)
+    return cosine
+
+
 def _edges(a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(cosine.astype(np.float64))], names=["a", "b", "cosine"])
 
@@ -81,7 +100,7 @@ def _started(nodes: DataFrame, orders: int, bits: int, near: int, seed: int) ->
                 for step in range(1, min(near, stop - start - 1) + 1):
                     same = np.logical_and.reduce([g[start : stop - step] == g[start + step : stop] for g in groups[:2]])
                     a, b = ids[start : stop - step][same], ids[start + step : stop][same]
-                    cosine = np.einsum("ij,ij->i", x[:-step][same], x[step:][same])
+                    cosine = (x[:-step][same] * x[step:][same]).sum(axis=1)
                     yield _edges(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cosine, cosine]))
 
     rows = nodes.select("id", "label", "width", "vector").mapInArrow(coded, "order int, code long, id long, label int, width int, vector array<double>")
@@ -97,14 +116,15 @@ def _codes(x: np.ndarray, planes: dict[int, np.ndarray], order: int, bits: int,
     return ((x @ planes[key] > 0).astype(np.int64) << np.arange(bits, dtype=np.int64)[::-1]).sum(axis=1)
 
 
-def _closest(edges: DataFrame, size: int) -> DataFrame:
-    """The ``size`` best edges of every node."""
+def _closest(edges: DataFrame, size: int, grown: int, similarity: float) -> DataFrame:
+    """The ``size`` best edges of every node, and up to ``grown`` of one whose list is full of links."""
     once = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
+    listed = once.withColumn("rank", rank).where(F.col("rank") <= grown)
+    return listed.where((F.col("rank") <= size) | (F.col("cosine") >= similarity)).drop("rank")
 
 
-def _joined(graph: DataFrame, nodes: DataFrame, size: int, turn: int, similarity: float) -> DataFrame:
+def _joined(graph: DataFrame, nodes: DataFrame, size: int, grown: int, turn: int, similarity: float) -> DataFrame:
     """Edges between the neighbours of each node, out of its list and as many that list it: the best four and all links."""
     back = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(turn)), "a"))
     listed = graph.withColumn("back", back).where(F.col("back") <= size).select(F.col("b").alias("pivot"), F.col("a").alias("id"))
@@ -114,7 +134,7 @@ def _joined(graph: DataFrame, nodes: DataFrame, size: int, turn: int, similarity
     rows = rows.repartition("pivot").sortWithinPartitions("pivot", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _batched(batches, 4096, 2 * size + 1):
+        for table in _batched(batches, 4096, grown + size + 1):
             pivots, ids = table.column("pivot").to_numpy(), table.column("id").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(pivots[1:] != pivots[:-1]) + 1, [len(pivots)]])
             found: list[tuple] = []
@@ -122,7 +142,7 @@ def _joined(graph: DataFrame, nodes: DataFrame, size: int, turn: int, similarity
                 if stop - start > 1:
                     own = ids[start:stop]
                     x = _unit(matrix(table.column("vector").slice(start, stop - start)))
-                    cosine = x @ x.T
+                    cosine = _cosines(x, x, similarity)
                     np.fill_diagonal(cosine, -2)
                     taken = cosine >= similarity
                     best = np.argsort(-cosine, axis=1, kind="stable")[:, : min(4, len(own) - 1)]
@@ -192,7 +212,7 @@ def _between(graph: DataFrame, component: DataFrame, nodes: DataFrame, similarit
     def linked(table: pa.Table) -> pa.Table:
         first = table.column("component").to_numpy() == table.column("c1").to_numpy()
         one, two = table.filter(pa.array(first)), table.filter(pa.array(~first))
-        at = np.argwhere(_unit(matrix(one.column("vector"))) @ _unit(matrix(two.column("vector"))).T >= similarity)[:1]
+        at = np.argwhere(_cosines(_unit(matrix(one.column("vector"))), _unit(matrix(two.column("vector"))), similarity) >= similarity)[:1]
         return pa.table({"a": one.column("id").take(pa.array(at[:, 0])), "b": two.column("id").take(pa.array(at[:, 1]))})
 
     return rows.groupBy("c1", "o1", "c2", "o2").applyInArrow(linked, "a long, b long")
@@ -237,62 +257,109 @@ def _inside(component: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
             x = _unit(matrix(table.column("vector").slice(start, stop - start)))
             here = slice(start, stop)
             meet = (own[here][:, None] == other[here][None, :]) & (ids[here][:, None] != ids[here][None, :])
-            links[here] = (((x @ x.T) >= similarity) & meet) @ weight[here]
+            links[here] = ((_cosines(x, x, similarity) >= similarity) & meet) @ weight[here]
         return pa.table({"id": pa.array(ids), "links": pa.array(links)})
 
     compared = rows.groupBy(key.alias("key")).applyInArrow(run, "id long, links long")
     return compared.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, component: DataFrame, similarity: float, size: int, recall: float, whole: bool) -> tuple[bool, DataFrame]:
-    """Whether the recall holds, and the missed links (a, b) between components that were seen.
+def _by_kind(table: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, components, unit vectors) of the rows, by label and width."""
+    label, width = (table.column(c).to_numpy() for c in ("label", "width"))
+    out = {}
+    for kind in sorted(set(zip(label.tolist(), width.tolist(), strict=True))):
+        own = table.filter(pa.array((label == kind[0]) & (width == kind[1])))
+        out[kind] = own.column("id").to_numpy(), own.column("component").to_numpy(), _unit(matrix(own.column("vector")))
+    return out
+
+
+def _audit(nodes: DataFrame, component: DataFrame, similarity: float, size: int, recall: float, whole: bool) -> tuple[float, DataFrame]:
+    """The recall among linked nodes that were seen (1 without any), and their missed links (a, b) between components.
 
-    Sampled nodes are compared with all of their label, in passes of bounded size, until enough of them have links
-    and belong to small groups. The linked nodes count, not their links, and small groups apart from
-    large ones: a node is missed if one of its links crosses components. Where links are too rare, or
-    ``whole``, the passes go on to the last node; then the links seen are all there are.
+    Sampled nodes are compared with all of their label, in one pass or two of bounded size, until enough of them have
+    links and belong to small groups. The linked nodes count, not their links, and small groups apart from
+    large ones: a node is missed if one of its links crosses components. With ``whole``, the
+    passes go on to the last node; then the links seen are all there are.
     """
     placed = checkpointed(nodes.join(component, "id", "left").select("id", "label", "width", "vector", F.coalesce("component", "id").alias("component")))
     total = placed.count()
     order = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(max(1, total)))
-    linked, apart, crossing = [0, 0], [0, 0], None
+    linked, apart, crossing = [0, 0], [0, 0], component.select(F.col("id").alias("a"), F.col("component").alias("b"))
     start, stop = 0, AUDITED
     while start < total:
         part = placed.where((order >= start) & (order < stop)).toArrow()
-        asked = nodes.sparkSession.sparkContext.broadcast(part)
+        asked = nodes.sparkSession.sparkContext.broadcast(_by_kind(part))
 
         def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             for table in _sliced(batches):
-                for mine, theirs in _same_kind(table, asked.value):
-                    own, ids = (t.column("id").to_numpy() for t in (mine, theirs))
-                    near = _unit(matrix(mine.column("vector"))) @ _unit(matrix(theirs.column("vector"))).T >= similarity
+                for kind, (own, of, x) in _by_kind(table).items():
+                    if kind not in asked.value:
+                        continue
+                    ids, components, y = asked.value[kind]
+                    near = _cosines(x, y, similarity) >= similarity
                     near &= own[:, None] != ids[None, :]
-                    cross = near & (mine.column("component").to_numpy()[:, None] != theirs.column("component").to_numpy()[None, :])
+                    cross = near & (of[:, None] != components[None, :])
                     at = np.flatnonzero(near.any(axis=0))
                     others = [own[cross[:, j]].tolist() for j in at]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(near[:, at].sum(axis=0)), pa.array(others, pa.list_(pa.int64()))], names=["id", "links", "others"])
 
         seen = checkpointed(placed.mapInArrow(run, "id long, links long, others array<long>"))
-        found = seen.select(F.col("id").alias("a"), F.explode("others").alias("b"))
-        crossing = found if crossing is None else crossing.unionAll(found)
+        crossing = crossing.unionAll(seen.select(F.col("id").alias("a"), F.explode("others").alias("b")))
         each = seen.groupBy("id").agg(F.sum("links").alias("links"), F.sum(F.size("others")).alias("apart"))
         for large, n, missed in each.groupBy(F.col("links") > size).agg(F.count("*"), F.count(F.when(F.col("apart") > 0, 1))).collect():
             linked[large] += n
             apart[large] += missed
-        if not whole and linked[0] >= AUDITED:
+        asked.unpersist()
+        if not whole and (linked[0] >= AUDITED or stop >= MOST_AUDITED):
             break
         start, stop = stop, stop + _CHUNK
-    if crossing is None or start >= total:
-        return True, crossing if crossing is not None else component.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return all(m <= (1 - recall) * n for n, m in zip(linked, apart, strict=True)), crossing
-
-
-def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, size: int = LIST, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of ``vectors`` (vec_id, embedding, label).
+    if whole or start >= total:  # all links were seen, and all that were missed are in
+        return 1.0, crossing
+    return min(1 - m / n if n else 1.0 for n, m in zip(linked, apart, strict=True)), crossing
+
+
+def _probes(nodes: DataFrame, similarity: float, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Twins of sampled nodes just above the threshold, of a bounded number, and whose twin each is."""
+    low, high = nodes.agg(F.min("id"), F.max("id")).first()
+    chosen = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(PROBES).select("id", "label", "width", "vector").toArrow()
+    chosen = chosen.filter(pa.array(chosen.column("width").to_numpy() > 1))
+    if not chosen.num_rows:
+        return nodes.limit(0), {}
+    # ids that no vector has
+    first = low - chosen.num_rows if low > -(1 << 63) + PROBES else high + 1
+    rows, twin_of, rnd = [], {}, np.random.default_rng(seed)
+    cosine = similarity + 0.05 * (1 - similarity)
+    for i, row in enumerate(chosen.to_pylist()):
+        x = np.array(row["vector"], float)
+        x = x / np.linalg.norm(x)
+        side = rnd.standard_normal(len(x))
+        side -= (side @ x) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+        twin_of[first + i] = row["id"]
+        rows.append((first + i, row["label"], row["width"], y.tolist()))
+    return nodes.sparkSession.createDataFrame(rows, "id long, label int, width int, vector array<double>"), twin_of
+
+
+def _probed(graph: DataFrame, component: DataFrame, twin_of: dict[int, int], similarity: float) -> float:
+    """The share of probes whose links lead to their twin's component."""
+    if not twin_of:
+        return 1.0
+    spark = graph.sparkSession
+    twins = F.broadcast(spark.createDataFrame(list(twin_of.items()), "a long, twin long"))
+    links = graph.where(F.col("cosine") >= similarity).join(twins, "a")
+    placed = links.join(component.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
+    placed = placed.join(component.select(F.col("id").alias("twin"), F.col("component").alias("c_twin")), "twin", "left")
+    same = F.coalesce("c_b", "b") == F.coalesce("c_twin", "twin")
+    return placed.where(same).select("a").distinct().count() / len(twin_of)
+
+
+def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, size: int = LIST, grown: int = GROWN, recall: float = RECALL) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall), one row per row of ``vectors`` (vec_id, embedding, label).
 
     Vectors of equal labels are linked at a cosine of at least ``similarity``, in doubles.
     ``n_links`` counts the other vectors linked directly, ``component_id`` is the smallest vec_id that
-    links reach. Vectors that are null, empty or zero or hold null or non-finite components, and those
+    links reach; ``recall`` is what the last audit measured, 1 where all vectors were compared. Vectors that are null, empty or zero or hold null or non-finite components, and those
     without a label, link with nothing, nor do vectors of different lengths. A null vec_id has
     no links, a null component and is not kept; rows that repeat a vec_id are one vector,
     the first by its components. No rows give no rows; other columns are ignored.
@@ -304,28 +371,39 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY
     copies = checkpointed(valid.withColumn("node", F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").cast("binary"))))
     nodes = copies.groupBy("label", "node").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     nodes = checkpointed(nodes.select("id", "label", "node", "weight", "vector", F.size("vector").alias("width")))
-    graph = checkpointed(_closest(_started(nodes, ORDERS, BITS, NEAR, 1), size))
+    probes, twin_of = _probes(nodes, similarity, 11)
+    every = nodes.select("id", "label", "width", "vector").unionByName(probes.select("id", "label", "width", "vector"))
+    real = ~F.col("a").isin(*twin_of) & ~F.col("b").isin(*twin_of) if twin_of else F.lit(True)
+    graph = checkpointed(_closest(_started(every, ORDERS, BITS, NEAR, 1), size, grown, similarity))
+    links_before, reached = 0, 0.0
     for turn in range(1, MOST_ROUNDS + 1):
-        graph = checkpointed(_closest(graph.unionAll(_joined(graph, nodes, size, turn, similarity)), size))
-        if turn < ROUNDS:
+        graph = checkpointed(_closest(graph.unionAll(_joined(graph, every, size, grown, turn, similarity)), size, grown, similarity))
+        linked = graph.where((F.col("cosine") >= similarity) & real)
+        links_before, n = linked.count(), links_before
+        if turn < MOST_ROUNDS and (turn < ROUNDS or links_before - n > NEW * links_before):
             continue
-        component = checkpointed(connected_components(graph.where(F.col("cosine") >= similarity).select("a", "b")))
-        between = _between(graph, component, nodes, similarity, size)
+        component = checkpointed(connected_components(linked.select("a", "b")))
+        between = _between(graph.where(real), component, nodes, similarity, size)
         if between is not None:
             component = _merged(component, between)
-        # the last round leaves nothing to chance
-        enough, crossing = _audit(nodes, component, similarity, size, recall, turn == MOST_ROUNDS)
+        seen, crossing = _audit(nodes, component, similarity, size, recall, False)
         component = _merged(component, crossing)
-        if enough:
+        reached = min(seen, _probed(graph, component, twin_of, similarity))
+        _log.info("round %d: recall %.3f", turn, reached)
+        if reached >= recall:
             break
-        graph = checkpointed(_closest(graph.unionAll(_started(nodes, ORDERS, BITS, NEAR, 1 + turn)), size))
+        if turn < MOST_ROUNDS:
+            graph = checkpointed(_closest(graph.unionAll(_started(every, ORDERS, BITS, NEAR, 1 + turn)), size, grown, similarity))
+    if reached < LEAST_RECALL:
+        reached, crossing = _audit(nodes, component, similarity, size, recall, True)
+        component = _merged(component, crossing)
     links = _inside(component, nodes, similarity)
     whole = nodes.select("label", "node", "id", "weight").join(component, "id", "left").join(links, "id", "left")
     whole = whole.select("label", "node", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     found = copies.select("vec_id", "label", "node").join(whole, ["label", "node"]).select(F.col("vec_id").alias("own"), "component", "links")
     out = rows.select("vec_id", "own").join(found, "own", "left")
     least = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), least.alias("component_id"), F.coalesce(F.col("vec_id") == least, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), least.alias("component_id"), F.coalesce(F.col("vec_id") == least, F.lit(False)).alias("kept"), F.lit(float(reached)).alias("recall"))
 
 
 ORACLE_SQL = f"""

@@ -36,7 +36,7 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nn_descent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn_descent.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+    return nn_descent.embedding_near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op7_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
