@@ -123,6 +123,28 @@ def test_block_links_join_what_pairs_would():
     assert not minhash._joining(ids, np.zeros(9, int), pa.array(texts), 5, 0.8)
 
 
+def test_a_stranger_in_a_large_bucket_is_few_pairs(spark):
+    """20,000 linked rows and two strangers: about 20,000 pairs each, not the square."""
+    n = 20_000
+    members = spark.range(n + 2).select("id", F.lit(7).cast("long").alias("bucket")).unionAll(spark.createDataFrame([(1, 8), (n, 8)], "id long, bucket long"))
+    component = spark.range(n).select("id", F.lit(0).cast("long").alias("component"))
+    placed = minhash._mixed_buckets(members, component, 1 << 21)
+    assert placed.where("blocks > 0").count() == 0
+    found = minhash._few_pairs(placed)
+    assert found.count() == 2 * n + 1
+    outside, every = placed.where("component <> main").count(), placed.count()
+    assert outside * every <= 4 * found.count() * 2  # rows that the join tries
+
+
+def test_buckets_without_shuffles_of_hot_keys_or_broadcasts(spark):
+    """The same classes where every key is hot and nothing may be broadcast by its size."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    assert sorted(map(tuple, minhash.near_duplicates(docs, hot=1, broadcast_ids=0).collect())) == want
+    once = minhash.keep_one_of_each(docs.unionByName(docs), broadcast_ids=0)
+    assert once.exceptAll(minhash.keep_one_of_each(docs)).count() == 0 and once.count() == sum(r[2] for r in want)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 450)] + [(500, 500), (None, 3)]

@@ -5,24 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
-
-
-#: Links of one node that a single task may read. Above it, the node's least neighbour is broadcast to them.
-HOT = 1_000_000
-
-
-def _met(edges: DataFrame, least: DataFrame, n: int, hot: int) -> DataFrame:
-    """``edges`` with the ``m`` of ``least`` (a, m, links) of their first node.
-
-    Of n links, at most n / ``hot`` nodes have more than ``hot``: only those are broadcast.
-    """
-    if n <= hot:
-        return edges.join(least.drop("links"), "a")
-    least = checkpointed(least)
-    centres = F.broadcast(least.where(F.col("links") > hot).drop("links"))
-    rest = edges.join(centres.select("a"), "a", "left_anti").join(least.drop("links"), "a")
-    return rest.unionAll(edges.join(centres, "a").select(rest.columns))
+from .shared import HOT, checkpointed, met
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -47,12 +30,13 @@ def connected_components(edges: DataFrame, rounds: int = 60, hot: int = HOT) ->
             break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).select("a", F.least("a", "m").alias("m"), "links")
-        large = _met(both.where("b > a"), least, 2 * state[0], hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        if 2 * state[0] > hot:
-            large = checkpointed(large)
+        many = 2 * state[0] > hot  # else no node can have so many
+        joined = both.where("b > a")
+        large = (met(joined, least, "a", "links", hot) if many else joined.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = checkpointed(large) if many else large
         # every link of ``large`` points from a larger to a smaller id
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
-        small = _met(large, least, 2 * state[0], hot)
+        small = met(large, least, "a", "links", hot) if many else large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _fingerprint(edges)

@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
 from .graph import connected_components
-from .shared import broadcast_if_small, checkpointed, id_and_text, worker_cache
+from .shared import HOT, broadcast_if_small, checkpointed, id_and_text, met, worker_cache
 
 _U = np.uint64
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -32,8 +32,11 @@ BANDS, ROWS = 28, 6
 #: A pair goes to exact verification when its signatures agree in this share of registers, about
 #: five standard deviations below the threshold.
 ESTIMATE_MARGIN = 0.15
-#: A bucket with more than so many open pairs a row is compared in blocks of so many rows.
-_DENSE, _BLOCK = 4, 512
+#: A bucket with more than so many open pairs a row gets so many further pivots, and is then compared in blocks of so
+#: many rows.
+_DENSE, _PIVOTS, _BLOCK = 4, 2, 512
+#: Rows of a bucket that meet the few outside its largest component in one place.
+_MEETING = 1 << 16
 #: Pairs of one node that are verified in one place, about.
 _PART = 128
 _BROADCAST_IDS = 500_000
@@ -146,7 +149,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float, broadcast_ids: int) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold, with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
 
     # a node with many pairs is dealt out in parts, its own text to each of them
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PART).cast("int").alias("parts")).where("parts > 1")
-    many = broadcast_if_small(checkpointed(many), _BROADCAST_IDS)
+    many = broadcast_if_small(checkpointed(many), broadcast_ids)
     parts = F.coalesce("parts", F.lit(1))
     both = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -170,17 +173,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _mixed_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
-    """The members (bucket, id, component, blocks) of buckets that lie in several components.
+def _mixed_buckets(members: DataFrame, component: DataFrame, hot: int) -> DataFrame:
+    """The members (bucket, id, component, n, main, blocks) of buckets that lie in several components.
 
-    ``blocks`` is 0 where the pairs across components are few for the bucket's rows.
+    ``n`` is the bucket's rows and ``main`` its largest component; ``blocks`` is 0 where the pairs across components are few for the rows.
     """
     placed = members.select("id", "bucket").join(component, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
+    placed = checkpointed(placed)
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", "component"))["component"].alias("main"))
     across = (F.col("n") * F.col("n") - F.col("inside")) / 2
-    mixed = sizes.where(across > 0).select("bucket", F.when(across > _DENSE * F.col("n"), F.ceil(F.col("n") / _BLOCK)).otherwise(0).alias("blocks"))
-    return checkpointed(placed.join(mixed, "bucket"))
+    blocks = F.when(across > _DENSE * F.col("n"), F.ceil(F.col("n") / _BLOCK)).otherwise(0)
+    mixed = sizes.where(across > 0).select("bucket", "n", "main", blocks.alias("blocks"), F.col("n").alias("rows"))
+    return checkpointed(met(placed, mixed, "bucket", "rows", hot))
+
+
+def _few_pairs(placed: DataFrame) -> DataFrame:
+    """The pairs (a, b) across components of buckets with few.
+
+    Rows outside a bucket's largest component meet all its rows, which are at most twice the pairs
+    wanted; the rows of a large bucket are dealt out in parts, the few to each.
+    """
+    parts = F.ceil(F.col("n") / _MEETING)
+    outside = placed.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("in_x"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    every = placed.select("bucket", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("y"), F.col("component").alias("in_y"))
+    pairs = outside.join(every, ["bucket", "part"]).where("in_x <> in_y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _joining(ids: np.ndarray, components: np.ndarray, texts: pa.Array, k: int, least: float) -> list[tuple[int, int, float]]:
@@ -231,7 +249,7 @@ def _block_links(placed: DataFrame, texts: DataFrame, k: int, least: float) -> D
     return rows.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hot: int = HOT, broadcast_ids: int = _BROADCAST_IDS) -> DataFrame:
     """(doc_id, class_id, kept): one row per row of ``docs`` (doc_id, text).
 
     ``class_id`` is the smallest doc_id that links of similarity >= ``similarity`` reach, and ``kept``
@@ -239,7 +257,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
 
     1. Signatures and keys of whole word sequences, one pass; copies with equal words share one node.
     2. Per band bucket, every node is verified against the smallest one, and the links are
-       contracted to components. Groups of any size cost links in proportion to their size.
+       contracted to components. Groups of any size cost links in proportion to their size. Where
+       many pairs stay open, two further pivots follow.
     3. Every pair of a bucket that still lies in two components is verified: one by one where a
        bucket has few such pairs for its rows, else block against block, with one matrix product
        for all pairs of two blocks, which gives one link for each two components it joins. So no
@@ -247,34 +266,46 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
 
     Texts of one to four words are one shingle. A null text is empty; texts without words
     are copies only of the same text. Rows with a null doc_id get a null class and are not kept.
-    Rows that repeat a doc_id are one document. Other columns are ignored; no rows give no rows.
+    Rows that repeat a doc_id are one document. Texts are whole, whatever their length. A pair of exactly
+    ``similarity`` is linked. Other columns are ignored; no rows give no rows. No task gathers a bucket or a component
+    with more than ``hot`` rows for a join; at most ``broadcast_ids`` ids are broadcast, more are shuffled.
     """
     signed = checkpointed(signatures(docs, k, bands, rows))
     nodes = signed.where("doc_id IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(nodes)
     places = nodes.select("id", F.explode("bands").alias("bucket"))
-    buckets = places.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
-    members = checkpointed(places.join(buckets.select("bucket", "pivot"), "bucket").distinct())
+    buckets = places.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("rows")).where("pivot < last")
+    members = checkpointed(met(places, buckets.drop("last"), "bucket", "rows", hot).distinct())
     documents = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        named = documents.join(broadcast_if_small(checkpointed(ids.distinct()), _BROADCAST_IDS), "id", "left_semi")
+        named = documents.join(broadcast_if_small(checkpointed(ids.distinct()), broadcast_ids), "id", "left_semi")
         return named.groupBy("id").agg(F.first("text").alias("text"))
 
     def links(pairs: DataFrame) -> DataFrame:
         close = checkpointed(_alike(pairs, nodes.select("id", "sketch"), similarity - ESTIMATE_MARGIN))
-        return _verified(close, texts_of(close.select(F.explode(F.array("a", "b")).alias("id"))), k, similarity)
+        return _verified(close, texts_of(close.select(F.explode(F.array("a", "b")).alias("id"))), k, similarity, broadcast_ids)
 
     tried = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    tried = checkpointed(tried)
     found = checkpointed(links(tried))
-    placed = _mixed_buckets(members, connected_components(found))
-    few, many = placed.where("blocks = 0"), placed.where("blocks > 0")
-    left, right = (few.select("bucket", F.col("id").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab")
-    pairs = left.join(right, "bucket").where("a < b AND in_a <> in_b").select("a", "b").distinct()
-    found = found.unionAll(links(pairs.join(tried, ["a", "b"], "left_anti")))
+    for turn in range(_PIVOTS + 1):
+        placed = _mixed_buckets(members, connected_components(found.select("a", "b"), hot=hot), hot)
+        many = placed.where("blocks > 0")
+        if turn == _PIVOTS or not many.take(1):
+            break
+        # another pivot: the smallest row outside the largest component, against all rows that are not linked with it
+        pivots = many.where("component <> main").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("p"))
+        pivots = pivots.join(many.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket")
+        pairs = met(many, pivots, "bucket", "rows", hot).where("component <> p.component")
+        pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionAll(pairs)
+        found = checkpointed(found.unionAll(links(pairs)))
+    found = found.unionAll(links(_few_pairs(placed.where("blocks = 0")).join(tried, ["a", "b"], "left_anti")))
     if many.take(1):
         found = found.unionAll(_block_links(many, texts_of(many.select("id")), k, similarity))
-    component = connected_components(found.select("a", "b"))
+    component = connected_components(found.select("a", "b"), hot=hot)
     node = nodes.select("key_a", "key_b", "id").join(component, "id", "left")
     node = node.select("key_a", "key_b", F.coalesce("component", "id").alias("class_id"))
     rows_out = signed.select("doc_id", "key_a", "key_b").join(node, ["key_a", "key_b"], "left")
@@ -286,20 +317,28 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
     )
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, broadcast_ids: int = _BROADCAST_IDS, **options) -> DataFrame:
     """``docs`` without the documents of which ``near_duplicates`` keeps another one.
 
-    All columns stay. Rows with a null doc_id stay; of rows that repeat a doc_id, one stays.
+    All columns stay. Rows with a null doc_id stay; of rows that repeat a doc_id, the one with the least text stays, null
+    last. Null and empty texts are one class; no rows give no rows.
     """
-    dropped = near_duplicates(docs, **options).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    dropped = broadcast_if_small(checkpointed(dropped), _BROADCAST_IDS)
+    dropped = near_duplicates(docs, broadcast_ids=broadcast_ids, **options).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    dropped = broadcast_if_small(checkpointed(dropped), broadcast_ids)
     left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = checkpointed(repeated)
     if not repeated.take(1):
         return left
-    ordered = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    place = F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(ordered))
-    return left.withColumn("__place", place).where("__place = 1").select(docs.columns)
+    repeated = broadcast_if_small(repeated, broadcast_ids)
+    # an aggregation, combined before the shuffle: one id may have very many rows
+    row, order = F.struct(*map(_quoted, docs.columns)), F.struct(F.col("text").isNull(), "text")
+    least = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row"))
+    return left.join(repeated, "doc_id", "left_anti").unionByName(least.select("row.*"))
+
+
+def _quoted(name: str):
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 #: All pairs over ``documents``, for small tables.

@@ -81,3 +81,21 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     shuffled join, whose skewed partitions the adaptive planner can split.
     """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Rows of one key that a single task may read in ``met``.
+HOT = 1 << 21
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, size: str, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with the one row a key of ``table``, whose column ``size`` says how many rows have it.
+
+    Keys with more than ``hot`` rows are at most one in ``hot`` rows: only they are broadcast, and their rows are joined
+    where they lie, so that no task gathers a hot key; all others are shuffled.
+    """
+    table = checkpointed(table)
+    large = table.where(F.col(size) > hot).drop(size)
+    if not large.take(1):
+        return rows.join(table.drop(size), key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(table.drop(size), key)
+    return rest.unionByName(rows.join(F.broadcast(large), key))
