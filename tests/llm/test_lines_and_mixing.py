@@ -34,11 +34,33 @@ def test_lines_edges_and_plan(spark):
     assert made.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert sorted((r.doc_id or -1, r.text or "") for r in made.collect()) == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
     assert line_dedup.without_boilerplate(no_docs(spark)).count() == 0
-    clash = docs.withColumn("n_lines", docs.size)
-    assert line_dedup.without_boilerplate(clash).count() == 12
+    clash = docs.selectExpr("*", "size AS n_lines", "size AS site", "size AS slots", "size AS `row`", "size AS kept", "size AS `a.b`")
+    again = line_dedup.without_boilerplate(clash)
+    assert again.count() == 12 and set(again.columns) == {*made.columns, "site", "slots", "row", "kept", "a.b"}
+    assert all(r.site == "x" == r.kept and isinstance(r.n_lines, int) for r in again.collect())
     assert not re.search("Python|Arrow|Pandas", made._jdf.queryExecution().toString())
 
 
+def test_lines_without_broadcasts(spark):
+    """The same rows where no site's lines may be broadcast by their number, and where every site is hot."""
+    rnd = random.Random(12)
+    rows = [(i, "\n".join(f"line {rnd.randrange(60)}" for _ in range(8)), rnd.choice("ab") if i % 50 else None, 7) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    want = sorted(map(tuple, line_dedup.without_boilerplate(docs).collect()))
+    assert sum(r[5] for r in want) > 1000
+    assert all(r[3] == (len(r[1]) if r[5] else 7) for r in want)
+    for hot in (1, 1000):
+        assert sorted(map(tuple, line_dedup.without_boilerplate(docs, broadcast_lines=0, hot=hot).collect())) == want
+
+
+def test_a_thousand_boilerplate_lines_on_a_page(spark):
+    lines = [f"line {i}" for i in range(1000)]
+    docs = spark.range(40).selectExpr("id AS doc_id", "'a' AS source").crossJoin(spark.createDataFrame([("\n".join(lines) + "\nmine",)], "text string"))
+    listed = line_dedup.boilerplate_lines(docs).first()
+    assert listed.n == 1001 and max(len(x or []) for x in listed.slots) < 20
+    assert {(r.text, r.n_dropped) for r in line_dedup.without_boilerplate(docs).collect()} == {("", 1001)}
+
+
 def model_targets(sizes, weights=(3, 1, 2), share=1.5, times=2.0):
     """Shares by weight, what is over a cap reshared until nothing is."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -118,9 +140,11 @@ def test_seats_equal_the_highest_quotients(spark):
     for group in range(30):
         n, seats = rnd.randrange(1, 12), rnd.randrange(0, 60)
         votes = [float(rnd.choice([0, 1, 1, 5, 100, rnd.randrange(1, 1000)])) for _ in range(n)]
-        caps = [10_000] * n
+        caps = [10_000 if group % 3 else rnd.choice([0, 1, 3, seats // n, seats]) for _ in range(n)]
         rows += [(group, seats, v, c, i) for i, (v, c) in enumerate(zip(votes, caps, strict=True))]
         want |= {(group, i): w for i, w in enumerate(model_seats(votes, seats, caps))}
+    rows += [(99, 10, 1.0, 10, 0), (99, 10, 1000.0, 5, 1)]
+    want |= {(99, 0): 5, (99, 1): 5}
     units = spark.createDataFrame(rows, "g long, seats long, votes double, cap long, nth long")
     got = {(r.g, r.nth): r.won for r in mixing.apportion(units, "g", "seats", "votes", "cap", "nth", "won").collect()}
     assert got == want
@@ -138,6 +162,24 @@ def test_mixed_texts_hold_the_taken_words(spark):
     assert dict(found) == {k: v for k, v in taken.items() if v}
 
 
+def test_repeated_rows_and_shuffled_plans(spark, monkeypatch):
+    """A document that is a third of all rows, rows without ids, ids with several texts: the same however they are dealt out."""
+    rows = [(1, "one two three", "a")] * 40 + [(None, f"t{i % 7} u v", "a") for i in range(40)] + [(i % 9, f"{i} x " * (i % 4), None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.mixed(docs, shard_words=50).collect()))
+    made = sorted(map(str, mixing.mixed_documents(docs, shard_words=50).collect()))
+    assert len(want) == 120
+    monkeypatch.setattr(mixing, "_TOGETHER", 7)
+    again = mixing.mixed(docs.repartition(5), shard_words=50)
+    assert sorted(map(str, again.collect())) == want
+    mixed = mixing.mixed_documents(docs.repartition(3), shard_words=50, broadcast_rows=0)
+    assert sorted(map(str, mixed.collect())) == made
+    assert sum(words(r.text) for r in mixed.collect()) == sum(r.taken for r in again.collect())
+    # by hand: a shard's documents in order of their marks, each row a document
+    by_hand = mixing.mixed(docs.withColumn("source", docs.source), shard_words=50).where("doc_id = 1 AND source = 'a'").collect()
+    assert len(by_hand) == 40 and len({r.nth for r in by_hand}) == 40 and all(0 <= r.taken <= 6 for r in by_hand)
+
+
 def test_mix_edges_and_plan(spark):
     docs = edge_docs(spark)
     rows = mixing.mixed(docs).collect()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textnp
 from .graph import connected_components
-from .shared import HOT, broadcast_if_small, checkpointed, id_and_text, met, worker_cache
+from .shared import HOT, broadcast_if_small, checkpointed, id_and_text, met, quoted, worker_cache
 
 _U = np.uint64
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -332,15 +332,11 @@ def keep_one_of_each(docs: DataFrame, broadcast_ids: int = _BROADCAST_IDS, **opt
         return left
     repeated = broadcast_if_small(repeated, broadcast_ids)
     # an aggregation, combined before the shuffle: one id may have very many rows
-    row, order = F.struct(*map(_quoted, docs.columns)), F.struct(F.col("text").isNull(), "text")
+    row, order = F.struct(*map(quoted, docs.columns)), F.struct(F.col("text").isNull(), "text")
     least = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row"))
     return left.join(repeated, "doc_id", "left_anti").unionByName(least.select("row.*"))
 
 
-def _quoted(name: str):
-    return F.col(f"`{name.replace('`', '``')}`")
-
-
 #: All pairs over ``documents``, for small tables.
 ORACLE_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

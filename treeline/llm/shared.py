@@ -10,7 +10,7 @@ import tempfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,8 +87,8 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
 HOT = 1 << 21
 
 
-def met(rows: DataFrame, table: DataFrame, key: str, size: str, hot: int = HOT) -> DataFrame:
-    """``rows`` joined with the one row a key of ``table``, whose column ``size`` says how many rows have it.
+def met(rows: DataFrame, table: DataFrame, key: str, size: str, hot: int = HOT, how: str = "inner") -> DataFrame:
+    """``rows`` joined, "inner" or "left", with the one row a key of ``table``, whose column ``size`` says how many rows have it.
 
     Keys with more than ``hot`` rows are at most one in ``hot`` rows: only they are broadcast, and their rows are joined
     where they lie, so that no task gathers a hot key; all others are shuffled.
@@ -96,6 +96,11 @@ def met(rows: DataFrame, table: DataFrame, key: str, size: str, hot: int = HOT)
     table = checkpointed(table)
     large = table.where(F.col(size) > hot).drop(size)
     if not large.take(1):
-        return rows.join(table.drop(size), key)
-    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(table.drop(size), key)
+        return rows.join(table.drop(size), key, how)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(table.drop(size), key, how)
     return rest.unionByName(rows.join(F.broadcast(large), key))
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
