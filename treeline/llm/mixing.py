@@ -9,10 +9,10 @@ the number of blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, checkpointed
+from .shared import broadcast_if_small, checkpointed, quoted
 
 WEIGHTS, SHARE, MOST_TIMES, SEED = (3, 1, 2), 1.5, 2, 20240601
 #: Blocks that the smallest source has at least, where it has as many words; most words of a block.
@@ -22,32 +22,46 @@ SHARD_WORDS = 1 << 20
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many rows may be broadcast.
 _BROADCAST_SOURCES, _BROADCAST_ROWS = 10_000, 500_000
+#: Copies of one row that one task writes out.
+_TOGETHER = 1 << 16
+
+
+def _level(total: Column, cap: Column, votes: Column, group: str) -> Column:
+    """The level at which min(cap, level * votes) adds up to ``total`` in a group; null where all caps fall short."""
+    filling = Window.partitionBy(group).orderBy((cap / votes).asc_nulls_last())
+    everyone = Window.partitionBy(group)
+    full = F.coalesce(F.sum(cap).over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum(votes).over(filling.rowsBetween(0, Window.unboundedFollowing))
+    own = F.greatest((total - full) / left, F.lit(0.0))
+    # right at the first unit that it leaves under its cap, lower at those behind it
+    return F.max(F.when(cap / votes >= own, own)).over(everyone)
 
 
 def apportion(units: DataFrame, group: str, seats: str, votes: str, cap: str, order: str, out: str) -> DataFrame:
     """``units`` with their seats in ``out``: the ``seats`` of a group by the highest quotients.
 
-    The j-th seat of a unit has the quotient votes / (2 j - 1). A unit's seats lie within
-    q n / (2 M) + 1/2 of its fair share q (M seats, n units), so only the candidates around
-    it are ranked, about three a unit; ties go to the unit first in ``order``. No unit
-    gets more than ``cap`` seats or seats without votes.
+    The j-th seat of a unit has the quotient votes / (2 j - 1); no unit gets more than ``cap`` seats or seats
+    without votes, and what caps leave over goes to the next quotients. At a level l, seats with a quotient of 1 / (2 l)
+    at least are min(cap, l votes) a unit, give or take a half. So the levels that share out n / 2 seats less and
+    more bound the last quotient, and only the seats between them are ranked, about three a unit; ties go to the
+    unit first in ``order``. The windows run over a group's units.
     """
-    everyone = Window.partitionBy(group)
-    fair = units.withColumns({"__all": F.sum(votes).over(everyone), "__n": F.count("*").over(everyone)})
-    fair = fair.withColumn("__q", F.when(F.col("__all") > 0, F.col(votes) * F.col(seats) / F.col("__all")).otherwise(0.0))
-    width = F.ceil(F.when(F.col(seats) > 0, F.col("__q") * F.col("__n") / (2 * F.col(seats))).otherwise(0.0)) + 2
-    fair = fair.withColumns({"__w": width, "__at": F.floor("__q")})
-    fair = fair.withColumn("__base", F.least(F.greatest(F.col("__at") - F.col("__w"), F.lit(0)), F.col(cap)))
-    fair = fair.withColumn("__open", F.col(seats) - F.sum("__base").over(everyone))
-    last = F.least(F.col("__at") + F.col("__w") + 1, F.col(cap))
+    everyone, inside = Window.partitionBy(group), Window.partitionBy("__group")
+    fair = units.withColumns({"__group": F.col(group), "__votes": F.col(votes).cast("double"), "__cap": F.when(F.col(votes) > 0, F.greatest(F.col(cap), F.lit(0))).otherwise(0).cast("double")})
+    fair = fair.withColumns({"__votes": F.when(F.col("__cap") > 0, F.col("__votes")), "__slack": F.count("*").over(everyone) / 2 + 1})
+    low, high = (_level(F.col(seats) + sign * F.col("__slack"), F.col("__cap"), F.col("__votes"), "__group") for sign in (-1, 1))
+    fair = fair.withColumns({"__low": low, "__high": high})
+    at = lambda level: F.floor(F.coalesce(F.col(level) * F.col("__votes"), F.when(F.col("__votes").isNotNull(), F.col("__cap")), F.lit(0.0)) + 0.5)
+    fair = fair.withColumn("__base", F.least(F.greatest(at("__low") - 1, F.lit(0)), F.col("__cap").cast("long")))
+    fair = fair.withColumn("__open", F.col(seats) - F.sum("__base").over(inside))
+    last = F.least(at("__high") + 1, F.col("__cap").cast("long"))
     # the j of a null sequence (none open) is null and ranks last
-    tried = F.when((F.col(votes) > 0) & (last > F.col("__base")), F.sequence(F.col("__base") + 1, last))
+    tried = F.when(last > F.col("__base"), F.sequence(F.col("__base") + 1, last))
     each = fair.withColumn("__j", F.explode_outer(tried))
-    quotient = F.col(votes) / (2 * F.col("__j") - 1)
-    ranked = each.withColumn("__rank", F.row_number().over(everyone.orderBy(F.col("__j").isNull(), quotient.desc(), F.col(order).asc_nulls_last(), "__j")))
+    quotient = F.col("__votes") / (2 * F.col("__j") - 1)
+    ranked = each.withColumn("__rank", F.row_number().over(inside.orderBy(F.col("__j").isNull(), quotient.desc(), F.col(order).asc_nulls_last(), "__j")))
     won = F.sum(F.when(F.col("__j").isNotNull() & (F.col("__rank") <= F.col("__open")), 1).otherwise(0))
-    grouped = ranked.groupBy(*units.columns).agg((F.max("__base") + won).cast("long").alias(out))
-    return grouped
+    return ranked.groupBy(*units.columns).agg((F.max("__base") + won).cast("long").alias(out))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES) -> DataFrame:
@@ -76,7 +90,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def mixed(docs: DataFrame, block_words: int | None = None, shard_words: int = SHARD_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), one row per row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, key, nth), one row per row of ``docs``.
 
     ``taken`` is the number of the document's words in the mix: its whole text so many
     times, then its first words once more. No document gives more than ``most_times`` its
@@ -85,13 +99,18 @@ def mixed(docs: DataFrame, block_words: int | None = None, shard_words: int = SH
     any, at least 1 and at most 256, so that small sources meet their targets too.
 
     A null or blank text has size 0 and gives nothing; a null source is a source, last in order; a
-    null doc_id counts as a document. Rows that repeat are documents of their own. The result
-    depends on the rows and the seed alone. No rows give no rows; other columns are ignored.
+    null doc_id counts as a document, ordered by its text. Rows that repeat are documents of their own; alike in id,
+    source and size, they are counted before they are shuffled. The result
+    depends on the rows and the seed alone. No rows give no rows; texts are whole, other columns are ignored.
+    One row a source, and one a shard of a source, pass through one task, never documents. ``key`` and ``nth`` tell rows of
+    one id apart.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = checkpointed(rows.select("doc_id", "source", size.alias("size")))
-    sources = source_targets(rows, weights, share, most_times)
+    # rows alike in id, source and size are one unit of so many copies until the end
+    rows = rows.select("doc_id", "source", size.alias("size"), _key().alias("key"))
+    rows = checkpointed(rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")).withColumn("all", F.col("size") * F.col("copies")))
+    sources = source_targets(rows.select("source", F.col("all").alias("size")), weights, share, most_times)
     everyone = Window.partitionBy("one")
     sources = sources.withColumn("one", F.lit(1))
     smallest = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everyone)
@@ -105,54 +124,79 @@ def mixed(docs: DataFrame, block_words: int | None = None, shard_words: int = SH
     sources = checkpointed(sources.select("source", "source_size", "target", "place", "source_blocks", "block", shards.alias("n_shards")))
     by = broadcast_if_small(sources, _BROADCAST_SOURCES).withColumnRenamed("source", "__source")
     dealt = rows.join(by, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    dealt = dealt.withColumn("mark", mark)
+    dealt = dealt.withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), "key").cast("binary")))
     dealt = dealt.withColumn("shard", F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
-    quotas = dealt.groupBy("place", "shard", "source_blocks", "block").agg(F.sum("size").cast("long").alias("words"))
+    quotas = dealt.groupBy("place", "shard", "source_blocks", "block").agg(F.sum("all").cast("long").alias("words"))
     quotas = quotas.withColumn("cap", F.floor(F.col("words") * most_times / F.col("block")))
     quotas = apportion(quotas, "place", "source_blocks", "words", "cap", "shard", "quota").select("place", "shard", "words", "quota")
     dealt = dealt.join(quotas, ["place", "shard"])
     stream = Window.partitionBy("place", "shard").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = dealt.withColumns({"before": F.sum("size").over(stream) - F.col("size"), "q": F.col("quota") * F.col("block")})
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("q") % F.col("words") - F.col("before")))
+    dealt = dealt.withColumns({"before": F.sum("all").over(stream) - F.col("all"), "q": F.col("quota") * F.col("block")})
+    dealt = _copies(dealt, bool(rows.where(F.col("copies") > _TOGETHER).take(1)))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("q") % F.col("words") - F.col("before") - F.col("nth") * F.col("size")))
     taken = F.when(F.col("words") > 0, F.floor(F.col("q") / F.col("words")) * F.col("size") + part).otherwise(0)
-    return dealt.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return dealt.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key", "nth")
+
 
+def _key() -> Column:
+    """What rows of documents (doc_id, text) are ordered by: the id, or the text where it is null."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+
+def _copies(units: DataFrame, large: bool) -> DataFrame:
+    """A row with its number ``nth``, from 0, for each of a unit's ``copies``; where some are ``large``, in several tasks."""
+    if not large:
+        return units.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    few, part = units.where(F.col("copies") <= _TOGETHER), F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / _TOGETHER) - 1)
+    many = units.where(F.col("copies") > _TOGETHER).withColumn("part", F.explode(part))
+    from_, to = F.col("part") * _TOGETHER, F.least(F.col("copies"), (F.col("part") + 1) * _TOGETHER) - 1
+    many = many.repartition("mark", "part").withColumn("nth", F.explode(F.sequence(from_, to))).drop("part")
+    return few.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).unionByName(many)
+
+
+def mixed_documents(docs: DataFrame, broadcast_rows: int = _BROADCAST_ROWS, **options) -> DataFrame:
     """The texts of the mix, in the columns of ``docs``: whole copies, then a cut one.
 
     A document taken 1.4 times is a row with its text and a row with the first 40 % of its
-    words, spacing kept; ``n_chars``, where there is one, is counted anew in cut rows.
+    words, spacing kept; ``n_chars``, where there is one, is counted anew in cut rows. Rows that take
+    nothing go, and all columns stay. Rows that share an id, source and size are numbered by their text.
+    The plan is broadcast where it has at most ``broadcast_rows`` rows, else shuffled by id.
     """
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    everything = checkpointed(mixed(docs, **options).select(key.alias("__key"), "source", F.col("size").alias("__size"), F.col("taken").alias("__taken")))
-    left, plan = docs.withColumn("__key", key), everything
-    matched = F.lit(True)
-    if everything.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").take(1):
-        # rows that share an id are told apart by their order; the join stays on the id alone
-        size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
-        same = Window.partitionBy("__key").orderBy(F.col("source").asc_nulls_last(), "__size")
-        left = left.withColumn("__size", size).withColumn("__place", F.row_number().over(same)).drop("__size")
-        plan = plan.withColumn("__nth", F.row_number().over(same))
-        matched = (F.col("__place") >= F.col("__nth")) & (F.col("__place") <= F.col("__nth"))
-    plan = broadcast_if_small(plan.where("__taken > 0").drop("source").withColumnRenamed("__key", "__id"), _BROADCAST_ROWS)
-    joined = left.join(plan, (F.col("__key") == F.col("__id")) & matched)
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    rest = (F.col("__taken") % F.col("__size")).cast("int")
+    plan = checkpointed(mixed(docs, **options).select("key", "nth", "source", "size", "taken"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), _key().alias("key"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    if plan.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        # rows that share an id are told apart
+        rows = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
+        same = Window.partitionBy("key", "source", "size").orderBy(F.col("text").asc_nulls_last())
+        of = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))  # a null source is one too
+        rows = rows.withColumns({"nth": (F.row_number().over(same) - 1).cast("long"), "of": of}).drop("source")
+        chosen = plan.where("taken > 0").withColumn("of", of).drop("source")
+        joined = rows.join(broadcast_if_small(chosen, broadcast_rows), ["key", "of", "size", "nth"])
+    else:
+        joined = rows.drop("source").join(broadcast_if_small(plan.where("taken > 0").drop("source", "nth"), broadcast_rows), "key")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = joined.withColumn("__words", F.explode(copies))
+    cut = joined.select("row", "text", F.explode(copies).alias("words"))
     # a piece is a word with the white space before it
     pieces = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
-    rows = rows.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.greatest("__words", F.lit(1))), "")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return rows.select(docs.columns)
+    first = F.array_join(F.slice(pieces, F.lit(1), F.greatest("words", F.lit(1))), "")
+    cut = cut.select("row", "words", F.when(F.col("words") < 0, F.col("text")).otherwise(first).alias("text"))
+
+    def column(name: str) -> Column:
+        own = F.col("row")[name]
+        if name == "text":
+            return F.col("text")
+        if name == "n_chars":
+            return F.when(F.col("words") < 0, own).otherwise(F.length("text").cast(docs.schema[name].dataType)).alias(name)
+        return own.alias(name)
+
+    return cut.select(*map(column, docs.columns))
 
 
 #: The same over ``documents``, with every seat's quotient written out, for small tables.
 ORACLE_SQL = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS mark FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
 f AS (SELECT *, CAST([{', '.join(map(str, WEIGHTS))}][(place - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, source_size * {MOST_TIMES}::DOUBLE AS cap FROM s),
 o AS (SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
