@@ -40,11 +40,23 @@ def test_counts_and_cuts_equal_the_library(library):
     for text in fuzz(1500):
         assert tokens.count(text) == size(text)
         for budget in (0, 1, 3, 6):
-            count, cut = tokens.measured(text, budget)
+            found = tokens.prefixes(text)
+            count, cut = found.count, found.cut(budget)
             prefix = text.encode()[:cut].decode()
             assert size(prefix) <= budget and (count > budget or prefix == text)
 
 
+def test_further_budgets_encode_nothing(library, monkeypatch):
+    tokens = prefix_tokens.prefix_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "An internationalisation<|endoftext|>of " + "acgt" * 40 + " Zuständigkeiten, 1234567890! " * 3
+    found = tokens.prefixes(text)
+    monkeypatch.setattr(tokens, "table", lambda piece: pytest.fail("a table was made again"))
+    size = lambda n: len(library.encode(text.encode()[:n].decode(), add_special_tokens=False).ids)
+    cuts = [found.cut(budget) for budget in range(found.count + 2)]
+    assert cuts == sorted(cuts) and cuts[0] == 0 and cuts[found.count] == found.size(len(found.pieces)) == len(text.encode())
+    assert all(size(cut) <= budget for budget, cut in enumerate(cuts))
+
+
 def test_every_prefix_of_a_piece_is_exact(library):
     tokens = prefix_tokens.prefix_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     for piece in ["international", "thththereandon", "aaaaaaaaaaa", "Zuständigkeit", "12345678901"]:
@@ -69,6 +81,8 @@ def test_token_counts_edges(spark, library):
     want = sorted(((x[0] or -1), len((x[1] or "").encode()), len(library.encode(x[1] or "", add_special_tokens=False).ids)) for x in ROWS)
     assert sorted(((r.doc_id or -1), r.n_bytes, r.n_tokens) for r in rows) == want
     assert prefix_tokens.token_counts(no_docs(spark)).count() == 0
+    several = prefix_tokens.token_counts(edge_docs(spark), budgets=(3, 512)).collect()
+    assert all(r.cuts[1] == r.cut_bytes and r.cuts[0] <= r.cut_bytes for r in several)
 
 
 def test_recursion_equals_the_library(tik):

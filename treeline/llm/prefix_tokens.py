@@ -4,7 +4,8 @@ For each byte prefix of a piece of text (a pretoken) the table stores the number
 and the last of them. A sequence of tokens is the encoding of its bytes exactly when every two
 neighbours are the encoding of theirs, so the last token of a prefix is the one suffix
 token that agrees with the last token of the shorter prefix before it: one pass over
-the bytes, and no piece is ever encoded again for another cut.
+the bytes. The tables of a text's pieces and their running sums are kept together: they answer how many tokens
+any prefix has and where any budget ends, for as many budgets as asked, without encoding anything again.
 """
 
 from __future__ import annotations
@@ -114,54 +115,74 @@ class PrefixTokens:
             at = found.end()
         yield text[at:], False
 
+    def prefixes(self, text: str) -> Prefixes:
+        """The token counts of all prefixes of a text, made once."""
+        parts: list[str] = []
+        tables: list[bytes | list[int]] = []
+        for part, whole in self.segments(text):
+            if whole:
+                parts.append(part)
+                tables.append([0, *[1] * len(part.encode())])
+            else:
+                pieces = pretokens(part)
+                parts += pieces
+                tables += map(self.counts.__getitem__, pieces)
+        return Prefixes(parts, tables, self.special)
+
     def count(self, text: str) -> int:
-        return self.measured(text, 0)[0]
+        return self.prefixes(text).count
+
+
+class Prefixes:
+    """Exact token counts at every prefix of one text: its pieces, their tables, and the running sums."""
 
-    def measured(self, text: str, budget: int) -> tuple[int, int]:
-        """(tokens of the text, bytes of its longest stable prefix with at most ``budget`` tokens).
+    def __init__(self, pieces: list[str], tables: list, special: regex.Pattern | None):
+        self.pieces, self.tables, self.special = pieces, tables, special
+        #: tokens before each piece, and of the whole text
+        self.sums = list(accumulate([table[-1] for table in tables], initial=0))
+        self.count = self.sums[-1]
+
+    def size(self, pieces: int) -> int:
+        """Bytes of the first so many pieces."""
+        return sum(map(len, self.tables[:pieces])) - pieces
+
+    def cut(self, budget: int) -> int:
+        """Bytes of the longest stable prefix with at most ``budget`` tokens.
 
         A prefix is stable where it ends between two pieces, or after a letter or digit of a
         piece of such: its pieces are then the text's own, cut there.
         """
-        used, size, cut = 0, 0, None
-        for part, whole in self.segments(text):
-            pieces = [part] if whole else pretokens(part)
-            tokens = [1] if whole else list(map(self.counts.__getitem__, pieces))
-            if cut is None and used + sum(tokens) > budget:
-                sums = list(accumulate(tokens, initial=used))
-                fit = bisect_right(sums, budget) - 1
-                cut = size + len("".join(pieces[:fit]).encode()) + (0 if whole else self._inside(pieces[fit], budget - sums[fit]))
-            used += sum(tokens)
-            size += len(part.encode()) if cut is None else 0
-        return used, size if cut is None else cut
-
-    def cut(self, text: str, budget: int) -> int:
-        return self.measured(text, budget)[1]
-
-    def _inside(self, piece: str, left: int) -> int:
+        if self.count <= budget:
+            return self.size(len(self.pieces))
+        fit = bisect_right(self.sums, budget) - 1
+        return self.size(fit) + self._inside(self.pieces[fit], self.tables[fit], budget - self.sums[fit])
+
+    def _inside(self, piece: str, table, left: int) -> int:
         """Bytes of the longest stable proper prefix of a piece with at most ``left`` tokens."""
-        if not left or not piece[-1].isalnum() or piece[0] == "'":
+        if not left or not piece[-1].isalnum() or piece[0] == "'" or self.special and self.special.fullmatch(piece):
             return 0
-        table, shortest = self.table(piece.encode()), int(piece[0] == " ")
+        shortest = int(piece[0] == " ")
         stops = (len(piece[:end].encode()) for end in range(len(piece) - 1, shortest, -1))
         return next((stop for stop in stops if table[stop] <= left), 0)
 
 
 class _Counts(dict):
-    """Piece to number of tokens, filled from the prefix table on first use."""
+    """Piece to the token counts of its prefixes, made on first use; a byte each in pieces that are kept."""
 
     def __init__(self, tokens: PrefixTokens):
         super().__init__()
         self.tokens = tokens
 
-    def __missing__(self, piece: str) -> int:
-        number = self.tokens.table(piece.encode())[-1]
-        if len(piece) <= _LONGEST:
-            if len(self) >= _REMEMBERED:  # frequent pieces came early
-                for old in list(self)[_REMEMBERED // 2 :]:
-                    del self[old]
-            self[piece] = number
-        return number
+    def __missing__(self, piece: str) -> bytes | list[int]:
+        raw = piece.encode()
+        table = self.tokens.table(raw)
+        if len(raw) > _LONGEST:
+            return table
+        if len(self) >= _REMEMBERED:  # frequent pieces came early
+            for old in list(self)[_REMEMBERED // 2 :]:
+                del self[old]
+        self[piece] = bytes(table)
+        return self[piece]
 
 
 def prefix_tokens(path: str) -> PrefixTokens:
@@ -172,27 +193,31 @@ def prefix_tokens(path: str) -> PrefixTokens:
     return loaded[path]
 
 
-def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, cut_bytes), one row per row of ``docs``.
+def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None, budgets: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, cut_bytes), one row per row of ``docs``; with ``budgets`` also cuts.
 
     ``n_tokens`` counts the whole text's tokens; ``cut_bytes`` is the length of the longest stable
-    prefix of at most ``limit`` tokens, read off the same table. A null or empty text has 0
-    of all; a null doc_id stays null; repeated rows and other columns do not matter. A text of
-    any length is one pass in memory for it and its pieces.
+    prefix of at most ``limit`` tokens, and ``cuts`` (array) that of each of the ``budgets``, all read off the same
+    tables. A null or empty text has 0 of all; a null doc_id stays null; repeated rows are counted alike, other columns do
+    not matter, no rows give no rows. A text of any length is whole: one pass over its bytes, and memory in proportion to them.
     """
     path = path or public_tokenizers.path(VOCABULARY)
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long" + ", cuts array<long>" * bool(budgets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = prefix_tokens(path)
         for batch in batches:
             n = batch.num_rows
-            size, count, cut = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            size, count, cut = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 1 + len(budgets)), np.int64)
             for i, value in enumerate(batch.column("text")):
                 if text := value.as_py():
-                    size[i] = len(text.encode())
-                    count[i], cut[i] = tokens.measured(text, limit)
-            columns = [batch.column("doc_id"), pa.array(size), pa.array(count), pa.array(count > limit), pa.array(cut)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"])
+                    found = tokens.prefixes(text)
+                    size[i], count[i] = found.size(len(found.pieces)), found.count
+                    cut[i] = [found.cut(x) for x in (limit, *budgets)]
+            columns = [batch.column("doc_id"), pa.array(size), pa.array(count), pa.array(count > limit), pa.array(np.ascontiguousarray(cut[:, 0]))]
+            if budgets:
+                columns.append(pa.array(cut[:, 1:].tolist(), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes", "cuts"][: len(columns)])
 
     narrow = id_and_text(docs)
-    return narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")
+    return narrow.mapInArrow(run, schema)
