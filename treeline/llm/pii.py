@@ -32,12 +32,12 @@ FORMS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)[\"']?[ ]?[=:][ ]?[\"']?(?P<value>[A-Za-z0-9_+/-]{8,})",
     "access_key": rf"{_FREE[0]}(?:AKIA|ASIA)[0-9A-Z]{{16}}{_FREE[1]}",
-    "iban": rf"{_FREE[0]}[A-Z]{{2}}\d{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_FREE[1]}",
-    "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "date": rf"{_FREE[0]}(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}){_FREE[1]}",
-    "ssn": rf"{_FREE[0]}(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?!-){_FREE[1]}",
-    "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+(?!1[ .(-])\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
-    "card": rf"{_FREE[0]}\d(?:[ -]?\d){{12,18}}{_FREE[1]}",
+    "iban": rf"{_FREE[0]}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_FREE[1]}",
+    "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
+    "date": rf"{_FREE[0]}(?:[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}}){_FREE[1]}",
+    "ssn": rf"{_FREE[0]}(?<!-)[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?!-){_FREE[1]}",
+    "phone": r"(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w+])\+(?!1[ .(-])[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w|\.[0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![\w-])",
+    "card": rf"{_FREE[0]}[0-9](?:[ -]?[0-9]){{12,18}}{_FREE[1]}",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in FORMS.items()))
 _LIKELY = re.compile(r"[0-9@]|[=:] ?[\"']?[A-Za-z0-9_+/-]{8}")
@@ -136,7 +136,8 @@ class Pseudonyms:
 
     def iban(self, text: str) -> str | None:
         flat = text.replace(" ", "")
-        if not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1:
+        # check digits are made as 98 minus a remainder: 02 to 98, of which only one fits
+        if not 15 <= len(flat) <= 34 or not 2 <= int(flat[2:4]) <= 98 or _mod97(flat[4:] + flat[:4]) != 1:
             return None
         body = self._classes(flat[4:] + " ", f"iban/{flat[:2]}")[:-1]
         made = iter(f"{flat[:2]}{98 - _mod97(f'{body}{flat[:2]}00'):02d}{body}")
@@ -173,11 +174,22 @@ class Pseudonyms:
                 out[place] = value
             return out
 
-        # a day-first date stays one: its first number is over 12
-        fits = lambda v: v[0] * 512 + v[1] < _DAYS and (order != (2, 1, 0) or written(v[0] * 512 + v[1])[0] > 12)
-        high, low = self.feistel.walk(list(divmod(day, 512)), [-(-_DAYS // 512), 512], f"date/{order}", fits, self.back)
-        padded = min(map(len, fields)) == 2
-        return "".join(f"{x:02d}{m}" if padded else f"{x}{m}" for x, m in zip(written(high * 512 + low), [*marks, ""], strict=True))
+        bare = min(map(len, fields)) == 1  # months and days are written without zeros, at least here
+
+        def shown(day: int) -> list[str]:
+            return [f"{x:02d}" if len(field) == 2 else str(x) for x, field in zip(written(day), fields, strict=True)]
+
+        def fits(v: list[int]) -> bool:
+            """Dates within the same form: widths, zeros in front, and a first number over 12 if the days come first."""
+            day = v[0] * 512 + v[1]
+            if day >= _DAYS or order == (2, 1, 0) and written(day)[0] <= 12:
+                return False
+            made = shown(day)
+            return all(len(x) == len(y) and (not bare or (x[0] == "0") == (y[0] == "0")) for x, y in zip(made, fields, strict=True))
+
+        form = f"date/{order}/{','.join(f'{len(x)}{x[0] == "0"}' if bare else str(len(x)) for x in fields)}"
+        high, low = self.feistel.walk(list(divmod(day, 512)), [-(-_DAYS // 512), 512], form, fits, self.back)
+        return "".join(x + m for x, m in zip(shown(high * 512 + low), [*marks, ""], strict=True))
 
     def ssn(self, text: str) -> str | None:
         valid = lambda v: 0 < v[0] < 900 and v[0] != 666 and v[1] > 0 and v[2] > 0
@@ -199,8 +211,9 @@ class Pseudonyms:
         digits = [int(c) for c in text if c.isdigit()]
         if not luhn(digits) or len(set(digits)) == 1:
             return None
-        body = self.feistel.permute(digits[:-1], [10] * (len(digits) - 1), "card", self.back)
-        return self._digits(text, next([*body, d] for d in range(10) if luhn([*body, d])))
+        whole = lambda body: next([*body, d] for d in range(10) if luhn([*body, d]))
+        body = self.feistel.walk(digits[:-1], [10] * (len(digits) - 1), "card", lambda body: len(set(whole(body))) > 1, self.back)
+        return self._digits(text, whole(body))
 
     def replaced(self, text: str) -> tuple[str, Counter]:
         """The text with its values replaced, and how many of each kind."""
