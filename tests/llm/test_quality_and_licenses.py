@@ -73,15 +73,18 @@ def model_scan(text):
         if rule.keyword in line:
             for m in re.finditer(f"(?<= )(?:{rule.pattern})(?= )", line):
                 found.append((line[: m.start()].count(" ") - 1, -(line[: m.end()].count(" ") - 1), rule.rank, rule.label))
-    standing, labels, best = None, set(), 9
-    for x in [*sorted(found), None]:
-        if x is None or standing is None or x[0] > -standing[1]:
-            if standing:
-                labels.add(standing[3])
-                best = min(best, standing[2])
-            standing = x
-        elif x[2] < standing[2]:
-            standing = x
+    # every two detections held against each other
+    found, labels, best = set(found), set(), 9
+    for d in found:
+        lost = False
+        for e in found - {d}:
+            holds = e[0] <= d[0] and -e[1] >= -d[1]
+            held = d[0] <= e[0] and -d[1] >= -e[1]
+            same = holds and held
+            lost |= held and e[2] < d[2] or holds and (e[2] < d[2] or e[2] == d[2] and (not same or e[3] < d[3]))
+        if not lost:
+            labels.add(d[3])
+            best = min(best, d[2])
     score = max(licenses.CONFIDENCE.get(best, 0.0), 0.9 if places else 0.0)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
@@ -105,7 +108,10 @@ def test_license_scan_equals_brute_force(spark):
 
 
 def test_license_rules_are_well_formed():
-    assert len(license_rules.RULES) >= 200
+    assert len(license_rules.RULES) >= 300
+    # real expressions, not just words
+    assert sum(bool(re.search(r"[?*+\[|(]", r.pattern)) for r in license_rules.RULES) >= 200
+    assert len({(r.label, r.pattern) for r in license_rules.RULES}) == len(license_rules.RULES)
     for rule in license_rules.RULES:
         assert any(a in f" {rule.keyword} " for a in license_rules.ANCHORS), rule
         assert re.compile(rule.pattern) and rule.rank in licenses.CONFIDENCE

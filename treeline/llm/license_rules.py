@@ -3,7 +3,7 @@
 One rule a line: label, rank, keyword, pattern. Patterns match whole words of the normal form (lower-case
 words joined by single blanks, punctuation gone, so "GPL-3.0" reads "gpl 3 0"); a rule
 is tried only where its keyword occurs. Rank 1 is a grant or identifier, 2 a name with its version,
-3 a name, 4 a general phrase; the lower rank wins where detections overlap.
+3 a name, 4 a general phrase; the lower rank wins where one detection lies inside another.
 """
 
 from __future__ import annotations
@@ -219,7 +219,7 @@ cc-by-nc-nd-4.0 | 1 | attribution noncommercial noderivatives 4 0 | creative com
 cc-by | 3 | creative commons attribution | creative commons attribution(?: license)?
 cc-by-sa | 3 | creative commons attribution | creative commons attribution share ?alike(?: license)?
 creative-commons | 4 | creative commons license | creative commons licen[cs]e
-creative-commons | 2 | creativecommons org licenses | creativecommons org licenses [a-z0-9 ]{2,14}
+creative-commons | 2 | creativecommons org licenses | creativecommons org licenses(?: by| nc| nd| sa)+(?: [1-4] [05])?
 cc-pddc | 2 | creativecommons org publicdomain | creativecommons org publicdomain (?:zero|mark) 1 0
 odbl-1.0 | 2 | open database license | open (?:data commons open )?database license(?: v?1 0)?
 odc-by-1.0 | 2 | open data commons attribution license | open data commons attribution license(?: v?1 0)?
@@ -262,12 +262,88 @@ noncommercial | 3 | non commercial license | non commercial licen[cs]e
 license-notice | 4 | licensed under the | licensed under the (?:terms of the )?[a-z0-9]+ licen[cs]e
 license-notice | 4 | see license | see licen[cs]e (?:file )?for details
 license-notice | 4 | spdx license identifier | spdx license identifier [a-z0-9]+
+gpl-1.0-or-later | 1 | gpl 1 0 | spdx license identifier gpl 1 0(?: or later)?
+gpl-2.0-only | 1 | gpl 2 0 | spdx license identifier gpl 2 0(?: only)?
+gpl-2.0-or-later | 1 | gpl 2 0 | (?:spdx license identifier )?gpl 2 0 (?:or (?:any )?(?:later|newer)(?: version)?|plus)
+gpl-2.0-or-later | 1 | general public license | gnu general public license (?:version |v)2(?: 0)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?
+gpl-3.0-only | 1 | gpl 3 0 | spdx license identifier gpl 3 0(?: only)?
+gpl-3.0-or-later | 1 | gpl 3 0 | (?:spdx license identifier )?gpl 3 0 (?:or (?:any )?(?:later|newer)(?: version)?|plus)
+gpl-3.0-or-later | 1 | general public license | gnu general public license (?:version |v)3(?: 0)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?
+gpl | 3 | general public licence | (?:gnu )?general public licence(?: v(?:ersion)? ?[123](?: 0)?)?
+gpl | 1 | redistribute it and or modify | (?:you can|you may) redistribute it and or modify it under the terms of the gnu (?:lesser |affero |library )?general public license
+gpl | 2 | www gnu org licenses | (?:https? )?www gnu org licenses (?:old licenses )?gpl(?: [123](?: 0)?)?(?: (?:en )?(?:html|txt))?
+gpl | 2 | see the gnu | see the gnu (?:lesser |affero )?general public license for more details
+lgpl | 2 | www gnu org licenses | (?:https? )?www gnu org licenses (?:old licenses )?lgpl(?: [23](?: [01])?)?(?: (?:en )?(?:html|txt))?
+lgpl-2.0-or-later | 1 | lgpl 2 0 | (?:spdx license identifier )?lgpl 2 0(?: only| or later)
+lgpl-2.1-or-later | 1 | lgpl 2 1 | spdx license identifier lgpl 2 1(?: only| or later)?
+lgpl-2.1-or-later | 1 | lesser general public license | lesser general public license (?:as published by the free software foundation )?either version 2 1 of the license or (?:at your option )?any later version
+lgpl-3.0-or-later | 1 | lesser general public license | lesser general public license (?:as published by the free software foundation )?either version 3(?: 0)? of the license or (?:at your option )?any later version
+lgpl | 3 | lesser general public licence | (?:gnu )?lesser general public licence(?: v(?:ersion)? ?[23](?: [01])?)?
+agpl-3.0-or-later | 1 | affero general public license | affero general public license (?:as published by the free software foundation )?either version 3(?: 0)? of the license or (?:at your option )?any later version
+agpl-3.0-only | 1 | agpl 3 0 | (?:spdx license identifier )?agpl 3 0(?: only| or later)
+agpl | 2 | www gnu org licenses | (?:https? )?www gnu org licenses agpl(?: 3(?: 0)?)?(?: (?:en )?(?:html|txt))?
+gfdl-1.3 | 1 | gfdl 1 3 | (?:spdx license identifier )?gfdl 1 3(?: no invariants| invariants)?(?: only| or later)
+gfdl | 1 | free documentation license | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license(?: version 1 [123])?
+apache-2.0 | 1 | apache license | under the (?:terms of the )?apache license v(?:ersion)? ?2(?: 0)?(?: the license)?
+apache-2.0 | 1 | you may not use this file except in compliance with the license | you may not use this file except in compliance with the license(?: you may obtain a copy of the license at)?
+apache-2.0 | 2 | apache licence | (?:the )?apache licence(?: v(?:ersion)? ?2(?: 0)?)?
+apache-2.0 | 2 | apache2 | apache2(?: 0)?(?: licen[cs]ed?)?
+apache-2.0 | 2 | apache v2 | apache v2(?: 0)?(?: licen[cs]e)?
+mit | 1 | under the mit licen | (?:code|content|project|software|work) is (?:released|licen[cs]ed|distributed) under the mit licen[cs]e
+mit | 3 | mit licence | (?:the )?mit licence
+mit | 3 | mit x11 license | mit x11 (?:style )?licen[cs]e
+mit | 1 | the above copyright notice and this permission notice | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | 2 | license mit | licen[cs]e mit
+x11 | 1 | spdx license identifier x11 | spdx license identifier x11(?: distribute modifications variant)?
+bsd-2-clause | 2 | bsd 2 | bsd 2(?: clause)? (?:simplified|freebsd)(?: licen[cs]e)?
+bsd-3-clause | 2 | bsd 3 | bsd 3(?: clause)? (?:new|revised|modified)(?: licen[cs]e)?
+bsd-3-clause | 1 | neither the name of | neither the names? of (?:[a-z0-9]+ ){1,12}?(?:may|can) be used to endorse or promote products derived from this software
+bsd-4-clause | 1 | this product includes software developed by | all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed by
+bsd | 3 | bsd licence | (?:the )?(?:new |simplified |modified |revised )?bsd licence
+bsd | 3 | bsd licensed | (?:[234] clause )?bsd licensed
+isc | 2 | isc licence | (?:the )?isc licence
+isc | 2 | opensource org licenses isc | (?:https? )?(?:www )?opensource org licenses isc(?: license)?(?: txt| php)?
+bsd | 2 | opensource org licenses bsd | (?:https? )?(?:www )?opensource org licenses bsd(?: [23] clause| license)?(?: txt| php)?
+mpl-2.0 | 1 | mpl 2 0 | (?:this source code form is subject to the terms of the |spdx license identifier )(?:mozilla public license )?(?:v ?)?mpl 2 0
+mpl-2.0 | 1 | mozilla org mpl | (?:a copy of the mpl was not distributed with this file you can obtain one at )?(?:https? )?mozilla org mpl 2 0
+mpl-1.1 | 1 | mpl 1 1 | (?:spdx license identifier |mozilla public license version 1 1 the license )mpl 1 1
+epl-2.0 | 1 | epl 2 0 | spdx license identifier epl 2 0(?: or (?:gpl 2 0(?: or later)?|apache 2 0|bsd 3 clause))?
+epl-1.0 | 1 | eclipse org legal | (?:https? )?(?:www )?eclipse org legal epl v(?:10|20| 1 0| 2 0)(?: html)?
+cddl-1.0 | 1 | cddl | (?:spdx license identifier |license )cddl 1 [01]
+bsl-1.0 | 1 | boost software license | distributed under the boost software license(?: version 1 0)?
+bsl-1.0 | 1 | boost org license | (?:https? )?(?:www )?boost org license 1 0(?: txt)?
+zlib | 1 | provided as is without any express or implied warranty | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+artistic-2.0 | 1 | artistic 2 0 | (?:spdx license identifier )?artistic 2 0(?: licen[cs]e)?
+unlicense | 1 | unlicense org | (?:please refer to |see )?(?:https? )?(?:www )?unlicense org
+cc0-1.0 | 1 | creativecommons org publicdomain zero | (?:https? )?creativecommons org publicdomain zero 1 0(?: legalcode| deed [a-z]{2})?
+cc-by-4.0 | 1 | creativecommons org licenses by | (?:https? )?creativecommons org licenses by 4 0(?: legalcode| deed [a-z]{2})?
+cc-by-3.0 | 1 | creativecommons org licenses by | (?:https? )?creativecommons org licenses by 3 0(?: legalcode| deed [a-z]{2}| us)?
+cc-by-sa-4.0 | 1 | creativecommons org licenses by sa | (?:https? )?creativecommons org licenses by sa 4 0(?: legalcode| deed [a-z]{2})?
+cc-by-sa-3.0 | 1 | creativecommons org licenses by sa | (?:https? )?creativecommons org licenses by sa 3 0(?: legalcode| deed [a-z]{2}| us)?
+cc-by-nc-4.0 | 1 | creativecommons org licenses by nc | (?:https? )?creativecommons org licenses by nc 4 0(?: legalcode| deed [a-z]{2})?
+cc-by-nd-4.0 | 1 | creativecommons org licenses by nd | (?:https? )?creativecommons org licenses by nd 4 0(?: legalcode| deed [a-z]{2})?
+cc-by-nc-sa-4.0 | 1 | creativecommons org licenses by nc sa | (?:https? )?creativecommons org licenses by nc sa 4 0(?: legalcode| deed [a-z]{2})?
+cc-by-nc-nd-4.0 | 1 | creativecommons org licenses by nc nd | (?:https? )?creativecommons org licenses by nc nd 4 0(?: legalcode| deed [a-z]{2})?
+cc-by-sa | 2 | creative commons by sa | creative commons by sa(?: [1-4] [05])?
+cc-by-nc | 3 | creative commons attribution noncommercial | creative commons attribution non ?commercial(?: licen[cs]e)?
+cc-by | 3 | creative commons by | creative commons by(?: [1-4] [05])?(?: licen[cs]e)?
+creative-commons | 4 | creative commons licence | (?:a |the )?creative commons licence
+ogl-uk-3.0 | 1 | open government licence | (?:contains public sector information )?licensed under the open government licence(?: v(?:ersion)? ?[123] 0)?
+ofl-1.1 | 1 | open font license | licensed under the (?:sil )?open font license(?: version 1 1)?
+odbl-1.0 | 1 | opendatacommons org licenses | (?:https? )?(?:www )?opendatacommons org licenses (?:odbl|by|pddl)(?: 1 0)?
+eupl-1.2 | 1 | eupl | licensed under the eupl(?: v(?:ersion)? ?1 [12])?(?: or later)?
+python-2.0 | 1 | psf 2 0 | spdx license identifier (?:psf|python) 2 0(?: 1)?
+proprietary | 2 | proprietary | (?:this (?:software|document|material) is )?(?:strictly )?(?:confidential and proprietary|proprietary and confidential)(?: licen[cs]e| information)?
+all-rights-reserved | 2 | all rights reserved | copyright (?:c )?(?:(?:19|20)[0-9]{2} )(?:[a-z0-9]+ ){1,6}?all rights reserved
+license-notice | 4 | license agreement | (?:end user |software )?licen[cs]e agreement
+license-notice | 4 | licence agreement | (?:end user |software )?licence agreement
+license-notice | 4 | dual licensed | dual licensed under (?:the )?(?:[a-z0-9]+ ){1,8}?(?:and|or) (?:the )?[a-z0-9]+
 """
 
 RULES = tuple(Rule(label, int(rank), keyword, pattern) for label, rank, keyword, pattern in (line.split(" | ") for line in _TEXT.strip().splitlines()))
 
 #: One of these occurs in every keyword; texts with none of them are never scanned further.
-ANCHORS = ("licen", "gpl", "gfdl", "spdx", "apache", "asl 2", "mit 0", "mit no attribution", "bsd", "mpl", "epl", "cddl", "eupl", "classpath", "linking exception", "llvm exception", "cecill", "permission ", "redistribution and use", "same terms as perl", "public domain", "creativecommons", "creative commons", "attribution ", "cc by", "cc0", "wtfpl", "do what the", "w3c software", "commons clause", "openrail", "used for good not evil", "proprietary and confidential", "all rights reserved")
+ANCHORS = ("licen", "redistribute it and or modify", "see the gnu", "the above copyright notice and this permission notice", "neither the name of", "this product includes software developed by", "mozilla org mpl", "eclipse org legal", "boost org ", "express or implied warranty", "artistic 2 0", "psf 2 0", "proprietary", "gpl", "gfdl", "spdx", "apache", "asl 2", "mit 0", "mit no attribution", "bsd", "mpl", "epl", "cddl", "eupl", "classpath", "linking exception", "llvm exception", "cecill", "permission ", "redistribution and use", "same terms as perl", "public domain", "creativecommons", "creative commons", "attribution ", "cc by", "cc0", "wtfpl", "do what the", "w3c software", "commons clause", "openrail", "used for good not evil", "all rights reserved")
 
 #: The phrases whose places are counted, by the first of their words.
 BASE = {"gnu": ("gnu general public license", "gpl"), "apache": ("apache license", "apache"), "cc": ("cc by", "cc-by"), "mit": ("mit license", "mit")}

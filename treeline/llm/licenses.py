@@ -1,9 +1,9 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 Texts become lines of lower-case words; a cheap gate, then a keyword of each rule, decide which patterns
-run. A match is an interval of words. Detections are taken in order of their start, longer first:
-one inside the standing detection is suppressed unless its rank is better, in which case it
-takes that one's place; so does one that overlaps it with a better rank. All of it is one
+run. A match is an interval of words. Of two detections of which one contains the other, that of the worse rank is
+suppressed, of equal ranks the inner one; of the same words and rank, that of the later label. Detections that only overlap,
+without one containing the other, both stand. All of it is one
 projection: no shuffle, no join, and nothing per row leaves the JVM.
 """
 
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import ANCHORS, BASE, RULES
+from .license_rules import ANCHORS, BASE, RULES, Rule
 
 CONFIDENCE = {1: 0.99, 2: 0.95, 3: 0.9, 4: 0.6}
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -30,36 +30,47 @@ def _positions(words: Column, test) -> Column:
 
 def _detected(line: Column) -> Column:
     """All matches of the rules whose keyword occurs, as (start, -stop, rank, label)."""
-    rule = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"))
-    tried = F.filter(F.array(*map(rule, RULES)), lambda r: F.contains(line, r["keyword"]))
+
+    def tried(r: Rule) -> Column:
+        # a literal pattern is compiled once, whatever the number of rows
+        marked = F.regexp_replace(line, f"(?<= )(?:{r.pattern})(?= )", f"{_START}$0{_STOP}")
+        return F.struct(F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.when(F.contains(line, F.lit(r.keyword)), marked).alias("marked"))
 
     def found(r: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(line, r["pattern"], F.lit(f"{_START}$0{_STOP}"))), " ", -1)
+        words = F.split(F.trim(r["marked"]), " ", -1)
         starts, stops = _positions(words, lambda w: F.startswith(w, F.lit(_START))), _positions(words, lambda w: F.endswith(w, F.lit(_STOP)))
         return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (-b).alias("back"), r["rank"].alias("rank"), r["label"].alias("label")))
 
-    return F.array_sort(F.flatten(F.transform(tried, found)))
+    matched = F.filter(F.array(*map(tried, RULES)), lambda r: F.contains(r["marked"], F.lit(_START)))
+    return F.array_sort(F.flatten(F.transform(matched, found)))
 
 
 def _resolved(detections: Column) -> Column:
-    """(labels, best): the labels that stand after suppression, and their best rank."""
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(-1).alias("stop"), F.lit(9).alias("rank"), F.lit(None).cast("string").alias("label"), none.alias("labels"), F.lit(9).alias("best"))
+    """(labels, best): the labels that stand after suppression, and their best rank.
 
-    def closed(a: Column) -> tuple[Column, Column]:
-        labels = F.when(a["label"].isNull(), a["labels"]).otherwise(F.array_union(a["labels"], F.array(a["label"])))
-        return labels, F.when(a["label"].isNull(), a["best"]).otherwise(F.least(a["best"], a["rank"]))
+    By start and then longest first, whatever contains a detection comes before it: it is suppressed
+    if one of those of no worse rank ends behind it. Whatever it contains comes after it: backwards, it
+    is suppressed if one of better rank ends before it. So two passes with the furthest end of each rank decide.
+    """
+    ranks, far, empty = sorted(CONFIDENCE), 1 << 30, F.array().cast("array<struct<back:int,rank:int,label:string,stands:boolean>>")
+    ends = lambda value: F.struct(*(F.lit(value).alias(f"r{r}") for r in ranks))
 
-    def step(a: Column, x: Column) -> Column:
-        labels, best = closed(a)
-        new = lambda kept, least: F.struct((-x["back"]).alias("stop"), x["rank"].alias("rank"), x["label"].alias("label"), kept.alias("labels"), least.alias("best"))
-        return F.when(x["start"] > a["stop"], new(labels, best)).when(x["rank"] < a["rank"], new(a["labels"], a["best"])).otherwise(a)
+    def forward(a: Column, x: Column) -> Column:
+        inside = reduce(lambda c, r: c | ((x["rank"] >= r) & (a["ends"][f"r{r}"] >= -x["back"])), ranks, F.lit(False))
+        reach = F.struct(*(F.when(x["rank"] == r, F.greatest(a["ends"][f"r{r}"], -x["back"])).otherwise(a["ends"][f"r{r}"]).alias(f"r{r}") for r in ranks))
+        row = F.struct(x["back"].alias("back"), x["rank"].alias("rank"), x["label"].alias("label"), (~inside).alias("stands"))
+        return F.struct(reach.alias("ends"), F.concat(a["out"], F.array(row)).alias("out"))
 
-    def end(a: Column) -> Column:
-        labels, best = closed(a)
-        return F.struct(labels.alias("labels"), best.alias("best"))
+    def backward(a: Column, x: Column) -> Column:
+        around = reduce(lambda c, r: c | ((x["rank"] > r) & (a["ends"][f"r{r}"] <= -x["back"])), ranks, F.lit(False))
+        reach = F.struct(*(F.when(x["rank"] == r, F.least(a["ends"][f"r{r}"], -x["back"])).otherwise(a["ends"][f"r{r}"]).alias(f"r{r}") for r in ranks))
+        stands = x["stands"] & ~around
+        labels = F.when(stands, F.array_union(a["labels"], F.array(x["label"]))).otherwise(a["labels"])
+        return F.struct(reach.alias("ends"), labels.alias("labels"), F.when(stands, F.least(a["best"], x["rank"])).otherwise(a["best"]).alias("best"))
 
-    return F.aggregate(detections, start, step, end)
+    first = F.aggregate(F.array_distinct(detections), F.struct(ends(-1).alias("ends"), empty.alias("out")), forward, lambda a: a["out"])
+    start = F.struct(ends(far).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(9).alias("best"))
+    return F.aggregate(F.reverse(first), start, backward, lambda a: F.struct(a["labels"].alias("labels"), a["best"].alias("best")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -71,7 +82,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     ``score`` is the confidence of the best standing detection, 0 without any. ``detections``
     holds every match before suppression (start, -stop, rank, label). A null text is empty: no
     words, empty strings, score 0. A null doc_id stays null, repeated rows are scanned alike,
-    other columns are ignored. Only A-Z are lower-cased; texts of any length are whole.
+    other columns are ignored, no rows give no rows. Only A-Z are lower-cased; texts of any length are whole.
     """
     plain = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), _GAP, " "))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("plain"))
