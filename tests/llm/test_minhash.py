@@ -128,7 +128,7 @@ def test_a_stranger_in_a_large_bucket_is_few_pairs(spark):
     n = 20_000
     members = spark.range(n + 2).select("id", F.lit(7).cast("long").alias("bucket")).unionAll(spark.createDataFrame([(1, 8), (n, 8)], "id long, bucket long"))
     component = spark.range(n).select("id", F.lit(0).cast("long").alias("component"))
-    placed = minhash._mixed_buckets(members, component, 1 << 21)
+    placed = minhash._mixed_buckets(members, component, n + 2, 1 << 21)
     assert placed.where("blocks > 0").count() == 0
     found = minhash._few_pairs(placed)
     assert found.count() == 2 * n + 1

@@ -30,13 +30,13 @@ def connected_components(edges: DataFrame, rounds: int = 60, hot: int = HOT) ->
             break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).select("a", F.least("a", "m").alias("m"), "links")
-        many = 2 * state[0] > hot  # else no node can have so many
+        most = 2 * state[0]
         joined = both.where("b > a")
-        large = (met(joined, least, "a", "links", hot) if many else joined.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = checkpointed(large) if many else large
+        large = met(joined, least, "a", "links", most, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = checkpointed(large) if most > hot else large
         # every link of ``large`` points from a larger to a smaller id
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
-        small = met(large, least, "a", "links", hot) if many else large.join(least, "a")
+        small = met(large, least, "a", "links", most, hot)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _fingerprint(edges)

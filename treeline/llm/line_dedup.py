@@ -62,7 +62,8 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RA
     if (listed.agg(F.sum("n")).first()[0] or 0) <= broadcast_lines:
         joined = rows.join(F.broadcast(listed.select("site", "slots")), "site", "left")
     else:
-        joined = met(rows, listed.select("site", "pages", "slots"), "site", "pages", hot, "left")
+        most = listed.agg(F.max("pages")).first()[0]
+        joined = met(rows, listed.select("site", "pages", "slots"), "site", "pages", most, hot, "left")
     split = F.split("text", "\n", -1)
 
     def stays(line: Column) -> Column:

@@ -34,7 +34,7 @@ BANDS, ROWS = 28, 6
 ESTIMATE_MARGIN = 0.15
 #: A bucket with more than so many open pairs a row gets so many further pivots, and is then compared in blocks of so
 #: many rows.
-_DENSE, _PIVOTS, _BLOCK = 4, 2, 512
+_DENSE, _PIVOTS, _BLOCK = 4, 1, 512
 #: Rows of a bucket that meet the few outside its largest component in one place.
 _MEETING = 1 << 16
 #: Pairs of one node that are verified in one place, about.
@@ -173,19 +173,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float, broadcas
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _mixed_buckets(members: DataFrame, component: DataFrame, hot: int) -> DataFrame:
+def _mixed_buckets(members: DataFrame, component: DataFrame, most: int, hot: int) -> DataFrame:
     """The members (bucket, id, component, n, main, blocks) of buckets that lie in several components.
 
     ``n`` is the bucket's rows and ``main`` its largest component; ``blocks`` is 0 where the pairs across components are few for the rows.
     """
     placed = members.select("id", "bucket").join(component, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
-    placed = checkpointed(placed)
+    placed = checkpointed(placed) if most > hot else placed
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", "component"))["component"].alias("main"))
     across = (F.col("n") * F.col("n") - F.col("inside")) / 2
     blocks = F.when(across > _DENSE * F.col("n"), F.ceil(F.col("n") / _BLOCK)).otherwise(0)
     mixed = sizes.where(across > 0).select("bucket", "n", "main", blocks.alias("blocks"), F.col("n").alias("rows"))
-    return checkpointed(met(placed, mixed, "bucket", "rows", hot))
+    return checkpointed(met(placed, mixed, "bucket", "rows", most, hot))
 
 
 def _few_pairs(placed: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
     1. Signatures and keys of whole word sequences, one pass; copies with equal words share one node.
     2. Per band bucket, every node is verified against the smallest one, and the links are
        contracted to components. Groups of any size cost links in proportion to their size. Where
-       many pairs stay open, two further pivots follow.
+       many pairs stay open, another pivot follows among the rows outside the largest component.
     3. Every pair of a bucket that still lies in two components is verified: one by one where a
        bucket has few such pairs for its rows, else block against block, with one matrix product
        for all pairs of two blocks, which gives one link for each two components it joins. So no
@@ -273,9 +273,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
     signed = checkpointed(signatures(docs, k, bands, rows))
     nodes = signed.where("doc_id IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(nodes)
+    most = nodes.count()  # a bucket holds a node once
     places = nodes.select("id", F.explode("bands").alias("bucket"))
     buckets = places.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("rows")).where("pivot < last")
-    members = checkpointed(met(places, buckets.drop("last"), "bucket", "rows", hot).distinct())
+    members = checkpointed(met(places, buckets.drop("last"), "bucket", "rows", most, hot).distinct())
     documents = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -290,15 +291,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
     tried = checkpointed(tried)
     found = checkpointed(links(tried))
     for turn in range(_PIVOTS + 1):
-        placed = _mixed_buckets(members, connected_components(found.select("a", "b"), hot=hot), hot)
+        placed = _mixed_buckets(members, connected_components(found.select("a", "b"), hot=hot), most, hot)
         many = placed.where("blocks > 0")
         if turn == _PIVOTS or not many.take(1):
             break
-        # another pivot: the smallest row outside the largest component, against all rows that are not linked with it
-        pivots = many.where("component <> main").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("p"))
-        pivots = pivots.join(many.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket")
-        pairs = met(many, pivots, "bucket", "rows", hot).where("component <> p.component")
-        pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        # another pivot: the smallest row outside the largest component, against the others outside it
+        outside = many.where("component <> main")
+        pivots = outside.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("p"), F.count("*").alias("rows"))
+        pairs = met(outside, pivots, "bucket", "rows", most, hot).where("component <> p.component")
+        pairs = pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
         pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionAll(pairs)
         found = checkpointed(found.unionAll(links(pairs)))

@@ -87,12 +87,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
 HOT = 1 << 21
 
 
-def met(rows: DataFrame, table: DataFrame, key: str, size: str, hot: int = HOT, how: str = "inner") -> DataFrame:
+def met(rows: DataFrame, table: DataFrame, key: str, size: str, most: int, hot: int = HOT, how: str = "inner") -> DataFrame:
     """``rows`` joined, "inner" or "left", with the one row a key of ``table``, whose column ``size`` says how many rows have it.
 
-    Keys with more than ``hot`` rows are at most one in ``hot`` rows: only they are broadcast, and their rows are joined
+    No key has more than ``most`` rows; where that is above ``hot``, keys with more than ``hot`` rows are at most one in ``hot`` rows: only they are broadcast, and their rows are joined
     where they lie, so that no task gathers a hot key; all others are shuffled.
     """
+    if most <= hot:
+        return rows.join(table.drop(size), key, how)
     table = checkpointed(table)
     large = table.where(F.col(size) > hot).drop(size)
     if not large.take(1):
