@@ -83,7 +83,9 @@ def test_equals_brute_force_on_the_table(spark):
     assert got == model_classes(rows)
 
 
-def test_large_group_of_near_copies_in_blocks(spark):
+@pytest.mark.parametrize("further", [0, 16])
+def test_large_group_of_near_copies_in_blocks(spark, monkeypatch, further):
+    monkeypatch.setattr(minhash, "_FURTHER", further)
     rnd = random.Random(3)
     base = words(rnd, 200)
     rows = {}

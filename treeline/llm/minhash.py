@@ -32,9 +32,9 @@ BANDS, ROWS = 28, 6
 #: A pair goes to exact verification when its signatures agree in this share of registers, about
 #: five standard deviations below the threshold.
 ESTIMATE_MARGIN = 0.15
-#: A bucket with more than so many open pairs a row gets so many further pivots, and is then compared in blocks of so
-#: many rows.
-_DENSE, _PIVOTS, _BLOCK = 4, 1, 512
+#: A bucket with more than so many open pairs a row is compared in blocks of so many rows. Where those are more than
+#: ``_FURTHER``, so many further pivots come first, which cost a pass each and leave fewer rows apart.
+_DENSE, _BLOCK, _FURTHER, _PIVOTS = 4, 512, 16, 2
 #: Rows of a bucket that meet the few outside its largest component in one place.
 _MEETING = 1 << 16
 #: Pairs of one node that are verified in one place, about.
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
     1. Signatures and keys of whole word sequences, one pass; copies with equal words share one node.
     2. Per band bucket, every node is verified against the smallest one, and the links are
        contracted to components. Groups of any size cost links in proportion to their size. Where
-       many pairs stay open, another pivot follows among the rows outside the largest component.
+       very many pairs stay open, further pivots follow among the rows outside the largest component.
     3. Every pair of a bucket that still lies in two components is verified: one by one where a
        bucket has few such pairs for its rows, else block against block, with one matrix product
        for all pairs of two blocks, which gives one link for each two components it joins. So no
@@ -293,10 +293,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
     for turn in range(_PIVOTS + 1):
         placed = _mixed_buckets(members, connected_components(found.select("a", "b"), hot=hot), most, hot)
         many = placed.where("blocks > 0")
-        if turn == _PIVOTS or not many.take(1):
+        large = many.where(F.col("blocks") > _FURTHER)
+        if turn == _PIVOTS or not large.take(1):
             break
         # another pivot: the smallest row outside the largest component, against the others outside it
-        outside = many.where("component <> main")
+        outside = large.where("component <> main")
         pivots = outside.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("p"), F.count("*").alias("rows"))
         pairs = met(outside, pivots, "bucket", "rows", most, hot).where("component <> p.component")
         pairs = pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
