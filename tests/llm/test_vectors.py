@@ -187,6 +187,48 @@ def test_search_equals_brute_force(spark, shard_rows):
     assert len([r for r in got if r[0] == 50]) == 5  # a repeated query id is one query
 
 
+def test_boxes_keep_queries_from_leaves(spark):
+    """Clustered vectors: most leaves cannot hold a better row and are never sent the query; lots and lists change nothing."""
+    rnd = np.random.default_rng(11)
+    centres = rnd.standard_normal((20, 12)) * 3
+    x = centres[rnd.integers(0, 20, 3000)] + 0.1 * rnd.standard_normal((3000, 12))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent, leaves = [], kdtree._leaves
+
+    def counted(asked, boxes, first):
+        out = leaves(asked, boxes, first)
+        sent.append((out.count(), asked.count() * boxes.count()))
+        return out
+
+    kdtree._leaves = counted
+    try:
+        got = sorted(tuple(r) for r in kdtree.top_k(frame, shard_rows=64).collect())
+    finally:
+        kdtree._leaves = leaves
+    y = np.floor(x * 256)
+    want = []
+    for q in range(0, 3000, 50):
+        scores = y @ y[q]
+        order = [i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:5]
+        want += [(q, n + 1, int(i), int(scores[i])) for n, i in enumerate(order)]
+    assert got == want
+    assert sum(n for n, _ in sent) < 0.5 * sent[0][1]
+    again = sorted(tuple(r) for r in kdtree.top_k(frame, shard_rows=64, shard_queries=3, sample=200).collect())
+    assert again == want
+    kdtree._BROADCAST_BOXES, before = 0, kdtree._BROADCAST_BOXES
+    try:
+        assert sorted(tuple(r) for r in kdtree.top_k(frame, shard_rows=500).collect()) == want
+    finally:
+        kdtree._BROADCAST_BOXES = before
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1e306, 1.0]), (1, [1e306, 2.0]), (2, [-1e306, 0.0]), (3, [1.0, 1.0]), (50, [0.5, -3.0])]
+    found = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {(r.query_id, r.vec_id): r.score for r in found}
+    assert got[0, 1] == (1 << 63) - 1 and got[0, 2] == -(1 << 63) and got[50, 3] == 128 * 256 - 768 * 256
+
+
 def test_tree_boxes_bound_their_points():
     rnd = np.random.default_rng(1)
     points = np.floor(rnd.standard_normal((300, 5)) * 256)
