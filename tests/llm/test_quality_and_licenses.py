@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tests.conftest import DATA
 from tests.llm.cases import edge_docs, no_docs
@@ -33,9 +34,9 @@ def test_held_out_labels_are_never_learned(spark):
 
 def test_votes_are_exact_weighted_shares():
     rnd = np.random.default_rng(1)
-    vectors, labels = rnd.random((60, quality.BUCKETS + 2)).astype(np.float32), rnd.integers(0, 2, 60)
+    vectors, labels = rnd.random((60, quality.BUCKETS + quality.WORDS + 2)).astype(np.float32), rnd.integers(0, 2, 60)
     voters = quality.Voters(vectors, labels, dimensions=8)
-    asked = rnd.random((5, quality.BUCKETS + 2)).astype(np.float32)
+    asked = rnd.random((5, quality.BUCKETS + quality.WORDS + 2)).astype(np.float32)
     got = voters.scores(asked, voters=7)
     latent, known = voters.latent(asked), voters.nearby
     for i in range(5):
@@ -45,6 +46,43 @@ def test_votes_are_exact_weighted_shares():
         assert abs(got[i] - (weight * labels[best]).sum() / weight.sum()) < 1e-4
 
 
+def test_ties_go_to_the_first():
+    vectors = np.zeros((6, quality.BUCKETS + quality.WORDS + 2), np.float32)
+    vectors[:, 0] = 1
+    voters = quality.Voters(vectors, np.array([1, 0, 1, 1, 0, 0]), dimensions=2)
+    assert voters.scores(vectors[:1], voters=3)[0] == pytest.approx(2 / 3)
+    assert voters.scores(vectors[:1], voters=4)[0] == pytest.approx(3 / 4)
+
+
+def test_quality_that_shows_only_in_the_words(spark):
+    """Texts of one shape, good or bad by their vocabulary."""
+    rnd = np.random.default_rng(3)
+    words = {1: ["proof", "theorem", "lemma", "measure", "integral", "converge", "bounded"], 0: ["click", "winner", "cheap", "offer", "prize", "casino", "bonus"]}
+    rows = [(i, " ".join(rnd.choice(words[i % 2], 30)), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    found = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in found]) > 0.98
+
+
+def test_query_equals_brute_force(spark):
+    """Scores by plain loops over all labelled documents, from the same term vectors."""
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if r.doc_id in texts and r.quality is not None and texts[r.doc_id] and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    vector = lambda text: next(quality.terms(pa.array([text])))
+    voters = quality.Voters(np.vstack([vector(texts[i]) for i, _ in known]), np.array([q for _, q in known]))
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    for doc_id, text in texts.items():
+        own = voters.latent(vector(text))[0].astype(float)
+        near = sorted(((-float(own @ v.astype(float)), i) for i, v in enumerate(voters.nearby)))[: quality.VOTERS]
+        weights = [(max(-c, 0) ** quality.SHARPNESS, known[i][1]) for c, i in near]
+        total = sum(w for w, _ in weights)
+        assert got[doc_id] == pytest.approx(sum(w * q for w, q in weights) / total if total > 1e-9 else voters.prior, abs=2e-3)
+
+
 def test_quality_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (9, 0, 0), (7, 1, 0), (99, 1, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
