@@ -61,11 +61,24 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set, as in local tests."""
-    context = spark.sparkContext
+    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set and all runs on this machine."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or context.getCheckpointDir()
+
+
+def removed(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Deletes a folder in any store that Spark reads, now or when the session's store is closed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    else:
+        store.delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
