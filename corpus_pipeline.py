@@ -1,66 +1,5 @@
-"""From raw documents to token ids: five stages over whole tables.
+"""The corpus pipeline: its stages are in ``treeline.llm.pipeline``."""
 
-Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and
-returns a DataFrame that is written as Parquet and read again as the next one's input.
-All but the last return the columns of ``documents``.
-"""
+from treeline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from treeline.llm import bpe, line_dedup, minhash, mixing, quality
-from treeline.llm.shared import importable, shared_folder
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the neighbour-vote classifier rejects go."""
-    return quality.without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on too large a share of their source's pages go."""
-    return line_dedup.without_boilerplate(docs).select(docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return minhash.keep_one_of_each(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last copy may be cut."""
-    return mixing.mixed_documents(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text of the mix."""
-    return bpe.digests(docs)
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("quality", keep_good),
-    ("line_dedup", cut_boilerplate),
-    ("near_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("bpe", encode),
-]
-
-#: None: neighbour votes, weighted signatures and merges have no SQL; brute-force tests stand in.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what stages hand on is kept in the session's shared folder."""
-    importable(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
