@@ -1,5 +1,6 @@
 """Scalar semantics at their edges, mutations, and streams."""
 
+import base64
 import datetime
 
 import pytest
@@ -109,7 +110,9 @@ def test_store_replaces_only_its_partitions(spark, tmp_path):
 
 def test_tables_are_views(spark):
     tables = Tables(spark, "/root/testdata/sf0.001")
-    assert tables.nodes().count() == 1 + 5 + 25 + 150
+    assert tables.nodes().where("doc_id = 0").count() == 1 + 5 + 25 + 150
+    assert tables.nodes().where("id = 'root-node'").count() == 1 + 150
+    assert tables.nodes().groupBy("doc_id", "id").count().where("count > 1").count() == 0
     assert tables.collaborators().groupBy("map_id", "user_id").count().where("count > 1").count() == 0
 
 
@@ -153,3 +156,93 @@ def test_backup_only_of_maps_with_a_snapshot(spark):
     versions = spark.createDataFrame([], "map_id long, user_id long, type string, size long")
     left, backups = M.removed_maps(maps, versions, F.col("id") < 3)
     assert [r.id for r in left.collect()] == [3] and [tuple(r) for r in backups.collect()] == [(1, 7, "delete-backup", 3)]
+
+
+def test_latest_rows_by_ids_of_any_type(spark):
+    rows = [("m", "b", "2024-01-02", 1), ("m", "a", "2024-01-02", 2), ("m", "c", "2024-01-01", 3), ("n", "z", None, 4), ("n", "y", None, 5), ("n", "x", "2020-01-01", 6)]
+    for kind in ("timestamp", "timestamp_ntz", "date"):
+        df = spark.createDataFrame(rows, "map_id string, id string, created_at string, size int").withColumn("created_at", F.col("created_at").cast(kind))
+        assert {(r.map_id, r.id, r["size"]) for r in R.latest_each(df, "map_id").collect()} == {("m", "a", 2), ("n", "x", 6)}
+
+
+def test_restores_compare_states_not_sizes(spark):
+    state = lambda text: base64.b64encode(text.encode()).decode()
+    versions = spark.createDataFrame([("v1", 1, state("one")), ("v2", 1, state("two")), ("v3", 2, state("abc"))], "id string, map_id long, encoded string").withColumn("created_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    live = spark.createDataFrame([(1, state("two")), (2, state("abc"))], "map_id long, encoded string")
+    chosen = spark.createDataFrame([(1, "v1"), (2, "v3"), (3, "v1")], "map_id long, version_id string")
+    got = sorted((r.map_id, r.step, r.type, base64.b64decode(r.encoded).decode()) for r in M.restore_plan(versions, live, chosen).collect())
+    # of equal size but another state: backed up; the same state: not; another map's version: not found
+    assert got == [(1, 1, "auto", "two"), (1, 2, "current", "one"), (1, 3, "restore", "one"), (2, 2, "current", "abc"), (2, 3, "restore", "abc")]
+
+
+def test_an_edit_reaches_a_second_client_after_a_reload(spark, tmp_path):
+    """Edit, save, reload: the first client's title is what the second one loads, also after a restart of the saver."""
+    schema, log = "doc_id long, clock long, client string, key string, value string", str(tmp_path / "log")
+
+    def edit(*rows):
+        spark.createDataFrame(list(rows), schema).write.mode("append").parquet(log)
+
+    def save():
+        E.saved(spark.readStream.schema(schema).parquet(log).select("doc_id", "clock", "value"), str(tmp_path / "history"), str(tmp_path / "check"))
+        return {r.doc_id: r.value for r in E.current_state(spark.read.parquet(str(tmp_path / "history"))).collect()}
+
+    edit((1, 1, "A", "title", "Hello from A"))
+    assert save() == {1: "Hello from A"}
+    edit((1, 2, "B", "title", "Hello from B"), (2, 1, "B", "title", "Another"))
+    assert save() == {1: "Hello from B", 2: "Another"}
+    # the live state of both clients, by a stream that goes on where it stopped
+    live = lambda: {(r.doc_id, r.key): r.value for r in E.merged_state(spark.readStream.schema(schema).parquet(log), str(tmp_path / "live")).collect()}
+    assert live() == {(1, "title"): "Hello from B", (2, "title"): "Another"}
+    edit((1, 3, "A", "title", "Last"))
+    assert live() == {(1, "title"): "Last", (2, "title"): "Another"}
+
+
+def test_evictions_wait_for_the_last_client(spark, tmp_path):
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    rows = [
+        (1, "a", "join", at(0), 0), (1, "b", "join", at(5), 1), (1, "a", "leave", at(10), 2), (1, "b", "leave", at(20), 3),  # gone at 50
+        (2, "a", "join", at(0), 0), (2, "a", "leave", at(10), 1), (2, "b", "join", at(39), 2), (2, "c", "leave", at(60), 3),  # came back in time
+        (3, "a", "join", at(0), 0), (3, "a", "leave", at(10), 1), (3, "a", "join", at(40), 2), (3, "a", "leave", at(100), 3),  # gone at 40 and 130
+        (9, "x", "join", at(900), 0),
+    ]
+    path = str(tmp_path / "visits.parquet")
+    spark.createDataFrame(rows, "doc_id long, client string, kind string, ts string, nth long").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    found = E.appended(E.evicted(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)))
+    assert sorted((r.doc_id, str(r.evicted_at)[11:]) for r in found.collect()) == [(1, "00:00:50"), (3, "00:00:40"), (3, "00:02:10")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from treeline import session as T
+
+    class Session:
+        class sparkContext:
+            master, getCheckpointDir = "yarn", staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        T.shared_folder(Session())
+
+
+def test_code_units_beyond_the_first_plane(spark):
+    texts = ["", "abc", "é漢", "😀x"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    units = lambda x: sum(int.from_bytes(x.encode("utf-16-be")[i : i + 2], "big") for i in range(0, len(x.encode("utf-16-be")), 2))
+    assert [r[0] for r in df.select(S.code_sum(F.col("t"))).collect()] == list(map(units, texts))
+
+
+def test_stored_states_by_their_form(spark):
+    rows = [(b'{"schemaVersion":1,"encodedState":"QQ=="}', "QQ=="), (b'{"meta":{}}', None), (b"\xff\x00", "/wA="), (b"", ""), (b"{not json", base64.b64encode(b"{not json").decode())]
+    df = spark.createDataFrame([(bytearray(a),) for a, _ in rows], "s binary")
+    assert [r[0] for r in df.select(S.stored_state(F.col("s"))).collect()] == [want for _, want in rows]
+
+
+def test_a_crowded_cell_of_points(spark):
+    """All in one place and a ring of others: the same targets, root never one."""
+    rnd = __import__("random").Random(3)
+    points = [(i, rnd.uniform(0, 3), rnd.uniform(0, 3)) for i in range(1, 300)] + [(1000 + i, 40.0 + i, 0.0) for i in range(30)] + [(0, 1.0, 1.0)]
+    near = lambda p: min((q[0] for q in points if q[0] not in (0, p[0]) and ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5 < 50), default=None)
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = {r.id: r.target for r in R.drop_targets(df, roots=df.where("id = 0")).collect()}
+    assert got == {p[0]: near(p) for p in points if near(p) is not None}

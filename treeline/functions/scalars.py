@@ -44,8 +44,12 @@ def initial(name: Column, email: Column) -> Column:
 
 
 def code_sum(text: Column) -> Column:
-    """The sum of the text's character codes."""
-    return F.aggregate(F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    """The sum of the text's UTF-16 code units; a character beyond the first plane is two."""
+    units = F.encode(text, "UTF-16BE")
+    digits = F.hex(units)
+    unit = lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
+    places = F.filter(F.sequence(F.lit(0), F.greatest((F.octet_length(units) / 2).cast("int"), F.lit(1)) - 1), lambda i: i * 2 < F.octet_length(units))
+    return F.aggregate(F.transform(places, unit), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def palette(text: Column, colors: tuple[str, ...]) -> Column:
@@ -142,3 +146,16 @@ def suggestions(text: Column) -> Column:
 def path_id(path: Column) -> Column:
     """A stable id for a place in a tree."""
     return F.substring(F.sha2(path, 256), 1, 16)
+
+
+def with_prefix(text: Column, old: str, new: str) -> Column:
+    """The text with one literal prefix in the place of another, where it has it."""
+    return F.when(F.startswith(text, F.lit(old)), F.concat(F.lit(new), F.substring(text, len(old) + 1, 1 << 30))).otherwise(text)
+
+
+def stored_state(stored: Column) -> Column:
+    """The encoded state of a stored snapshot: an envelope's, or bare bytes in base64; null for an envelope without one."""
+    text = F.try_validate_utf8(stored.cast("string"))
+    envelope = F.when(F.startswith(text, F.lit("{")), F.try_parse_json(text))
+    state = F.get_json_object(text, "$.encodedState")
+    return F.when(envelope.isNotNull(), F.when(state != "", state)).otherwise(base64_of(stored))

@@ -40,21 +40,33 @@ def removed_maps(maps: DataFrame, versions: DataFrame, condition: Column) -> tup
     return deleted(maps, condition), versions.select("map_id", "user_id", "type", "size").unionByName(backup)
 
 
-def restore_plan(versions: DataFrame) -> DataFrame:
-    """(map_id, step, type, version_id, size): what a restore of each map's version before last writes.
+def restore_plan(versions: DataFrame, live: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(map_id, step, type, label, encoded, size): what restoring a chosen version writes.
 
-    The live state is backed up first where it differs, then the chosen version becomes current and is
-    recorded as a restore.
+    ``versions`` (id, map_id, created_at, encoded), ``live`` states (map_id, encoded), ``chosen`` (map_id, version_id). A
+    version that is not one of the map's is not found and writes nothing. The live state is backed up
+    first where it is another state, then the chosen one becomes current, and the restore is recorded.
     """
-    rows = versions.select("id", "map_id", "created_at", "size")
-    newest = latest_each(rows, "map_id")
-    before = latest_each(rows.join(newest.select("id"), "id", "left_anti"), "map_id")
-    pair = lambda df, name: df.select("map_id", F.struct("id", "size").alias(name))
-    ranked = pair(newest, "live").join(pair(before, "chosen"), "map_id")
-    live, chosen = F.col("live"), F.col("chosen")
-    row = lambda step, kind, x: F.struct(F.lit(step).cast("long").alias("step"), F.lit(kind).alias("type"), x["id"].alias("version_id"), x["size"].alias("size"))
-    steps = F.array(F.when(~live["size"].eqNullSafe(chosen["size"]), row(1, "auto", live)), row(2, "current", chosen), row(3, "restore", chosen))
-    return ranked.select("map_id", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("map_id", "s.*")
+    known = chosen.join(versions.select(F.col("id").alias("version_id"), "map_id", "created_at", F.col("encoded").alias("restored")), ["map_id", "version_id"])
+    both = known.join(live.select("map_id", F.col("encoded").alias("now")), "map_id", "left")
+    label = F.concat(F.lit("Restored from "), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+    def row(step: int, kind: str, text: Column, state: Column) -> Column:
+        return F.struct(F.lit(step).cast("long").alias("step"), F.lit(kind).alias("type"), text.alias("label"), state.alias("encoded"))
+
+    differs = F.col("now").isNotNull() & (F.col("now") != F.col("restored"))
+    backup = F.when(differs, row(1, "auto", F.lit("Auto-backup before restore"), F.col("now")))
+    steps = F.array(backup, row(2, "current", F.lit(None).cast("string"), F.col("restored")), row(3, "restore", label, F.col("restored")))
+    found = both.select("map_id", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("map_id", "s.*")
+    return found.withColumn("size", payload_size(F.col("encoded")))
+
+
+def loaded_states(maps: DataFrame, versions: DataFrame) -> DataFrame:
+    """(map_id, encoded, source): a map's own snapshot, else its newest version's; no row where there is neither."""
+    newest = latest_each(versions.select("id", "map_id", "created_at", "encoded"), "map_id").select("map_id", F.col("encoded").alias("version_state"))
+    found = maps.select(F.col("id").alias("map_id"), "snapshot").join(newest, "map_id", "left")
+    own = F.col("snapshot").isNotNull()
+    return found.where(own | F.col("version_state").isNotNull()).select("map_id", F.coalesce("snapshot", "version_state").alias("encoded"), F.when(own, "map").otherwise("version").alias("source"))
 
 
 def autosaved(states: DataFrame, reason: str = "auto") -> DataFrame:

@@ -56,10 +56,12 @@ def newest(df: DataFrame, count: int, time: str = "created_at", key: str = "id")
 
 
 def latest_each(df: DataFrame, key: str, time: str = "created_at", tie: str = "id") -> DataFrame:
-    """The latest row of every key, by a partial aggregation rather than a window."""
-    rest = [c for c in df.columns if c not in (key, time, tie)]
-    best = F.max(F.struct(time, (-F.col(tie)).alias("__tie"), *rest)).alias("best")
-    return df.groupBy(key).agg(best).select(key, (-F.col("best.__tie")).alias(tie), f"best.{time}", *(f"best.{c}" for c in rest))
+    """The latest row of every key, of equal times the one with the least ``tie`` of any type; a partial aggregation, no window."""
+    kind = df.schema[time].dataType.typeName()
+    age = {"date": F.datediff(F.lit("1970-01-01").cast("date"), time)}.get(kind, -F.col(time)) if not kind.startswith("timestamp") else F.timestamp_diff("MICROSECOND", F.col(time), F.lit("1970-01-01").cast(df.schema[time].dataType))
+    rest = [c for c in df.columns if c != key]
+    best = F.min_by(F.struct(*rest), F.struct(age.isNull(), age, F.col(tie))).alias("best")
+    return df.groupBy(key).agg(best).select(key, *(f"best.{c}" for c in rest))
 
 
 def guarded_invites(notifications: DataFrame, users: DataFrame, collaborators: DataFrame) -> DataFrame:
@@ -73,24 +75,35 @@ def orphans(versions: DataFrame, maps: DataFrame) -> DataFrame:
     return versions.join(maps.select(F.col("id").alias("map_id")), "map_id", "left_anti")
 
 
-def drop_targets(points: DataFrame, radius: float = 50.0) -> DataFrame:
-    """(id, target): the first other point, by id, nearer than ``radius``.
+def drop_targets(points: DataFrame, radius: float = 50.0, roots: DataFrame | None = None) -> DataFrame:
+    """(id, target): the first other point, by id, nearer than ``radius``; none of the ``roots`` (id) is a target.
 
     Points meet through grid cells whose diagonal is under the radius. The least other id of
-    a point's own cell is near for certain, so only smaller ids of the cells around are tested; the
-    first of all is an aggregation.
+    a point's own cell is near for certain, so of the cells around only ids below that are candidates. A cell
+    first gives up what no cell around can want, the ids from the greatest of those bounds on: a crowded cell, all of
+    whose neighbours are crowded, keeps few. The first of all is an aggregation.
     """
     side = radius / 1.5
     cell = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-    two = cell.groupBy("cx", "cy").agg(F.min("id").alias("first"))
-    second = cell.join(two.select("cx", "cy", "first"), ["cx", "cy"]).where("id <> first").groupBy("cx", "cy").agg(F.min("id").alias("second"))
-    bound = cell.join(two.select("cx", "cy", "first"), ["cx", "cy"]).join(second, ["cx", "cy"], "left")
+    goals = cell.join(roots.select("id"), "id", "left_anti") if roots is not None else cell
+    first = goals.groupBy("cx", "cy").agg(F.min("id").alias("first"))
+    second = goals.join(first, ["cx", "cy"]).where("id <> first").groupBy("cx", "cy").agg(F.min("id").alias("second"))
+    sure = first.join(second, ["cx", "cy"], "left")
+    bound = cell.join(sure, ["cx", "cy"], "left")
+    most = F.lit((1 << 63) - 1)
     bound = bound.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("sure"))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)))
-    asked = bound.select("a", "ax", "ay", "sure", "cx", "cy", F.explode(around).alias("d"))
-    asked = asked.select("a", "ax", "ay", "sure", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        moved = rows.withColumn("d", F.explode(around))
+        return moved.withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")}).drop("d")
+
+    # the greatest bound of the cells around: nothing from it on is wanted
+    wanted = spread(bound.groupBy("cx", "cy").agg(F.max(F.coalesce("sure", most)).alias("wanted"))).groupBy("cx", "cy").agg(F.max("wanted").alias("wanted"))
+    candidates = goals.join(wanted, ["cx", "cy"]).where("id < wanted").drop("wanted")
+    asked = spread(bound)
     dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    near = asked.join(cell, ["cx", "cy"]).where((F.col("id") < F.coalesce("sure", F.lit((1 << 63) - 1))) & (F.sqrt(dx * dx + dy * dy) < radius))
+    near = asked.join(candidates, ["cx", "cy"]).where((F.col("id") < F.coalesce("sure", most)) & (F.sqrt(dx * dx + dy * dy) < radius))
     found = near.select(F.col("a").alias("id"), F.col("id").alias("target")).unionAll(bound.where("sure IS NOT NULL").select("a", "sure"))
     return found.groupBy("id").agg(F.min("target").alias("target"))
 

@@ -144,9 +144,12 @@ def remove_collaborator(t: Tables) -> DataFrame:
     return cut.select("map_id", F.size("members").cast("long").alias("before"), F.size("left").cast("long").alias("after"), (F.size("members") != F.size("left")).alias("found"))
 
 
-@query(given("collab") + f"SELECT map_id, user_id, CASE WHEN user_id = {USER} THEN 'editor' ELSE role END AS role FROM collab")
+@query(given("collab") + f"SELECT map_id, user_id, CASE WHEN user_id = {USER} AND map_id % 3 < 2 THEN ['editor', 'viewer'][map_id % 3 + 1] ELSE role END AS role FROM collab")
 def change_role(t: Tables) -> DataFrame:
-    return M.updated(t.collaborators(), (F.col("user_id") == USER) & F.lit("editor").isin("editor", "viewer"), role="editor").select("map_id", "user_id", "role")
+    """A role asked for one user on each map; only editor and viewer can be given, a third ask for more."""
+    asked = F.element_at(F.array(F.lit("editor"), F.lit("viewer"), F.lit("owner")), (F.col("map_id") % 3 + 1).cast("int"))
+    rows = t.collaborators().withColumn("asked", asked)
+    return M.updated(rows, (F.col("user_id") == USER) & F.col("asked").isin("editor", "viewer"), role=F.col("asked")).select("map_id", "user_id", "role")
 
 
 @query(given("versions", "users") + "SELECT v.id, v.map_id, v.type, v.size, v.created_at, u.name AS user_name, u.email AS user_email FROM versions v LEFT JOIN users u ON u.id = v.user_id")
@@ -185,13 +188,43 @@ def delete_with_backup(t: Tables) -> DataFrame:
     return M.removed_maps(maps, t.versions(), F.col("id") % 10 == 0)[1]
 
 
-@query(given("versions") + """
-, r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY created_at DESC, id) AS n FROM versions),
-p AS (SELECT a.map_id, a.id AS live, a.size AS live_size, b.id AS chosen, b.size AS chosen_size FROM r a JOIN r b ON a.map_id = b.map_id AND a.n = 1 AND b.n = 2)
-SELECT map_id, 1::BIGINT AS step, 'auto' AS type, live AS version_id, live_size AS size FROM p WHERE live_size IS DISTINCT FROM chosen_size
-UNION ALL SELECT map_id, 2, 'current', chosen, chosen_size FROM p UNION ALL SELECT map_id, 3, 'restore', chosen, chosen_size FROM p""")
+#: Versions with a state each, maps with a snapshot or none, and the version that is chosen for each map.
+_STATES = given("versions", "maps") + """
+, v AS (SELECT id, map_id, created_at, to_base64(encode('state ' || size % 7)) AS encoded FROM versions),
+l AS (SELECT id AS map_id, CASE WHEN id % 4 <> 0 THEN to_base64(encode('state ' || id % 7)) END AS encoded FROM maps)
+"""
+
+
+def _versions(t: Tables) -> DataFrame:
+    state = F.concat(F.lit("state "), (F.col("size") % 7).cast("string"))
+    return t.versions().select("id", "map_id", "created_at", S.base64_of(F.encode(state, "utf-8")).alias("encoded"))
+
+
+def _snapshots(t: Tables) -> DataFrame:
+    state = F.concat(F.lit("state "), (F.col("id") % 7).cast("string"))
+    return t.maps().select("id", F.when(F.col("id") % 4 != 0, S.base64_of(F.encode(state, "utf-8"))).alias("snapshot"))
+
+
+@query(_STATES + """
+, c AS (SELECT map_id, max(id) + CASE WHEN map_id % 5 = 0 THEN 1 ELSE 0 END AS version_id FROM v GROUP BY map_id),
+p AS (SELECT c.map_id, v.created_at, v.encoded AS restored, l.encoded AS now FROM c JOIN v ON v.id = c.version_id AND v.map_id = c.map_id LEFT JOIN l ON l.map_id = c.map_id),
+w AS (SELECT map_id, 1::BIGINT AS step, 'auto' AS type, 'Auto-backup before restore' AS label, now AS encoded FROM p WHERE now IS NOT NULL AND now <> restored
+UNION ALL SELECT map_id, 2, 'current', NULL, restored FROM p UNION ALL SELECT map_id, 3, 'restore', 'Restored from ' || strftime(created_at, '%Y-%m-%d %H:%M:%S'), restored FROM p)
+SELECT *, octet_length(from_base64(encoded)) AS size FROM w""")
 def restore_plan(t: Tables) -> DataFrame:
-    return M.restore_plan(t.versions())
+    """A version restored in every map that has some; every fifth asks for one that is not its own."""
+    chosen = _versions(t).groupBy("map_id").agg((F.max("id") + F.when(F.col("map_id") % 5 == 0, 1).otherwise(0)).alias("version_id"))
+    live = _snapshots(t).where("snapshot IS NOT NULL").select(F.col("id").alias("map_id"), F.col("snapshot").alias("encoded"))
+    return M.restore_plan(_versions(t), live, chosen)
+
+
+@query(_STATES + """
+, n AS (SELECT map_id, encoded FROM v QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY created_at DESC, id) = 1)
+SELECT l.map_id, coalesce(l.encoded, n.encoded) AS encoded, CASE WHEN l.encoded IS NOT NULL THEN 'map' ELSE 'version' END AS source
+FROM l LEFT JOIN n ON n.map_id = l.map_id WHERE l.encoded IS NOT NULL OR n.encoded IS NOT NULL""")
+def loaded_states(t: Tables) -> DataFrame:
+    """The state that each map opens with: its snapshot, else its newest version's, else not found."""
+    return M.loaded_states(_snapshots(t), _versions(t))
 
 
 @query(given("maps") + "SELECT id AS map_id, owner_id AS user_id, 'save-version' AS action, title AS detail_title, CAST(id AS VARCHAR) AS detail_id FROM maps")

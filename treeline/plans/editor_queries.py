@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import mutations as M
 from ..operators import relational as R
 from ..sources.tables import Tables
+from . import editing as E
 from . import layout as L
-from .hierarchy import rooted
+from .hierarchy import KEY, rooted
 from .registry import given, query
 from .stream_queries import _SESSIONS
 from .tree_queries import _LAYOUT
@@ -36,13 +37,13 @@ def checked_snapshots(t: Tables) -> DataFrame:
     return made.select("doc_id", S.checked_envelope(F.col("s")).alias("state"))
 
 
-@query(given("nodes") + "SELECT id, CASE WHEN ord % 4 = 1 THEN upper(label) ELSE label END AS label, ord % 4 = 1 AS bold FROM nodes UNION ALL SELECT 'new-1', 'Free Node', false")
+@query(given("nodes") + "SELECT doc_id, id, CASE WHEN ord % 4 = 1 THEN upper(label) ELSE label END AS label, ord % 4 = 1 AS bold FROM nodes UNION ALL SELECT 0, 'new-1', 'Free Node', false")
 def upsert_nodes(t: Tables) -> DataFrame:
     """Every fourth node restyled, and one that is new."""
-    nodes = t.nodes().select("id", "label", F.lit(False).alias("bold"), "ord")
+    nodes = t.nodes().select(*KEY, "label", F.lit(False).alias("bold"), "ord")
     changed = nodes.where("ord % 4 = 1").withColumns({"label": F.upper("label"), "bold": F.lit(True)})
-    fresh = t.spark.range(1).select(F.lit("new-1").alias("id"), F.lit("Free Node").alias("label"), F.lit(False).alias("bold"), F.lit(0).cast("long").alias("ord"))
-    return M.upserted(nodes, changed.unionByName(fresh), ["id"]).drop("ord")
+    fresh = t.spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.lit("new-1").alias("id"), F.lit("Free Node").alias("label"), F.lit(False).alias("bold"), F.lit(0).cast("long").alias("ord"))
+    return M.upserted(nodes, changed.unionByName(fresh), KEY).drop("ord")
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN 'dashed' ELSE 'solid' END AS style, n_nationkey::BIGINT AS ord FROM nation")
@@ -53,9 +54,9 @@ def splice_edges(t: Tables) -> DataFrame:
     return M.spliced(edges.drop("r"), "id", changed)
 
 
-@query(given("nodes") + "SELECT id, label FROM nodes WHERE id = 'root-node'")
+@query(given("nodes") + "SELECT doc_id, id, label FROM nodes WHERE id = 'root-node'")
 def clear_but_root(t: Tables) -> DataFrame:
-    return M.deleted(t.nodes(), F.col("id") != "root-node").select("id", "label")
+    return M.deleted(t.nodes(), F.col("id") != "root-node").select(*KEY, "label")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size * 10.0 < 250 THEN 'left' ELSE 'right' END AS side FROM part")
@@ -64,16 +65,15 @@ def side_by_position(t: Tables) -> DataFrame:
 
 
 @query(_LAYOUT + """
-, k AS (SELECT parent_id AS id, count(*) AS n FROM nodes WHERE auto_align GROUP BY 1)
-SELECT 's-' || p.id AS id, p.id AS parent_id, p.x + CASE WHEN p.side = 'left' THEN -250 ELSE 250 END AS x, p.y + 80 * coalesce(k.n, 0) AS y, coalesce(p.side, 'right') AS side,
+SELECT p.doc_id, 's-' || p.id AS id, p.id AS parent_id, p.x + CASE WHEN p.side = 'left' THEN -250 ELSE 250 END AS x, p.y + 80 * coalesce(k.n, 0) AS y, coalesce(p.side, 'right') AS side,
   CASE WHEN p.side = 'left' THEN 'source-left' ELSE 'source-right' END AS source_handle, CASE WHEN p.side = 'left' THEN 'target-right' ELSE 'target-left' END AS target_handle
-FROM placed p LEFT JOIN k ON k.id = p.id""")
+FROM placed p LEFT JOIN k ON k.doc_id = p.doc_id AND k.id = p.id""")
 def apply_suggestion(t: Tables) -> DataFrame:
     """A suggested child below each placed node, 80 px a sibling, and its edge's handles."""
-    counted = t.nodes().where(F.coalesce("auto_align", F.lit(True))).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
-    found = L.positions(t.nodes()).join(counted, "id", "left").withColumn("side", F.coalesce("side", F.lit("right")))
+    counted = t.nodes().where(F.coalesce("auto_align", F.lit(True))).groupBy("doc_id", F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    found = L.positions(L.tree(t.nodes())).join(counted, KEY, "left").withColumn("side", F.coalesce("side", F.lit("right")))
     x = F.col("x") + F.when(F.col("side") == "left", -L.STEP_X).otherwise(L.STEP_X)
-    made = found.select(F.concat(F.lit("s-"), "id").alias("new"), F.col("id").alias("parent_id"), x.alias("x"), (F.col("y") + 80 * F.coalesce("n", F.lit(0))).alias("y"), "side")
+    made = found.select("doc_id", F.concat(F.lit("s-"), "id").alias("new"), F.col("id").alias("parent_id"), x.alias("x"), (F.col("y") + 80 * F.coalesce("n", F.lit(0))).alias("y"), "side")
     return M.with_handles(made.withColumnRenamed("new", "id"), F.col("side"))
 
 
@@ -85,10 +85,33 @@ def suggestions_parsed(t: Tables) -> DataFrame:
     return t.base("nation").select(F.col("n_nationkey").alias("id"), F.array_join(S.suggestions(text), "|").alias("texts"))
 
 
-@query(given("nodes", "paths") + "SELECT id, left(sha256(array_to_string(path, '/')), 16) AS path_id FROM paths")
+@query(given("nodes", "paths") + "SELECT doc_id, id, CASE WHEN id LIKE 'p%' THEN id ELSE left(sha256(array_to_string(path, '/')), 16) END AS path_id FROM paths")
 def tree_ids(t: Tables) -> DataFrame:
-    """Ids made from places, the same each time."""
-    return rooted(t.nodes()).select("id", S.path_id(F.array_join("path", "/")).alias("path_id"))
+    """Ids where nodes have none, made from places, the same each time; here only order priorities have one."""
+    given_id = F.when(F.startswith("id", F.lit("p")), F.col("id"))
+    return rooted(t.nodes()).select(*KEY, F.coalesce(given_id, S.path_id(F.array_join("path", "/"))).alias("path_id"))
+
+
+@query("SELECT doc_id, id, style, ord - CASE WHEN ord >= 4 THEN 2 ELSE 0 END AS ord FROM (SELECT n_regionkey::BIGINT AS doc_id, n_nationkey AS id, 'solid' AS style, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ord FROM nation) WHERE ord NOT IN (2, 3)")
+def edge_range_delete(t: Tables) -> DataFrame:
+    """Two edges deleted at their position in every document's list; those behind move up."""
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    edges = t.base("nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").alias("id"), F.lit("solid").alias("style"), (place - 1).cast("long").alias("ord"))
+    return E.without_range(edges, 2, 2)
+
+
+@query("SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN '10,5' WHEN 1 THEN '2,4' ELSE 'none' END AS dash FROM nation")
+def edge_dashes(t: Tables) -> DataFrame:
+    styles = F.element_at(F.array(*map(F.lit, ("dashed", "dotted", "solid"))), F.col("n_nationkey") % 3 + 1)
+    return t.base("nation").select(F.col("n_nationkey").alias("id"), E.dashes(styles).alias("dash"))
+
+
+@query(given("nodes") + "SELECT n.doc_id, id, parent_id, CASE WHEN n.doc_id % 2 = 0 THEN 'World' ELSE 'title ' || n.doc_id END AS label, ord, auto_align FROM nodes n WHERE id = 'root-node' AND n.doc_id % 3 = 0")
+def generated_roots(t: Tables) -> DataFrame:
+    """What is left of documents that a generated tree replaces: their roots, named by it or by the title."""
+    documents = t.nodes().where("parent_id IS NULL AND doc_id % 3 = 0").select("doc_id")
+    text = F.when(F.col("doc_id") % 2 == 0, '{"text":"World","children":[]}').otherwise('{"text":"","children":[]}')
+    return E.generated_roots(t.nodes(), documents.withColumn("json", text), documents.withColumn("title", F.concat(F.lit("title "), F.col("doc_id").cast("string"))))
 
 
 @query("""

@@ -1,7 +1,9 @@
-"""Trees given as (id, parent_id): paths, depths, closures, by pointer doubling.
+"""Trees of many documents, given as (doc_id, id, parent_id): paths, depths, closures, by pointer doubling.
 
-Each round joins every open path with the path of the node it hangs on, so a tree of depth d takes
-about log2 d joins, whatever its size; recursion limits on rows or levels do not apply.
+Ids are unique inside a document only, so every function is keyed by document and id. Each round
+joins every open path with the path of the node it hangs on, so trees of depth d take
+about log2 d joins, whatever their number and size; recursion limits on rows or levels do not apply.
+``paths`` is the result of ``rooted``; functions that need it take it, so that several share one walk.
 """
 
 from __future__ import annotations
@@ -12,40 +14,40 @@ from pyspark.sql import functions as F
 from ..functions.scalars import BRANCH_COLORS, palette
 from ..session import settled
 
+KEY = ["doc_id", "id"]
+
 
 def rooted(nodes: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, path, dangling) of every node of ``nodes`` (id, parent_id).
+    """(doc_id, id, path, dangling) of every node of ``nodes`` (doc_id, id, parent_id).
 
     ``path`` holds the ids from the topmost resolvable ancestor down to the node; ``dangling`` is
     true where that ancestor names a parent that does not exist. Nodes on or below a cycle
     have a null path. Null and empty parents are none.
     """
     parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
-    state = settled(nodes.select("id", parent.alias("up"), F.array("id").alias("path"), F.lit(False).alias("dangling")))
-    spread = 1
-    n = state.count()
+    state = settled(nodes.select(*KEY, parent.alias("up"), F.array("id").alias("path"), F.lit(False).alias("dangling")))
     for _ in range(rounds):
         is_open = F.col("up").isNotNull() & ~F.col("dangling")
-        if spread > n or not state.where(is_open).take(1):
+        # an open path that holds its own next node goes round a cycle
+        if not state.where(is_open & ~F.array_contains("path", F.col("up"))).take(1):
             break
-        above = state.select(F.col("id").alias("up_id"), F.col("up").alias("up_up"), F.col("path").alias("up_path"), F.col("dangling").alias("up_dangling"))
-        moved = state.where(is_open).join(above, F.col("up") == F.col("up_id"), "left")
-        lost = F.col("up_id").isNull()
+        above = state.select("doc_id", F.col("id").alias("up_id"), F.col("up").alias("up_up"), F.col("path").alias("up_path"), F.col("dangling").alias("up_dangling"))
+        moved = state.where(is_open).join(above.withColumnRenamed("up_id", "up"), ["doc_id", "up"], "left")
+        lost, turns = F.col("up_path").isNull(), F.array_contains("path", F.col("up"))
         moved = moved.select(
-            "id",
-            F.when(lost, F.col("up")).otherwise(F.col("up_up")).alias("up"),
-            F.when(lost, F.col("path")).otherwise(F.concat("up_path", "path")).alias("path"),
-            F.when(lost, F.lit(True)).otherwise(F.col("up_dangling")).alias("dangling"),
+            *KEY,
+            F.when(lost | turns, F.col("up")).otherwise(F.col("up_up")).alias("up"),
+            F.when(lost | turns, F.col("path")).otherwise(F.concat("up_path", "path")).alias("path"),
+            F.when(turns, F.lit(False)).when(lost, F.lit(True)).otherwise(F.col("up_dangling")).alias("dangling"),
         )
         state = settled(state.where(~is_open).unionByName(moved))
-        spread *= 2
     whole = F.col("up").isNull() | F.col("dangling")
-    return state.select("id", F.when(whole, F.col("path")).alias("path"), "dangling")
+    return state.select(*KEY, F.when(whole, F.col("path")).alias("path"), "dangling")
 
 
-def levels(nodes: DataFrame) -> DataFrame:
-    """(id, level): edges to the root; a missing parent counts as a level."""
-    return rooted(nodes).select("id", (F.size("path") - 1 + F.col("dangling").cast("int")).cast("long").alias("level"))
+def levels(paths: DataFrame) -> DataFrame:
+    """(doc_id, id, level): edges to the root; a missing parent counts as a level."""
+    return paths.select(*KEY, (F.size("path") - 1 + F.col("dangling").cast("int")).cast("long").alias("level"))
 
 
 def branch_of(path) -> F.Column:
@@ -53,55 +55,56 @@ def branch_of(path) -> F.Column:
     return F.when(F.size(path) > 1, F.element_at(path, 2)).otherwise(F.element_at(path, 1))
 
 
-def branch_colors(nodes: DataFrame) -> DataFrame:
-    """(id, branch_id, color) by the branch a node is on; below a missing parent, its topmost node."""
+def branch_colors(paths: DataFrame) -> DataFrame:
+    """(doc_id, id, branch_id, color) by the branch a node is on; below a missing parent, its topmost node."""
     branch = F.when(F.col("dangling"), F.element_at("path", 1)).otherwise(branch_of(F.col("path")))
-    found = rooted(nodes).select("id", branch.alias("branch_id"))
-    return found.select("id", "branch_id", palette(F.col("branch_id"), BRANCH_COLORS).alias("color"))
+    found = paths.select(*KEY, branch.alias("branch_id"))
+    return found.select(*KEY, "branch_id", palette(F.col("branch_id"), BRANCH_COLORS).alias("color"))
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for every node and all nodes of its path, itself at 0."""
-    paths = rooted(nodes).where("path IS NOT NULL")
-    return paths.select(F.col("id").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor")).select(
-        "ancestor", "descendant", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance")
+def closure(paths: DataFrame) -> DataFrame:
+    """(doc_id, ancestor, descendant, distance) for every node and all nodes of its path, itself at 0."""
+    known = paths.where("path IS NOT NULL")
+    return known.select("doc_id", F.col("id").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor")).select(
+        "doc_id", "ancestor", "descendant", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance")
     )
 
 
-def subtree(nodes: DataFrame, top: str) -> DataFrame:
-    """The ids of a node and all below it."""
-    return rooted(nodes).where(F.array_contains("path", top)).select("id")
+def subtrees(paths: DataFrame, tops: DataFrame) -> DataFrame:
+    """(doc_id, id, top): every node at or below one of ``tops`` (doc_id, id), once for each."""
+    on = paths.where("path IS NOT NULL").select(*KEY, F.explode("path").alias("top"))
+    return on.join(tops.select("doc_id", F.col("id").alias("top")).distinct(), ["doc_id", "top"], "left_semi").select(*KEY, "top")
 
 
-def ancestor_labels(nodes: DataFrame, separator: str = " > ") -> DataFrame:
-    """(id, labels): the labels of a node's ancestors, root first, itself left out."""
-    above = closure(nodes).where("distance > 0").join(nodes.select(F.col("id").alias("ancestor"), "label"), "ancestor")
-    ordered = above.groupBy(F.col("descendant").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "label"))).alias("found"))
-    joined = ordered.select("id", F.array_join(F.col("found.label"), separator).alias("labels"))
-    return nodes.select("id").join(joined, "id", "left").select("id", F.coalesce("labels", F.lit("")).alias("labels"))
+def ancestor_labels(nodes: DataFrame, paths: DataFrame, separator: str = " > ") -> DataFrame:
+    """(doc_id, id, labels): the labels of a node's ancestors, root first, itself left out."""
+    above = closure(paths).where("distance > 0").join(nodes.select("doc_id", F.col("id").alias("ancestor"), "label"), ["doc_id", "ancestor"])
+    ordered = above.groupBy("doc_id", F.col("descendant").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "label"))).alias("found"))
+    joined = ordered.select(*KEY, F.array_join(F.col("found.label"), separator).alias("labels"))
+    return nodes.select(KEY).join(joined, KEY, "left").select(*KEY, F.coalesce("labels", F.lit("")).alias("labels"))
 
 
-def without_subtree(nodes: DataFrame, top: str) -> DataFrame:
-    """The nodes that stay when one is deleted with all below it."""
-    return nodes.join(subtree(nodes, top), "id", "left_anti")
+def without_subtrees(nodes: DataFrame, paths: DataFrame, tops: DataFrame) -> DataFrame:
+    """The nodes that stay when ``tops`` (doc_id, id) are deleted with all below them."""
+    return nodes.join(subtrees(paths, tops).select(KEY).distinct(), KEY, "left_anti")
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Parent-child edges that have lost an end."""
-    ids = nodes.select("id")
-    lost = edges.where("is_parent_child")
-    sound = lost.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    return lost.select("id", "source", "target").join(sound.select("id"), "id", "left_anti")
+    ids = settled(nodes.select(KEY))
+    found = edges.where("is_parent_child")
+    for end in ("source", "target"):
+        found = found.join(ids.select("doc_id", F.col("id").alias(end), F.lit(True).alias(f"has_{end}")), ["doc_id", end], "left")
+    return found.where("has_source IS NULL OR has_target IS NULL").select(*KEY, "source", "target")
 
 
-def makes_cycle(moves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``moves`` (id, new_parent) with ``cycle``: whether the node is its new parent or above it."""
-    paths = rooted(nodes).select(F.col("id").alias("new_parent"), F.col("path").alias("__path"))
-    return moves.join(paths, "new_parent", "left").withColumn("cycle", F.coalesce(F.array_contains(F.col("__path"), F.col("id")), F.lit(False)) | (F.col("id") == F.col("new_parent"))).drop("__path")
+def makes_cycle(moves: DataFrame, paths: DataFrame) -> DataFrame:
+    """``moves`` (doc_id, id, new_parent) with ``cycle``: whether the node is its new parent or above it."""
+    found = moves.join(paths.select("doc_id", F.col("id").alias("new_parent"), F.col("path").alias("__path")), ["doc_id", "new_parent"], "left")
+    return found.withColumn("cycle", F.coalesce(F.array_contains(F.col("__path"), F.col("id")), F.lit(False)) | (F.col("id") == F.col("new_parent"))).drop("__path")
 
 
-def reparented(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    """``nodes`` with the moves (id, new_parent) that make no cycle and name existing nodes."""
-    fine = makes_cycle(moves, nodes).where("NOT cycle").join(nodes.select(F.col("id").alias("new_parent")), "new_parent", "left_semi")
-    kept = nodes.join(fine.select("id", "new_parent"), "id", "left")
-    return kept.withColumn("parent_id", F.coalesce("new_parent", "parent_id")).select(nodes.columns)
+def possible(moves: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The moves (doc_id, id, new_parent) that make no cycle and whose nodes exist."""
+    fine = makes_cycle(moves, paths).where("NOT cycle").join(nodes.select(KEY), KEY, "left_semi")
+    return fine.join(nodes.select("doc_id", F.col("id").alias("new_parent")), ["doc_id", "new_parent"], "left_semi").select(*KEY, "new_parent")

@@ -1,7 +1,8 @@
-"""Balanced two-sided tree layout in closed form.
+"""Balanced two-sided tree layout of many documents in closed form.
 
 A subtree with n leaves is 130 n - 80 high, whatever its shape; a child's offset from its parent is
-a window over its siblings' heights, and a node's place the sum of the offsets on its path.
+a window over its siblings' heights, and a node's place the sum of the offsets on its path. All windows
+lie inside a document.
 """
 
 from __future__ import annotations
@@ -10,43 +11,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .hierarchy import rooted
+from .hierarchy import KEY, rooted
 
 # Fixed values of the layout, in pixels.
 STEP_X, GAP_Y, NODE_HEIGHT, ROOT_X, ROOT_Y, ROOT_STEP_Y = 250, 80, 50, 600, 400, 600
+CHILD_Y, FREE_CHILD_Y = 40, 80
 
 
-def _tree(nodes: DataFrame) -> DataFrame:
-    """Aligned nodes that hang on a root: (id, parent_id, ord, side, path)."""
+def tree(nodes: DataFrame) -> DataFrame:
+    """Aligned nodes that hang on a root: (doc_id, id, parent_id, ord, side, path)."""
     side = F.col("side") if "side" in nodes.columns else F.lit(None).cast("string")
-    aligned = nodes.where(F.coalesce("auto_align", F.lit(True))).select("id", "parent_id", "ord", side.alias("side"))
-    paths = rooted(aligned).where("path IS NOT NULL AND NOT dangling").select("id", "path")
-    return settled(aligned.join(paths, "id"))
+    aligned = nodes.where(F.coalesce("auto_align", F.lit(True))).select(*KEY, "parent_id", "ord", side.alias("side"))
+    paths = rooted(aligned).where("path IS NOT NULL AND NOT dangling").select(*KEY, "path")
+    return settled(aligned.join(paths, KEY))
 
 
-def _heights(tree: DataFrame) -> DataFrame:
-    parents = tree.select(F.col("parent_id").alias("id")).where("id IS NOT NULL").distinct()
-    leaves = tree.select("id", "path").join(parents, "id", "left_anti")
-    counted = leaves.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("leaves"))
-    return counted.select("id", "leaves", ((NODE_HEIGHT + GAP_Y) * F.col("leaves") - GAP_Y).cast("long").alias("height"))
+def heights(tree: DataFrame) -> DataFrame:
+    """(doc_id, id, leaves, height) of every node that has a place."""
+    parents = tree.select("doc_id", F.col("parent_id").alias("id")).where("id IS NOT NULL").distinct()
+    leaves = tree.select(*KEY, "path").join(parents, KEY, "left_anti")
+    counted = leaves.select("doc_id", F.explode("path").alias("id")).groupBy(KEY).agg(F.count("*").alias("leaves"))
+    return counted.select(*KEY, "leaves", ((NODE_HEIGHT + GAP_Y) * F.col("leaves") - GAP_Y).cast("long").alias("height"))
 
 
-def subtree_heights(nodes: DataFrame) -> DataFrame:
-    """(id, leaves, height) of every node that has a place."""
-    return _heights(_tree(nodes))
-
-
-def _sides(tree: DataFrame) -> DataFrame:
-    """(branch, branch_side): a side for each child of a root.
+def _branches(tree: DataFrame) -> DataFrame:
+    """(doc_id, branch, branch_side): a side for each child of a root.
 
     Children go to the side with fewer so far, left first, unless theirs is set. Without set sides
     that is their order's parity; roots with some are folded in order.
     """
-    top = tree.where(F.size("path") == 2).select(F.col("id").alias("branch"), F.col("parent_id").alias("root"), "ord", "side")
-    fixed = top.where(F.col("side").isin("left", "right")).select("root").distinct()
-    place = F.row_number().over(Window.partitionBy("root").orderBy("ord", "branch"))
-    plain = top.join(fixed, "root", "left_anti").select("branch", F.when(place % 2 == 1, "left").otherwise("right").alias("branch_side"))
-    listed = top.join(fixed, "root", "left_semi").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("ord", "branch", "side"))).alias("children"))
+    top = tree.where(F.size("path") == 2).select("doc_id", F.col("id").alias("branch"), F.col("parent_id").alias("root"), "ord", "side")
+    fixed = top.where(F.col("side").isin("left", "right")).select("doc_id", "root").distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("ord", "branch"))
+    plain = top.join(fixed, ["doc_id", "root"], "left_anti").select("doc_id", "branch", F.when(place % 2 == 1, "left").otherwise("right").alias("branch_side"))
+    listed = top.join(fixed, ["doc_id", "root"], "left_semi").groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("ord", "branch", "side"))).alias("children"))
     none = F.array().cast("array<struct<branch:string,branch_side:string>>")
 
     def step(a, x):
@@ -55,38 +53,59 @@ def _sides(tree: DataFrame) -> DataFrame:
         return F.struct((a["l"] + left).alias("l"), (a["r"] + 1 - left).alias("r"), F.concat(a["out"], F.array(F.struct(x["branch"].alias("branch"), side.alias("branch_side")))).alias("out"))
 
     folded = F.aggregate("children", F.struct(F.lit(0).alias("l"), F.lit(0).alias("r"), none.alias("out")), step, lambda a: a["out"])
-    return plain.unionByName(listed.select(F.explode(folded).alias("f")).select("f.branch", "f.branch_side"))
+    return plain.unionByName(listed.select("doc_id", F.explode(folded).alias("f")).select("doc_id", "f.branch", "f.branch_side"))
 
 
-def sides(nodes: DataFrame) -> DataFrame:
-    """(id, side) of every placed node but the roots: its branch's."""
-    tree = _tree(nodes)
-    below = tree.where(F.size("path") > 1).select("id", F.element_at("path", 2).alias("branch"))
-    return below.join(_sides(tree), "branch").select("id", F.col("branch_side").alias("side"))
+def sides(tree: DataFrame) -> DataFrame:
+    """(doc_id, id, side) of every placed node but the roots: its branch's."""
+    below = tree.where(F.size("path") > 1).select(*KEY, F.element_at("path", 2).alias("branch"))
+    return below.join(_branches(tree), ["doc_id", "branch"]).select(*KEY, F.col("branch_side").alias("side"))
 
 
-def positions(nodes: DataFrame) -> DataFrame:
-    """(id, side, x, y) of every aligned node that hangs on a root; roots have no side."""
-    tree = _tree(nodes)
-    shaped = tree.join(_heights(tree), "id").withColumn("branch", F.when(F.size("path") > 1, F.element_at("path", 2)))
-    shaped = shaped.drop("side").join(_sides(tree), "branch", "left").withColumn("depth", F.size("path") - 1)
-    column = Window.partitionBy("parent_id", "branch_side")
+def positions(tree: DataFrame) -> DataFrame:
+    """(doc_id, id, side, x, y) of every node of a ``tree``; roots have no side."""
+    shaped = tree.join(heights(tree), KEY).withColumn("branch", F.when(F.size("path") > 1, F.element_at("path", 2)))
+    shaped = shaped.drop("side").join(_branches(tree), ["doc_id", "branch"], "left").withColumn("depth", F.size("path") - 1)
+    column = Window.partitionBy("doc_id", "parent_id", "branch_side")
     before = F.coalesce(F.sum(F.col("height") + GAP_Y).over(column.orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     full = F.sum(F.col("height") + GAP_Y).over(column) - GAP_Y
-    offset = F.when(F.col("depth") > 0, -full / 2 + before + F.col("height") / 2)
-    roots = shaped.where("depth = 0").select(F.col("id").alias("root"), (F.row_number().over(Window.orderBy("ord", "id")) - 1).alias("nth"))
-    shaped = settled(shaped.where("depth > 0").withColumn("offset", offset).unionByName(shaped.where("depth = 0").withColumn("offset", F.lit(0.0))))
-    steps = shaped.select("id", F.explode("path").alias("at")).join(shaped.select(F.col("id").alias("at"), "offset"), "at")
-    fallen = steps.groupBy("id").agg(F.sum("offset").alias("fall"))
-    placed = shaped.withColumn("root", F.element_at("path", 1)).join(fallen, "id").join(roots, "root")
+    roots = Window.partitionBy("doc_id").orderBy("ord", "id")
+    # a root's offset is its place among the document's roots
+    below = shaped.where("depth > 0").withColumn("offset", -full / 2 + before + F.col("height") / 2)
+    top = shaped.where("depth = 0").withColumn("offset", (ROOT_Y + ROOT_STEP_Y * (F.row_number().over(roots) - 1)).cast("double"))
+    shaped = settled(below.unionByName(top).select(*KEY, "path", "branch_side", "depth", "offset"))
+    steps = shaped.select(*KEY, F.explode("path").alias("at")).join(shaped.select("doc_id", F.col("id").alias("at"), "offset"), ["doc_id", "at"])
+    fallen = steps.groupBy(KEY).agg(F.sum("offset").alias("y"))
     sign = F.when(F.col("branch_side") == "left", -1).otherwise(1)
     x = (ROOT_X + sign * STEP_X * F.col("depth")).cast("double")
-    return placed.select("id", F.col("branch_side").alias("side"), x.alias("x"), (ROOT_Y + ROOT_STEP_Y * F.col("nth") + F.col("fall")).cast("double").alias("y"))
+    return shaped.join(fallen, KEY).select(*KEY, F.col("branch_side").alias("side"), x.alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def suggested_sides(nodes: DataFrame, sides: DataFrame) -> DataFrame:
+    """(doc_id, id, side) a new child of each node would go to: below a root the emptier one, else the node's own or right.
+
+    ``nodes`` (doc_id, id, parent_id, auto_align) with the ``sides`` (doc_id, id, side) that they have.
+    """
+    known = nodes.select(*KEY, "parent_id", "auto_align").join(sides.select(*KEY, F.col("side").alias("own_side")), KEY, "left")
+    aligned = known.where(F.coalesce("auto_align", F.lit(True)))
+    below = aligned.groupBy("doc_id", F.col("parent_id").alias("id")).agg(F.count_if(F.col("own_side") == "left").alias("l"), F.count_if(F.col("own_side") == "right").alias("r"))
+    emptier = F.when(F.coalesce("l", F.lit(0)) <= F.coalesce("r", F.lit(0)), "left").otherwise("right")
+    return known.join(below, KEY, "left").select(*KEY, F.when(F.coalesce("parent_id", F.lit("")) == "", emptier).otherwise(F.coalesce("own_side", F.lit("right"))).alias("side"))
+
+
+def child_places(nodes: DataFrame, places: DataFrame, sides: DataFrame) -> DataFrame:
+    """(doc_id, id, side, x, y): where a new child of each node with a place would appear; lower below a free node."""
+    free = F.coalesce(F.col("is_free"), F.lit(False)) if "is_free" in nodes.columns else F.lit(False)
+    aligned = nodes.where(F.coalesce("auto_align", F.lit(True)))
+    counted = aligned.groupBy("doc_id", F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    found = nodes.select(*KEY, free.alias("free")).join(places.select(*KEY, "x", "y"), KEY).join(sides, KEY).join(counted, KEY, "left")
+    sign, gap = F.when(F.col("side") == "left", -1).otherwise(1), F.when(F.col("free"), FREE_CHILD_Y).otherwise(CHILD_Y)
+    return found.select(*KEY, "side", (F.col("x") + sign * STEP_X).alias("x"), (F.col("y") + gap * F.coalesce("n", F.lit(0))).alias("y"))
 
 
 def applied(nodes: DataFrame, places: DataFrame) -> DataFrame:
     """``nodes`` (with x, y) where aligned, not free nodes take their computed place."""
     free = F.coalesce(F.col("is_free"), F.lit(False)) if "is_free" in nodes.columns else F.lit(False)
     moves = F.coalesce("auto_align", F.lit(True)) & ~free & F.col("new_x").isNotNull()
-    joined = nodes.join(places.select("id", F.col("x").alias("new_x"), F.col("y").alias("new_y")), "id", "left")
+    joined = nodes.join(places.select(*KEY, F.col("x").alias("new_x"), F.col("y").alias("new_y")), KEY, "left")
     return joined.withColumns({c: F.when(moves, F.col(f"new_{c}")).otherwise(F.col(c)) for c in "xy"}).drop("new_x", "new_y")

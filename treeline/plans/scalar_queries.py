@@ -45,21 +45,22 @@ def user_color(t: Tables) -> DataFrame:
     return t.users().select("id", S.palette(F.col("name"), S.USER_COLORS).alias("color"))
 
 
-@query(given("nodes") + "SELECT id, CASE WHEN ord % 2 = 0 THEN 'source-left' ELSE 'source-right' END AS source_handle, CASE WHEN ord % 2 = 0 THEN 'target-right' ELSE 'target-left' END AS target_handle FROM nodes")
+@query(given("nodes") + "SELECT doc_id, id, CASE WHEN ord % 2 = 0 THEN 'source-left' ELSE 'source-right' END AS source_handle, CASE WHEN ord % 2 = 0 THEN 'target-right' ELSE 'target-left' END AS target_handle FROM nodes")
 def handle_from_side(t: Tables) -> DataFrame:
-    return M.with_handles(t.nodes().select("id", "ord"), F.when(F.col("ord") % 2 == 0, "left").otherwise("right")).drop("ord")
+    return M.with_handles(t.nodes().select("doc_id", "id", "ord"), F.when(F.col("ord") % 2 == 0, "left").otherwise("right")).drop("ord")
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 60), '^\\s+|\\s+$', '', 'g') AS plain FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS plain FROM documents")
 def fence_strip(t: Tables) -> DataFrame:
-    fenced = F.concat(F.lit("```json\n"), F.substring("text", 1, 60), F.lit("\n```"))
+    """Whole texts out of their fences."""
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
     return t.base("documents").select("doc_id", S.without_fences(fenced).alias("plain"))
 
 
-@query(given("nodes") + "SELECT id, CASE WHEN ord % 3 = 0 THEN 'New Node' ELSE label END AS label FROM nodes")
+@query(given("nodes") + "SELECT doc_id, id, CASE WHEN ord % 3 = 0 THEN 'New Node' ELSE label END AS label FROM nodes")
 def label_default(t: Tables) -> DataFrame:
     typed = F.when(F.col("ord") % 3 == 0, F.lit(" \t\n")).otherwise(F.concat(F.lit("  "), "label"))
-    return t.nodes().select("id", S.or_else(S.trimmed(typed), "New Node").alias("label"))
+    return t.nodes().select("doc_id", "id", S.or_else(S.trimmed(typed), "New Node").alias("label"))
 
 
 @query(given("versions") + "SELECT id, CASE type WHEN 'manual' THEN 'Manual Save' WHEN 'auto' THEN 'Auto Save' WHEN 'restore' THEN 'Restored' WHEN 'delete-backup' THEN 'Backup' ELSE type END AS label FROM versions")
@@ -106,20 +107,40 @@ def snapshot_b64_roundtrip(t: Tables) -> DataFrame:
     return t.snapshots().select("doc_id", back.alias("state"), back.eqNullSafe(F.col("state")).alias("same"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN to_base64(encode(text)) END AS encoded, doc_id % 3 = 2 AS invalid FROM documents""")
+@query("""
+WITH f AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN '{"schemaVersion":1,"encodedState":"' || to_base64(encode(text)) || '"}' WHEN 1 THEN to_base64(encode(text)) ELSE '{"meta":{}}' END AS stored FROM documents)
+SELECT doc_id, encoded, encoded IS NULL AS invalid FROM (SELECT doc_id, CASE WHEN stored LIKE '{%' THEN nullif(json_extract_string(stored, '$.encodedState'), '') ELSE stored END AS encoded FROM f)""")
 def legacy_snapshots(t: Tables) -> DataFrame:
-    """Envelopes pass, bare bytes are encoded, anything else is invalid."""
+    """Stored snapshots by their form: an envelope gives its state, bare bytes are encoded, anything else is invalid."""
     kind, raw = F.col("doc_id") % 3, F.encode("state", "utf-8")
-    return t.snapshots().select("doc_id", F.when(kind == 0, F.col("state")).when(kind == 1, S.base64_of(raw)).alias("encoded"), (kind == 2).alias("invalid"))
+    envelope = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), S.base64_of(raw).alias("encodedState")))
+    stored = F.when(kind == 0, F.encode(envelope, "utf-8")).when(kind == 1, raw).otherwise(F.encode(F.lit('{"meta":{}}'), "utf-8"))
+    found = t.snapshots().select("doc_id", S.stored_state(stored).alias("encoded"))
+    return found.select("doc_id", "encoded", F.col("encoded").isNull().alias("invalid"))
 
 
-@query("SELECT doc_id, 'auto' AS type, to_base64(encode(text)) AS encoded, octet_length(encode(text)) AS size FROM documents WHERE length(text) > 20")
+@query(given("nodes") + "SELECT d.doc_id, 'auto' AS type, to_base64(encode(text)) AS encoded, octet_length(encode(text)) AS size FROM documents d WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.doc_id = d.doc_id)")
 def autosave_write(t: Tables) -> DataFrame:
-    """Versions of documents with nodes; a node stands for twenty characters."""
-    states = t.snapshots().select("doc_id", S.base64_of(F.encode("state", "utf-8")).alias("encoded"), F.ceil((F.length("state") - 20) / 20.0).alias("node_count"))
+    """Versions of the documents that have nodes."""
+    counts = t.nodes().groupBy("doc_id").agg(F.count("*").alias("node_count"))
+    states = t.snapshots().select("doc_id", S.base64_of(F.encode("state", "utf-8")).alias("encoded")).join(counts, "doc_id")
     return M.autosaved(states)
 
 
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS seconds, CAST(to_timestamp(epoch_us(ts) // 1000000) AT TIME ZONE 'UTC' AS TIMESTAMP) AS at FROM events")
+def epoch_timestamps(t: Tables) -> DataFrame:
+    """Seconds since 1970 as timestamps."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return t.base("events").select("event_id", seconds.alias("seconds"), F.timestamp_seconds(seconds).cast("timestamp_ntz").alias("at"))
+
+
+@query(given("users") + "SELECT id, upper(left(name, 1)) || substr(name, 2) AS name, CASE WHEN id % 3 = 0 THEN 'none' ELSE coalesce(email, '') || ' / ' || name END AS line, regexp_replace(name, '^Customer', 'User') AS plain FROM users")
+def text_pieces(t: Tables) -> DataFrame:
+    """A capital first, a joined list with a default, a prefix replaced."""
+    items = F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("email", "name"))
+    return t.users().select("id", S.capitalised(F.col("name")).alias("name"), S.joined(items, " / ", "none").alias("line"), S.with_prefix(F.col("name"), "Customer", "User").alias("plain"))
+
+
 @query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(text)) AS uri FROM documents WHERE octet_length(encode(text)) <= 5242880")
 def upload_data_uri(t: Tables) -> DataFrame:
     data = F.encode("state", "utf-8")

@@ -64,14 +64,15 @@ def presence_summary(t: Tables) -> DataFrame:
     """How many are online, and the three that are shown."""
     here = R.present(t.presence(), 7, F.lit(_AT).cast("timestamp_ntz"), _WINDOW_MS).select("client_id")
     first = here.orderBy("client_id").limit(3).agg(F.array_join(F.array_sort(F.collect_list("client_id")), ",").alias("shown"))
-    return here.agg(F.count("*").alias("online")).crossJoin(F.broadcast(first))
+    both = here.agg(F.count("*").alias("online")).unionByName(first, allowMissingColumns=True)
+    return both.agg(F.max("online").alias("online"), F.max("shown").alias("shown"))
 
 
 @query(f"""WITH s AS ({_SESSIONS.format(key="user_id", gap="6 hours")}) SELECT * FROM s WHERE stop <= (SELECT max(ts) FROM events)""")
 def stream_autosave(t: Tables) -> DataFrame:
     """The debounce as a stream: sessions closed by the watermark."""
     stream = E.read_log(t.spark, f"{t.folder}/events.parquet").select("user_id", "ts")
-    closed = E.finished(E.debounced(stream, "user_id", "ts", GAP))
+    closed = E.appended(E.debounced(stream, "user_id", "ts", GAP))
     return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
 
 
@@ -84,4 +85,16 @@ def stream_lww(t: Tables) -> DataFrame:
 @query(_PRESENT)
 def stream_presence(t: Tables) -> DataFrame:
     stream = E.read_log(t.spark, f"{t.folder}/events.parquet").select(F.col("user_id").alias("client_id"), "ts")
-    return R.present(E.finished(E.last_seen(stream, "client_id", "ts"), "complete"), 7, F.lit(_AT).cast("timestamp_ntz"), _WINDOW_MS)
+    return R.present(E.latest(E.last_seen(stream, "client_id", "ts"), ["client_id"]), 7, F.lit(_AT).cast("timestamp_ntz"), _WINDOW_MS)
+
+
+@query("""
+WITH e AS (SELECT user_id AS doc_id, ts, event_id, event_id % 3 = 0 AS joins, lag(event_id % 3 = 0) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, min(CASE WHEN joins THEN ts END) OVER (PARTITION BY doc_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS again FROM e)
+SELECT doc_id, ts + INTERVAL 30 SECOND AS evicted_at FROM n WHERE NOT joins AND before AND (again IS NULL OR again >= ts + INTERVAL 30 SECOND) AND ts + INTERVAL 30 SECOND < (SELECT max(ts) FROM events)""")
+def stream_eviction(t: Tables) -> DataFrame:
+    """Documents dropped from memory 30 seconds after their last client has left, by a timer each."""
+    events = E.read_log(t.spark, f"{t.folder}/events.parquet")
+    kind = F.when(F.col("event_id") % 3 == 0, "join").otherwise("leave")
+    gone = E.appended(E.evicted(events.select(F.col("user_id").alias("doc_id"), F.lit("c").alias("client"), kind.alias("kind"), "ts", F.col("event_id").alias("nth"))))
+    return gone.withColumn("evicted_at", F.col("evicted_at").cast("timestamp_ntz"))

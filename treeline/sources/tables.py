@@ -67,21 +67,42 @@ class Tables:
         )
 
     def nodes(self) -> DataFrame:
-        """A tree: one root, regions, nations, customers; some customers are not aligned."""
+        """Trees of many documents, each with its own "root-node"; some nodes are not aligned.
+
+        Document 0 has regions, nations and customers; every customer's document has its orders by priority and status.
+        """
         empty = F.lit(None).cast("string")
-        root = self.spark.range(1).select(F.lit("root-node").alias("id"), empty.alias("parent_id"), F.lit("Central Idea").alias("label"), F.lit(0).cast("long").alias("ord"), F.lit(True).alias("auto_align"))
-        parts = [root]
-        for table, mark, key, name, above in (("region", "r", "r_regionkey", "r_name", F.lit("root-node")), ("nation", "n", "n_nationkey", "n_name", F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))), ("customer", "c", "c_custkey", "c_name", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))):
-            aligned = F.col(key) % 17 != 0 if mark == "c" else F.lit(True)
-            parts.append(self.base(table).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), above.alias("parent_id"), F.col(name).alias("label"), F.col(key).cast("long").alias("ord"), aligned.alias("auto_align")))
+        text = lambda c: F.col(c).cast("string")
+
+        def rows(df: DataFrame, doc, key, above, label, ord_, aligned) -> DataFrame:
+            return df.select(doc.cast("long").alias("doc_id"), key.alias("id"), above.alias("parent_id"), label.alias("label"), ord_.cast("long").alias("ord"), aligned.alias("auto_align"))
+
+        yes, zero, root = F.lit(True), F.lit(0), F.lit("root-node")
+        customers = self.base("customer")
+        own = F.col("o_custkey") + 1
+        group = F.concat(F.lit("p"), "o_orderpriority")
+        status = F.concat(F.lit("s"), "o_orderpriority", F.lit("/"), "o_orderstatus")
+        groups = self.base("orders").select("o_custkey", "o_orderpriority").distinct()
+        statuses = self.base("orders").select("o_custkey", "o_orderpriority", "o_orderstatus").distinct()
+        parts = [
+            rows(self.spark.range(1), zero, root, empty, F.lit("Central Idea"), zero, yes),
+            rows(self.base("region"), zero, F.concat(F.lit("r"), text("r_regionkey")), root, F.col("r_name"), F.col("r_regionkey"), yes),
+            rows(self.base("nation"), zero, F.concat(F.lit("n"), text("n_nationkey")), F.concat(F.lit("r"), text("n_regionkey")), F.col("n_name"), F.col("n_nationkey"), yes),
+            rows(customers, zero, F.concat(F.lit("c"), text("c_custkey")), F.concat(F.lit("n"), text("c_nationkey")), F.col("c_name"), F.col("c_custkey"), F.col("c_custkey") % 17 != 0),
+            rows(customers, F.col("c_custkey") + 1, root, empty, F.col("c_name"), zero, yes),
+            rows(groups, own, group, root, F.col("o_orderpriority"), zero, yes),
+            rows(statuses, own, status, group, F.col("o_orderstatus"), zero, yes),
+            rows(self.base("orders"), own, F.concat(F.lit("o"), text("o_orderkey")), status, F.concat(F.lit("order "), text("o_orderkey")), F.col("o_orderkey"), F.col("o_orderkey") % 11 != 0),
+        ]
         first, *rest = parts
         for part in rest:
             first = first.unionByName(part)
         return first
 
     def edges(self) -> DataFrame:
-        """Parent-child edges of the tree, and customer-supplier pairs as custom edges."""
+        """Parent-child edges of the trees, and customer-supplier pairs as custom edges of document 0."""
         tree = self.nodes().where("parent_id IS NOT NULL").select(
+            "doc_id",
             F.concat(F.lit("e-"), "parent_id", F.lit("-"), "id").alias("id"),
             F.col("parent_id").alias("source"),
             F.col("id").alias("target"),
@@ -90,9 +111,16 @@ class Tables:
         )
         pairs = self.base("lineitem").join(self.base("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
         source, target = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-        custom = pairs.select(F.concat(F.lit("custom-"), source, F.lit("-"), target).alias("id"), source.alias("source"), target.alias("target"), F.lit(None).cast("string").alias("color"), F.lit(False).alias("is_parent_child"))
+        custom = pairs.select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("custom-"), source, F.lit("-"), target).alias("id"), source.alias("source"), target.alias("target"), F.lit(None).cast("string").alias("color"), F.lit(False).alias("is_parent_child"))
         return tree.unionByName(custom)
 
+    def branches_to_move(self) -> DataFrame:
+        """(doc_id, id, new_parent): the first branch of every document with several, below its last one."""
+        branches = self.nodes().where("parent_id = 'root-node'").groupBy("doc_id")
+        place = F.struct("ord", "id")
+        found = branches.agg(F.min(place)["id"].alias("id"), F.max(place)["id"].alias("new_parent"))
+        return found.where("id <> new_parent")
+
     def op_log(self) -> DataFrame:
         return self.base("conversations").select(
             F.col("conv_id").alias("doc_id"), F.col("turn").alias("clock"), F.col("role").alias("client"), F.col("role").alias("key"), F.col("text").alias("value")

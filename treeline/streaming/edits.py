@@ -1,19 +1,23 @@
-"""Edit streams: debounced saves, last-writer-wins state and presence, on file-based op logs.
+"""Edit streams: debounced saves, last-writer-wins state, presence and eviction, on file-based op logs.
 
 Each has a batch twin in ``operators.relational``; over a finished log with ``availableNow`` both
-give the same rows, except that sessions still open at the watermark are not emitted yet.
+give the same rows, except that what is still open at the watermark is not emitted yet. State lives in
+Spark's state store, keyed and checkpointed in the shared folder; what a stream emits is written there as Parquet. No rows
+gather on the driver.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mutations import store
-from ..operators.relational import last_writes, quiet_groups
-from ..session import settled
+from ..operators.relational import quiet_groups
+from ..session import shared_folder
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -28,56 +32,116 @@ def debounced(stream: DataFrame, key: str, time: str, gap: str, late: str = "0 s
     return quiet_groups(zoned, key, time, gap)
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream emits over all that is there now."""
-    name = f"out_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    return stream.sparkSession.table(name)
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def appended(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """What a stream that only appends emits over all that is there now, kept as Parquet in a shared folder."""
+    folder = folder or _folder(stream.sparkSession)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def merged_state(stream: DataFrame) -> DataFrame:
-    """The last-writer-wins state after a log stream (doc_id, clock, client, key, value).
+def latest(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """The last row that a stream of changing rows emits for each key, over all that is there now.
 
-    Every micro-batch is reduced to its last writes and merged with the state so far; replaying a
-    batch changes nothing.
+    Each micro-batch writes only the rows it changed, to a partition of its own that it overwrites when it runs again.
+    With a ``folder`` the stream goes on where it stopped before.
     """
-    spark, state = stream.sparkSession, {}
+    spark, folder = stream.sparkSession, folder or _folder(stream.sparkSession)
+    # an empty start, so that a stream without rows has something to read
+    store(spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(-1).cast("long")), f"{folder}/rows", "batch")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("doc_id", "key", "value", "clock", "client")
-        both = state["rows"].unionByName(rows) if "rows" in state else rows
-        best = F.max_by(F.struct("value", "clock", "client"), F.struct("clock", "client")).alias("w")
-        state["rows"] = settled(both.groupBy("doc_id", "key").agg(best).select("doc_id", "key", "w.value", "w.clock", "w.client"))
+    def save(rows: DataFrame, number: int) -> None:
+        store(rows.withColumn("batch", F.lit(number).cast("long")), f"{folder}/rows", "batch")
 
-    query = stream.writeStream.foreachBatch(merge).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    if "rows" not in state:
-        return spark.createDataFrame([], "doc_id long, key string, value string, clock long")
-    return last_writes(state["rows"])
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").parquet(f"{folder}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    newest = rows.groupBy(keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*keys, *(f"row.{c}" for c in rest))
+
+
+def merged_state(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """(doc_id, key, value, clock): the last-writer-wins state after a log stream (doc_id, clock, client, key, value).
+
+    A keyed aggregation in the state store: a micro-batch reads and writes only the keys it touches, and replaying
+    one changes nothing.
+    """
+    best = F.max_by(F.struct("value", "clock"), F.struct("clock", "client")).alias("w")
+    state = stream.groupBy("doc_id", "key").agg(best).select("doc_id", "key", "w.value", "w.clock")
+    return latest(state, ["doc_id", "key"], folder)
 
 
 def last_seen(stream: DataFrame, key: str, time: str) -> DataFrame:
-    """(key, last_updated): a running maximum per client, in complete mode."""
+    """(key, last_updated): a running maximum per client."""
     return stream.groupBy(key).agg(F.max(time).alias("last_updated"))
 
 
-def saved(stream: DataFrame, history: str, checkpoint: str) -> None:
+def evicted(stream: DataFrame, seconds: int = 30) -> DataFrame:
+    """(doc_id, evicted_at): documents that nobody has held for so long, from (doc_id, client, kind, ts, nth).
+
+    ``kind`` is "join" or "leave", ``nth`` orders events of one time. When the last client leaves, a
+    timer starts; a join stops it. A leave of a client that is not there changes nothing. The clients of a document are
+    its state; a document without clients has none after its eviction.
+    """
+
+    def step(key: tuple, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        linger, out = pd.Timedelta(seconds=seconds), []
+        clients, since = state.get if state.exists else ([], None)
+        clients = set(clients)
+        if state.hasTimedOut:
+            out.append(since + linger)
+            state.remove()
+        else:
+            events = pd.concat(list(frames)).sort_values(["ts", "nth"])
+            for client, kind, ts in zip(events["client"], events["kind"], events["ts"], strict=True):
+                if since is not None and ts - since >= linger:
+                    out.append(since + linger)
+                    since = None
+                if kind == "join":
+                    clients.add(client)
+                    since = None
+                elif client in clients:
+                    clients.remove(client)
+                    since = None if clients else ts
+            if since is not None and (since + linger).timestamp() * 1000 <= state.getCurrentWatermarkMs():
+                out.append(since + linger)
+                since = None
+            if clients or since is not None:
+                state.update((sorted(clients), since))
+                if since is not None:
+                    state.setTimeoutTimestamp(int((since + linger).timestamp() * 1000))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame({"doc_id": [key[0]] * len(out), "evicted_at": pd.Series(out, dtype="datetime64[ns]")})
+
+    zoned = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    return zoned.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, evicted_at timestamp", "clients array<string>, since timestamp", "append", "EventTimeTimeout")
+
+
+def saved(stream: DataFrame, history: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Appends each micro-batch's last write per document (doc_id, clock, value) to a history.
 
     A batch owns a partition that it overwrites, so a batch that runs again after a failure
-    leaves the history as it was. The current state is ``current_state`` of the history.
+    leaves the history as it was. The current state is ``current_state`` of the history. Ends with what is there now, or
+    goes on with a batch ``every`` so often ("10 seconds") until the query is stopped.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("doc_id").agg(F.max("clock").alias("clock"), F.max_by("value", "clock").alias("value"))
         store(last.withColumn("batch", F.lit(number)), history, "batch")
 
-    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    if not every:
+        query.awaitTermination()
+    return query
 
 
 def current_state(history: DataFrame) -> DataFrame:
