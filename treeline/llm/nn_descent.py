@@ -157,7 +157,10 @@ def _joined(graph: DataFrame, nodes: DataFrame, size: int, grown: int, turn: int
 
 
 def _merged(component: DataFrame, edges: DataFrame) -> DataFrame:
-    """The components after further edges (a, b) between nodes."""
+    """The components after further edges (a, b) between nodes; the same where there are none."""
+    edges = checkpointed(edges)
+    if not edges.take(1):
+        return component
     return checkpointed(connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(edges)))
 
 
@@ -285,7 +288,7 @@ def _audit(nodes: DataFrame, component: DataFrame, similarity: float, size: int,
     placed = checkpointed(nodes.join(component, "id", "left").select("id", "label", "width", "vector", F.coalesce("component", "id").alias("component")))
     total = placed.count()
     order = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(max(1, total)))
-    linked, apart, crossing = [0, 0], [0, 0], component.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    linked, apart, crossing = [0, 0], [0, 0], component.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
     start, stop = 0, AUDITED
     while start < total:
         part = placed.where((order >= start) & (order < stop)).toArrow()
@@ -341,6 +344,13 @@ def _probes(nodes: DataFrame, similarity: float, seed: int) -> tuple[DataFrame,
     return nodes.sparkSession.createDataFrame(rows, "id long, label int, width int, vector array<double>"), twin_of
 
 
+def _linked_probes(graph: DataFrame, twin_of: dict[int, int], similarity: float) -> float:
+    """The share of probes that have any link, at least that of those whose links lead to their twin."""
+    if not twin_of:
+        return 1.0
+    return graph.where((F.col("cosine") >= similarity) & F.col("a").isin(*twin_of)).select("a").distinct().count() / len(twin_of)
+
+
 def _probed(graph: DataFrame, component: DataFrame, twin_of: dict[int, int], similarity: float) -> float:
     """The share of probes whose links lead to their twin's component."""
     if not twin_of:
@@ -382,6 +392,10 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY
         links_before, n = linked.count(), links_before
         if turn < MOST_ROUNDS and (turn < ROUNDS or links_before - n > NEW * links_before):
             continue
+        if turn < MOST_ROUNDS and _linked_probes(graph, twin_of, similarity) < recall:
+            # no components can make up for probes without any link
+            graph = checkpointed(_closest(graph.unionAll(_started(every, ORDERS, BITS, NEAR, 1 + turn)), size, grown, similarity))
+            continue
         component = checkpointed(connected_components(linked.select("a", "b")))
         between = _between(graph.where(real), component, nodes, similarity, size)
         if between is not None:
