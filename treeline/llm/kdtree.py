@@ -93,7 +93,7 @@ def _integers(x: np.ndarray) -> np.ndarray:
     """floor(256 x): doubles where all inner products are exact in them, else Python integers."""
     with np.errstate(over="ignore"):
         y = np.floor(x * 256)
-    if not y.size or np.isfinite(y).all() and float(np.abs(y).max()) ** 2 * y.shape[1] < 2.0**52:
+    if not y.size or np.isfinite(y).all() and float(np.abs(y).max()) * float(np.abs(y).max()) * y.shape[1] < 2.0**52:
         return y
     return np.vectorize(lambda v: int(v) * 256 if abs(v) >= 2.0**45 else math.floor(v * 256), otypes=[object])(x)
 
