@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import pipeline as stages
-from . import bpe, kdtree, licenses, line_dedup, minhash, mixing, nn_descent, pii, prefix_tokens, quality
+from . import ball_kmeans, bpe, curve_packing, divergence, kdtree, licenses, line_dedup, minhash, mixing, nn_descent, pii, prefix_tokens, quality
 from .shared import importable
 
 
@@ -57,12 +57,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.inertias(ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.checksums(curve_packing.packed(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op3_license_scan, op4_prefix_token_counts, op5_feistel_pseudonyms, op6_nn_descent_links, op7_kdtree_top_k, op8_line_dedup, op9_recursive_bpe, op10_source_mix, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_neighbour_quality, op3_license_scan, op4_prefix_token_counts, op5_feistel_pseudonyms, op6_nn_descent_links, op7_kdtree_top_k, op8_line_dedup, op9_recursive_bpe, op10_source_mix, op11_ball_kmeans, op12_source_divergence, op13_curve_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -73,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_kdtree_top_k": kdtree.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
         "op10_source_mix": mixing.ORACLE_SQL,
+        "op11_ball_kmeans": ball_kmeans.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
     }
