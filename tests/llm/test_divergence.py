@@ -55,9 +55,9 @@ def test_rows_equal_brute_force(spark):
     assert run(spark, rows, top=25) == brute(rows, 3, 25, divergence.SCALE)
 
 
-def test_small_chunks_and_blocks_change_nothing(spark):
+def test_many_shards_and_small_blocks_change_nothing(spark):
     rows = made(9, 150)
-    assert run(spark, rows, chunk=500, least_block=1) == brute(rows, 3, 200, divergence.SCALE)
+    assert run(spark, rows, shard=300, least_block=1) == brute(rows, 3, 200, divergence.SCALE)
 
 
 def test_shares_beyond_a_long(spark):

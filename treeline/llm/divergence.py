@@ -1,9 +1,9 @@
 """How a language's sources diverge in their words, by a two-pass vocabulary automaton.
 
-The first pass finds, in every chunk of texts, the distinct terms of each document; their sums are the exact document frequencies
-of a language's terms, and those in enough documents are kept. The second pass builds an automaton (Aho-Corasick) for each chunk and language, out of the
-kept terms that occur there, padded with a delimiter on both sides, and counts every occurrence. So no vocabulary is broadcast and no
-automaton is larger than its chunk, however many terms are kept.
+The first pass adds up, in each task, in how many documents a language's terms are; the sums are exact document frequencies, and
+terms in enough documents are kept. The second pass counts every occurrence of the kept terms with automata (Aho-Corasick), one a language, of terms padded with a
+delimiter on both sides. Kept terms are numbered in their order and dealt out in shards of bounded size: a worker holds one shard's automata at a
+time, and a shard passes over the texts of its languages only. One shard is the rule; a larger vocabulary takes more passes.
 
 Counts become smoothed shares p, in billionths, and two groups compare by f = floor((p - q)^2 / q). Pairs of sources need f for
 all kept terms, also those that neither has. They come from sparse postings: a term that only one has depends on its count alone, so
@@ -12,23 +12,24 @@ histograms of counts give these sums; terms that both have are met in blocks of
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, checkpointed, small_batches
+from .shared import broadcast_if_small, checkpointed, small_batches, worker_cache
 
 LEAST_DOCUMENTS, TOP, SCALE = 3, 200, 1_000_000_000
-#: UTF-8 bytes of texts in a chunk, about; entries of one row of its terms.
-CHUNK, _LISTED = 16 << 20, 8_192
+#: Characters of the padded terms in a shard, about (12 bytes of memory each); counts that a task holds at once.
+SHARD, _HELD = 16 << 20, 1 << 20
 #: Postings in a block of terms, at least and at most; between them as many as there are pairs of sources.
 LEAST_BLOCK, MOST_BLOCK = 1 << 14, 1 << 20
 #: Groups that may be broadcast.
@@ -37,76 +38,114 @@ _BROADCAST_GROUPS = 20_000
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The texts with the number of their chunk, and behind each chunk its terms by language, with how many of its documents have them."""
-    task = TaskContext.get().partitionId() << 32
-    chunk, held, on = 0, 0, {}
-    names = ["chunk", "lang", "source", "text", "terms", "on"]
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    langs = batch.column("lang")
+    for lang in pc.unique(langs).to_pylist():
+        yield lang, batch.filter(pc.equal(langs, lang))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, documents) of the task's terms, once or more."""
+    on: dict[str, Counter] = {}
 
     def listed() -> Iterator[pa.RecordBatch]:
         for lang, counts in on.items():
-            terms, numbers = [x.decode() for x in counts], list(counts.values())
-            for at in range(0, len(terms), _LISTED):
-                some, n = terms[at : at + _LISTED], numbers[at : at + _LISTED]
-                yield pa.RecordBatch.from_arrays([pa.array([task | chunk], pa.int64()), pa.array([lang]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([some], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64()))], names=names)
+            terms = pa.array([x.decode() for x in counts], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), terms, pa.array(list(counts.values()), pa.int64())], names=["lang", "term", "documents"])
+        on.clear()
 
     for batch in batches:
-        numbers = np.zeros(batch.num_rows, np.int64)
-        after = []
-        for i, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True)):
-            raw = text.as_py()
-            if held and held + len(raw) > most:
-                after += listed()
-                chunk, held, on = chunk + 1, 0, {}
-            held += len(raw)
-            numbers[i] = task | chunk
-            on.setdefault(lang, Counter()).update(set(raw.translate(_TERMS).split()))
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(numbers), *(batch.column(c) for c in ("lang", "source", "text")), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
-        yield from after
+        for lang, rows in _by_lang(batch):
+            counts = on.setdefault(lang, Counter())
+            for text in rows.column("text").cast(pa.binary()):
+                counts.update(set(text.as_py().translate(_TERMS).split()))
+        if sum(map(len, on.values())) > _HELD:
+            yield from listed()
     yield from listed()
 
 
-def _recounted(texts: pa.Table, terms: pa.Table) -> pa.Table:
-    """(lang, source, term, n): all occurrences of a chunk's kept terms in its texts."""
-    found: dict[str, list] = {"lang": [], "source": [], "term": [], "n": []}
-    for lang in pc.unique(terms.column("lang")).to_pylist():
-        own = terms.filter(pc.equal(terms.column("lang"), lang)).column("term").to_pylist()
-        automaton = ahocorasick.Automaton()
-        for number, term in enumerate(own):
-            automaton.add_word(f" {term} ", number)
-        automaton.make_automaton()
-        there = texts.filter(pc.equal(texts.column("lang"), lang))
-        counts: dict[str, Counter] = {}
-        for source, text in zip(there.column("source").to_pylist(), there.column("text").cast(pa.binary()), strict=True):
-            # neighbours share the delimiter between them
-            padded = f" {text.as_py().translate(_TERMS).decode()} "
-            counts.setdefault(source, Counter()).update(map(itemgetter(1), automaton.iter(padded)))
-        for source, numbers in counts.items():
-            found["lang"] += [lang] * len(numbers)
-            found["source"] += [source] * len(numbers)
-            found["term"] += map(own.__getitem__, numbers)
-            found["n"] += numbers.values()
-    return pa.table([pa.array(found[c], kind) for c, kind in (("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()))], names=list(found))
-
-
-def postings(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(lang, term) of the kept terms, and (lang, source, term, n, n_lang) of those that a source has.
-
-    A term counts once for a row of ``docs`` (text, lang, source); null is ''. Both tables are written.
+class _Vocabulary:
+    """One shard's terms, frequent ones first, and their numbers, by language."""
+
+    def __init__(self, table: pa.Table):
+        self.name, self.terms = uuid.uuid4().hex, {}
+        table = table.sort_by([("documents", "descending"), ("number", "ascending")])
+        for lang in pc.unique(table.column("lang")).to_pylist():
+            own = table.filter(pc.equal(table.column("lang"), lang))
+            self.terms[lang] = " ".join(own.column("term").to_pylist()), own.column("number").to_numpy()
+
+    def automaton(self, lang: str) -> ahocorasick.Automaton:
+        """Of a language's terms, made once a worker."""
+        held = worker_cache("divergence")
+        if held.get("name") != self.name:
+            held.clear()
+            held["name"] = self.name
+        if lang not in held:
+            made = ahocorasick.Automaton()
+            for i, term in enumerate(self.terms[lang][0].split(" ")):
+                made.add_word(f" {term} ", i)
+            made.make_automaton()
+            held[lang] = made
+        return held[lang]
+
+
+def _recounted(texts: DataFrame, shard: pa.Table) -> DataFrame:
+    """(lang, source, number, n): all occurrences of a shard's terms, added up in each task."""
+    shared = texts.sparkSession.sparkContext.broadcast(_Vocabulary(shard))
+    langs = pc.unique(shard.column("lang")).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], Counter] = {}
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), counts in found.items():
+                at = np.fromiter(counts.keys(), np.int64, len(counts))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(shared.value.terms[lang][1][at]), pa.array(list(counts.values()), pa.int64())], names=["lang", "source", "number", "n"])
+            found.clear()
+
+        for batch in batches:
+            for lang, rows in _by_lang(batch):
+                automaton = shared.value.automaton(lang)
+                for source, text in zip(rows.column("source").to_pylist(), rows.column("text").cast(pa.binary()), strict=True):
+                    # neighbours share the delimiter between them
+                    padded = f" {text.as_py().translate(_TERMS).decode()} "
+                    found.setdefault((lang, source), Counter()).update(map(itemgetter(1), automaton.iter(padded)))
+            if sum(map(len, found.values())) > _HELD:
+                yield from listed()
+        yield from listed()
+
+    return texts.where(F.col("lang").isin(langs)).mapInArrow(run, "lang string, source string, number long, n long")
+
+
+def postings(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(lang, term, number) of the kept terms, and (lang, source, number, n, n_lang) of those that a source has.
+
+    A term counts once for a row of ``docs`` (text, lang, source); null is ''. Numbers follow the order of (lang, term). Both tables are
+    written. A shard has about ``shard`` characters; only one at a time is on the driver, and only of its terms.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    # an automaton belongs to a chunk, so its number has to hold
-    rows = checkpointed(texts.mapInArrow(lambda batches: _chunked(batches, chunk), "chunk long, lang string, source string, text string, terms array<string>, on array<long>"))
-    marks = rows.where("terms IS NOT NULL").select("chunk", "lang", F.explode(F.arrays_zip("terms", "on")).alias("x")).select("chunk", "lang", F.col("x.terms").alias("term"), F.col("x.on").alias("on"))
-    kept = checkpointed(marks.groupBy("lang", "term").agg(F.sum("on").alias("documents")).where(F.col("documents") >= least_documents).select("lang", "term"))
-    there = marks.select("chunk", "lang", "term").join(kept, ["lang", "term"])
-    whole = rows.where("text IS NOT NULL").select(*(F.col(c).alias(c) for c in ("chunk", "lang", "source", "text")))
-    counted = whole.groupBy("chunk").cogroup(there.groupBy("chunk")).applyInArrow(_recounted, "lang string, source string, term string, n long")
-    each = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    marks = texts.select("lang", "text").mapInArrow(_frequencies, "lang string, term string, documents long")
+    kept = marks.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least_documents)
+    kept = checkpointed(kept)
+    characters = kept.agg(F.sum(F.length("term") + 2)).first()[0] or 0
+    ranges = max(16, 4 * -(-characters // shard))
+    kept = kept.repartitionByRange(ranges, "lang", "term").sortWithinPartitions("lang", "term")
+    kept = checkpointed(kept.withColumn("number", F.monotonically_increasing_id()))
+    # consecutive ranges are a shard: a row a range
+    sizes = kept.groupBy(F.shiftright("number", 33).alias("range")).agg(F.sum(F.length("term") + 2).alias("characters")).orderBy("range").collect()
+    shards: list[list[int]] = []
+    filled = shard
+    for row in sizes:
+        if filled + row.characters > shard:
+            shards.append([row.range, row.range])
+            filled = 0
+        shards[-1][1], filled = row.range, filled + row.characters
+    whole = [_recounted(texts, kept.where(F.shiftright("number", 33).between(*some)).toArrow()) for some in shards]
+    nothing = kept.sparkSession.createDataFrame([], "lang string, source string, number long, n long")
+    each = reduce(DataFrame.unionAll, whole, nothing).groupBy("lang", "source", "number").agg(F.sum("n").alias("n"))
     # a term has a row a source at most
-    return kept, checkpointed(each.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang", "term"))))
+    return kept.drop("documents"), checkpointed(each.withColumn("n_lang", F.sum("n").over(Window.partitionBy("number"))))
 
 
 def _share(n: str | Column, total: str, scale: int) -> Column:
@@ -129,7 +168,7 @@ def _common(table: pa.Table) -> pa.Table:
     table = table.take(order)
     names = table.column("source").combine_chunks().dictionary_encode()
     source = names.indices.to_numpy(zero_copy_only=False)
-    term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    _, term = np.unique(table.column("number").to_numpy(), return_inverse=True)
     p, none = table.column("p").to_numpy(), table.column("p_none").to_numpy()
     starts = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
     stops = np.concatenate([starts[1:], [len(source)]])
@@ -153,7 +192,7 @@ def _common(table: pa.Table) -> pa.Table:
     return pa.table({"lang": lang, "a": named.take(pa.array(a, pa.int64())), "b": named.take(pa.array(b, pa.int64())), "value": pa.array(np.concatenate(value)), "common": pa.array(np.concatenate(common))})
 
 
-def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP, scale: int = SCALE, chunk: int = CHUNK, least_block: int = LEAST_BLOCK) -> DataFrame:
+def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP, scale: int = SCALE, shard: int = SHARD, least_block: int = LEAST_BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source of ``docs`` (text, lang, source) diverges from the others of its language.
 
     A language keeps the terms (runs of letters and non-ASCII characters, only A-Z lower-cased) in at least ``least_documents`` of its
@@ -164,7 +203,7 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     Null text, lang and source are ''; each row is a document, repeats too. A source without terms has pairs, a language with one source none; no
     kept terms give values of 0. Texts are whole, of any length; no rows give no rows; other columns are ignored.
     """
-    kept, found = postings(docs, least_documents, chunk)
+    kept, found = postings(docs, least_documents, shard)
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     sizes = found.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count("*").alias("own"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
@@ -176,7 +215,10 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     few = broadcast_if_small(known, _BROADCAST_GROUPS)
 
     placed = found.join(few.select("lang", "source", "total", "lang_total", "p_none", "pairs"), ["lang", "source"]).withColumn("p", _share("n", "total", scale))
-    terms = placed.withColumn("q", _share("n_lang", "lang_total", scale)).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
+    terms = placed.withColumn("q", _share("n_lang", "lang_total", scale)).where("p > q").select("lang", "source", "number", _gap(F.col("p"), F.col("q")).alias("value"))
+    best = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "number"))
+    terms = terms.withColumn("rank", best).where(F.col("rank") <= top).join(kept.select("number", "term"), "number")
+    terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
     # terms that only one of two sources has: their p depends on the count alone
     counts = found.groupBy("lang", "source", "n").agg(F.count("*").alias("k"))
@@ -191,7 +233,7 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     per_block = F.least(F.greatest(F.col("pairs"), F.lit(least_block)), F.lit(MOST_BLOCK))
     blocks = found.groupBy("lang").agg(F.count("*").alias("rows")).join(known.select("lang", "pairs").distinct(), "lang")
     blocks = broadcast_if_small(checkpointed(blocks.select("lang", F.ceil(F.col("rows") / per_block).alias("blocks"))), _BROADCAST_GROUPS)
-    dealt = placed.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "term", "source", "p", "p_none")
+    dealt = placed.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("number"), "blocks").alias("block"), "number", "source", "p", "p_none")
     both = dealt.groupBy("lang", "block").applyInArrow(lambda _, table: _common(table), "lang string, a string, b string, value long, common long")
     both = both.select("lang", "a", "b", F.col("value").cast(wide).alias("value"), "common")
 
@@ -205,7 +247,7 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     pairs = pairs.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), value.cast("long").alias("value"))
 
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
-    return pairs.withColumn("rank", rank).unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= top))
+    return pairs.withColumn("rank", rank).unionByName(terms)
 
 
 ORACLE_SQL = f"""
