@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame
 from .shared import id_and_text
 
 _ROUNDS = 10
+#: Components that are permuted at once; longer values go block by block, twice.
+_BLOCK = 64
+#: The longest value whose pseudonym a task remembers.
+_LONGEST = 128
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 _FREE = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
@@ -50,11 +54,30 @@ class Feistel:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _mix(self, tweak: str, turn: int, value: int) -> int:
-        text = f"{tweak}/{turn}/{value}".encode()
+        text = f"{tweak}/{turn}/".encode() + value.to_bytes(value.bit_length() // 8 + 1, "big")
         return int.from_bytes(hashlib.blake2b(text, key=self.key, digest_size=48).digest(), "big")
 
     def permute(self, values: list[int], radices: list[int], tweak: str, back: bool = False) -> list[int]:
-        """Alternates sums modulo the sizes of the two halves; ``back`` undoes it."""
+        """A permutation of tuples of any length, in time in proportion to it; ``back`` undoes it.
+
+        Long tuples are cut into blocks, each permuted under what came before it: once from the front and once from
+        the end, so that every component depends on all others.
+        """
+        if len(values) <= _BLOCK:
+            return self._halves(values, radices, tweak, back)
+        blocks = [slice(at, at + _BLOCK) for at in range(0, len(values), _BLOCK)]
+        passes = [("front", blocks), ("end", blocks[::-1])]
+        out = list(values)
+        for name, order in reversed(passes) if back else passes:
+            before = b""
+            for at in order:
+                given = out[at]
+                out[at] = self._halves(given, radices[at], f"{tweak}/{len(values)}/{name}/{before.hex()}", back)
+                before = hashlib.blake2b(before + repr(out[at] if back else given).encode(), key=self.key, digest_size=16).digest()
+        return out
+
+    def _halves(self, values: list[int], radices: list[int], tweak: str, back: bool) -> list[int]:
+        """Alternates sums modulo the sizes of the two halves."""
         half = (len(values) + 1) // 2
         sizes, parts = [1, 1], [0, 0]
         for i, (value, radix) in enumerate(zip(values, radices, strict=True)):
@@ -240,6 +263,8 @@ class Pseudonyms:
         return "".join([*out, text[done:]]), found
 
     def _made(self, kind: str, value: str) -> str | None:
+        if len(value) > _LONGEST:
+            return getattr(self, kind)(value)
         known = self.known.get((kind, value), "")
         if known == "":
             if len(self.known) > 100_000:
@@ -277,8 +302,9 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
 
     ``kinds`` counts the replaced values as "kind:count", sorted, comma-joined. Numbers that fail
     their check (Luhn, mod 97, ranges, calendar) are left alone, as is everything else. A null text
-    stays null with 0 found; a null doc_id stays null; repeated rows are treated alike, other
-    columns are ignored. One pass without a shuffle, whole texts of any length; with ``back`` and
+    stays null with 0 found, an empty one empty; a null doc_id stays null; repeated rows are treated alike, no rows give no rows, other
+    columns are ignored. Where forms overlap, the match that begins first wins, and of two that begin together the one that comes first in ``FORMS``.
+    One pass without a shuffle, whole texts and values of any length; with ``back`` and
     the same key the originals return.
     """
 
