@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm.cases import edge_docs, no_docs
@@ -161,3 +162,14 @@ def test_license_scan_is_native(spark):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert licenses.license_scan(edge_docs(spark)).count() == 12
     assert licenses.license_scan(no_docs(spark)).count() == 0
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(i, f"text number {i} with some words") for i in range(60)] + [(3, f"another text {i}") for i in range(3000)] + [(4, "")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(1000, 3000)], "doc_id long, quality int")
+    for shuffled in (docs, docs.orderBy(F.desc("text"))):
+        model = quality.fitted(shuffled, labels, sample=20, held_out=False)
+        assert len(model.labels) == 20  # labels without a document take no place
+        found = model.nearby if shuffled is docs else found
+        assert (model.nearby == found).all()

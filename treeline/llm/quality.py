@@ -113,7 +113,7 @@ class Voters:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: bool = True) -> Voters:
-    """Voters learned from at most ``sample`` labelled documents, the ones with the least hashes.
+    """Voters learned from at most ``sample`` labelled ids that have a text, the ones with the least hashes.
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are never used where ``held_out``. The term vectors of the sample, of a
     fixed width, meet in one task; the fitted model, of bounded size, reaches the driver and is broadcast.
@@ -122,9 +122,11 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: b
     if held_out:
         known = known.where(~_held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    texts = id_and_text(docs).where("length(text) > 0")
+    # only labels with a text take a place, and each id once
+    known = known.join(texts.select("doc_id").distinct(), "doc_id")
     known = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = id_and_text(docs)
-    chosen = texts.join(F.broadcast(known), "doc_id").where("length(text) > 0")
+    chosen = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +157,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     ``score`` is the similarity-weighted share of neighbours labelled 1. A null or empty text has
     no neighbours and gets the sample's share of label 1; so does every text where there
     are no labels (0.5). A null doc_id is not held out; labels without a document, null
-    labels and other columns are ignored, of repeated labels the least counts. Repeated rows are scored alike; of
-    equally near neighbours the smaller doc_id votes. Texts are whole, whatever their length; no rows give no rows.
+    labels and other columns are ignored, of repeated labels the least counts, and of the texts that repeat a labelled doc_id. Repeated rows are scored alike; of
+    equally near neighbours the smaller doc_id votes. Cosines are in single precision; neighbours that differ by less count as they round. Texts are whole, whatever their length; no rows give no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
