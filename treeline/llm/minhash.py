@@ -266,18 +266,29 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: float =
 
     Texts of one to four words are one shingle. A null text is empty; texts without words
     are copies only of the same text. Rows with a null doc_id get a null class and are not kept.
-    Rows that repeat a doc_id are one document. Texts are whole, whatever their length. A pair of exactly
+    Rows that repeat a doc_id are one document, with the least of their texts, null last. Texts are whole, whatever their length. A pair of exactly
     ``similarity`` is linked. Other columns are ignored; no rows give no rows. No task gathers a bucket or a component
     with more than ``hot`` rows for a join; at most ``broadcast_ids`` ids are broadcast, more are shuffled.
     """
-    signed = checkpointed(signatures(docs, k, bands, rows))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = checkpointed(given.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.take(1):
+        # one text an id, whatever the order of rows; an aggregation, as one id may have very many
+        few = broadcast_if_small(repeated, broadcast_ids)
+        least = given.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(F.col("text").isNull(), "text")).alias("text"))
+        once = given.join(few, "doc_id", "left_anti").unionByName(least)
+        found = near_duplicates(once, k, similarity, bands, rows, hot, broadcast_ids)
+        some = broadcast_if_small(checkpointed(found.join(few, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")), broadcast_ids)
+        copies = given.select("doc_id").join(some, F.col("doc_id") == F.col("id")).drop("id")
+        return found.join(few, "doc_id", "left_anti").unionByName(copies)
+    signed = checkpointed(signatures(given, k, bands, rows))
     nodes = signed.where("doc_id IS NOT NULL").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(nodes)
     most = nodes.count()  # a bucket holds a node once
     places = nodes.select("id", F.explode("bands").alias("bucket"))
     buckets = places.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("rows")).where("pivot < last")
     members = checkpointed(met(places, buckets.drop("last"), "bucket", "rows", most, hot).distinct())
-    documents = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    documents = given.withColumnRenamed("doc_id", "id")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         named = documents.join(broadcast_if_small(checkpointed(ids.distinct()), broadcast_ids), "id", "left_semi")
