@@ -1,3 +1,4 @@
+import time
 import base64
 import hashlib
 import random
@@ -160,3 +161,13 @@ def test_workers_keep_one_operators_cache():
     worker_cache("one")["x"] = 1
     assert worker_cache("one") == {"x": 1}
     assert worker_cache("two") == {} and worker_cache("one") == {}
+
+
+def test_a_cut_in_a_piece_of_a_million_letters_is_one_walk(library):
+    tokens = prefix_tokens.prefix_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    piece = "é" * 999_999 + "x"
+    size = len(piece.encode())
+    found = prefix_tokens.Prefixes([piece], [list(range(size + 1))], tokens.special)
+    began = time.process_time()
+    assert found.cut(1001) == 1000 and found.cut(size - 1) == size - 1
+    assert time.process_time() - began < 2

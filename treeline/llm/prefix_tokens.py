@@ -162,8 +162,12 @@ class Prefixes:
         if not left or not piece[-1].isalnum() or piece[0] == "'" or self.special and self.special.fullmatch(piece):
             return 0
         shortest = int(piece[0] == " ")
-        stops = (len(piece[:end].encode()) for end in range(len(piece) - 1, shortest, -1))
-        return next((stop for stop in stops if table[stop] <= left), 0)
+        stop = fit = 0
+        for i, c in enumerate(piece[:-1]):
+            stop += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            if table[stop] <= left and i >= shortest:
+                fit = stop
+        return fit
 
 
 class _Counts(dict):
