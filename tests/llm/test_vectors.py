@@ -239,3 +239,26 @@ def test_tree_boxes_bound_their_points():
             assert bound[number] >= (points[below] @ query).max()
     ties = kdtree.KdTree(np.arange(10), np.ones((10, 2)), leaf=2)
     assert [-i for _, i in ties.search(3, np.ones(2), ties.bounds(np.ones((1, 2)))[0], 4, -9)] == [0, 1, 2, 4]
+
+
+def test_labels_of_any_type_and_extreme_lengths(spark):
+    base = np.random.default_rng(4).standard_normal(8).tolist()
+    rows = [(i, [x * s for x in base]) for i, s in enumerate((1.0, 1e200, 1e-200, 1e-310, 3.0))]
+    for kind, one, other in (("long", 3_000_000_000, 3_000_000_001), ("string", "a", "b"), ("double", 0.5, 1.5)):
+        df = spark.createDataFrame([(*r, one) for r in rows] + [(9, base, other), (10, base, None)], f"vec_id long, embedding array<double>, label {kind}")
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.embedding_near_duplicates(df).collect()}
+        assert got == {0: (4, 0, True), **{i: (4, 0, False) for i in range(1, 5)}, 9: (0, 9, True), 10: (0, 10, True)}
+
+
+def test_every_link_between_components_is_found_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "_BLOCK", 16)
+    rnd = np.random.default_rng(7)
+    x = np.repeat(rnd.standard_normal((40, 6)), 5, axis=0) + rnd.standard_normal((200, 6)) * 0.02
+    label = rnd.integers(0, 2, 200)
+    nodes = spark.createDataFrame([(i, int(label[i]), 6, x[i].tolist()) for i in range(200)], "id long, label long, width int, vector array<double>")
+    component = spark.createDataFrame([(i, i // 2 * 2) for i in range(100)], "id long, component long")
+    of = {i: i // 2 * 2 if i < 100 else i for i in range(200)}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    want = {(min(i, j), max(i, j)) for i in range(200) for j in range(200) if near[i, j] and label[i] == label[j] and of[i] != of[j]}
+    assert {(min(r), max(r)) for r in nn_descent._every_link(nodes, component, 0.98).collect()} == want

@@ -19,15 +19,16 @@ the least one accepted, all vectors are compared.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import connected_components
-from .shared import checkpointed
+from .shared import broadcast_if_small, checkpointed
 from .vectors import matrix, usable
 
 SIMILARITY, LIST, RECALL = 0.98, 8, 0.98
@@ -39,13 +40,16 @@ ORDERS, BITS, NEAR = 10, 48, 3
 #: Vectors that the audit starts with and linked ones that it wants, those that it compares at most, and probes.
 AUDITED, MOST_AUDITED, PROBES = 256, 8448, 256
 _BLOCK = 512
-#: Rows of one broadcast at most.
-_CHUNK = 8192
+#: Rows of one broadcast at most; other labels than whole numbers that may be broadcast.
+_CHUNK, _BROADCAST_LABELS = 8192, 100_000
 _EDGE = "a long, b long, cosine double"
 _log = logging.getLogger(__name__)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, also of those whose squares overflow or vanish: first scaled by a power of two, which is exact."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True)) if x.size else (x, np.zeros((len(x), 1), int))
+    x = np.ldexp(x, -exponent)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -103,7 +107,7 @@ def _started(nodes: DataFrame, orders: int, bits: int, near: int, seed: int) ->
                     cosine = (x[:-step][same] * x[step:][same]).sum(axis=1)
                     yield _edges(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cosine, cosine]))
 
-    rows = nodes.select("id", "label", "width", "vector").mapInArrow(coded, "order int, code long, id long, label int, width int, vector array<double>")
+    rows = nodes.select("id", "label", "width", "vector").mapInArrow(coded, "order int, code long, id long, label long, width int, vector array<double>")
     ranged = rows.repartitionByRange("order", "label", "width", "code", "id").sortWithinPartitions("order", "label", "width", "code", "id")
     return ranged.mapInArrow(neighbours, _EDGE)
 
@@ -179,7 +183,7 @@ def _between(graph: DataFrame, component: DataFrame, nodes: DataFrame, similarit
     members = component.join(crowds, "component")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
     members = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    members = checkpointed(members.join(nodes.select("id", "label", "width", "vector"), "id").drop("blocks"))
+    members = checkpointed(members.join(nodes.select("id", F.col("label").cast("long").alias("label"), "width", "vector"), "id").drop("blocks"))
 
     def middle(table: pa.Table) -> pa.Table:
         x = _unit(matrix(table.column("vector")))
@@ -189,26 +193,21 @@ def _between(graph: DataFrame, component: DataFrame, nodes: DataFrame, similarit
         first = table.select(["component", "own", "label", "width"]).slice(0, 1)
         return first.append_column("radius", pa.array([radius])).append_column("centre", pa.array([centre.tolist()], pa.list_(pa.float64())))
 
-    pieces = members.groupBy("component", "own").applyInArrow(middle, "component long, own long, label int, width int, radius double, centre array<double>")
+    pieces = members.groupBy("component", "own").applyInArrow(middle, "component long, own long, label long, width int, radius double, centre array<double>")
     pieces = checkpointed(pieces)
     reach = float(np.arccos(np.clip(similarity, -1, 1))) + 1e-6
-    chunks = -(-pieces.count() // _CHUNK)
-    near = None
-    for chunk in range(chunks):
-        part = pieces.where(F.pmod(F.xxhash64("component", "own"), F.lit(chunks)) == chunk).toArrow()
-        asked = nodes.sparkSession.sparkContext.broadcast(part)
 
-        def close(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            for table in _sliced(batches):
-                for mine, theirs in _same_kind(table, asked.value):
-                    angle = np.arccos(np.clip(matrix(mine.column("centre")) @ matrix(theirs.column("centre")).T, -1, 1))
-                    radii = mine.column("radius").to_numpy()[:, None] + theirs.column("radius").to_numpy()[None, :]
-                    before = mine.column("component").to_numpy()[:, None] < theirs.column("component").to_numpy()[None, :]
-                    i, j = np.nonzero((angle <= radii + reach) & before)
-                    yield pa.RecordBatch.from_arrays([x.take(pa.array(k)).combine_chunks() for x, k in ((mine.column("component"), i), (mine.column("own"), i), (theirs.column("component"), j), (theirs.column("own"), j))], names=["c1", "o1", "c2", "o2"])
-
-        found = checkpointed(pieces.mapInArrow(close, "c1 long, o1 long, c2 long, o2 long"))
-        near = found if near is None else near.unionAll(found)
+    def close(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        angle = np.arccos(np.clip(matrix(mine.column("centre")) @ matrix(theirs.column("centre")).T, -1, 1))
+        radii = mine.column("radius").to_numpy()[:, None] + theirs.column("radius").to_numpy()[None, :]
+        apart = mine.column("component").to_numpy()[:, None] != theirs.column("component").to_numpy()[None, :]
+        i, j = np.nonzero((angle <= radii + reach) & apart)
+        return pa.table([x.take(pa.array(k)).combine_chunks() for x, k in ((mine.column("component"), i), (mine.column("own"), i), (theirs.column("component"), j), (theirs.column("own"), j))], names=["c1", "o1", "c2", "o2"])
+
+    near = _met_in_blocks(pieces, F.xxhash64("component", "own"), close, "c1 long, o1 long, c2 long, o2 long")
+    # a block meets itself in both orders
+    swap = (F.col("c1") > F.col("c2"))
+    near = checkpointed(near.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("c1", "c2"), ("o1", "o2"), ("c2", "c1"), ("o2", "o1")))).distinct())
     sides = [near.select("*", F.col(f"c{side}").alias("component"), F.col(f"o{side}").alias("own")) for side in (1, 2)]
     rows = sides[0].unionAll(sides[1]).join(members.select("id", "component", "own", "vector"), ["component", "own"])
 
@@ -221,6 +220,38 @@ def _between(graph: DataFrame, component: DataFrame, nodes: DataFrame, similarit
     return rows.groupBy("c1", "o1", "c2", "o2").applyInArrow(linked, "a long, b long")
 
 
+def _met_in_blocks(rows: DataFrame, spread: Column, compared: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``compared`` over all pairs of blocks of rows of equal label and width, each pair once, a block also with itself.
+
+    A row goes to as many tasks as its kind has blocks; no task holds more than two blocks, and the driver none.
+    """
+    sizes = rows.groupBy("label", "width").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
+    sizes = broadcast_if_small(checkpointed(sizes), _BROADCAST_LABELS)
+    placed = rows.join(sizes, ["label", "width"]).withColumn("block", F.pmod(spread, F.col("blocks")))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(*placed.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        first, second = (table.filter(pa.array(block == table.column(c)[0].as_py())) for c in ("i", "j"))
+        return compared(first, second)
+
+    return dealt.groupBy("label", "width", "i", "j").applyInArrow(run, schema)
+
+
+def _every_link(nodes: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components, one at least of any two that have some: all nodes of a kind compared, block against block."""
+    placed = nodes.join(component, "id", "left").select("id", "label", "width", "vector", F.coalesce("component", "id").alias("component"))
+
+    def linked(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        near = _cosines(_unit(matrix(mine.column("vector"))), _unit(matrix(theirs.column("vector"))), similarity) >= similarity
+        near &= mine.column("component").to_numpy()[:, None] != theirs.column("component").to_numpy()[None, :]
+        i, j = np.nonzero(near)
+        return pa.table({"a": mine.column("id").take(pa.array(i)).combine_chunks(), "b": theirs.column("id").take(pa.array(j)).combine_chunks()})
+
+    return _met_in_blocks(placed, F.xxhash64("id"), linked, "a long, b long")
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows in tables of at most a block."""
     for batch in batches:
@@ -228,15 +259,6 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield pa.Table.from_batches([batch.slice(start, _BLOCK)])
 
 
-def _same_kind(one: pa.Table, two: pa.Table) -> Iterator[tuple[pa.Table, pa.Table]]:
-    """The rows of both tables, by equal label and width."""
-    kinds = [np.stack([t.column("label").to_numpy(), t.column("width").to_numpy()], axis=1) for t in (one, two)]
-    for kind in np.unique(kinds[0], axis=0):
-        mine, theirs = ((k == kind).all(axis=1) for k in kinds)
-        if theirs.any():
-            yield one.filter(pa.array(mine)), two.filter(pa.array(theirs))
-
-
 def _inside(component: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(id, links): each component's nodes compared with all of it, block against block."""
     sizes = component.groupBy("component").agg(F.count("*").alias("n"))
@@ -277,20 +299,19 @@ def _by_kind(table: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndar
     return out
 
 
-def _audit(nodes: DataFrame, component: DataFrame, similarity: float, size: int, recall: float, whole: bool) -> tuple[float, DataFrame]:
+def _audit(nodes: DataFrame, component: DataFrame, similarity: float, size: int) -> tuple[float, DataFrame]:
     """The recall among linked nodes that were seen (1 without any), and their missed links (a, b) between components.
 
     Sampled nodes are compared with all of their label, in one pass or two of bounded size, until enough of them have
     links and belong to small groups. The linked nodes count, not their links, and small groups apart from
-    large ones: a node is missed if one of its links crosses components. With ``whole``, the
-    passes go on to the last node; then the links seen are all there are.
+    large ones: a node is missed if one of its links crosses components.
     """
     placed = checkpointed(nodes.join(component, "id", "left").select("id", "label", "width", "vector", F.coalesce("component", "id").alias("component")))
     total = placed.count()
     order = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(max(1, total)))
     linked, apart, crossing = [0, 0], [0, 0], component.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
     start, stop = 0, AUDITED
-    while start < total:
+    while start < min(total, MOST_AUDITED):
         part = placed.where((order >= start) & (order < stop)).toArrow()
         asked = nodes.sparkSession.sparkContext.broadcast(_by_kind(part))
 
@@ -314,10 +335,10 @@ def _audit(nodes: DataFrame, component: DataFrame, similarity: float, size: int,
             linked[large] += n
             apart[large] += missed
         asked.unpersist()
-        if not whole and (linked[0] >= AUDITED or stop >= MOST_AUDITED):
+        if linked[0] >= AUDITED:
             break
         start, stop = stop, stop + _CHUNK
-    if whole or start >= total:  # all links were seen, and all that were missed are in
+    if stop >= total:  # all links were seen, and all that were missed are in
         return 1.0, crossing
     return min(1 - m / n if n else 1.0 for n, m in zip(linked, apart, strict=True)), crossing
 
@@ -334,14 +355,13 @@ def _probes(nodes: DataFrame, similarity: float, seed: int) -> tuple[DataFrame,
     rows, twin_of, rnd = [], {}, np.random.default_rng(seed)
     cosine = similarity + 0.05 * (1 - similarity)
     for i, row in enumerate(chosen.to_pylist()):
-        x = np.array(row["vector"], float)
-        x = x / np.linalg.norm(x)
+        x = _unit(np.array([row["vector"]], float))[0]
         side = rnd.standard_normal(len(x))
         side -= (side @ x) * x
         y = cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
         twin_of[first + i] = row["id"]
         rows.append((first + i, row["label"], row["width"], y.tolist()))
-    return nodes.sparkSession.createDataFrame(rows, "id long, label int, width int, vector array<double>"), twin_of
+    return nodes.sparkSession.createDataFrame(rows, "id long, label long, width int, vector array<double>"), twin_of
 
 
 def _linked_probes(graph: DataFrame, twin_of: dict[int, int], similarity: float) -> float:
@@ -364,6 +384,14 @@ def _probed(graph: DataFrame, component: DataFrame, twin_of: dict[int, int], sim
     return placed.where(same).select("a").distinct().count() / len(twin_of)
 
 
+def _coded(rows: DataFrame) -> DataFrame:
+    """``rows`` with labels of other types than whole numbers replaced by a number for each."""
+    if isinstance(rows.schema["label"].dataType, T.IntegralType):
+        return rows.withColumn("label", F.col("label").cast("long"))
+    codes = checkpointed(rows.where("label IS NOT NULL").select("label").distinct().withColumn("code", F.monotonically_increasing_id()))
+    return rows.join(broadcast_if_small(codes, _BROADCAST_LABELS), "label", "left").select("vec_id", "vector", F.col("code").alias("label"))
+
+
 def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, size: int = LIST, grown: int = GROWN, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall), one row per row of ``vectors`` (vec_id, embedding, label).
 
@@ -372,9 +400,9 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY
     links reach; ``recall`` is what the last audit measured, 1 where all vectors were compared. Vectors that are null, empty or zero or hold null or non-finite components, and those
     without a label, link with nothing, nor do vectors of different lengths. A null vec_id has
     no links, a null component and is not kept; rows that repeat a vec_id are one vector,
-    the first by its components. No rows give no rows; other columns are ignored.
+    the first by its components. Labels of any type are compared as they are. A recall below the wanted one is logged as a warning. No rows give no rows; other columns are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("int").alias("label"))
+    rows = _coded(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").alias("label")))
     rows = rows.withColumn("own", F.col("vec_id"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("vector") & F.exists("vector", lambda x: x != 0)
     valid = rows.where(good).groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("row")).select("vec_id", "row.label", "row.vector")
@@ -400,7 +428,7 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY
         between = _between(graph.where(real), component, nodes, similarity, size)
         if between is not None:
             component = _merged(component, between)
-        seen, crossing = _audit(nodes, component, similarity, size, recall, False)
+        seen, crossing = _audit(nodes, component, similarity, size)
         component = _merged(component, crossing)
         reached = min(seen, _probed(graph, component, twin_of, similarity))
         _log.info("round %d: recall %.3f", turn, reached)
@@ -409,8 +437,10 @@ def embedding_near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY
         if turn < MOST_ROUNDS:
             graph = checkpointed(_closest(graph.unionAll(_started(every, ORDERS, BITS, NEAR, 1 + turn)), size, grown, similarity))
     if reached < LEAST_RECALL:
-        reached, crossing = _audit(nodes, component, similarity, size, recall, True)
-        component = _merged(component, crossing)
+        component = _merged(component, _every_link(nodes, component, similarity))
+        reached = 1.0
+    elif reached < recall:
+        _log.warning("the audit found a recall of %.3f, below %.3f", reached, recall)
     links = _inside(component, nodes, similarity)
     whole = nodes.select("label", "node", "id", "weight").join(component, "id", "left").join(links, "id", "left")
     whole = whole.select("label", "node", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
