@@ -28,6 +28,8 @@ RELATIONS = {
       UNION ALL SELECT o_custkey + 1, 'o' || o_orderkey, 's' || o_orderpriority || '/' || o_orderstatus, 'order ' || o_orderkey, o_orderkey, o_orderkey % 11 <> 0 FROM orders""",
     "edges": "SELECT doc_id, 'e-' || parent_id || '-' || id AS id, parent_id AS source, id AS target, '#3b82f6' AS color, true AS is_parent_child FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT DISTINCT 0, 'custom-c' || o_custkey || '-s' || l_suppkey, 'c' || o_custkey, 's' || l_suppkey, CAST(NULL AS VARCHAR), false FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "moves": "SELECT doc_id, arg_min(id, (ord, id)) AS id, arg_max(id, (ord, id)) AS new_parent FROM nodes WHERE parent_id = 'root-node' GROUP BY doc_id HAVING arg_min(id, (ord, id)) <> arg_max(id, (ord, id))",
+    "log": """SELECT doc_id, seq, CASE WHEN seq % 7 < 4 THEN g ELSE s END AS id, CASE WHEN seq % 7 = 6 THEN 'root-node' ELSE nxt END AS new_parent FROM
+      (SELECT o_custkey + 1 AS doc_id, o_orderkey AS seq, 'p' || o_orderpriority AS g, 's' || o_orderpriority || '/' || o_orderstatus AS s, lead('s' || o_orderpriority || '/' || o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders) WHERE seq % 7 = 6 OR nxt IS NOT NULL""",
     "paths": "SELECT doc_id, id, [id] AS path, parent_id FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.doc_id, n.id, list_append(p.path, n.id), n.parent_id FROM nodes n JOIN paths p ON n.doc_id = p.doc_id AND n.parent_id = p.id",
     "aligned": "SELECT doc_id, id, [id] AS path, parent_id, ord FROM nodes WHERE parent_id IS NULL AND auto_align UNION ALL SELECT n.doc_id, n.id, list_append(p.path, n.id), n.parent_id, n.ord FROM nodes n JOIN aligned p ON n.doc_id = p.doc_id AND n.parent_id = p.id WHERE n.auto_align",
     "heights": "SELECT doc_id, node AS id, count(*) AS leaves, 130 * count(*) - 80 AS height FROM (SELECT doc_id, unnest(path) AS node FROM aligned a WHERE NOT EXISTS (SELECT 1 FROM aligned b WHERE b.doc_id = a.doc_id AND b.parent_id = a.id)) GROUP BY doc_id, node",

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.scalars import BRANCH_COLORS, palette
 from ..operators import mutations as M
 from ..operators import relational as R
 from ..session import settled
-from ..sources.tables import Tables
+from ..sources.tables import Tables, branches_to_move, tree_edges
 from . import editing as E
 from . import hierarchy as H
+from . import intervals as I
 from . import layout as L
+from . import moves as V
 from .hierarchy import KEY, rooted
 from .registry import given, query
 
@@ -27,7 +30,7 @@ TOP = "r1"
 
 @query(given("nodes", "paths") + "SELECT doc_id, id, len(path) - 1 AS level FROM paths")
 def node_level(t: Tables) -> DataFrame:
-    return H.levels(rooted(t.nodes()))
+    return I.climbed(t.nodes()).select(*KEY, "level")
 
 
 @query(given("nodes", "paths") + """
@@ -48,7 +51,8 @@ def siblings(t: Tables) -> DataFrame:
 
 @query(given("nodes", "paths") + f"SELECT doc_id, id, {_TOP_OF} AS branch_id, {_COLOR} AS color FROM paths")
 def branch_color(t: Tables) -> DataFrame:
-    return H.branch_colors(rooted(t.nodes()))
+    found = I.climbed(t.nodes())
+    return found.select(*KEY, F.col("branch").alias("branch_id"), palette(F.col("branch"), BRANCH_COLORS).alias("color"))
 
 
 @query(given("nodes", "paths") + "SELECT doc_id, unnest(path) AS ancestor, id AS descendant, len(path) - 1 - unnest(range(len(path))) AS distance FROM paths")
@@ -59,7 +63,8 @@ def descendants_closure(t: Tables) -> DataFrame:
 @query(given("nodes", "paths", "moves") + "SELECT n.doc_id, n.id, n.parent_id, n.label FROM nodes n JOIN paths p ON p.doc_id = n.doc_id AND p.id = n.id LEFT JOIN moves m ON m.doc_id = n.doc_id WHERE NOT coalesce(list_contains(p.path, m.id), false)")
 def cascade_delete(t: Tables) -> DataFrame:
     """The first branch of every document with several deleted, with all below it."""
-    return H.without_subtrees(t.nodes(), rooted(t.nodes()), t.branches_to_move()).select(*KEY, "parent_id", "label")
+    nodes = settled(t.nodes())
+    return I.without_subtrees(nodes, branches_to_move(nodes)).select(*KEY, "parent_id", "label")
 
 
 @query(given("nodes", "paths", "edges", "moves") + """
@@ -67,14 +72,57 @@ def cascade_delete(t: Tables) -> DataFrame:
 SELECT e.doc_id, e.id, e.source, e.target FROM edges e LEFT JOIN gone a ON a.doc_id = e.doc_id AND a.id = e.source LEFT JOIN gone b ON b.doc_id = e.doc_id AND b.id = e.target WHERE is_parent_child AND (a.id IS NOT NULL OR b.id IS NOT NULL)""")
 def dangling_edges(t: Tables) -> DataFrame:
     """Edges that a cascading delete of nodes leaves behind."""
-    return H.dangling_edges(t.edges().where("is_parent_child"), H.without_subtrees(t.nodes(), rooted(t.nodes()), t.branches_to_move()))
+    nodes = settled(t.nodes())
+    return H.dangling_edges(tree_edges(nodes), I.without_subtrees(nodes, branches_to_move(nodes)))
 
 
 @query(given("nodes", "paths", "moves") + "SELECT p.doc_id, p.id AS new_parent, list_contains(p.path, m.id) AS cycle FROM paths p JOIN moves m ON m.doc_id = p.doc_id")
 def cycle_check(t: Tables) -> DataFrame:
     """Whether the first branch could not be moved below each other node of its document."""
-    moves = t.nodes().select("doc_id", F.col("id").alias("new_parent")).join(t.branches_to_move().select(KEY), "doc_id")
-    return H.makes_cycle(moves, rooted(t.nodes())).select("doc_id", "new_parent", "cycle")
+    nodes = settled(t.nodes())
+    moves = nodes.select("doc_id", F.col("id").alias("new_parent")).join(branches_to_move(nodes).select(KEY), "doc_id")
+    return I.makes_cycle(moves, settled(I.numbered(nodes))).select("doc_id", "new_parent", "cycle")
+
+
+@query(given("nodes", "paths") + """
+, spots AS (SELECT doc_id, id, unnest(path) AS node, unnest(range(len(path))) AS i FROM paths), o AS (SELECT doc_id, id, lpad(CAST(ord AS VARCHAR), 20, '0') || '/' || id || chr(1) AS place FROM nodes),
+sorted AS (SELECT s.doc_id, s.id, string_agg(o.place, '' ORDER BY s.i) AS way FROM spots s JOIN o ON o.doc_id = s.doc_id AND o.id = s.node GROUP BY s.doc_id, s.id),
+numbers AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY way) - 1 AS nth FROM sorted),
+sizes AS (SELECT doc_id, node AS id, count(*) AS size FROM spots GROUP BY doc_id, node)
+SELECT n.doc_id, n.id, p.path[1] AS top, n.nth AS first, n.nth + s.size - 1 AS last FROM numbers n JOIN sizes s ON s.doc_id = n.doc_id AND s.id = n.id JOIN paths p ON p.doc_id = n.doc_id AND p.id = n.id""")
+def tree_intervals(t: Tables) -> DataFrame:
+    """Every node's number in its document, depth first, and the last one below it."""
+    return I.numbered(t.nodes()).select(*KEY, "top", "first", "last")
+
+
+#: A log of moves, and its replay, one move of each document after the other.
+_REPLAY = given("nodes", "log") + """
+, steps AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM log),
+start AS (SELECT doc_id, map_from_entries(list((id, coalesce(parent_id, '')))) AS m FROM nodes WHERE doc_id > 0 AND id NOT LIKE 'o%' GROUP BY doc_id),
+way AS (SELECT doc_id, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS id, '' AS new_parent, false AS accepted, m FROM start UNION ALL
+  SELECT doc_id, n, seq, id, new_parent, ok, CASE WHEN ok THEN map_concat(m, MAP {id: new_parent}) ELSE m END FROM
+  (SELECT w.doc_id, s.n, s.seq, s.id, s.new_parent, w.m, NOT list_contains(string_split(list_reduce(list_prepend(s.new_parent, list_transform(range(24), lambda i: '')), lambda a, i: a || '>' || coalesce(w.m[string_split(a, '>')[-1]], '')), '>'), s.id) AS ok
+   FROM way w JOIN steps s ON s.doc_id = w.doc_id AND s.n = w.n + 1))
+"""
+
+
+@query(_REPLAY + "SELECT doc_id, seq, id, new_parent, accepted FROM way WHERE n > 0")
+def moves_judged(t: Tables) -> DataFrame:
+    """Which moves of every document's log are made, and which would close a cycle at their moment."""
+    return V.judged(t.nodes(), t.moves_log())
+
+
+_MOVED = _REPLAY + """
+, final AS (SELECT doc_id, id, arg_max(new_parent, seq) AS to_parent FROM way WHERE accepted GROUP BY 1, 2),
+moved AS (SELECT b.doc_id, b.id, coalesce(f.to_parent, b.parent_id) AS parent_id, b.label, b.ord, b.auto_align OR f.id IS NOT NULL AS auto_align FROM nodes b LEFT JOIN final f ON f.doc_id = b.doc_id AND f.id = b.id)
+"""
+
+
+@query(_MOVED + "SELECT doc_id, id, parent_id FROM moved")
+def moved_trees(t: Tables) -> DataFrame:
+    """The trees after all moves of the log."""
+    nodes = settled(t.nodes())
+    return V.replayed(nodes, V.judged(nodes, t.moves_log())).select(*KEY, "parent_id")
 
 
 #: Nodes with the sides and colours that they show, edges with handles; and the side of the moved branch.

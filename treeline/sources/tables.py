@@ -5,7 +5,7 @@ Every view is a projection of its base table, so filters and column lists reach
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION_TYPES = {"view": "auto", "error": "auto", "click": "manual", "signup": "restore", "purchase": "delete-backup"}
@@ -101,25 +101,24 @@ class Tables:
 
     def edges(self) -> DataFrame:
         """Parent-child edges of the trees, and customer-supplier pairs as custom edges of document 0."""
-        tree = self.nodes().where("parent_id IS NOT NULL").select(
-            "doc_id",
-            F.concat(F.lit("e-"), "parent_id", F.lit("-"), "id").alias("id"),
-            F.col("parent_id").alias("source"),
-            F.col("id").alias("target"),
-            F.lit("#3b82f6").alias("color"),
-            F.lit(True).alias("is_parent_child"),
-        )
+        tree = tree_edges(self.nodes())
         pairs = self.base("lineitem").join(self.base("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
         source, target = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
         custom = pairs.select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("custom-"), source, F.lit("-"), target).alias("id"), source.alias("source"), target.alias("target"), F.lit(None).cast("string").alias("color"), F.lit(False).alias("is_parent_child"))
         return tree.unionByName(custom)
 
     def branches_to_move(self) -> DataFrame:
-        """(doc_id, id, new_parent): the first branch of every document with several, below its last one."""
-        branches = self.nodes().where("parent_id = 'root-node'").groupBy("doc_id")
-        place = F.struct("ord", "id")
-        found = branches.agg(F.min(place)["id"].alias("id"), F.max(place)["id"].alias("new_parent"))
-        return found.where("id <> new_parent")
+        return branches_to_move(self.nodes())
+
+    def moves_log(self) -> DataFrame:
+        """(doc_id, seq, id, new_parent): with every order, its priority or status moves below the next order's status, or a root."""
+        own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+        group = F.concat(F.lit("p"), "o_orderpriority")
+        status = F.concat(F.lit("s"), "o_orderpriority", F.lit("/"), "o_orderstatus")
+        rows = self.base("orders").select((F.col("o_custkey") + 1).cast("long").alias("doc_id"), F.col("o_orderkey").cast("long").alias("seq"), group.alias("group"), status.alias("status"), F.lead(status).over(own).alias("next"))
+        kind = F.col("seq") % 7
+        moved = rows.select("doc_id", "seq", F.when(kind < 4, F.col("group")).otherwise(F.col("status")).alias("id"), F.when(kind == 6, "root-node").otherwise(F.col("next")).alias("new_parent"))
+        return moved.where("new_parent IS NOT NULL")
 
     def op_log(self) -> DataFrame:
         return self.base("conversations").select(
@@ -134,3 +133,23 @@ class Tables:
 
     def points(self) -> DataFrame:
         return self.base("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 10.0).alias("x"), (F.col("p_retailprice") / 10).alias("y"))
+
+
+def tree_edges(nodes: DataFrame) -> DataFrame:
+    """The parent-child edges of the trees."""
+    return nodes.where("parent_id IS NOT NULL").select(
+        "doc_id",
+        F.concat(F.lit("e-"), "parent_id", F.lit("-"), "id").alias("id"),
+        F.col("parent_id").alias("source"),
+        F.col("id").alias("target"),
+        F.lit("#3b82f6").alias("color"),
+        F.lit(True).alias("is_parent_child"),
+    )
+
+
+def branches_to_move(nodes: DataFrame) -> DataFrame:
+    """(doc_id, id, new_parent): the first branch of every document with several, below its last one."""
+    branches = nodes.where("parent_id = 'root-node'").groupBy("doc_id")
+    place = F.struct("ord", "id")
+    found = branches.agg(F.min(place)["id"].alias("id"), F.max(place)["id"].alias("new_parent"))
+    return found.where("id <> new_parent")
