@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import Rounds
 from .hierarchy import KEY
 
 _ABOVE = ("jump", "far", "below", "steps", "dangling")
@@ -27,7 +27,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     there = nodes.select("doc_id", F.col("id").alias("up"), F.lit(True).alias("there"))
     found = rows.join(there, ["doc_id", "up"], "left")
     named = F.col("up").isNotNull()
-    return settled(found.select(*KEY, F.when(F.col("there"), F.col("up")).alias("up"), (named & F.col("there").isNull()).alias("dangling"), "ord"))
+    return Rounds(nodes.sparkSession)(found.select(*KEY, F.when(F.col("there"), F.col("up")).alias("up"), (named & F.col("there").isNull()).alias("dangling"), "ord"))
 
 
 def _climbed(links: DataFrame, sizes: bool) -> DataFrame:
@@ -35,6 +35,7 @@ def _climbed(links: DataFrame, sizes: bool) -> DataFrame:
     start = {"jump": F.col("up"), "far": F.col("id"), "below": F.lit(None).cast("string"), "steps": F.lit(0).cast("long")}
     state = links.select(*KEY, *(v.alias(k) for k, v in start.items()), "dangling", F.lit(1).cast("long").alias("size"))
     largest = links.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    kept = Rounds(links.sparkSession)
     # a way of as many steps as the document has nodes goes round a cycle
     for turn in range(largest.bit_length() + 1):
         is_open = F.col("jump").isNotNull()
@@ -54,7 +55,7 @@ def _climbed(links: DataFrame, sizes: bool) -> DataFrame:
         if sizes:
             within = state.where(is_open).groupBy("doc_id", F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
             after = after.join(within, KEY, "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        state = settled(after)
+        state = kept(after)
     return state
 
 
@@ -84,14 +85,15 @@ def numbered(nodes: DataFrame) -> DataFrame:
     """
     links = linked(nodes)
     known = _climbed(links, True)
-    rows = settled(links.select(*KEY, "up", "ord").join(known.where("jump IS NULL"), KEY).select(*known.columns, "up", "ord"))
+    kept = Rounds(nodes.sparkSession)
+    rows = Rounds(nodes.sparkSession)(links.select(*KEY, "up", "ord").join(known.where("jump IS NULL"), KEY).select(*known.columns, "up", "ord"))
     before = Window.partitionBy("doc_id", "up").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("size").over(before), F.lit(0)) + F.when(F.col("up").isNull(), 0).otherwise(1)
-    state = settled(rows.select(*KEY, F.col("up").alias("jump"), offset.alias("first")))
+    state = kept(rows.select(*KEY, F.col("up").alias("jump"), offset.alias("first")))
     while state.where("jump IS NOT NULL").take(1):
         above = state.select("doc_id", F.col("id").alias("jump"), F.col("jump").alias("up_jump"), F.col("first").alias("up_first"))
         moved = state.where("jump IS NOT NULL").join(above, ["doc_id", "jump"]).select(*KEY, F.col("up_jump").alias("jump"), (F.col("first") + F.col("up_first")).alias("first"))
-        state = settled(state.where("jump IS NULL").unionByName(moved))
+        state = kept(state.where("jump IS NULL").unionByName(moved))
     placed = known.select(*_shown(known), "size").join(state.select(*KEY, "first"), KEY, "left")
     return placed.select("*", (F.col("first") + F.col("size") - 1).alias("last")).drop("size")
 

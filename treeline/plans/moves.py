@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import Rounds, settled
 from .hierarchy import KEY
 from .intervals import climbed
 
@@ -55,11 +55,11 @@ def _climbs(asked: DataFrame, versions: DataFrame) -> DataFrame:
     wrong guess makes possible, counts as one that meets the node; it is noticed where it comes back to a mark that is set at every power of two steps.
     """
     ways = asked.select("doc_id", "seq", "id", F.col("goal").alias("at"), F.lit(None).cast("string").alias("mark"))
-    done, turn = None, 0
+    done, turn, kept, ends = None, 0, Rounds(asked.sparkSession), Rounds(asked.sparkSession)
     while True:
         met = F.coalesce((F.col("at") == F.col("id")) | (F.col("at") == F.col("mark")), F.lit(False))
         ended = ways.where(met | F.col("at").isNull()).select("doc_id", "seq", met.alias("loops"))
-        done = ended if done is None else done.unionByName(ended)
+        done = ends(ended if done is None else done.unionByName(ended))
         ways = ways.where(~met & F.col("at").isNotNull())
         if turn and not ways.take(1):
             return done
@@ -70,19 +70,20 @@ def _climbs(asked: DataFrame, versions: DataFrame) -> DataFrame:
         before = Window.partitionBy("doc_id", "at").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, -1)
         both = open_.unionByName(known, allowMissingColumns=True).withColumn("found", F.last("version", ignorenulls=True).over(before)).where("kind = 0")
         mark = F.col("at") if turn & (turn - 1) == 0 else F.col("mark")
-        ways = settled(both.select("doc_id", "seq", "id", F.col("found.above").alias("at"), mark.alias("mark")))
+        ways = kept(both.select("doc_id", "seq", "id", F.col("found.above").alias("at"), mark.alias("mark")))
 
 
 def _guessed(first: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc_id, seq, accepted) of ``asked`` (doc_id, seq, id, goal), all tried at once, again and again."""
-    state = settled(asked.select("doc_id", "seq", "id", "goal", F.lit(True).alias("accepted"), F.lit(False).alias("sure")))
+    kept, trials, parents = (Rounds(asked.sparkSession) for _ in range(3))
+    state = kept(asked.select("doc_id", "seq", "id", "goal", F.lit(True).alias("accepted"), F.lit(False).alias("sure")))
     while state.where("NOT sure").take(1):
         made = state.where("accepted").select("doc_id", F.col("id").alias("at"), F.col("seq").alias("since"), F.col("goal").alias("above"))
-        loops = _climbs(state.where("NOT sure").drop("accepted", "sure"), settled(first.unionByName(made)))
-        tried = settled(state.join(loops, ["doc_id", "seq"], "left").withColumn("verdict", F.coalesce(~F.col("loops"), F.col("accepted"))))
+        loops = _climbs(state.where("NOT sure").drop("accepted", "sure"), parents(first.unionByName(made)))
+        tried = trials(state.join(loops, ["doc_id", "seq"], "left").withColumn("verdict", F.coalesce(~F.col("loops"), F.col("accepted"))))
         wrong = tried.where("verdict <> accepted").groupBy("doc_id").agg(F.min("seq").alias("wrong"))
         sure = F.col("wrong").isNull() | (F.col("seq") <= F.col("wrong"))
-        state = settled(tried.join(wrong, "doc_id", "left").select("doc_id", "seq", "id", "goal", F.col("verdict").alias("accepted"), sure.alias("sure")))
+        state = kept(tried.join(wrong, "doc_id", "left").select("doc_id", "seq", "id", "goal", F.col("verdict").alias("accepted"), sure.alias("sure")))
     return state.select("doc_id", "seq", "accepted")
 
 

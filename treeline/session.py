@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,34 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` in the reliable checkpoint folder of the session, so that loops do not nest plans."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Deletes a folder in any store that Spark reads, now or when the session's store is closed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    else:
+        store.delete(path, True)
+
+
+class Rounds:
+    """The state of a loop, written as a table in the shared folder after each round; the one before goes.
+
+    Unlike a checkpoint, a table read again has the size that it has: estimates do not multiply from round to round, and small states
+    are broadcast. The last state stays until the session ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.done = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+        removed(spark, self.folder, at_exit=True)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.done}"
+        df.write.parquet(path)
+        if self.done:
+            removed(self.spark, f"{self.folder}/{self.done - 1}")
+        self.done += 1
+        return self.spark.read.schema(df.schema).parquet(path)
