@@ -1,9 +1,11 @@
 """Interval labels and replayed moves against plain walks and step-by-step replays."""
 
+import json
 import random
 
 import pytest
 
+from treeline.plans import editing as E
 from treeline.plans import hierarchy as H
 from treeline.plans import intervals as I
 from treeline.plans import layout as L
@@ -135,3 +137,28 @@ def test_levels_and_colours_equal_those_of_paths(spark):
     climbed = I.climbed(nodes)
     assert sorted(map(tuple, climbed.select("doc_id", "id", "level").collect()), key=str) == sorted(map(tuple, H.levels(paths).collect()), key=str)
     assert sorted(map(tuple, climbed.select("doc_id", "id", "branch").collect()), key=str) == sorted(map(tuple, H.branch_colors(paths).select("doc_id", "id", "branch_id").collect()), key=str)
+
+
+def test_generated_trees_of_any_depth(spark):
+    def chain(n):
+        return {"text": "a", "children": [chain(n - 1)] if n else []}
+
+    tree = {"text": "World", "children": [chain(6), {"text": "Pros", "children": [{"text": "x"}]}, {"text": "Pros", "children": [{"text": "x"}, {"text": "x"}]}, {"text": "Pros#1"}, {"text": "a/a"}, {"id": "own", "text": ""}, {"children": [{"text": "y"}]}]}
+    rows = spark.createDataFrame([(1, json.dumps(tree)), (2, '{"text":"W"}'), (3, "no json"), (4, None)], "doc_id long, json string")
+    want = []
+
+    def walk(children, parent, side, level):
+        for k, child in enumerate(children):
+            want.append((child.get("text"), level, side, 600.0 + (-250 if side == "left" else 250) * level, 100.0 * level + 80 * k))
+            walk(child.get("children", []), child, side, level + 1)
+
+    walk(tree["children"][:4], None, "left", 1)
+    walk(tree["children"][4:], None, "right", 1)
+    nodes, edges = E.flattened(rows)
+    found = nodes.collect()
+    assert sorted(((r.label, r.level, r.side, r.x, r.y) for r in found), key=str) == sorted(want, key=str)
+    ids = {r.id for r in found}
+    assert len(ids) == len(found) and {"ai-Pros", "ai-Pros#1", "ai-Pros~21", "ai-a~1a", "ai-a/a", "own"} <= ids
+    assert all(r.parent_id == "root-node" or r.parent_id in ids for r in found)
+    assert {(r.source, r.target) for r in edges.collect()} == {(r.parent_id, r.id) for r in found}
+    assert {r.doc_id: r.valid for r in E.generated_valid(rows).collect()} == {1: False, 2: True, 3: False, 4: False}

@@ -6,13 +6,13 @@ side, ...), edges (doc_id, id, source, target, ...).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import handles, or_else, side_of
 from ..session import settled
 from .hierarchy import KEY, ancestor_labels, levels, possible, subtrees
-from .layout import ROOT_X, ROOT_Y, child_places, suggested_sides
+from .layout import ROOT_X, ROOT_Y, STEP_X, child_places, suggested_sides
 
 # Fixed values that new nodes and edges show.
 ROOT_ID, ROOT_LABEL, ROOT_COLOR, FREE_LABEL, FREE_COLOR = "root-node", "Main Topic", "#3b82f6", "Free Node", "#64748b"
@@ -118,29 +118,54 @@ def dashes(style: Column) -> Column:
     return F.when(style == "dashed", DASHES["dashed"]).when(style == "dotted", DASHES["dotted"]).otherwise("none")
 
 
+def generated_nodes(trees: DataFrame) -> DataFrame:
+    """(doc_id, id, parent_id, label, level, side, nth) of all nodes below the roots of generated trees (doc_id, json), of any depth.
+
+    Half of the first level goes left, half right, with all below it; ``nth`` counts from 0 among the children of one parent, at the first level
+    of one side. A node without an id is named by its texts from the first level on, the second of equal siblings with "#1" behind it and so on, so that making the rows again gives the same ids, one a
+    node. Text that is no JSON has no nodes. The walk goes a level at a time over all trees.
+    """
+    below = lambda c: F.try_variant_get(c, "$.children", "array<variant>")
+    tree = trees.select("doc_id", below(F.try_parse_json("json")).alias("children"))
+    rows = tree.select("doc_id", F.lit(ROOT_ID).alias("parent_id"), F.ceil(F.size("children") / 2).alias("half"), F.posexplode("children").alias("i", "c"))
+    rows = rows.withColumn("side", F.when(F.col("i") < F.col("half"), "left").otherwise("right"))
+    nth, level, out = F.when(F.col("side") == "left", F.col("i")).otherwise(F.col("i") - F.col("half")), 1, None
+    while True:
+        text, given = (F.try_variant_get("c", f"$.{name}", "string") for name in ("text", "id"))
+        named = rows.withColumns({"label": text, "given": given, "nth": nth.cast("long")})
+        equal = Window.partitionBy("doc_id", "parent_id", F.coalesce("label", F.lit("")), F.col("given").isNull()).orderBy("i")
+        again = F.row_number().over(equal) - 1
+        escaped = F.coalesce("label", F.lit(""))
+        for sign, written in (("~", "~0"), ("/", "~1"), ("#", "~2")):
+            escaped = F.replace(escaped, F.lit(sign), F.lit(written))
+        prefix = F.lit("ai-") if level == 1 else F.concat("parent_id", F.lit("/"))
+        made = F.concat(prefix, escaped, F.when(again > 0, F.concat(F.lit("#"), again.cast("string"))).otherwise(""))
+        found = settled(named.select("doc_id", F.coalesce("given", made).alias("id"), "parent_id", "label", F.lit(level).cast("long").alias("level"), "side", "nth", "c"))
+        out = found.drop("c") if out is None else out.unionByName(found.drop("c"))
+        rows = found.select("doc_id", F.col("id").alias("parent_id"), "side", F.posexplode(below(F.col("c"))).alias("i", "c"))
+        if not rows.take(1):
+            return out
+        nth, level = F.col("i"), level + 1
+
+
 def flattened(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of generated trees (doc_id, json) of two levels; of an answer's first level half goes left, half right.
+    """(nodes, edges) of generated trees (doc_id, json) of any depth, at their places.
 
-    Ids follow from the place in the tree, so that making the rows again gives the same ones; the root of
-    the document stays and is named by the answer (see ``generated_roots``).
+    The root of the document stays and is named by the answer (see ``generated_roots``).
     """
-    schema = "text string, children array<struct<id:string,text:string,children:array<struct<id:string,text:string>>>>"
-    tree = trees.select("doc_id", F.from_json("json", schema).alias("t")).select("doc_id", F.col("t.children").alias("children"), F.ceil(F.size("t.children") / 2).alias("half"))
-    top = tree.select("doc_id", "half", F.posexplode("children").alias("i", "b")).withColumn("side", F.when(F.col("i") < F.col("half"), "left").otherwise("right"))
-    nth = F.when(F.col("side") == "left", F.col("i")).otherwise(F.col("i") - F.col("half"))
-    own = F.coalesce("b.id", F.concat(F.lit("ai-"), "b.text"))
-
-    def row(level: int, name: Column, parent: Column, text: Column, place: Column) -> list[Column]:
-        x = ROOT_X + F.when(F.col("side") == "left", -250 * level).otherwise(250 * level)
-        return [F.col("doc_id"), name.alias("id"), parent.alias("parent_id"), text.alias("label"), F.lit(level).cast("long").alias("level"), F.col("side"), x.cast("double").alias("x"), (100.0 * level + 80 * place).alias("y")]
-
-    first = top.select(*row(1, own, F.lit(ROOT_ID), F.col("b.text"), nth))
-    second = top.select("doc_id", "side", own.alias("above"), F.posexplode("b.children").alias("k", "c"))
-    second = second.select(*row(2, F.coalesce("c.id", F.concat("above", F.lit("/"), "c.text")), F.col("above"), F.col("c.text"), F.col("k")))
-    rows = first.unionByName(second)
+    x = ROOT_X + F.when(F.col("side") == "left", -STEP_X * F.col("level")).otherwise(STEP_X * F.col("level"))
+    rows = generated_nodes(trees).select("doc_id", "id", "parent_id", "label", "level", "side", x.cast("double").alias("x"), (100.0 * F.col("level") + 80 * F.col("nth")).alias("y"))
     return rows, parent_edges(rows, F.lit(ROOT_COLOR))
 
 
+def generated_valid(trees: DataFrame) -> DataFrame:
+    """(doc_id, valid, nodes): whether every node of a generated tree (doc_id, json), root included, has a text; how many there are."""
+    named = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    roots = trees.select("doc_id", F.try_variant_get(F.try_parse_json("json"), "$.text", "string").alias("text")).select("doc_id", named("text").alias("valid"))
+    every = roots.unionByName(generated_nodes(trees).select("doc_id", named("label").alias("valid")))
+    return every.groupBy("doc_id").agg(F.bool_and("valid").alias("valid"), F.count("*").alias("nodes"))
+
+
 def generated_roots(nodes: DataFrame, trees: DataFrame, titles: DataFrame) -> DataFrame:
     """The nodes that stay when generated trees (doc_id, json) replace a document's: its root, named by the tree or the title."""
     named = trees.select("doc_id", F.get_json_object("json", "$.text").alias("named")).join(titles, "doc_id", "left")

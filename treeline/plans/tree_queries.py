@@ -373,6 +373,36 @@ def tree_flatten_edges(t: Tables) -> DataFrame:
     return E.flattened(_generated(t))[1]
 
 
+#: Trees of documents, of unlike depth, with equal labels side by side.
+_DEEP = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id % 5 AS n FROM documents),
+f AS (SELECT doc_id, u.id AS id, 'root-node' AS parent_id, u.label AS label, 1::BIGINT AS level, u.side AS side, u.nth AS nth FROM
+  (SELECT doc_id, unnest([{'id': 'ai-Pros', 'label': 'Pros', 'side': 'left', 'nth': 0}, {'id': 'ai-Pros#1', 'label': 'Pros', 'side': 'left', 'nth': 1}, {'id': 'ai-' || source, 'label': source, 'side': 'right', 'nth': 0}]) AS u FROM d)
+UNION ALL SELECT doc_id, 'ai-Pros' || repeat('/deep', k), 'ai-Pros' || repeat('/deep', k - 1), 'deep', k + 1, 'left', 0 FROM (SELECT doc_id, unnest(range(1, n + 1)) AS k FROM d)
+UNION ALL SELECT doc_id, 'ai-Pros' || repeat('/deep', n) || '/' || lang, 'ai-Pros' || repeat('/deep', n), lang, n + 2, 'left', 0 FROM d)
+"""
+
+
+def _deep(t: Tables) -> DataFrame:
+    n = (F.col("doc_id") % 5).cast("int")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    chain = F.concat(F.repeat(F.lit('{"text":"deep","children":['), n), F.lit('{"text":"'), text("lang"), F.lit('"}'), F.repeat(F.lit("]}"), n))
+    json = F.concat(F.lit('{"text":"World","children":[{"text":"Pros","children":['), chain, F.lit(']},{"text":"Pros"},{"text":"'), text("source"), F.lit('"}]}'))
+    return t.base("documents").select("doc_id", json.alias("json"))
+
+
+@query(_DEEP + "SELECT doc_id, id, parent_id, label, level, side, (600 + CASE WHEN side = 'left' THEN -250 ELSE 250 END * level)::DOUBLE AS x, (100 * level + 80 * nth)::DOUBLE AS y FROM f")
+def tree_flatten_deep(t: Tables) -> DataFrame:
+    """Generated trees of any depth made node rows, equal labels apart."""
+    return E.flattened(_deep(t))[0]
+
+
+@query(_DEEP + "SELECT doc_id, bool_and(label <> '') AS valid, count(*) + 1 AS nodes FROM f GROUP BY doc_id")
+def tree_valid_deep(t: Tables) -> DataFrame:
+    """Whether every node of a generated tree of any depth has a text."""
+    return E.generated_valid(_deep(t))
+
+
 @query("SELECT doc_id, id, CASE WHEN nth <= ceil(n / 2.0) THEN 'left' ELSE 'right' END AS side FROM (SELECT n_regionkey::BIGINT AS doc_id, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nth, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)")
 def tree_split_halves(t: Tables) -> DataFrame:
     """The first half of each document's branches left, the rest right."""
