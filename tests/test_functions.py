@@ -246,3 +246,13 @@ def test_a_crowded_cell_of_points(spark):
     df = spark.createDataFrame(points, "id long, x double, y double")
     got = {r.id: r.target for r in R.drop_targets(df, roots=df.where("id = 0")).collect()}
     assert got == {p[0]: near(p) for p in points if near(p) is not None}
+
+
+def test_presence_skips_clients_without_a_user_and_keeps_those_never_updated(spark):
+    from treeline.operators.relational import present
+
+    rows = [(1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 00:00:00", None), (3, "1970-01-01 00:00:00", "c"), (4, None, "d"), (5, "2023-12-31 23:59:00", "e"), (7, "2024-01-01 00:00:00", "me")]
+    states = spark.createDataFrame(rows, "client_id long, last_updated string, user string").withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
+    now = F.lit("2024-01-01 00:00:05").cast("timestamp_ntz")
+    assert {r.client_id for r in present(states, 7, now).collect()} == {1, 3, 4}
+    assert {r.client_id for r in present(states.drop("user"), 7, now).collect()} == {1, 2, 3, 4}

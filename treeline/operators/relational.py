@@ -125,6 +125,11 @@ def quiet_groups(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
 
 
 def present(states: DataFrame, me: int, now: Column, limit_ms: int = 10_000) -> DataFrame:
-    """Other clients not silent for longer than ``limit_ms``; one never seen counts as here."""
-    silent = F.timestamp_diff("MICROSECOND", F.col("last_updated"), now) > limit_ms * 1000
-    return states.where((F.col("client_id") != me) & ~F.coalesce(silent, F.lit(False)))
+    """Other clients not silent for longer than ``limit_ms``; one never seen, or at the epoch's start, counts as here.
+
+    Where the states have a ``user``, clients without one are left out.
+    """
+    seen = F.col("last_updated") > F.lit("1970-01-01 00:00:00").cast(states.schema["last_updated"].dataType)
+    silent = seen & (F.timestamp_diff("MICROSECOND", F.col("last_updated"), now) > limit_ms * 1000)
+    here = states.where((F.col("client_id") != me) & ~F.coalesce(silent, F.lit(False)))
+    return here.where("user IS NOT NULL") if "user" in states.columns else here
