@@ -122,4 +122,4 @@ def test_registered_queries():
     import corpus_pipeline
 
     assert corpus_pipeline.STAGES is pipeline.STAGES and corpus_pipeline.run is pipeline.run
-    assert len(names) == 11 and set(registry.oracle_sql()) <= set(names)
+    assert len(names) == 14 and set(registry.oracle_sql()) <= set(names)
