@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import commits as C
 from ..operators import mutations as M
 from ..operators import relational as R
+from ..session import removed, shared_folder
 from ..sources.tables import Tables
 from .registry import given, query
 
@@ -218,6 +222,31 @@ def restore_plan(t: Tables) -> DataFrame:
     return M.restore_plan(_versions(t), live, chosen)
 
 
+_CHOSEN = """
+, c AS (SELECT map_id, max(id) + CASE WHEN map_id % 5 = 0 THEN 1 ELSE 0 END AS version_id FROM v GROUP BY map_id),
+p AS (SELECT c.map_id, c.version_id, v.encoded AS restored, l.encoded AS now FROM c JOIN v ON v.id = c.version_id AND v.map_id = c.map_id LEFT JOIN l ON l.map_id = c.map_id)
+"""
+
+
+@query(_STATES + _CHOSEN + """
+SELECT map_id, 'current' AS relation, NULL::VARCHAR AS kind, restored AS what FROM p
+UNION ALL SELECT map_id, 'current', NULL, encoded FROM l WHERE encoded IS NOT NULL AND map_id NOT IN (SELECT map_id FROM p)
+UNION ALL SELECT map_id, 'versions', 'auto', now FROM p WHERE now <> restored
+UNION ALL SELECT map_id, 'versions', 'restore', restored FROM p
+UNION ALL SELECT map_id, 'audit', 'restore-version', CAST(version_id AS VARCHAR) FROM p""")
+def restore_committed(t: Tables) -> DataFrame:
+    """The restores of ``restore_plan`` as one commit over current states, versions and audit rows, read back."""
+    folder = f"{shared_folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    removed(t.spark, folder, at_exit=True)
+    ledger = C.Ledger(t.spark, folder)
+    chosen = _versions(t).groupBy("map_id").agg((F.max("id") + F.when(F.col("map_id") % 5 == 0, 1).otherwise(0)).alias("version_id"))
+    ledger.commit(0, current=_snapshots(t).where("snapshot IS NOT NULL").select(F.col("id").alias("map_id"), F.col("snapshot").alias("encoded")))
+    C.restored(ledger, _versions(t), chosen.withColumn("user_id", F.lit(USER).cast("long")))
+    current = ledger.newest("current", ["map_id"]).select("map_id", F.lit("current").alias("relation"), F.lit(None).cast("string").alias("kind"), F.col("encoded").alias("what"))
+    versions = ledger.read("versions").select("map_id", F.lit("versions"), "type", "encoded")
+    return current.unionAll(versions).unionAll(ledger.read("audit").select("map_id", F.lit("audit"), "action", F.col("detail")["versionId"]))
+
+
 @query(_STATES + """
 , n AS (SELECT map_id, encoded FROM v QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY created_at DESC, id) = 1)
 SELECT l.map_id, coalesce(l.encoded, n.encoded) AS encoded, CASE WHEN l.encoded IS NOT NULL THEN 'map' ELSE 'version' END AS source

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mutations as M
 from ..operators import relational as R
+from ..operators import undo as U
 from ..sources.tables import Tables
 from ..streaming import edits as E
 from .registry import query
@@ -50,6 +51,21 @@ def undo_groups(t: Tables) -> DataFrame:
     return R.quiet_groups(t.base("events"), "event_type", "ts", "15 minutes")
 
 
+@query("""
+WITH RECURSIVE l AS (SELECT user_id % 20 AS doc_id, 'c' || user_id AS client, event_id AS seq, ts, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS kind, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS key, event_type || ' ' || event_id AS value FROM events),
+n AS (SELECT *, lag(kind) OVER w AS kind_before, lag(ts) OVER w AS ts_before FROM l WINDOW w AS (PARTITION BY client ORDER BY seq)),
+s AS (SELECT *, CAST(sum(CASE WHEN kind = 'edit' AND kind_before = 'edit' AND ts < ts_before + INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY client ORDER BY seq) AS BIGINT) AS step FROM n),
+d AS (SELECT client, step, min(kind) AS kind FROM s GROUP BY client, step),
+r AS (SELECT client, step, CASE WHEN kind = 'edit' THEN [step] ELSE CAST([] AS BIGINT[]) END AS undo, CAST([] AS BIGINT[]) AS redo FROM d WHERE step = 1
+UNION ALL SELECT d.client, d.step, CASE WHEN d.kind = 'edit' THEN list_append(r.undo, d.step) WHEN d.kind = 'undo' THEN r.undo[:-2] WHEN len(r.redo) > 0 THEN list_append(r.undo, r.redo[-1]) ELSE r.undo END,
+CASE WHEN d.kind = 'edit' THEN CAST([] AS BIGINT[]) WHEN d.kind = 'redo' THEN r.redo[:-2] WHEN len(r.undo) > 0 THEN list_append(r.redo, r.undo[-1]) ELSE r.redo END FROM r JOIN d ON d.client = r.client AND d.step = r.step + 1),
+f AS (SELECT client, unnest(arg_max(undo, step)) AS step FROM r GROUP BY client)
+SELECT doc_id, key, arg_max(value, seq) AS value, max(seq) AS seq FROM s JOIN f USING (client, step) WHERE kind = 'edit' GROUP BY doc_id, key""")
+def undone_state(t: Tables) -> DataFrame:
+    """What stands of each document after all edits, undos and redos of its clients; edits within six hours are one step."""
+    return U.state(t.undo_log(), "6 hours")
+
+
 _PRESENT = f"""
 SELECT user_id AS client_id, max(ts) AS last_updated FROM events WHERE user_id <> 7 GROUP BY 1 HAVING NOT epoch_us(TIMESTAMP '{_AT}') - epoch_us(max(ts)) > {_WINDOW_MS * 1000}"""
 

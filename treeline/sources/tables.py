@@ -125,6 +125,19 @@ class Tables:
             F.col("conv_id").alias("doc_id"), F.col("turn").alias("clock"), F.col("role").alias("client"), F.col("role").alias("key"), F.col("text").alias("value")
         )
 
+    def undo_log(self) -> DataFrame:
+        """Edits, undos and redos of the clients of twenty documents."""
+        kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
+        return self._events().select(
+            (F.col("user_id") % 20).alias("doc_id"),
+            F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("client"),
+            F.col("event_id").alias("seq"),
+            "ts",
+            kind.alias("kind"),
+            (F.col("k") % 10).cast("string").alias("key"),
+            F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value"),
+        )
+
     def snapshots(self) -> DataFrame:
         return self.base("documents").select("doc_id", F.col("text").alias("state"), "n_chars")
 
