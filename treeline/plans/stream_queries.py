@@ -9,6 +9,7 @@ from ..operators import mutations as M
 from ..operators import relational as R
 from ..operators import undo as U
 from ..sources.tables import Tables
+from ..streaming import attendance as A
 from ..streaming import edits as E
 from .registry import query
 
@@ -114,3 +115,17 @@ def stream_eviction(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_id") % 3 == 0, "join").otherwise("leave")
     gone = E.appended(E.evicted(events.select(F.col("user_id").alias("doc_id"), F.lit("c").alias("client"), kind.alias("kind"), "ts", F.col("event_id").alias("nth"))))
     return gone.withColumn("evicted_at", F.col("evicted_at").cast("timestamp_ntz"))
+
+
+@query("""
+WITH e AS (SELECT user_id % 20 AS doc_id, user_id AS client, ts, event_id % 5 = 0 AS leaves, lag(event_id % 5 = 0) OVER w AS left_before, ts > lag(ts) OVER w + INTERVAL 12 HOUR AS silent, lead(ts) OVER w AS next_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, left_before IS NOT NULL AND NOT left_before AND NOT silent AS was_here FROM e)
+SELECT doc_id, client, true AS here, ts AS at FROM k WHERE NOT leaves AND NOT was_here UNION ALL SELECT doc_id, client, false, ts FROM k WHERE leaves AND was_here
+UNION ALL SELECT doc_id, client, false, ts + INTERVAL 12 HOUR FROM k WHERE NOT leaves AND (next_ts > ts + INTERVAL 12 HOUR OR next_ts IS NULL AND ts + INTERVAL 12 HOUR < (SELECT max(ts) FROM events))""")
+def stream_attendance(t: Tables) -> DataFrame:
+    """Comings and goings of the clients of twenty documents: a leave counts at once, silence after twelve hours."""
+    kind = F.when(F.col("event_id") % 5 == 0, "leave").otherwise("move")
+    events = E.read_log(t.spark, f"{t.folder}/events.parquet").select((F.col("user_id") % 20).alias("doc_id"), F.col("user_id").alias("client"), kind.alias("kind"), "ts", F.col("event_id").alias("nth"))
+    with A.rocksdb(t.spark):
+        moves = E.appended(A.attendance(events, 12 * 3600))
+    return moves.withColumn("at", F.col("at").cast("timestamp_ntz"))
