@@ -11,9 +11,10 @@ is at or below another one exactly when its number lies between the other's firs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import sums_before
 from ..session import Rounds
 from .hierarchy import KEY
 
@@ -87,9 +88,10 @@ def numbered(nodes: DataFrame) -> DataFrame:
     known = _climbed(links, True)
     kept = Rounds(nodes.sparkSession)
     rows = Rounds(nodes.sparkSession)(links.select(*KEY, "up", "ord").join(known.where("jump IS NULL"), KEY).select(*known.columns, "up", "ord"))
-    before = Window.partitionBy("doc_id", "up").orderBy("ord", "id").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("size").over(before), F.lit(0)) + F.when(F.col("up").isNull(), 0).otherwise(1)
-    state = kept(rows.select(*KEY, F.col("up").alias("jump"), offset.alias("first")))
+    offset = F.col("before") + F.when(F.col("up").isNull(), 0).otherwise(1)
+    # one node may have most of the others for children, so no window by parent
+    ranked = sums_before(rows, ["doc_id", "up"], ["ord", "id"], before=F.col("size"))
+    state = kept(ranked.select(*KEY, F.col("up").alias("jump"), offset.alias("first")))
     while state.where("jump IS NOT NULL").take(1):
         above = state.select("doc_id", F.col("id").alias("jump"), F.col("jump").alias("up_jump"), F.col("first").alias("up_first"))
         moved = state.where("jump IS NOT NULL").join(above, ["doc_id", "jump"]).select(*KEY, F.col("up_jump").alias("jump"), (F.col("first") + F.col("up_first")).alias("first"))

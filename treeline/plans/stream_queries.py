@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import lists as L
 from ..operators import mutations as M
 from ..operators import relational as R
 from ..operators import undo as U
@@ -67,6 +68,17 @@ def undone_state(t: Tables) -> DataFrame:
     return U.state(t.undo_log(), "6 hours")
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id // 20 AS n FROM events),
+r AS (SELECT event_id % 20 AS doc_id, 'e' || event_id AS id, CASE WHEN n >= (k % 4 + 1) * 3 THEN 'e' || (event_id - 60 * (k % 4 + 1)) END AS after, event_type || ' ' || event_id AS value, row_number() OVER (ORDER BY n // 3 DESC, 'c' || user_id, 'e' || event_id) AS nth FROM o),
+p AS (SELECT doc_id, id, value, [nth] AS path FROM r WHERE after IS NULL UNION ALL SELECT r.doc_id, r.id, r.value, list_append(p.path, r.nth) FROM r JOIN p ON r.doc_id = p.doc_id AND r.after = p.id),
+d AS (SELECT DISTINCT 'e' || (event_id - 20 * (k % 7 + 1)) AS id FROM o WHERE event_type = 'error')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS position, id, value FROM p ANTI JOIN d USING (id)""")
+def lists_after_edits(t: Tables) -> DataFrame:
+    """The lists of twenty documents after all insertions and deletions, made at the same time by several clients."""
+    return L.listed(t.list_log())
+
+
 _PRESENT = f"""
 SELECT user_id AS client_id, max(ts) AS last_updated FROM events WHERE user_id <> 7 GROUP BY 1 HAVING NOT epoch_us(TIMESTAMP '{_AT}') - epoch_us(max(ts)) > {_WINDOW_MS * 1000}"""
 

@@ -138,6 +138,16 @@ class Tables:
             F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value"),
         )
 
+    def list_log(self) -> DataFrame:
+        """Insertions into and deletions from the lists of twenty documents, three clients at a time, each behind an element of an earlier time."""
+        number, back = F.floor(F.col("event_id") / 20), (F.col("k") % 4 + 1) * 3
+        named = lambda n: F.concat(F.lit("e"), n.cast("string"))
+        told = self._events().select((F.col("event_id") % 20).alias("doc_id"), "event_id", F.floor(number / 3).alias("clock"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("client"), number.alias("n"), back.alias("back"), "k", "event_type")
+        inserts = told.select("doc_id", F.lit("insert").alias("kind"), named(F.col("event_id")).alias("id"), F.when(F.col("n") >= F.col("back"), named(F.col("event_id") - 20 * F.col("back"))).alias("after"), "clock", "client", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value"))
+        none = F.lit(None).cast("string")
+        deletes = told.where("event_type = 'error'").select("doc_id", F.lit("delete").alias("kind"), named(F.col("event_id") - 20 * (F.col("k") % 7 + 1)).alias("id"), none.alias("after"), "clock", "client", none.alias("value"))
+        return inserts.unionByName(deletes)
+
     def snapshots(self) -> DataFrame:
         return self.base("documents").select("doc_id", F.col("text").alias("state"), "n_chars")
 
