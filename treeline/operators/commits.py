@@ -43,23 +43,32 @@ class Ledger:
         return json.loads(self.spark.read.text(f"{self.folder}/commits/{number:012d}", wholetext=True).first()[0]) if number else {}
 
     def read(self, name: str, number: int | None = None) -> DataFrame:
-        """A relation's rows with ``commit``, the number of the commit that wrote each one."""
+        """A relation's rows with ``commit``, the number of the commit that wrote each one, or of the last one merged with it."""
         entry = self.manifest(number)[name]
+        return self._rows(entry, entry["parts"])
+
+    def _rows(self, entry: dict, parts: list[str]) -> DataFrame:
         # the number is a partition of the path, so a filter on it opens only its files
-        paths = [f"{self.folder}/rows/{p}" for p in entry["parts"]]
+        paths = [f"{self.folder}/rows/{p}" for p in parts]
         return self.spark.read.option("basePath", f"{self.folder}/rows").schema(f"{entry['schema']}, relation string, batch string, commit long").parquet(*paths).drop("relation", "batch")
 
     def newest(self, name: str, keys: list[str], number: int | None = None) -> DataFrame:
         """A relation whose rows replace earlier ones of their keys, as it stands."""
-        rows = self.read(name, number)
+        return self._last(self.read(name, number), keys)
+
+    def _last(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         rest = [c for c in rows.columns if c not in (*keys, "commit")]
         last = rows.groupBy(keys).agg(F.max_by(F.struct(*rest), "commit").alias("row"))
         return last.select(*keys, *(f"row.{c}" for c in rest))
 
-    def commit(self, base: int, replace: bool = False, **rows: DataFrame) -> int:
+    def upto(self) -> int:
+        """The number of the last micro-batch that a stream has committed here, -1 before the first."""
+        return max((e.get("upto", -1) for e in self.manifest().values()), default=-1)
+
+    def commit(self, base: int, replace: bool = False, upto: int | None = None, **rows: DataFrame) -> int:
         """Adds rows to relations, or puts them in the place of all there are; returns the commit's number.
 
-        ``base`` is the commit that the rows were made from. A relation keeps its first columns and types; rows without one of them, or of another type, raise an error
+        ``base`` is the commit that the rows were made from, ``upto`` the micro-batch that made them. A relation keeps its first columns and types; rows without one of them, or of another type, raise an error
         before anything is written.
         """
         number, batch, entries = base + 1, uuid.uuid4().hex, self.manifest(base)
@@ -69,7 +78,9 @@ class Ledger:
             if name in entries and entries[name]["schema"] != schema:
                 raise ValueError(f"{name} has {entries[name]['schema']}, not {schema}")
             part = f"relation={name}/batch={batch}/commit={number}"
-            planned[name] = {"schema": schema, "parts": ([] if replace or name not in entries else entries[name]["parts"]) + [part]}
+            old = entries.get(name, {"parts": [], "levels": []})
+            parts, levels = ([part], [max(old["levels"], default=0)]) if replace else (old["parts"] + [part], old["levels"] + [0])
+            planned[name] = old | {"schema": schema, "parts": parts, "levels": levels} | ({} if upto is None else {"upto": upto})
         for name, df in rows.items():
             df.write.parquet(f"{self.folder}/rows/{planned[name]['parts'][-1]}")
         self._publish(number, json.dumps(entries | planned))
@@ -80,6 +91,39 @@ class Ledger:
         base = self.head()
         return self.commit(base, replace=True, **{name: self.newest(name, keys, base)})
 
+    def merged(self, name: str, keys: list[str], fan: int = 8) -> int:
+        """Merges the newest parts of a relation whose rows replace earlier ones, wherever ``fan`` of one size have come together.
+
+        A part of the next size takes their place, so each row is written again about log(parts) times, and a reader
+        opens at most ``fan`` parts of each size, whatever the history. Returns the newest commit.
+        """
+        while True:
+            base = self.head()
+            entries = self.manifest(base)
+            parts, levels = entries[name]["parts"], entries[name]["levels"]
+            run = next((n for n, level in enumerate(reversed(levels)) if level != levels[-1]), len(levels))
+            if run < fan:
+                return base
+            # the place of the last one among the parts that stay
+            part = f"relation={name}/batch={uuid.uuid4().hex}/{parts[-1].rsplit('/', 1)[1]}"
+            self._last(self._rows(entries[name], parts[-run:]), keys).write.parquet(f"{self.folder}/rows/{part}")
+            entry = entries[name] | {"parts": parts[:-run] + [part], "levels": levels[:-run] + [levels[-1] + 1]}
+            self._publish(base + 1, json.dumps(entries | {name: entry}))
+
+    def cleaned(self, keep: int = 2) -> None:
+        """Deletes all but the newest ``keep`` commits, and the rows that only those name; who still reads an older commit loses it.
+
+        Rows that no commit names are left alone, since somebody may be about to commit them.
+        """
+        head = self.head()
+        old = sorted(int(n) for n in (f.getPath().getName() for f in self._files.listStatus(self._path("commits"))) if n.isdigit() and int(n) <= head - keep)
+        named = lambda n: {p for e in self.manifest(n).values() for p in e["parts"]}
+        stay = set().union(*(named(n) for n in range(max(head - keep, 0) + 1, head + 1)))
+        for number in old:
+            for part in named(number) - stay:
+                self._files.delete(self._path(f"rows/{part.rsplit('/', 1)[0]}"), True)
+            self._files.delete(self._path(f"commits/{number:012d}"), False)
+
     def _publish(self, number: int, text: str) -> None:
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         draft, final = self._path(f"commits/draft-{uuid.uuid4().hex}"), self._path(f"commits/{number:012d}")

@@ -9,21 +9,26 @@ gather on the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from ..operators.commits import Ledger
 from ..operators.mutations import store
 from ..operators.relational import quiet_groups
-from ..session import shared_folder
+from ..session import removed, shared_folder
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a Parquet file or folder; the schema is the stored one's."""
-    # as a pattern, so that a single file will do
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        # streams read folders: its own, and of that nothing else
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
 def debounced(stream: DataFrame, key: str, time: str, gap: str, late: str = "0 seconds") -> DataFrame:
@@ -33,7 +38,10 @@ def debounced(stream: DataFrame, key: str, time: str, gap: str, late: str = "0 s
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """A folder that goes when the session ends."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    removed(spark, folder, at_exit=True)
+    return folder
 
 
 def appended(stream: DataFrame, folder: str | None = None) -> DataFrame:
@@ -44,25 +52,53 @@ def appended(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def committed(stream: DataFrame, ledger: Ledger, make: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, states: dict[str, list[str]], every: str | None = None) -> StreamingQuery:
+    """Each micro-batch as one commit over the relations that ``make`` gives for it: all of its rows are seen, or none.
+
+    ``states`` names the relations whose rows replace earlier ones, with their keys; their parts are merged as they come together and
+    commits before the last two deleted, so they cost what the state costs. A micro-batch that runs again after a death is not committed twice; a
+    ledger belongs to one checkpoint, and one that starts anew beside later batches raises an error. Others may
+    not write to the ledger meanwhile: the stream then fails with ``Moved``, and goes on when it is started again. Ends with what is there now, or goes on with a
+    batch ``every`` so often until the query is stopped.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        done = ledger.upto()
+        if number < done:
+            raise RuntimeError(f"{checkpoint} starts again at {number}, but {ledger.folder} has batch {done}")
+        if number == done:
+            return
+        rows = make(batch)
+        try:
+            if len(rows) > 1:
+                batch.persist()
+            ledger.commit(ledger.head(), upto=number, **rows)
+        finally:
+            batch.unpersist()
+        for name, keys in states.items():
+            ledger.merged(name, keys)
+        ledger.cleaned()
+
+    return _started(stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint), every)
+
+
+def _started(writer: DataStreamWriter, every: str | None) -> StreamingQuery:
+    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    if not every:
+        query.awaitTermination()
+    return query
+
+
 def latest(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
     """The last row that a stream of changing rows emits for each key, over all that is there now.
 
-    Each micro-batch writes only the rows it changed, to a partition of its own that it overwrites when it runs again.
-    With a ``folder`` the stream goes on where it stopped before.
+    Each micro-batch commits only the rows it changed. With a ``folder`` the stream goes on where it stopped before.
     """
     spark, folder = stream.sparkSession, folder or _folder(stream.sparkSession)
-    # an empty start, so that a stream without rows has something to read
-    store(spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(-1).cast("long")), f"{folder}/rows", "batch")
-
-    def save(rows: DataFrame, number: int) -> None:
-        store(rows.withColumn("batch", F.lit(number).cast("long")), f"{folder}/rows", "batch")
-
-    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").parquet(f"{folder}/rows")
-    rest = [c for c in stream.columns if c not in keys]
-    newest = rows.groupBy(keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
-    return newest.select(*keys, *(f"row.{c}" for c in rest))
+    ledger = Ledger(spark, f"{folder}/ledger")
+    committed(stream, ledger, lambda rows: {"rows": rows}, f"{folder}/checkpoint", {"rows": keys})
+    # a stream without rows has committed nothing
+    return ledger.newest("rows", keys) if ledger.head() else spark.createDataFrame([], stream.schema)
 
 
 def merged_state(stream: DataFrame, folder: str | None = None) -> DataFrame:
@@ -137,11 +173,7 @@ def saved(stream: DataFrame, history: str, checkpoint: str, every: str | None =
         last = batch.groupBy("doc_id").agg(F.max("clock").alias("clock"), F.max_by("value", "clock").alias("value"))
         store(last.withColumn("batch", F.lit(number)), history, "batch")
 
-    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-    if not every:
-        query.awaitTermination()
-    return query
+    return _started(stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint), every)
 
 
 def current_state(history: DataFrame) -> DataFrame:
