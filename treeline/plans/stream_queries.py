@@ -12,6 +12,7 @@ from ..operators import undo as U
 from ..sources.tables import Tables
 from ..streaming import attendance as A
 from ..streaming import edits as E
+from ..streaming import invitations as I
 from .registry import query
 
 #: Gap of the test data's sessions, and the moment at which presence is judged.
@@ -141,3 +142,21 @@ def stream_attendance(t: Tables) -> DataFrame:
     with A.rocksdb(t.spark):
         moves = E.appended(A.attendance(events, 12 * 3600))
     return moves.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("""
+WITH o AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+i AS (SELECT event_id AS invite_id, user_id AS to_user, ts AS sent_at FROM o WHERE event_id % 4 = 0),
+a AS (SELECT event_id - event_id % 4 - 4 * (k % 5) AS invite_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'accepted' ELSE 'rejected' END AS answer, ts AS answered_at FROM o WHERE event_id % 4 <> 0),
+w AS (SELECT least((SELECT max(sent_at) FROM i), (SELECT max(answered_at) FROM a)) AS mark)
+SELECT i.invite_id, to_user, sent_at, arg_min(answer, (answered_at, answer)) AS answer, min(answered_at) AS answered_at FROM i LEFT JOIN a ON a.invite_id = i.invite_id AND answered_at BETWEEN sent_at AND sent_at + INTERVAL 1 HOUR
+GROUP BY ALL HAVING min(answered_at) IS NOT NULL OR i.sent_at + INTERVAL 1 HOUR < (SELECT mark FROM w)""")
+def stream_invitations(t: Tables) -> DataFrame:
+    """Invitations with their first answers, or none within an hour, as a join of two streams."""
+    log = E.read_log(t.spark, f"{t.folder}/events.parquet")
+    asked = log.where("event_id % 4 = 0").select(F.col("event_id").alias("invite_id"), F.col("user_id").alias("to_user"), F.col("ts").alias("sent_at"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    answer = F.when(F.col("event_type").isin("click", "purchase"), "accepted").otherwise("rejected")
+    told = E.read_log(t.spark, f"{t.folder}/events.parquet").where("event_id % 4 <> 0").select((F.col("event_id") - F.col("event_id") % 4 - 4 * (k % 5)).alias("invite_id"), answer.alias("answer"), F.col("ts").alias("answered_at"))
+    found = I.outcomes(E.appended(I.answered(asked, told, "1 hour")))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("sent_at", "answered_at")})
