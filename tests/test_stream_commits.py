@@ -65,6 +65,16 @@ def test_a_death_between_commit_and_checkpoint_commits_once(spark, tmp_path):
     assert sorted((r.doc_id, r.value) for r in ledger.read("versions").collect()) == [(1, "one"), (1, "three"), (2, "two")]
 
 
+def test_a_checkpoint_that_starts_anew_is_refused(spark, tmp_path):
+    path, ledger = str(tmp_path / "log"), C.Ledger(spark, str(tmp_path / "ledger"))
+    for n in range(2):
+        arrive(spark, path, [(1, n, "a", "x", f"v{n}")])
+        E.committed(spark.readStream.schema(LOG).parquet(path), ledger, both, str(tmp_path / "checkpoint"), {"current": ["doc_id"]})
+    with pytest.raises(Exception, match="starts again at 0"):
+        E.committed(spark.readStream.schema(LOG).parquet(path), ledger, both, str(tmp_path / "other"), {"current": ["doc_id"]})
+    assert ledger.head() == 2
+
+
 def test_polling_goes_on_until_it_is_stopped(spark, tmp_path):
     path, history = str(tmp_path / "log"), str(tmp_path / "history")
     arrive(spark, path, [(1, 1, "a", "x", "one")])
