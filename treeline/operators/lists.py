@@ -16,32 +16,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.intervals import numbered
+from ..plans.tours import places
+from ..session import Rounds
 from .ordered import sums_before
 
 _KEY = ["doc_id", "id"]
 
 
 def _elements(ops: DataFrame) -> DataFrame:
-    """(doc_id, id, after, value, ord), one an inserted element."""
+    """(doc_id, id, after, value, ord, deleted), one an inserted element."""
     clock = F.coalesce("clock", F.lit(-(2**63)))
-    rows = ops.where("kind = 'insert' AND doc_id IS NOT NULL AND id IS NOT NULL")
+    rows = ops.where("kind IN ('insert', 'delete') AND doc_id IS NOT NULL AND id IS NOT NULL")
+    least = F.min(F.when(F.col("kind") == "insert", F.struct(clock.alias("clock"), "client", F.coalesce("after", F.lit("")).alias("after"), "value")))
+    made = rows.groupBy(_KEY).agg(least.alias("e"), F.bool_or(F.col("kind") == "delete").alias("deleted")).where("e IS NOT NULL")
     # the complement of a clock falls where it rises, and never overflows
-    made = rows.groupBy(_KEY).agg(F.min(F.struct(clock.alias("clock"), "client", F.coalesce("after", F.lit("")).alias("after"), "value")).alias("e"))
-    return made.select(*_KEY, "e.after", "e.value", F.struct(F.bitwise_not("e.clock").alias("newest"), F.col("e.client").alias("client")).alias("ord"))
+    found = made.select(*_KEY, "e.after", "e.value", F.struct(F.bitwise_not("e.clock").alias("newest"), F.col("e.client").alias("client")).alias("ord"), "deleted")
+    return Rounds(ops.sparkSession)(found)
 
 
 def _placed(elements: DataFrame) -> DataFrame:
-    tree = elements.select(*_KEY, F.col("after").alias("parent_id"), "ord")
-    return numbered(tree).select(*_KEY, "first", "dangling")
+    return places(elements.select(*_KEY, F.col("after").alias("parent_id"), "ord"))
 
 
 def placed(ops: DataFrame) -> DataFrame:
     """(doc_id, id, value, position, deleted): every element that has arrived with all it follows; ``position`` counts the elements before it that are not deleted."""
     elements = _elements(ops)
-    gone = ops.where("kind = 'delete' AND doc_id IS NOT NULL AND id IS NOT NULL").select(_KEY).distinct().withColumn("deleted", F.lit(True))
-    order = _placed(elements).where("first IS NOT NULL AND NOT dangling")
-    marked = order.join(elements.select(*_KEY, "value"), _KEY).join(gone, _KEY, "left").select(*_KEY, "value", "first", F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    marked = _placed(elements).join(elements.select(*_KEY, "value", "deleted"), _KEY).withColumn("first", -F.col("back")).drop("back")
     found = sums_before(marked, ["doc_id"], ["first"], position=F.when(F.col("deleted"), 0).otherwise(1))
     return found.select(*_KEY, "value", "position", "deleted")
 
@@ -54,8 +54,7 @@ def listed(ops: DataFrame) -> DataFrame:
 def waiting(ops: DataFrame) -> DataFrame:
     """(doc_id, id, after, value): elements behind one that has not arrived."""
     elements = _elements(ops)
-    late = _placed(elements).where("first IS NULL OR dangling").select(_KEY)
-    return elements.join(late, _KEY, "left_semi").select(*_KEY, "after", "value")
+    return elements.join(_placed(elements), _KEY, "left_anti").select(*_KEY, "after", "value")
 
 
 def inserted_at(lists: DataFrame, rows: DataFrame) -> DataFrame:
