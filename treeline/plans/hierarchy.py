@@ -1,6 +1,7 @@
-"""Trees of many documents, given as (doc_id, id, parent_id): paths, depths, closures, by pointer doubling.
+"""Trees of many documents, given as (doc_id, id, parent_id): paths, depths, closures.
 
-Ids are unique inside a document only, so every function is keyed by document and id. Each round
+Ids are unique inside a document only, so every function is keyed by document and id. Documents that lie whole in a block of
+sorted rows are walked there (``blocks``), the others by pointer doubling: each round
 joins every open path with the path of the node it hangs on, so trees of depth d take
 about log2 d joins, whatever their number and size; recursion limits on rows or levels do not apply.
 ``paths`` is the result of ``rooted``; functions that need it take it, so that several share one walk.
@@ -13,17 +14,28 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import BRANCH_COLORS, palette
 from ..session import settled
+from . import blocks
 
 KEY = ["doc_id", "id"]
 
 
-def rooted(nodes: DataFrame, rounds: int = 40) -> DataFrame:
-    """(doc_id, id, path, dangling) of every node of ``nodes`` (doc_id, id, parent_id).
+def rooted(nodes: DataFrame, rounds: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, id, path, dangling) of every node of ``nodes`` (doc_id, id, parent_id), with the columns ``keep`` of it.
 
     ``path`` holds the ids from the topmost resolvable ancestor down to the node; ``dangling`` is
     true where that ancestor names a parent that does not exist. Nodes on or below a cycle
     have a null path. Null and empty parents are none.
     """
+    known, rest = blocks.resolved(nodes.select(*KEY, "parent_id", *keep), paths=True, keep=keep)
+    known = known.select(*KEY, "path", "dangling", *keep)
+    if rest is None:
+        return known
+    found = _doubled(rest, rounds)
+    return known.unionByName(found.join(rest.select(*KEY, *keep), KEY) if keep else found)
+
+
+def _doubled(nodes: DataFrame, rounds: int) -> DataFrame:
+    """``rooted`` by pointer doubling alone."""
     parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
     state = settled(nodes.select(*KEY, parent.alias("up"), F.array("id").alias("path"), F.lit(False).alias("dangling")))
     for _ in range(rounds):
@@ -55,11 +67,11 @@ def branch_of(path) -> F.Column:
     return F.when(F.size(path) > 1, F.element_at(path, 2)).otherwise(F.element_at(path, 1))
 
 
-def branch_colors(paths: DataFrame) -> DataFrame:
-    """(doc_id, id, branch_id, color) by the branch a node is on; below a missing parent, its topmost node."""
+def branch_colors(paths: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, id, branch_id, color) by the branch a node is on, and the columns ``keep``; below a missing parent, its topmost node."""
     branch = F.when(F.col("dangling"), F.element_at("path", 1)).otherwise(branch_of(F.col("path")))
-    found = paths.select(*KEY, branch.alias("branch_id"))
-    return found.select(*KEY, "branch_id", palette(F.col("branch_id"), BRANCH_COLORS).alias("color"))
+    found = paths.select(*KEY, branch.alias("branch_id"), *keep)
+    return found.select(*KEY, "branch_id", palette(F.col("branch_id"), BRANCH_COLORS).alias("color"), *keep)
 
 
 def closure(paths: DataFrame) -> DataFrame:
