@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import handles, or_else, side_of
 from ..session import settled
-from .hierarchy import KEY, ancestor_labels, levels, possible, subtrees
+from .hierarchy import KEY, ancestor_labels, levels, subtrees
 from .layout import ROOT_X, ROOT_Y, STEP_X, child_places, suggested_sides
 
 # Fixed values that new nodes and edges show.
@@ -68,11 +68,21 @@ def reparented(nodes: DataFrame, edges: DataFrame, paths: DataFrame, moves: Data
     the edges into its nodes; the moved node takes the new parent's colour, is aligned again, and its old edge gives
     way to a new one.
     """
-    fine = possible(moves, nodes, paths)
-    goal = suggested_sides(nodes, nodes.select(*KEY, "side")).select("doc_id", F.col("id").alias("new_parent"), F.col("side").alias("new_side"))
-    color = nodes.select("doc_id", F.col("id").alias("new_parent"), F.col("color").alias("new_color"))
-    fine = settled(fine.join(goal, ["doc_id", "new_parent"]).join(color, ["doc_id", "new_parent"]))
-    inside = settled(subtrees(paths, fine).join(fine.select("doc_id", F.col("id").alias("top"), "new_side"), ["doc_id", "top"]).select(*KEY, "new_side"))
+    # one move a document: all that it needs to know meets it by document
+    moves = moves.select(*KEY, "new_parent")
+    told = nodes.select("doc_id", F.col("id").alias("node"), "parent_id", "side", "color", "auto_align").join(moves, "doc_id")
+    is_goal, is_child = F.col("node") == F.col("new_parent"), F.col("parent_id") == F.col("new_parent")
+    told = told.where((F.col("node") == F.col("id")) | is_goal | F.coalesce(is_child, F.lit(False)))
+    counted = [F.count_if(is_child & F.coalesce("auto_align", F.lit(True)) & (F.col("side") == side)).alias(side) for side in ("left", "right")]
+    facts = told.groupBy(*KEY, "new_parent").agg(F.bool_or(F.col("node") == F.col("id")).alias("there"), F.max(F.when(is_goal, F.struct("parent_id", "side", "color"))).alias("goal"), *counted)
+    emptier = F.when(F.col("left") <= F.col("right"), "left").otherwise("right")
+    side = F.when(F.coalesce("goal.parent_id", F.lit("")) == "", emptier).otherwise(F.coalesce("goal.side", F.lit("right")))
+    below = paths.select("doc_id", F.col("id").alias("node"), "path").join(moves, "doc_id").where(F.array_contains("path", F.col("id"))).drop("path")
+    below = settled(below)
+    loops = below.where(is_goal).select(*KEY, "new_parent")
+    fine = facts.where("there AND goal IS NOT NULL AND id <> new_parent").select(*KEY, "new_parent", side.alias("new_side"), F.col("goal.color").alias("new_color"))
+    fine = settled(fine.join(loops, [*KEY, "new_parent"], "left_anti"))
+    inside = settled(below.join(fine, [*KEY, "new_parent"]).select("doc_id", F.col("node").alias("id"), "new_side"))
     moved = nodes.join(fine.select(*KEY, "new_parent", "new_color"), KEY, "left").join(inside, KEY, "left")
     hit = F.col("new_parent").isNotNull()
     changed = {
@@ -83,7 +93,8 @@ def reparented(nodes: DataFrame, edges: DataFrame, paths: DataFrame, moves: Data
     }
     moved = moved.withColumns(changed).select(nodes.columns)
     into = inside.select("doc_id", F.col("id").alias("target"), "new_side")
-    left = edges.join(fine.select("doc_id", F.col("id").alias("target"), F.lit(True).alias("is_parent_child")), ["doc_id", "target", "is_parent_child"], "left_anti")
+    gone = fine.select("doc_id", F.col("id").alias("target"), F.lit(True).alias("gone"))
+    left = edges.join(gone, ["doc_id", "target"], "left").where(~(F.coalesce("gone", F.lit(False)) & F.col("is_parent_child")))
     left = left.join(into, ["doc_id", "target"], "left")
     turned, (source, target) = F.col("is_parent_child") & F.col("new_side").isNotNull(), handles(F.col("new_side"))
     left = left.withColumns({"source_handle": F.when(turned, source).otherwise(F.col("source_handle")), "target_handle": F.when(turned, target).otherwise(F.col("target_handle"))})

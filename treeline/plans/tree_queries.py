@@ -134,9 +134,14 @@ inside AS (SELECT s.doc_id, s.id, g.new_side FROM shown s JOIN goal g ON g.doc_i
 """
 
 
+def _paths(t: Tables) -> DataFrame:
+    return rooted(t.nodes().withColumnRenamed("parent_id", "above").withColumn("parent_id", F.col("above")), keep=("above", "auto_align"))
+
+
 def _shown(t: Tables, paths: DataFrame) -> DataFrame:
-    sides, colors = L.sides(L.tree(t.nodes())), H.branch_colors(paths).select(*KEY, "color")
-    return settled(t.nodes().join(sides, KEY, "left").join(colors, KEY).select(*KEY, "parent_id", "side", "color", "auto_align"))
+    """The nodes of ``paths`` with their sides and colours."""
+    sides, colored = L.sides(L.tree(t.nodes())), H.branch_colors(paths, ("above", "auto_align"))
+    return settled(colored.join(sides, KEY, "left").select(*KEY, F.col("above").alias("parent_id"), "side", "color", "auto_align"))
 
 
 def _tree_edges(t: Tables) -> DataFrame:
@@ -150,7 +155,7 @@ SELECT s.doc_id, s.id, CASE WHEN g.moved IS NULL THEN s.parent_id ELSE g.new_par
 FROM shown s LEFT JOIN goal g ON g.doc_id = s.doc_id AND g.moved = s.id LEFT JOIN inside i ON i.doc_id = s.doc_id AND i.id = s.id""")
 def reparent(t: Tables) -> DataFrame:
     """The first branch of every document moved below its last one: parent, side of the subtree, colour."""
-    paths = rooted(t.nodes())
+    paths = _paths(t)
     return E.reparented(_shown(t, paths), _tree_edges(t), paths, t.branches_to_move())[0]
 
 
@@ -164,7 +169,7 @@ LEFT JOIN inside i ON i.doc_id = e.doc_id AND i.id = e.target LEFT JOIN goal g O
 UNION ALL SELECT doc_id, 'e-' || new_parent || '-' || moved, new_parent, moved, {_TURNED.format('source', 'source')}, CASE WHEN new_side = 'left' THEN 'target-right' ELSE 'target-left' END, new_color FROM goal""")
 def reparent_edges(t: Tables) -> DataFrame:
     """The edges after the same moves: the old ones out, new ones in, handles on the new side."""
-    paths = rooted(t.nodes())
+    paths = _paths(t)
     return E.reparented(_shown(t, paths), _tree_edges(t), paths, t.branches_to_move())[1].drop("is_parent_child")
 
 
