@@ -45,11 +45,9 @@ def initial(name: Column, email: Column) -> Column:
 
 def code_sum(text: Column) -> Column:
     """The sum of the text's UTF-16 code units; a character beyond the first plane is two."""
-    units = F.encode(text, "UTF-16BE")
-    digits = F.hex(units)
-    unit = lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
-    places = F.filter(F.sequence(F.lit(0), F.greatest((F.octet_length(units) / 2).cast("int"), F.lit(1)) - 1), lambda i: i * 2 < F.octet_length(units))
-    return F.aggregate(F.transform(places, unit), F.lit(0).cast("long"), lambda a, x: a + x)
+    # cut into units once: what a lambda names besides its argument is evaluated for every element
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("...."), F.lit(0))
+    return F.coalesce(F.aggregate(units, F.lit(0).cast("long"), lambda a, x: a + F.conv(x, 16, 10).cast("long")), F.lit(0).cast("long"))
 
 
 def palette(text: Column, colors: tuple[str, ...]) -> Column:
