@@ -275,7 +275,8 @@ def drop_target(t: Tables) -> DataFrame:
 @query(given("nodes", "edges") + "SELECT doc_id, node_id, count(*) AS n, count(*) FILTER (is_parent_child) AS tree_edges FROM (SELECT doc_id, source AS node_id, is_parent_child FROM edges UNION ALL SELECT doc_id, target, is_parent_child FROM edges WHERE target <> source) GROUP BY doc_id, node_id")
 def edge_incidence(t: Tables) -> DataFrame:
     ends = F.explode(F.array_distinct(F.array("source", "target"))).alias("node_id")
-    return t.edges().select("doc_id", ends, "is_parent_child").groupBy("doc_id", "node_id").agg(F.count("*").alias("n"), F.count_if("is_parent_child").alias("tree_edges"))
+    # ends repeat little, so counting them before the shuffle would only hold a map of all ends of a file's part in memory
+    return t.edges().select("doc_id", ends, "is_parent_child").repartition("doc_id", "node_id").groupBy("doc_id", "node_id").agg(F.count("*").alias("n"), F.count_if("is_parent_child").alias("tree_edges"))
 
 
 @query(given("nodes", "edges") + f"SELECT doc_id, id, source, target FROM edges WHERE doc_id <> 0 OR source <> '{TOP}' AND target <> '{TOP}'")
