@@ -1,9 +1,14 @@
 """Documents walked in blocks against jumps alone."""
 
+from tests.conftest import DATA
 from tests.test_intervals_and_moves import NODES, forest
 from treeline.plans import blocks as B
 from treeline.plans import hierarchy as H
 from treeline.plans import intervals as I
+from treeline.plans import layout as L
+from treeline.plans.catalog import queries
+
+QUERIES = queries()
 
 FOUND = ["doc_id", "id", "top", "branch", "level", "dangling", "first", "last", "leaf", "leaves"]
 
@@ -32,3 +37,20 @@ def test_documents_in_blocks_equal_jumps(spark):
     assert {5, 6, None} <= {r.doc_id for r in rest.select("doc_id").distinct().collect()}
     paths = sorted_rows(H._doubled(nodes, 40), "doc_id", "id", "path", "dangling")
     assert sorted_rows(H.rooted(nodes), "doc_id", "id", "path", "dangling") == paths
+
+
+def test_new_children_need_one_walk_and_equal_the_separate_steps(spark, monkeypatch):
+    """Side and place of a new child from the rows of one tree, as from sides, places and counts of all nodes; in blocks and by jumps."""
+    rows = [(*r, i % 13 != 5, ("left", None, "right", None, None)[i % 5] if r[0] > 1 else None, i % 4 == 0) for i, r in enumerate(forest(11, docs=4, n=40))]
+    nodes = spark.createDataFrame(rows, f"{NODES}, auto_align boolean, side string, is_free boolean")
+    places = L.positions(L.tree(nodes))
+    want = sorted_rows(L.child_places(nodes, places, L.suggested_sides(nodes, places)), "doc_id", "id", "side", "x", "y")
+    tree = L.tree(nodes)
+    assert sorted_rows(L.spots_below(tree, tree), "doc_id", "id", "side", "x", "y") == want and len(want) > 50
+    resolved, walks = B.resolved, []
+    monkeypatch.setattr(B, "resolved", lambda *a, **k: walks.append(1) or resolved(*a, **k))
+    QUERIES["added_edges"](spark, DATA)
+    assert len(walks) == 1
+    monkeypatch.setattr(B, "resolved", lambda *a, **k: resolved(*a, **k, block=8))
+    tree = L.tree(nodes)
+    assert sorted_rows(L.spots_below(tree, tree), "doc_id", "id", "side", "x", "y") == want

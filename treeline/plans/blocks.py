@@ -23,7 +23,7 @@ BLOCK = 1 << 17
 IDS = 1 << 20
 
 _LABELS = {"top": pa.string(), "branch": pa.string(), "level": pa.int64(), "dangling": pa.bool_()}
-_NUMBERS = {name: pa.int64() for name in ("first", "last", "leaf", "leaves")}
+_NUMBERS = {name: pa.int64() for name in ("first", "last", "leaf", "leaves", "children")}
 _TYPES = {pa.string(): T.StringType(), pa.int64(): T.LongType(), pa.bool_(): T.BooleanType()}
 
 
@@ -73,7 +73,8 @@ def _walked(docs: np.ndarray, parent: np.ndarray) -> dict[str, np.ndarray]:
     while len(o := np.flatnonzero(jump >= 0)):
         j = jump[o]
         first[o], leaf[o], jump[o] = first[o] + first[j], leaf[o] + leaf[j], jump[j]
-    return {"open": loops, "far": far, "below": below, "steps": steps, "first": first, "last": first + size - 1, "leaf": leaf, "leaves": leaves}
+    children = np.bincount(parent[parent >= 0], minlength=n).astype(np.int64)
+    return {"open": loops, "far": far, "below": below, "steps": steps, "first": first, "last": first + size - 1, "leaf": leaf, "leaves": leaves, "children": children}
 
 
 def _paths(ids: pa.Array, parent: np.ndarray, found: dict[str, np.ndarray], start: int, stop: int) -> pa.Array:
@@ -177,7 +178,7 @@ def _by_blocks(paths: bool, block: int, names: dict[str, pa.DataType]):
 def resolved(nodes: DataFrame, paths: bool = False, keep: tuple[str, ...] = (), block: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(known, rest): ``nodes`` (doc_id, id, parent_id, ord, perhaps ``keep``) whose documents could be walked whole, with what was found; the other rows, or None.
 
-    Found are (path, dangling) as of ``hierarchy.rooted``, or (top, branch, level, dangling, first, last, leaf, leaves) as of
+    Found are (path, dangling) as of ``hierarchy.rooted``, or (top, branch, level, dangling, first, last, leaf, leaves, children) as of
     ``intervals.numbered``. ``rest`` has the columns of ``nodes`` that are named here.
     """
     ord_ = F.col("ord") if "ord" in nodes.columns else F.lit(0).cast("long")

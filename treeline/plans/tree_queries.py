@@ -243,9 +243,9 @@ def added_nodes(t: Tables) -> DataFrame:
 
 
 def _added(t: Tables) -> tuple[DataFrame, DataFrame]:
-    paths = rooted(t.nodes())
-    asked = t.nodes().where("parent_id IS NULL OR parent_id = 'root-node'").select("doc_id", F.concat(F.lit("x-"), "id").alias("id"), F.col("id").alias("parent_id"))
-    return E.child_rows(asked, t.nodes(), paths, L.positions(L.tree(t.nodes())), H.branch_colors(paths))
+    tree = L.tree(t.nodes())
+    parents = tree.where("parent_id IS NULL OR parent_id = 'root-node'").withColumn("child", F.concat(F.lit("x-"), "id"))
+    return E.child_rows(parents, tree)
 
 
 @query(_LAYOUT_PATHS + f"""
