@@ -6,7 +6,8 @@ border cuts, that are larger than a block, or that repeat an id or have none are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +129,7 @@ def _unresolved(rows: pa.Table, names: dict[str, pa.DataType]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | made)
 
 
-def _by_blocks(paths: bool, block: int, names: dict[str, pa.DataType]):
+def _by_blocks(walk: Callable[[pa.Table], Iterator[pa.RecordBatch]], block: int, names: dict[str, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, large = [], 0, None
 
@@ -150,7 +151,7 @@ def _by_blocks(paths: bool, block: int, names: dict[str, pa.DataType]):
             if final:
                 begin = len(codes)
             if begin:
-                out.append(_resolved(table.slice(0, begin), paths))
+                out.append(walk(table.slice(0, begin)))
             rest = table.slice(begin) if begin < len(codes) else None
             if rest is not None and len(rest) >= block:
                 large = rest["doc_id"][0]
@@ -175,38 +176,46 @@ def _by_blocks(paths: bool, block: int, names: dict[str, pa.DataType]):
     return run
 
 
-def resolved(nodes: DataFrame, paths: bool = False, keep: tuple[str, ...] = (), block: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(known, rest): ``nodes`` (doc_id, id, parent_id, ord, perhaps ``keep``) whose documents could be walked whole, with what was found; the other rows, or None.
+def by_document(rows: DataFrame, order: list[str], walk: Callable[[pa.Table], Iterator[pa.RecordBatch]], names: dict[str, pa.DataType], block: int | None = None, ranged: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(table, left): ``rows`` with (hard, *names) as ``walk`` gives them for whole documents in ``order``, which begins with doc_id; and (__doc, hard) of the documents that are left.
 
-    Found are (path, dangling) as of ``hierarchy.rooted``, or (top, branch, level, dangling, first, last, leaf, leaves, children) as of
-    ``intervals.numbered``. ``rest`` has the columns of ``nodes`` that are named here.
+    A border cuts those that are not ``hard``. Without ``ranged`` rows are sent by document and none is cut, which is for documents known to be few or small.
     """
-    ord_ = F.col("ord") if "ord" in nodes.columns else F.lit(0).cast("long")
-    rows = nodes.select("doc_id", "id", F.when(F.col("parent_id") != "", F.col("parent_id")).alias("up"), ord_.alias("ord"), *(F.col(c).alias(f"__{c}") for c in keep))
-    ranged = rows.repartitionByRange("doc_id", "ord", "id").sortWithinPartitions("doc_id", "ord", "id").withColumn("part", F.spark_partition_id())
-    names = {"path": pa.list_(pa.string()), "dangling": pa.bool_()} if paths else _LABELS | _NUMBERS
-    schema = T.StructType(ranged.schema.fields + [T.StructField("hard", T.BooleanType())])
+    sent = rows.repartitionByRange(*order) if ranged else rows.repartition("doc_id")
+    sent = sent.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = T.StructType(sent.schema.fields + [T.StructField("hard", T.BooleanType())])
     for name, kind in names.items():
         schema = schema.add(name, T.ArrayType(T.StringType()) if name == "path" else _TYPES[kind])
-    order = [f.name for f in schema.fields]
-    run = _by_blocks(paths, BLOCK if block is None else block, names)
+    columns = [f.name for f in schema.fields]
+    run = _by_blocks(walk, BLOCK if block is None else block, names)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
-            yield batch.select(order)
+            yield batch.select(columns)
 
-    spark = nodes.sparkSession
-    table = Rounds(spark)(ranged.mapInArrow(ordered, schema))
+    table = Rounds(rows.sparkSession)(sent.mapInArrow(ordered, schema))
     # ranges cut at most one document a border
     border = table.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    cut = border.select("part", F.explode(F.array("low", "high")).alias("doc_id")).distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-    hard = table.where("hard").select("doc_id").distinct()
+    cut = border.select("part", F.explode(F.array("low", "high")).alias("doc_id")).distinct().groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(False).alias("hard"))
+    hard = table.where("hard").select("doc_id", "hard").distinct()
     # written, so that its size is known
-    left = Rounds(spark)(cut.unionByName(hard).distinct().withColumnRenamed("doc_id", "__doc"))
+    return table, Rounds(rows.sparkSession)(cut.unionByName(hard).groupBy(F.col("doc_id").alias("__doc")).agg(F.max("hard").alias("hard")))
+
+
+def resolved(nodes: DataFrame, paths: bool = False, keep: tuple[str, ...] = (), block: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(known, rest): ``nodes`` (doc_id, id, parent_id, ord, perhaps ``keep``) whose documents could be walked whole, with what was found; the other rows, or None.
+
+    Found are (path, dangling) as of ``hierarchy.rooted``, or (top, branch, level, dangling, first, last, leaf, leaves, children) as of
+    ``intervals.numbered``. ``rest`` has the columns of ``nodes`` that are named here.
+    """
+    ord_ = F.col("ord") if "ord" in nodes.columns else F.lit(0).cast("long")
+    rows = nodes.select("doc_id", "id", F.when(F.col("parent_id") != "", F.col("parent_id")).alias("up"), ord_.alias("ord"), *(F.col(c).alias(f"__{c}") for c in keep))
+    names = {"path": pa.list_(pa.string()), "dangling": pa.bool_()} if paths else _LABELS | _NUMBERS
+    table, left = by_document(rows, ["doc_id", "ord", "id"], partial(_resolved, paths=paths), names, block)
     on = F.col("doc_id").eqNullSafe(F.col("__doc"))
     shown = [*(F.col(f"__{c}").alias(c) for c in keep if c not in ("ord", "parent_id"))]
     parent = F.col("up").alias("parent_id")
-    known = table.join(left, on, "left_anti").select("doc_id", "id", parent, "ord", *shown, *names)
+    known = table.join(left.select("__doc"), on, "left_anti").select("doc_id", "id", parent, "ord", *shown, *names)
     if not left.take(1):
         return table.select("doc_id", "id", parent, "ord", *shown, *names), None
-    return known, table.join(left, on, "left_semi").select("doc_id", "id", parent, "ord", *shown)
+    return known, table.join(left.select("__doc"), on, "left_semi").select("doc_id", "id", parent, "ord", *shown)

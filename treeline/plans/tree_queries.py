@@ -121,8 +121,7 @@ moved AS (SELECT b.doc_id, b.id, coalesce(f.to_parent, b.parent_id) AS parent_id
 @query(_MOVED + "SELECT doc_id, id, parent_id FROM moved")
 def moved_trees(t: Tables) -> DataFrame:
     """The trees after all moves of the log."""
-    nodes = settled(t.nodes())
-    return V.replayed(nodes, V.judged(nodes, t.moves_log())).select(*KEY, "parent_id")
+    return V.after(t.nodes(), t.moves_log())
 
 
 #: Nodes with the sides and colours that they show, edges with handles; and the side of the moved branch.
