@@ -54,3 +54,9 @@ def test_new_children_need_one_walk_and_equal_the_separate_steps(spark, monkeypa
     monkeypatch.setattr(B, "resolved", lambda *a, **k: resolved(*a, **k, block=8))
     tree = L.tree(nodes)
     assert sorted_rows(L.spots_below(tree, tree), "doc_id", "id", "side", "x", "y") == want
+
+
+def test_new_nodes_are_made_from_the_tree_alone(spark):
+    """After the walk no step of added_nodes reads or joins all nodes again."""
+    plan = QUERIES["added_nodes"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "children" in plan and "o_orderkey" not in plan
