@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from ..session import Rounds
 BLOCK = 1 << 17
 #: Ids in the paths of one Arrow batch.
 IDS = 1 << 20
+#: Whether a row is asked for, by its level and the parent it names: an expression of two columns, of Spark or of Arrow.
+Wanted = Callable[[Any, Any], Any]
 
 _LABELS = {"top": pa.string(), "branch": pa.string(), "level": pa.int64(), "dangling": pa.bool_()}
 _NUMBERS = {name: pa.int64() for name in ("first", "last", "leaf", "leaves", "children")}
@@ -129,9 +133,17 @@ def _unresolved(rows: pa.Table, names: dict[str, pa.DataType]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | made)
 
 
-def _by_blocks(walk: Callable[[pa.Table], Iterator[pa.RecordBatch]], block: int, names: dict[str, pa.DataType]):
+def _by_blocks(walk: Callable[[pa.Table], Iterator[pa.RecordBatch]], block: int, names: dict[str, pa.DataType], wanted: Wanted | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, large = [], 0, None
+        held, count, large, ends = [], 0, None, []
+
+        def shown(parts: list) -> Iterator[pa.RecordBatch]:
+            """The rows that are wanted, and all of the documents that are left or that a border may cut: the first and the last."""
+            for batch in chain.from_iterable(parts):
+                if wanted is not None:
+                    batch = batch.append_column("end", pc.is_in(batch["doc_id"], value_set=pa.array(ends, batch["doc_id"].type)))
+                    batch = batch.filter(pc.field("hard") | pc.field("end") | wanted(pc.field("level"), pc.field("up")))
+                yield batch
 
         def emitted(table: pa.Table, final: bool) -> tuple[list, pa.Table | None]:
             """What can be written, and the rows of the last document, which may go on."""
@@ -161,25 +173,27 @@ def _by_blocks(walk: Callable[[pa.Table], Iterator[pa.RecordBatch]], block: int,
 
         for batch in batches:
             if batch.num_rows:
+                if not ends:
+                    ends.append(batch["doc_id"][0].as_py())
                 held.append(batch)
                 count += batch.num_rows
             if count >= block:
                 out, rest = emitted(pa.Table.from_batches(held), False)
-                for part in out:
-                    yield from part
+                yield from shown(out)
                 held, count = (rest.to_batches(), len(rest)) if rest is not None else ([], 0)
         if held:
+            ends.append(held[-1]["doc_id"][-1].as_py())
             out, _ = emitted(pa.Table.from_batches(held), True)
-            for part in out:
-                yield from part
+            yield from shown(out)
 
     return run
 
 
-def by_document(rows: DataFrame, order: list[str], walk: Callable[[pa.Table], Iterator[pa.RecordBatch]], names: dict[str, pa.DataType], block: int | None = None, ranged: bool = True) -> tuple[DataFrame, DataFrame]:
+def by_document(rows: DataFrame, order: list[str], walk: Callable[[pa.Table], Iterator[pa.RecordBatch]], names: dict[str, pa.DataType], block: int | None = None, ranged: bool = True, wanted: Wanted | None = None) -> tuple[DataFrame, DataFrame]:
     """(table, left): ``rows`` with (hard, *names) as ``walk`` gives them for whole documents in ``order``, which begins with doc_id; and (__doc, hard) of the documents that are left.
 
     A border cuts those that are not ``hard``. Without ``ranged`` rows are sent by document and none is cut, which is for documents known to be few or small.
+    Of documents walked whole only rows that are ``wanted`` by their level and parent are written, where that is given, and perhaps others.
     """
     sent = rows.repartitionByRange(*order) if ranged else rows.repartition("doc_id")
     sent = sent.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -187,7 +201,7 @@ def by_document(rows: DataFrame, order: list[str], walk: Callable[[pa.Table], It
     for name, kind in names.items():
         schema = schema.add(name, T.ArrayType(T.StringType()) if name == "path" else _TYPES[kind])
     columns = [f.name for f in schema.fields]
-    run = _by_blocks(walk, BLOCK if block is None else block, names)
+    run = _by_blocks(walk, BLOCK if block is None else block, names, wanted)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
@@ -202,18 +216,20 @@ def by_document(rows: DataFrame, order: list[str], walk: Callable[[pa.Table], It
     return table, Rounds(rows.sparkSession)(cut.unionByName(hard).groupBy(F.col("doc_id").alias("__doc")).agg(F.max("hard").alias("hard")))
 
 
-def resolved(nodes: DataFrame, paths: bool = False, keep: tuple[str, ...] = (), block: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def resolved(nodes: DataFrame, paths: bool = False, keep: tuple[str, ...] = (), block: int | None = None, wanted: Wanted | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(known, rest): ``nodes`` (doc_id, id, parent_id, ord, perhaps ``keep``) whose documents could be walked whole, with what was found; the other rows, or None.
 
     Found are (path, dangling) as of ``hierarchy.rooted``, or (top, branch, level, dangling, first, last, leaf, leaves, children) as of
-    ``intervals.numbered``. ``rest`` has the columns of ``nodes`` that are named here.
+    ``intervals.numbered``. ``rest`` has the columns of ``nodes`` that are named here. Rows that are not ``wanted`` may be missing in ``known``, never in ``rest``.
     """
+    # parent and order are there already
+    keep = tuple(c for c in keep if c not in ("ord", "parent_id"))
     ord_ = F.col("ord") if "ord" in nodes.columns else F.lit(0).cast("long")
     rows = nodes.select("doc_id", "id", F.when(F.col("parent_id") != "", F.col("parent_id")).alias("up"), ord_.alias("ord"), *(F.col(c).alias(f"__{c}") for c in keep))
     names = {"path": pa.list_(pa.string()), "dangling": pa.bool_()} if paths else _LABELS | _NUMBERS
-    table, left = by_document(rows, ["doc_id", "ord", "id"], partial(_resolved, paths=paths), names, block)
+    table, left = by_document(rows, ["doc_id", "ord", "id"], partial(_resolved, paths=paths), names, block, wanted=wanted)
     on = F.col("doc_id").eqNullSafe(F.col("__doc"))
-    shown = [*(F.col(f"__{c}").alias(c) for c in keep if c not in ("ord", "parent_id"))]
+    shown = [*(F.col(f"__{c}").alias(c) for c in keep)]
     parent = F.col("up").alias("parent_id")
     known = table.join(left.select("__doc"), on, "left_anti").select("doc_id", "id", parent, "ord", *shown, *names)
     if not left.take(1):

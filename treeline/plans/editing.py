@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import BRANCH_COLORS, handles, or_else, palette, side_of
 from ..session import settled
 from .hierarchy import KEY, ancestor_labels, subtrees
-from .layout import ROOT_X, ROOT_Y, STEP_X, spots_below
+from .layout import ROOT_X, ROOT_Y, STEP_X, spots_below, spots_of_tops
 
 # Fixed values that new nodes and edges show.
 ROOT_ID, ROOT_LABEL, ROOT_COLOR, FREE_LABEL, FREE_COLOR = "root-node", "Main Topic", "#3b82f6", "Free Node", "#64748b"
@@ -34,16 +34,18 @@ def root_rows(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return empty.select("doc_id", F.lit(ROOT_ID).alias("id"), none.alias("parent_id"), or_else(F.col("title"), ROOT_LABEL).alias("label"), F.lit(float(ROOT_X)).alias("x"), F.lit(float(ROOT_Y)).alias("y"), F.lit(ROOT_COLOR).alias("color"), F.lit(0).cast("long").alias("level"), none.alias("side"), F.lit(True).alias("auto_align"))
 
 
-def child_rows(parents: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a new node ``child`` below each of ``parents``, rows of a ``layout.tree`` with the new id.
+def child_rows(parents: Column, child: Column, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a new node ``child`` below each of ``parents``, those rows of a ``layout.tree``, of which all roots and branches are needed.
 
     A child goes to the emptier side of a root and else to its parent's, one level down, in the branch's colour. A placed node hangs on aligned
     nodes alone, so its level and branch are those among all nodes, and the one walk of the tree is enough.
     """
-    found = spots_below(parents, tree)
+    found, deep = spots_of_tops(tree).where(parents), tree.where(parents & (F.col("level") > 1))
+    if deep.take(1):
+        found = found.unionByName(spots_below(deep, tree).select(found.columns))
     color = palette(F.col("branch"), BRANCH_COLORS).alias("color")
     level, aligned = (F.col("level") + 1).alias("level"), F.lit(True).alias("auto_align")
-    rows = found.select("doc_id", F.col("child").alias("id"), F.col("id").alias("parent_id"), F.lit("").alias("label"), "x", "y", level, color, "side", aligned)
+    rows = found.select("doc_id", child.alias("id"), F.col("id").alias("parent_id"), F.lit("").alias("label"), "x", "y", level, color, "side", aligned)
     return rows, parent_edges(rows, F.col("color"))
 
 

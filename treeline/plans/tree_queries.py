@@ -242,9 +242,9 @@ def added_nodes(t: Tables) -> DataFrame:
 
 
 def _added(t: Tables) -> tuple[DataFrame, DataFrame]:
-    tree = L.tree(t.nodes())
-    parents = tree.where("parent_id IS NULL OR parent_id = 'root-node'").withColumn("child", F.concat(F.lit("x-"), "id"))
-    return E.child_rows(parents, tree)
+    # of the walked nodes these alone are written
+    tree = L.tree(t.nodes(), lambda level, parent: (level < 2) | (parent == "root-node"))
+    return E.child_rows(F.col("parent_id").isNull() | (F.col("parent_id") == "root-node"), F.concat(F.lit("x-"), "id"), tree)
 
 
 @query(_LAYOUT_PATHS + f"""
